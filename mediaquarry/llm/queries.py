@@ -3,8 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mediaquarry.llm import quality
+from mediaquarry.llm.bpe import bpe_round_trip
 from mediaquarry.llm.exact_dedup import exact_dedup
+from mediaquarry.llm.topk_search import topk_search
+from mediaquarry.llm.url_filter import SOFT_TERMS, STRICT_TERMS, Rule, url_filter
+
+#: Host and path rules of the url query.
+URL_RULES = (
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+)
+
+
+def vocabulary_path() -> str:
+    """The word vocabulary of the installed tokenizer files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +36,67 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), rules=URL_RULES)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op4_url_filters": op4_url_filters,
+    "op7_bpe": op7_bpe,
+    "op8_topk_search": op8_topk_search,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+def _url_oracle() -> str:
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+
+    def hits(terms: tuple[str, ...]) -> str:
+        return " + ".join(f"regexp_matches(scanned, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t in terms)
+
+    return f"""
+        WITH rules(verdict, host, path) AS (VALUES {rules}),
+        cut AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        parts AS (
+            SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        scans AS (SELECT *, host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scanned FROM parts),
+        fits AS (
+            SELECT p.page_id, p.url, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+            FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
+            GROUP BY p.page_id, p.url),
+        judged AS (SELECT s.page_id, s.url, s.host, s.path, ({hits(STRICT_TERMS)})::INT AS strict_hits, ({hits(SOFT_TERMS)})::INT AS soft_hits FROM scans s)
+        SELECT j.page_id, j.host, j.path, f.rule,
+               coalesce(f.verdict, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+        FROM judged j LEFT JOIN fits f ON j.page_id = f.page_id AND j.url IS NOT DISTINCT FROM f.url
+    """
+
+
 ORACLES = {
+    "op4_url_filters": _url_oracle(),
+    "op8_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
