@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from mediaquarry.llm import quality
 from mediaquarry.llm.bpe import bpe_round_trip
 from mediaquarry.llm.exact_dedup import exact_dedup
+from mediaquarry.llm.mixing import mix_sources
 from mediaquarry.llm.topk_search import topk_search
 from mediaquarry.llm.url_filter import SOFT_TERMS, STRICT_TERMS, Rule, url_filter
+from mediaquarry.llm.warc import warc_round_trip
 
 #: Host and path rules of the url query.
 URL_RULES = (
@@ -41,10 +43,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rules=URL_RULES)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -55,7 +65,9 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
+    "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_topk_search": op8_topk_search,
     "op9_exact_dedup": op9_exact_dedup,
@@ -86,6 +98,14 @@ def _url_oracle() -> str:
 
 
 ORACLES = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM d
+    """,
     "op4_url_filters": _url_oracle(),
     "op8_topk_search": """
         WITH v AS (
