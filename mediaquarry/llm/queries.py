@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediaquarry.llm import quality
 from mediaquarry.llm.bpe import bpe_round_trip
 from mediaquarry.llm.exact_dedup import exact_dedup
+from mediaquarry.llm.language_model import score_language_model
 from mediaquarry.llm.mixing import mix_sources
 from mediaquarry.llm.topk_search import topk_search
 from mediaquarry.llm.url_filter import SOFT_TERMS, STRICT_TERMS, Rule, url_filter
@@ -43,6 +44,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language_model(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +70,7 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
     "op6_mixing": op6_mixing,
