@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediaquarry.llm import quality
 from mediaquarry.llm.bpe import bpe_round_trip
 from mediaquarry.llm.exact_dedup import exact_dedup
+from mediaquarry.llm.jaccard_join import jaccard_components
 from mediaquarry.llm.language_model import score_language_model
 from mediaquarry.llm.mixing import mix_sources
 from mediaquarry.llm.topk_search import topk_search
@@ -68,6 +69,10 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_lm_scoring": op2_lm_scoring,
@@ -77,6 +82,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_topk_search": op8_topk_search,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 def _url_oracle() -> str:
@@ -123,6 +129,20 @@ ORACLES = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+        e AS (SELECT doc_id, unnest(g) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * c >= 85 * (len(sa.g) + len(sb.g) - c)),
+        both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(id, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, b FROM r JOIN both_ways ON reached = a)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(reached) FROM r WHERE id = doc_id) AS component_id FROM s
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
