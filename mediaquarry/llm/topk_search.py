@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ def quantised(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray,
     Unusable: a null id or vector, and a null or non-finite component.
     """
     ids, vectors = batch.column(0), batch.column(1)
-    keep = pa.compute.and_(ids.is_valid(), vectors.is_valid())
+    keep = pc.and_(ids.is_valid(), vectors.is_valid())
     ids, vectors = ids.filter(keep), vectors.filter(keep)
-    lengths = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
     ids = ids.to_numpy(zero_copy_only=False)
@@ -68,7 +69,6 @@ def topk_search(
     asks; repeated candidate rows are candidates each. An empty table gives an empty result. Queries are
     taken in blocks of about ``query_block``; ``bins`` bounds a histogram. Neither changes the result.
     """
-    spark = vectors.sparkSession
     table = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
