@@ -10,6 +10,7 @@ from mediaquarry.llm.bpe import bpe_round_trip
 from mediaquarry.llm.exact_dedup import exact_dedup
 from mediaquarry.llm.jaccard_join import jaccard_components
 from mediaquarry.llm.language_model import score_language_model
+from mediaquarry.llm.line_dedup import line_dedup
 from mediaquarry.llm.mixing import mix_sources
 from mediaquarry.llm.topk_search import topk_search
 from mediaquarry.llm.url_filter import SOFT_TERMS, STRICT_TERMS, Rule, url_filter
@@ -57,6 +58,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rules=URL_RULES)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_topk_search": op8_topk_search,
