@@ -1,4 +1,603 @@
 """The catalog queries by name, with the DuckDB SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediaquarry.functions import text
+from mediaquarry.operators import duplicates, folders, moves, rename, scan, search, sync, tags
+from mediaquarry.plans import catalog
+from mediaquarry.plans.catalog import ALL_RECORDS, ANCESTORS, LINKS, MEDIA, PHASH, RECORDS, SIGNED, fold
+
+NOW = 1800000000.0
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# -- search ------------------------------------------------------------------------------------------
+
+_LIVE = "EXISTS (SELECT 1 FROM links l WHERE l.media_id = m.id AND NOT l.deleted AND l.tag_key IN ({}))"
+
+
+def _search(name: str, line: str, where: str, columns: tuple[str, ...] = ("id", "rel_path", "type", "mtime")) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = search.search(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir), search.parse_query(line))
+        return found.select(*columns)
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {MEDIA}, {LINKS} SELECT {', '.join(columns)} FROM media m WHERE present AND {where}"
+
+
+_search("search_require_all", "#Click #quality", f"{_LIVE.format(chr(39) + 'click' + chr(39))} AND {_LIVE.format(chr(39) + 'quality' + chr(39))}")
+_search("search_or_group", "#click|VIEW", _LIVE.format("'click', 'view'"))
+_search("search_exclude", "-#click -#error", f"NOT {_LIVE.format(chr(39) + 'click' + chr(39) + ', ' + chr(39) + 'error' + chr(39))}")
+_search("search_text", "DOC_1 jp", f"contains({fold('rel_path')}, 'doc_1') AND contains({fold('rel_path')}, 'jp')")
+_search("search_wildcards", "doc_%", f"contains({fold('rel_path')}, 'doc_%')")
+_search("search_type", "type:video", "type = 'video'")
+_search("search_album_prefix", "album:SRC1", f"({fold('album')} = 'src1' OR starts_with({fold('album')}, 'src1/'))")
+_search("search_date_range", "after:2024-01-05 before:2024-01-20", "mtime >= epoch(TIMESTAMP '2024-01-05') AND mtime < epoch(TIMESTAMP '2024-01-21')")
+_search("search_combined", "#click -#error type:photo", f"{_LIVE.format(chr(39) + 'click' + chr(39))} AND NOT {_LIVE.format(chr(39) + 'error' + chr(39))} AND type = 'photo'")
+
+
+@_query("search_unsorted", f"WITH {MEDIA}, {LINKS} SELECT id, rel_path FROM media m WHERE present AND album = '' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.media_id = m.id AND NOT l.deleted)")
+def _(spark, sf_dir):
+    return search.list_media(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir), unsorted=True).select("id", "rel_path")
+
+
+@_query(
+    "search_tag_arrays",
+    f"WITH {MEDIA}, {LINKS}, t AS (SELECT media_id, list(tag_key) AS ks FROM links WHERE NOT deleted GROUP BY media_id) "
+    "SELECT id, rel_path FROM media m LEFT JOIN t ON t.media_id = m.id WHERE present AND (list_contains(ks, 'click') OR list_contains(ks, 'view')) AND NOT coalesce(list_contains(ks, 'toxic'), false)",
+)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir).join(tags.tags_of(catalog.links(spark, sf_dir)).withColumnRenamed("media_id", "id"), "id", "left")
+    rows = rows.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return search.match_tag_arrays(rows, search.parse_query("#click|view -#toxic")).select("id", "rel_path")
+
+
+@_query("list_newest", f"WITH {MEDIA} SELECT id, mtime, row_number() OVER (ORDER BY mtime DESC, id DESC) AS place FROM media WHERE present ORDER BY place LIMIT 200")
+def _(spark, sf_dir):
+    """A report of the 200 newest, as the preview shows them."""
+    top = search.ordered(catalog.media(spark, sf_dir).where("present"), "newest").limit(200)
+    ranked = top.agg(F.collect_list(F.struct((-F.col("mtime")).alias("t"), (-F.col("id")).alias("i"))).alias("x"))
+    placed = ranked.select(F.posexplode(F.sort_array("x")).alias("pos", "x"))
+    return placed.select((-F.col("x.i")).alias("id"), (-F.col("x.t")).alias("mtime"), (F.col("pos") + 1).cast("long").alias("place"))
+
+
+# -- tags --------------------------------------------------------------------------------------------
+
+
+@_query("lww_resolve", f"WITH {LINKS} SELECT media_id, tag_key, tag, updated_at, deleted FROM links")
+def _(spark, sf_dir):
+    return catalog.links(spark, sf_dir)
+
+
+@_query(
+    "lww_change_counts",
+    f"""WITH {RECORDS}, m AS (SELECT *, max(updated_at) OVER w AS newest FROM records WINDOW w AS (PARTITION BY media_id, tag ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    a AS (SELECT *, newest IS NULL OR updated_at > newest AS accepted FROM m),
+    b AS (SELECT *, lag(deleted) OVER (PARTITION BY media_id, tag ORDER BY seq) AS last FROM a WHERE accepted)
+    SELECT tag AS tag_key, (SELECT count(*) FROM a x WHERE x.tag = b.tag) AS records, count(*) AS accepted, count(*) FILTER (coalesce(last, true) <> deleted) AS changed FROM b GROUP BY tag""",
+)
+def _(spark, sf_dir):
+    marked = tags.accepted_records(catalog.records(spark, sf_dir))
+    return marked.groupBy("tag_key").agg(F.count(F.lit(1)).alias("records"), F.count_if("accepted").alias("accepted"), F.count_if("changed").alias("changed"))
+
+
+@_query("tag_counts", f"WITH {LINKS} SELECT tag_key, min(tag) AS tag, count(*) AS n FROM links WHERE NOT deleted GROUP BY tag_key")
+def _(spark, sf_dir):
+    return tags.tag_counts(catalog.links(spark, sf_dir))
+
+
+@_query("tag_counts_present", f"WITH {MEDIA}, {LINKS} SELECT tag_key, min(tag) AS tag, count(*) AS n FROM links WHERE NOT deleted AND media_id IN (SELECT id FROM media WHERE present) GROUP BY tag_key")
+def _(spark, sf_dir):
+    return tags.present_tag_counts(catalog.links(spark, sf_dir), catalog.media(spark, sf_dir))
+
+
+@_query("selection_tag_counts", f"WITH {MEDIA}, {LINKS} SELECT tag_key, min(tag) AS tag, count(*) AS n FROM links WHERE NOT deleted AND media_id IN (SELECT id FROM media WHERE type = 'video') GROUP BY tag_key")
+def _(spark, sf_dir):
+    chosen = catalog.media(spark, sf_dir).where("type = 'video'").select(F.col("id").alias("media_id"))
+    return tags.selection_tag_counts(catalog.links(spark, sf_dir), chosen)
+
+
+@_query("tags_per_media", f"WITH {LINKS} SELECT media_id, string_agg(tag, ',' ORDER BY tag_key) AS tags FROM links WHERE NOT deleted GROUP BY media_id")
+def _(spark, sf_dir):
+    return tags.tags_of(catalog.links(spark, sf_dir)).select("media_id", F.array_join("tags", ",").alias("tags"))
+
+
+_RENAMED = f"""WITH {LINKS}, new AS (
+    SELECT media_id, 'view' AS tag_key, 'view' AS tag, {NOW} AS updated_at, false AS deleted FROM links WHERE tag_key = 'click' AND NOT deleted
+    UNION ALL SELECT media_id, tag_key, tag, {NOW}, true FROM links WHERE tag_key = 'click' AND NOT deleted)
+    SELECT media_id, tag_key, tag, updated_at, deleted FROM new
+    UNION ALL SELECT media_id, tag_key, tag, updated_at, deleted FROM links l WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.media_id = l.media_id AND n.tag_key = l.tag_key)"""
+
+
+@_query("tag_rename_merge", _RENAMED)
+def _(spark, sf_dir):
+    return tags.rename_tag(catalog.links(spark, sf_dir), "Click", "view", NOW)
+
+
+@_query("tag_delete", f"WITH {LINKS} SELECT media_id, tag_key, tag, CASE WHEN tag_key = 'click' AND NOT deleted THEN {NOW} ELSE updated_at END AS updated_at, deleted OR tag_key = 'click' AS deleted FROM links")
+def _(spark, sf_dir):
+    held = catalog.links(spark, sf_dir)
+    return tags.apply(held, tags.delete_tag(held, "CLICK", NOW))
+
+
+@_query(
+    "tag_add",
+    f"""WITH {MEDIA}, {LINKS}, new AS (SELECT id AS media_id, unnest(['new york', 'click']) AS tag_key, unnest(['New York', 'click']) AS tag FROM media WHERE type = 'video')
+    SELECT media_id, tag_key, tag, {NOW} AS updated_at, false AS deleted FROM new
+    UNION ALL SELECT media_id, tag_key, tag, updated_at, deleted FROM links l WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.media_id = l.media_id AND n.tag_key = l.tag_key)""",
+)
+def _(spark, sf_dir):
+    held = catalog.links(spark, sf_dir)
+    chosen = catalog.media(spark, sf_dir).where("type = 'video'").select(F.col("id").alias("media_id"))
+    return tags.apply(held, tags.add_tags(held, chosen, [" New  York ", "Click"], NOW))
+
+
+@_query("tag_remove", f"WITH {MEDIA}, {LINKS} SELECT media_id, tag_key, tag, {NOW} AS updated_at, true AS deleted FROM links WHERE tag_key = 'view' AND NOT deleted AND media_id IN (SELECT id FROM media WHERE type = 'photo')")
+def _(spark, sf_dir):
+    chosen = catalog.media(spark, sf_dir).where("type = 'photo'").select(F.col("id").alias("media_id"))
+    return tags.remove_tag(catalog.links(spark, sf_dir), chosen, "view", NOW)
+
+
+@_query("tag_names_parsed", "SELECT conv_id, turn, string_agg(n, '|' ORDER BY i) AS names FROM (SELECT conv_id, turn, n, i FROM (SELECT conv_id, turn, n, i, row_number() OVER (PARTITION BY conv_id, turn, lower(n) ORDER BY i) AS r FROM (SELECT conv_id, turn, unnest(list_transform(string_split(text, ','), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')))) AS n, unnest(range(len(string_split(text, ',')))) AS i FROM conversations) WHERE n <> '') WHERE r = 1) GROUP BY conv_id, turn")
+def _(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.parse_names(F.col("text")).alias("names"))
+    return rows.where(F.size("names") > 0).select("conv_id", "turn", F.array_join("names", "|").alias("names"))
+
+
+# -- folders -----------------------------------------------------------------------------------------
+
+_FOLDERS = f"folders AS (SELECT DISTINCT root, unnest({ANCESTORS}) AS rel_path FROM media WHERE album <> '')"
+
+
+@_query(
+    "album_counts",
+    f"""WITH {MEDIA}, {_FOLDERS} SELECT f.root, f.rel_path, count(m.id) AS n_media, count(m.id) FILTER (m.type = 'photo') AS n_photos,
+    count(m.id) FILTER (m.type = 'video') AS n_videos, (len(string_split(f.rel_path, '/')) - 1)::INT AS depth
+    FROM folders f LEFT JOIN media m ON m.present AND m.root = f.root AND (m.album = f.rel_path OR starts_with(m.album, f.rel_path || '/')) GROUP BY f.root, f.rel_path""",
+)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    return folders.folder_counts(folders.folder_table(rows), rows)
+
+
+@_query("album_children", f"WITH {MEDIA}, {_FOLDERS} SELECT root, rel_path FROM folders WHERE starts_with(rel_path, 'src1/') AND NOT contains(substr(rel_path, 6), '/')")
+def _(spark, sf_dir):
+    return search.children(folders.folder_table(catalog.media(spark, sf_dir)), "SRC1")
+
+
+@_query(
+    "album_relocate",
+    f"WITH {MEDIA} SELECT id, CASE WHEN i THEN 'Archive/One' || substr(rel_path, 5) ELSE rel_path END AS rel_path, CASE WHEN i THEN 'Archive/One' || substr(album, 5) ELSE album END AS album "
+    "FROM (SELECT *, album = 'src1' OR starts_with(album, 'src1/') AS i FROM media)",
+)
+def _(spark, sf_dir):
+    return folders.relocated(catalog.media(spark, sf_dir), catalog.ROOT, "src1", "Archive/One").select("id", "rel_path", "album")
+
+
+@_query("album_relocate_moves", f"WITH {MEDIA} SELECT rel_path AS from_path, 'Archive/One' || substr(rel_path, 5) AS to_path, size, {NOW} AS moved_at FROM media WHERE present AND (album = 'src1' OR starts_with(album, 'src1/'))")
+def _(spark, sf_dir):
+    return folders.relocation_moves(catalog.media(spark, sf_dir), catalog.ROOT, "src1", "Archive/One", NOW)
+
+
+@_query("album_membership", f"WITH {MEDIA} SELECT id, (album = 'src2' OR starts_with(album, 'src2/')) AS inside, starts_with(album, 'src2/') AS below FROM media")
+def _(spark, sf_dir):
+    return catalog.media(spark, sf_dir).select("id", text.in_folder(F.col("album"), "Src2").alias("inside"), text.holds_folder(F.col("album"), "Src2").alias("below"))
+
+
+@_query(
+    "album_move_files",
+    f"""WITH {MEDIA}, w AS (SELECT * FROM media WHERE type = 'video'), n AS (SELECT *, 'src3/' || filename AS new_path FROM w)
+    SELECT n.id, n.rel_path, n.new_path, CASE WHEN NOT n.present THEN 'file is missing' WHEN n.album = 'src3' THEN 'already there'
+      WHEN o.id IS NOT NULL AND o.id <> n.id AND o.present THEN 'the name is taken there' WHEN o.id IS NOT NULL AND o.id <> n.id THEN 'an older record has that path' ELSE 'moved' END AS outcome
+    FROM n LEFT JOIN media o ON o.rel_path = n.new_path""",
+)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    return folders.move_to_folder(rows, rows.where("type = 'video'"), catalog.ROOT, "src3")
+
+
+@_query("album_deletable", f"SELECT '{catalog.ROOT}' AS root, 'empty/in' AS rel_path")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    extra = spark.range(1).select(F.lit(catalog.ROOT).alias("root"), F.explode(F.array(F.lit("empty"), F.lit("empty/in"))).alias("rel_path"))
+    return folders.deletable(folders.folder_table(rows).unionByName(extra), rows)
+
+
+@_query("album_upgrade", f"WITH {MEDIA} SELECT id, album FROM media")
+def _(spark, sf_dir):
+    return folders.upgraded(catalog.media(spark, sf_dir).drop("album")).select("id", "album")
+
+
+@_query("library_removed", f"WITH {MEDIA} SELECT id, false AS present FROM media")
+def _(spark, sf_dir):
+    return folders.without_root(catalog.media(spark, sf_dir), catalog.ROOT).select("id", "present")
+
+
+# -- paths -------------------------------------------------------------------------------------------
+
+
+@_query(
+    "path_functions",
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages)
+    SELECT page_id, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS dir, regexp_extract(p, '[^/]*$') AS base,
+           (len(string_split(p, '/')) - 1)::INT AS depth, regexp_extract(regexp_extract(p, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1) AS ext, sha1(p) AS cache_name FROM p""",
+)
+def _(spark, sf_dir):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    rows = catalog.table(spark, sf_dir, "pages").select("page_id", path.alias("p"))
+    p = F.col("p")
+    return rows.select("page_id", text.dirname(p).alias("dir"), text.basename(p).alias("base"), text.depth(p).alias("depth"), text.extension(p).alias("ext"), F.sha1(p.cast("binary")).alias("cache_name"))
+
+
+@_query(
+    "path_safety",
+    r"""WITH p AS (SELECT page_id, 'url' AS kind, url AS p FROM pages UNION ALL SELECT page_id, 'rest', regexp_replace(url, '^[a-z]+://', '') FROM pages)
+    SELECT page_id, kind, length(p) BETWEEN 1 AND 1024 AND NOT contains(p, chr(92)) AND NOT contains(p, ':') AND NOT starts_with(p, '/')
+      AND len(list_filter(string_split(p, '/'), lambda x: x IN ('', '.', '..'))) = 0 AS safe FROM p""",
+)
+def _(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "pages")
+    both = rows.select("page_id", F.lit("url").alias("kind"), F.col("url").alias("p")).unionByName(
+        rows.select("page_id", F.lit("rest").alias("kind"), F.regexp_replace("url", "^[a-z]+://", "").alias("p"))
+    )
+    return both.select("page_id", "kind", text.safe_path(F.col("p")).alias("safe"))
+
+
+@_query(
+    "size_labels",
+    """SELECT doc_id, CASE WHEN s < 1024 THEN format('{} B', s) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) WHEN s < 1073741824 THEN printf('%.1f MB', s / 1048576.0)
+    ELSE printf('%.1f GB', s / 1073741824.0) END AS label FROM (SELECT doc_id, n_chars * 1000 + 7 AS s FROM documents)""",
+)
+def _(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", text.human_size(F.col("n_chars") * 1000 + 7).alias("label"))
+
+
+@_query("media_kinds", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'photo' WHEN 1 THEN 'video' WHEN 2 THEN NULL WHEN 3 THEN 'photo' WHEN 4 THEN NULL ELSE 'video' END AS kind FROM documents")
+def _(spark, sf_dir):
+    names = F.array(*map(F.lit, ["a.JPG", "b.x.mp4", "notes.txt", "c.heic", ".jpg", "d.3GP"]))
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", text.media_type(F.get(names, (F.col("doc_id") % 6).cast("int"))).alias("kind"))
+
+
+@_query(
+    "gray_hash",
+    "SELECT vec_id, CASE WHEN bit_count(v) BETWEEN 6 AND 58 THEN CASE WHEN v >= 9223372036854775808 THEN (v::HUGEINT - 18446744073709551616)::BIGINT ELSE v::BIGINT END END AS hash FROM (SELECT vec_id, ("
+    + " + ".join(f"(CASE WHEN floor(1000 * embedding[{(y * 9 + x) % 64 + 1}]::DOUBLE) > floor(1000 * embedding[{(y * 9 + x + 1) % 64 + 1}]::DOUBLE) THEN {1 << (63 - (y * 8 + x))}::HUGEINT ELSE 0 END)" for y in range(8) for x in range(8))
+    + ")::UBIGINT AS v FROM embeddings)",
+)
+def _(spark, sf_dir):
+    cells = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor(1000 * F.get("embedding", i % 64).cast("double")).cast("int"))
+    return catalog.table(spark, sf_dir, "embeddings").select("vec_id", text.difference_hash(cells).alias("hash"))
+
+
+# -- duplicates --------------------------------------------------------------------------------------
+
+
+def _with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media with fresh content hashes for all but each 13th and fresh similarity hashes for all but each 17th."""
+    rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id").join(catalog.fingerprints(spark, sf_dir), "id", "left")
+    size, mtime = F.col("size"), F.col("mtime")
+    return rows.withColumns(
+        {
+            "sha_size": size, "sha_mtime": F.when(F.col("id") % 13 == 0, mtime - 1).otherwise(mtime),
+            "sig_size": F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(size), "sig_mtime": mtime,
+        }
+    )
+
+
+_FRESH = f"{MEDIA}, {PHASH}, held AS (SELECT m.*, CASE WHEN m.id % 13 <> 0 THEN m.sha256 END AS sha, CASE WHEN m.id % 17 <> 0 THEN p.h END AS h FROM media m LEFT JOIN prints p USING (id) WHERE present AND size > 0)"
+
+
+@_query("exact_candidates", f"WITH {MEDIA}, h AS (SELECT * FROM media WHERE present AND size > 0) SELECT id, size FROM h WHERE id % 13 = 0 AND size IN (SELECT size FROM h GROUP BY size HAVING count(*) > 1)")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    rows = rows.withColumns({"sha_size": F.col("size"), "sha_mtime": F.when(F.col("id") % 13 == 0, F.col("mtime") - 1).otherwise(F.col("mtime"))})
+    return duplicates.exact_candidates(rows).select("id", "size")
+
+
+@_query("exact_groups", f"WITH {MEDIA} SELECT sha256, size, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM media WHERE present AND size > 0 GROUP BY sha256, size HAVING count(*) > 1")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")
+    return duplicates.exact_groups(rows, by_size=True).select("sha256", "size", "n", duplicates.signature(F.col("ids")).alias("ids"))
+
+
+@_query("phash", f"WITH {PHASH} SELECT id, {SIGNED} AS phash FROM prints")
+def _(spark, sf_dir):
+    return catalog.fingerprints(spark, sf_dir)
+
+
+def _near(distance: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = catalog.media(spark, sf_dir).where("present").join(catalog.fingerprints(spark, sf_dir), "id").select("id", F.col("phash").alias("h"), "type")
+        return duplicates.near_pairs(rows, distance)
+
+    QUERIES[f"near_pairs_d{distance}"] = run
+    ORACLES[f"near_pairs_d{distance}"] = (
+        f"WITH {MEDIA}, {PHASH}, x AS (SELECT m.id, m.type, p.h FROM media m JOIN prints p USING (id) WHERE present AND h IS NOT NULL) "
+        f"SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM x a JOIN x b ON a.type = b.type AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= {distance}"
+    )
+
+
+for _d in (0, 3, 6, 10):
+    _near(_d)
+
+_VIDEO_PAIRS = f"""WITH {MEDIA}, {PHASH}, x AS (SELECT m.id, m.duration, p.h FROM media m JOIN prints p USING (id) WHERE present AND h IS NOT NULL AND type = 'video')
+    SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM x a JOIN x b ON a.id < b.id
+    WHERE bit_count(xor(a.h, b.h)) <= 6 AND abs(a.duration - b.duration) <= greatest(1.0, 0.02 * greatest(a.duration, b.duration))"""
+
+
+@_query("near_video_pairs", _VIDEO_PAIRS)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir).where("present and type = 'video'")
+    pairs = duplicates.near_pairs(rows.join(catalog.fingerprints(spark, sf_dir), "id").select("id", F.col("phash").alias("h"), "type"), 6)
+    return duplicates.with_durations(pairs, rows)
+
+
+_GROUPS = f"""WITH RECURSIVE {_FRESH},
+    near AS (SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.type = b.type AND a.id < b.id
+             WHERE bit_count(xor(a.h, b.h)) <= 6 AND (a.type = 'photo' OR abs(a.duration - b.duration) <= greatest(1.0, 0.02 * greatest(a.duration, b.duration)))),
+    same AS (SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.sha = b.sha AND a.id < b.id),
+    pairs AS (SELECT a, b FROM near UNION SELECT a, b FROM same),
+    edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach(id, to_id) AS (SELECT a, a FROM edges UNION SELECT reach.id, b FROM reach JOIN edges ON to_id = a),
+    labels AS (SELECT id, min(to_id) AS group_id FROM reach GROUP BY id),
+    groups AS (SELECT group_id, count(*) AS n, count(sha) = count(*) AND min(sha) = max(sha) AS exact, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids,
+               max(size) AS top_size FROM labels JOIN held USING (id) GROUP BY group_id)"""
+
+
+def _groups(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return duplicates.find_groups(_with_hashes(spark, sf_dir), **options)
+
+
+@_query("dup_components", f"{_GROUPS} SELECT id, group_id FROM labels")
+def _(spark, sf_dir):
+    return _groups(spark, sf_dir).select(F.explode("ids").alias("id"), "group_id")
+
+
+@_query("dup_group_kinds", f"{_GROUPS} SELECT group_id, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS kind, n, ids, top_size FROM groups")
+def _(spark, sf_dir):
+    return _groups(spark, sf_dir).select("group_id", "kind", "n", duplicates.signature(F.col("ids")).alias("ids"), "top_size")
+
+
+@_query("dup_ignore", f"{_GROUPS} SELECT group_id, n FROM groups WHERE n <> 2")
+def _(spark, sf_dir):
+    """Groups after all pairs have been put on the list of ignored groups."""
+    rows = _with_hashes(spark, sf_dir)
+    pairs = duplicates.find_groups(rows).where("n = 2").select(duplicates.signature(F.col("ids")).alias("sig"))
+    return duplicates.find_groups(rows, ignored=pairs).select("group_id", "n")
+
+
+@_query("dup_summary", f"{_GROUPS} SELECT CASE WHEN exact THEN 'exact' ELSE 'similar' END AS kind, count(*) AS groups, sum(n)::BIGINT AS files, sum(n - 1)::BIGINT AS extra_files FROM groups GROUP BY ALL")
+def _(spark, sf_dir):
+    return duplicates.summary(_groups(spark, sf_dir))
+
+
+@_query(
+    "dup_keep_one",
+    f"""WITH {MEDIA}, {LINKS}, held AS (SELECT * FROM media WHERE present AND size > 0), g AS (SELECT id, min(id) OVER (PARTITION BY sha256) AS keep_id FROM held)
+    SELECT DISTINCT keep_id AS media_id, tag_key, {NOW} AS updated_at, false AS deleted FROM g JOIN links l ON l.media_id = g.id WHERE g.id <> keep_id AND NOT l.deleted""",
+)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")
+    groups = duplicates.exact_groups(rows)
+    choices = groups.select(F.array_min("ids").alias("keep_id"), F.explode("ids").alias("remove_id"), F.lit("exact").alias("kind"))
+    return duplicates.kept_one(catalog.links(spark, sf_dir), rows, choices, NOW)[0].select("media_id", "tag_key", "updated_at", "deleted")
+
+
+# -- sync --------------------------------------------------------------------------------------------
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by path: most as stored, some under another folder, some of unknown files, some of another size."""
+    rows = catalog.media(spark, sf_dir).select("id", "rel_path", "filename", "size")
+    records = catalog.records(spark, sf_dir).join(rows, F.col("media_id") == F.col("id"))
+    k = F.col("seq") % 5
+    path = F.when(k == 1, F.concat(F.lit("elsewhere/"), "filename")).when(k == 2, F.concat(F.lit("gone/"), F.col("seq").cast("string"), F.lit(".jpg"))).otherwise(F.upper("rel_path"))
+    size = F.when(F.col("seq") % 10 == 1, F.lit(None)).when(F.col("seq") % 15 == 6, F.col("size") + 1).otherwise(F.col("size"))
+    return records.select("seq", path.alias("path"), size.alias("size"), "tag", "updated_at", "deleted")
+
+
+_INCOMING = f"""{MEDIA}, {RECORDS}, incoming AS (
+    SELECT r.seq, CASE r.seq % 5 WHEN 1 THEN 'elsewhere/' || m.filename WHEN 2 THEN 'gone/' || r.seq || '.jpg' ELSE upper(m.rel_path) END AS path,
+           CASE WHEN r.seq % 10 = 1 THEN NULL WHEN r.seq % 15 = 6 THEN m.size + 1 ELSE m.size END AS size, r.tag, r.updated_at, r.deleted
+    FROM records r JOIN media m ON m.id = r.media_id),
+matched AS (
+    SELECT i.*, CASE WHEN p.id IS NOT NULL THEN CASE WHEN p.present THEN p.id END ELSE
+        (SELECT CASE WHEN count(*) = 1 THEN min(c.id) END FROM media c WHERE c.present AND {fold("c.filename")} = {fold("regexp_extract(i.path, '[^/]*$')")} AND (i.size IS NULL OR c.size = i.size)) END AS media_id
+    FROM incoming i LEFT JOIN media p ON {fold("p.rel_path")} = {fold("i.path")})"""
+
+
+@_query("sync_match_fallback", f"WITH {_INCOMING} SELECT seq, media_id FROM matched")
+def _(spark, sf_dir):
+    return sync.matched(_incoming(spark, sf_dir), catalog.media(spark, sf_dir)).select("seq", "media_id")
+
+
+@_query("sync_pending_split", f"WITH {_INCOMING}, h AS (SELECT *, row_number() OVER (PARTITION BY {fold('path')}, {fold('tag')} ORDER BY updated_at DESC, seq) AS turn FROM matched WHERE media_id IS NULL) SELECT path, tag, updated_at, deleted FROM h WHERE turn = 1")
+def _(spark, sf_dir):
+    pending = spark.createDataFrame([], "path string, tag string, updated_at double, deleted boolean")
+    return sync.held(pending, sync.matched(_incoming(spark, sf_dir), catalog.media(spark, sf_dir)))
+
+
+@_query("sync_merge", f"WITH {_INCOMING}, r AS (SELECT *, row_number() OVER (PARTITION BY media_id, {fold('tag')} ORDER BY updated_at DESC, seq) AS turn FROM matched WHERE media_id IS NOT NULL) SELECT media_id, {fold('tag')} AS tag_key, updated_at, deleted FROM r WHERE turn = 1")
+def _(spark, sf_dir):
+    none = catalog.links(spark, sf_dir).limit(0)
+    return sync.merged(none, sync.matched(_incoming(spark, sf_dir), catalog.media(spark, sf_dir))).select("media_id", "tag_key", "updated_at", "deleted")
+
+
+@_query(
+    "sync_attach",
+    f"""WITH {MEDIA}, {ALL_RECORDS}, p AS (SELECT upper(m.rel_path) AS path, m.id, m.present, r.tag, r.updated_at, r.deleted, r.seq FROM records r JOIN media m ON m.id = r.media_id),
+    h AS (SELECT *, row_number() OVER (PARTITION BY path, tag ORDER BY updated_at DESC, seq) AS turn FROM p)
+    SELECT id AS media_id, tag AS tag_key, updated_at, deleted FROM h WHERE turn = 1 AND present""",
+)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    records = catalog.records(spark, sf_dir).join(rows.select(F.col("id").alias("media_id"), F.upper("rel_path").alias("path")), "media_id")
+    nothing = spark.createDataFrame([], "path string, tag string, updated_at double, deleted boolean")
+    pending = sync.held(nothing, records.withColumn("media_id", F.lit(None).cast("long")))
+    return sync.attached(catalog.links(spark, sf_dir).limit(0), pending, rows)[0].select("media_id", "tag_key", "updated_at", "deleted")
+
+
+@_query(
+    "relink_unique",
+    f"""WITH {MEDIA}, {LINKS}, t AS (SELECT DISTINCT media_id FROM links), k AS (SELECT *, 'n' || (id // 11) % 40 AS name FROM media),
+    o AS (SELECT name, min(id) AS old_id FROM k JOIN t ON t.media_id = k.id WHERE NOT present GROUP BY name HAVING count(*) = 1),
+    n AS (SELECT name, min(id) AS new_id FROM k WHERE present AND id % 11 < 2 GROUP BY name HAVING count(*) = 1)
+    SELECT old_id, new_id FROM o JOIN n USING (name)""",
+)
+def _(spark, sf_dir):
+    """Vanished documents against every new one, under names that repeat each 40th."""
+    rows = catalog.media(spark, sf_dir).where("not present or id % 11 < 2")
+    rows = rows.withColumns({"filename": F.concat(F.lit("N"), (F.floor(F.col("id") / 11) % 40).cast("string")), "size": F.lit(1)})
+    return sync.relinks(rows, catalog.links(spark, sf_dir))
+
+
+@_query(
+    "export_nested",
+    f"""WITH {MEDIA}, {LINKS} SELECT rel_path AS path, size, string_agg(tag || ':' || deleted::VARCHAR, ',' ORDER BY tag_key) AS tags FROM media m JOIN links l ON l.media_id = m.id WHERE present GROUP BY id, rel_path, size""",
+)
+def _(spark, sf_dir):
+    nested = sync.export(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir))
+    return nested.select("path", "size", F.array_join(F.transform("tags", lambda t: F.concat(t["name"], F.lit(":"), t["deleted"].cast("string"))), ",").alias("tags"))
+
+
+@_query("sync_summary", "SELECT user_id, count(*) || ' tag change(s), ' || sum(event_id % 2) || ' file move(s)' || CASE WHEN sum((event_id % 50 = 0)::INT) > 0 THEN ', ' || sum((event_id % 50 = 0)::INT) || ' move(s) skipped' ELSE '' END AS line FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("t"), F.sum(F.col("event_id") % 2).alias("m"), F.count_if(F.col("event_id") % 50 == 0).alias("s"))
+    return rows.select("user_id", sync.summary_line(F.col("t"), F.col("m"), F.lit(0), F.col("s"), F.lit(0)).alias("line"))
+
+
+# -- moves -------------------------------------------------------------------------------------------
+
+_DAY = 86400.0
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation moves the conversation's file one folder on."""
+    rows = catalog.table(spark, sf_dir, "conversations")
+    file = F.concat(F.lit("/c"), F.col("conv_id").cast("string"), F.lit(".jpg"))
+    return rows.select(
+        F.concat(F.lit("conv/"), F.col("turn").cast("string"), file).alias("from_path"), F.concat(F.lit("conv/"), (F.col("turn") + 1).cast("string"), file).alias("to_path"),
+        F.lit(1).cast("long").alias("size"), (NOW - _DAY * (F.col("conv_id") % 120) + F.col("turn")).alias("moved_at"),
+        F.struct((NOW - _DAY * (F.col("conv_id") % 120) + F.col("turn")).alias("at"), "conv_id", "turn").alias("seq"),
+    )
+
+
+@_query("move_prune", f"SELECT conv_id, count(*) AS n FROM conversations WHERE {NOW} - {_DAY} * (conv_id % 120) + turn >= {NOW} - 90 * {_DAY} GROUP BY conv_id")
+def _(spark, sf_dir):
+    return sync.retained_moves(_moves(spark, sf_dir), NOW).groupBy(F.col("seq.conv_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("move_known", "SELECT conv_id, turn FROM conversations WHERE turn % 2 = 1")
+def _(spark, sf_dir):
+    rows = _moves(spark, sf_dir)
+    return sync.unknown_moves(rows, rows.where("seq.turn % 2 = 0")).select("seq.conv_id", "seq.turn")
+
+
+@_query(
+    "move_final_location",
+    """WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn FROM conversations), s AS (SELECT conv_id, min(turn) AS t FROM c GROUP BY conv_id),
+    r(conv_id, t) AS (SELECT conv_id, t FROM s UNION ALL SELECT r.conv_id, r.t + 1 FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.t)
+    SELECT conv_id AS id, 'conv/' || max(t) || '/c' || conv_id || '.jpg' AS rel_path FROM r GROUP BY conv_id""",
+)
+def _(spark, sf_dir):
+    """Where each conversation's file is after all moves, starting in the folder of its first turn."""
+    rows = _moves(spark, sf_dir)
+    first = rows.groupBy(F.col("seq.conv_id").alias("id")).agg(F.min_by("from_path", "seq").alias("rel_path"))
+    media = first.select("id", "rel_path", F.lit(1).cast("long").alias("size"), F.lit(True).alias("present"))
+    nothing = rows.limit(0).select("from_path", "to_path", "size", "moved_at")
+    changes = moves.replayed(media, rows.dropDuplicates(["from_path"]), nothing)[1]
+    return media.join(changes.select("id", F.col("rel_path").alias("new")), "id", "left").select("id", F.coalesce("new", "rel_path").alias("rel_path"))
+
+
+# -- scans and renames -------------------------------------------------------------------------------
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The disk: some files gone, some changed, some back, some new."""
+    rows = catalog.media(spark, sf_dir).where("id % 10 <> 3")
+    size = F.when(F.col("id") % 9 == 4, F.col("size") + 1).otherwise(F.col("size"))
+    path = F.when(F.col("id") % 8 == 1, F.concat(F.lit("new/"), "filename")).otherwise(F.upper("rel_path"))
+    return rows.select("root", path.alias("rel_path"), size.alias("size"), "mtime")
+
+
+_DIFF = f"""WITH {MEDIA}, listing AS (SELECT CASE WHEN id % 8 = 1 THEN 'new/' || filename ELSE upper(rel_path) END AS rel_path, CASE WHEN id % 9 = 4 THEN size + 1 ELSE size END AS size, mtime FROM media WHERE id % 10 <> 3),
+    d AS (SELECT lower(coalesce(l.rel_path, m.rel_path)) AS path_key, m.id, CASE WHEN m.id IS NULL THEN 'added' WHEN l.rel_path IS NOT NULL AND NOT m.present THEN 'restored'
+          WHEN l.rel_path IS NOT NULL AND (l.size <> m.size OR l.mtime <> m.mtime) THEN 'updated' WHEN l.rel_path IS NULL AND m.present THEN 'missing' ELSE 'same' END AS status
+          FROM listing l FULL JOIN media m ON lower(l.rel_path) = lower(m.rel_path))"""
+
+
+@_query("scan_diff", f"{_DIFF} SELECT path_key, id, status FROM d")
+def _(spark, sf_dir):
+    return scan.scan_diff(_listing(spark, sf_dir), catalog.media(spark, sf_dir)).select("path_key", "id", "status")
+
+
+@_query("scan_diff_counts", f"{_DIFF} SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "updated", "missing", "restored")) + " FROM d")
+def _(spark, sf_dir):
+    return scan.scan_counts(scan.scan_diff(_listing(spark, sf_dir), catalog.media(spark, sf_dir)))
+
+
+@_query("scan_refresh", f"{_DIFF} SELECT path_key, status <> 'missing' AND NOT (status = 'same' AND NOT m.present) AS present FROM (SELECT d.*, m.present FROM d LEFT JOIN media m USING (id)) m")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    diff = scan.scan_diff(_listing(spark, sf_dir), rows)
+    return scan.refreshed(diff, rows, 1 << 40).select(text.fold_unicode(F.col("rel_path")).alias("path_key"), "present")
+
+
+@_query("scan_folders", f"WITH {MEDIA}, {_FOLDERS} SELECT rel_path, CASE WHEN rel_path LIKE '%/en' THEN 'missing' ELSE 'same' END AS status FROM folders UNION ALL SELECT 'brand/new', 'added'")
+def _(spark, sf_dir):
+    known = folders.folder_table(catalog.media(spark, sf_dir)).withColumn("present", F.lit(True))
+    disk = known.where("rel_path not like '%/en'").select("root", F.upper("rel_path").alias("rel_path"))
+    new = spark.range(1).select(F.lit(catalog.ROOT).alias("root"), F.lit("brand/new").alias("rel_path"))
+    return scan.folder_diff(disk.unionByName(new), known).select("rel_path", "status")
+
+
+@_query("rename_numbered", f"WITH {MEDIA} SELECT id, 'trip' || CASE WHEN length((id + 9)::VARCHAR) < 3 THEN lpad((id + 9)::VARCHAR, 3, '0') ELSE (id + 9)::VARCHAR END || right(filename, 4) AS new_name FROM media")
+def _(spark, sf_dir):
+    chosen = catalog.media(spark, sf_dir).select("id", F.col("id").alias("pos"), "filename")
+    return rename.numbered_names(chosen, " trip ", start=9, digits=3).select("id", "new_name")
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New names: numbers that repeat, names of other files, bad ones."""
+    rows = catalog.media(spark, sf_dir)
+    i = F.col("id")
+    other = F.concat(F.lit("doc_"), (i + 1).cast("string"), F.lit(".jpg"))
+    name = (
+        F.when(i % 12 == 0, "con.jpg").when(i % 12 == 1, F.col("filename")).when(i % 12 == 2, other).when(i % 12 == 3, "a:b.jpg").otherwise(F.concat(F.lit("N"), F.floor(i / 40).cast("string"), F.lit(".jpg")))
+    )
+    return rename.rename_plan(rows, rows.where("id % 3 <> 2").select("id", F.col("id").alias("pos"), name.alias("new_name")))
+
+
+_PLAN = f"""WITH {MEDIA}, names AS (SELECT *, CASE id % 12 WHEN 0 THEN 'con.jpg' WHEN 1 THEN filename WHEN 3 THEN 'a:b.jpg' ELSE 'N' || id // 40 || '.jpg' END AS new_name FROM media WHERE id % 3 <> 2),
+    n AS (SELECT *, CASE WHEN album = '' THEN new_name ELSE album || '/' || new_name END AS new_path FROM names),
+    s AS (SELECT *, CASE WHEN NOT present THEN 'file is missing' WHEN new_name = 'con.jpg' THEN 'name cannot be a reserved name' WHEN new_name = 'a:b.jpg' THEN 'name cannot contain reserved or control characters' WHEN new_path = rel_path THEN 'unchanged' END AS early FROM n),
+    t AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN early IS NULL THEN lower(new_path) ELSE id::VARCHAR END ORDER BY id) AS turn FROM s)
+    SELECT t.id, t.rel_path AS old_path, t.new_path, CASE WHEN early IS NOT NULL THEN early WHEN turn > 1 THEN 'two files would get the same name'
+      WHEN o.id IS NOT NULL AND o.present AND o.id NOT IN (SELECT id FROM s WHERE early IS NULL) THEN 'the name is taken'
+      WHEN o.id IS NOT NULL AND NOT o.present AND o.id NOT IN (SELECT id FROM s WHERE early IS NULL) THEN 'an older record has that name' ELSE 'ok' END AS status
+    FROM t LEFT JOIN media o ON {fold("o.rel_path")} = {fold("t.new_path")}"""
+
+
+@_query("rename_plan", _PLAN)
+def _(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+@_query("rename_conflicts", f"WITH p AS ({_PLAN}) SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status NOT IN ('ok', 'unchanged')) AS n_problems, bool_and(status IN ('ok', 'unchanged')) AS ok FROM p")
+def _(spark, sf_dir):
+    return rename.is_applicable(_plan(spark, sf_dir))
