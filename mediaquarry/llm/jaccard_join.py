@@ -51,9 +51,10 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
     out = []
     tokens = hashes[np.concatenate(parts)] if known else np.zeros(0, np.uint64)
-    rolled = np.full(max(0, len(tokens) - size + 1), np.uint64(size))
+    width = max(0, len(tokens) - size + 1)
+    rolled = np.full(width, np.uint64(size))
     for i in range(size):
-        rolled = _mix(rolled * _A + tokens[i : len(tokens) - size + 1 + i])
+        rolled = _mix(rolled * _A + tokens[i : i + width])
     at = 0
     for n in lengths:
         if n >= size:
