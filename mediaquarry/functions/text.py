@@ -144,6 +144,11 @@ def parse_names(text: Column) -> Column:
     return F.filter(names, lambda n, i: ~F.exists(F.slice(names, F.lit(1), i), lambda m: fold_unicode(m) == fold_unicode(n)))
 
 
+def cache_name(path: Column, mtime: Column, size: int = 256) -> Column:
+    """The name of a preview of ``size`` pixels in a cache: it changes with the file's time."""
+    return F.sha1(F.concat_ws("|", path, F.lit(str(size)), mtime.cast("string")).cast("binary"))
+
+
 def luma(red: Column, green: Column, blue: Column) -> Column:
     """Grey value of a colour."""
     return F.shiftright(77 * red + 150 * green + 29 * blue, 8)

@@ -55,6 +55,12 @@ def refreshed(diff: DataFrame, media: DataFrame, next_id: int) -> DataFrame:
     return both.join(media.select("id", *rest), "id", "left").select(*media.columns)
 
 
+def library_stats(media: DataFrame) -> DataFrame:
+    """files, bytes, and unknown_sizes: present files whose size isn't above 0."""
+    here = media.where("present")
+    return here.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.coalesce("size", F.lit(0)) <= 0).alias("unknown_sizes"))
+
+
 def folder_diff(listing: DataFrame, folders: DataFrame) -> DataFrame:
     """Folders on disk (root, rel_path) against known ones: root, rel_path, status (added, restored, missing, same)."""
     disk = listing.select("root", "rel_path", fold_unicode(F.col("rel_path")).alias("key"), F.lit(True).alias("here")).dropDuplicates(["root", "key"])

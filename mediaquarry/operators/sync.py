@@ -56,6 +56,30 @@ def matched(records: DataFrame, media: DataFrame) -> DataFrame:
     return met.withColumn("media_id", found).select(*records.columns, "media_id")
 
 
+def matched_strictly(records: DataFrame, media: DataFrame) -> DataFrame:
+    """The mobile rule: the present medium with the path and the size, else the only present one with the name and size."""
+    here = media.where("present")
+    paths = here.select(fold_ascii(F.col("rel_path")).alias("_path"), F.col("size").alias("_psize"), F.col("id").alias("_at"))
+    named = here.groupBy(fold_ascii(basename(F.col("rel_path"))).alias("_name"), F.col("size").alias("_nsize")).agg(F.min("id").alias("_only"), F.count(F.lit(1)).alias("_n"))
+    met = records.join(paths, (fold_ascii(F.col("path")) == F.col("_path")) & (F.col("size") == F.col("_psize")), "left").join(
+        named.where("_n = 1"), (fold_ascii(basename(F.col("path"))) == F.col("_name")) & (F.col("size") == F.col("_nsize")), "left"
+    )
+    return met.withColumn("media_id", F.coalesce("_at", "_only")).select(*records.columns, "media_id")
+
+
+def strict_records(records: DataFrame, longest: int = 1024) -> DataFrame:
+    """Records that the mobile reader takes: sizes of 0 or more, tag names up to ``longest`` characters, finite times."""
+    time = F.col("updated_at")
+    finite = time.isNotNull() & ~F.isnan(time) & (F.abs(time) < float("inf"))
+    return records.where((F.coalesce("size", F.lit(0)) >= 0) & (F.length("tag") <= longest) & (normalize_space(F.col("tag")) != "") & finite)
+
+
+def import_counts(links: DataFrame, records: DataFrame) -> DataFrame:
+    """Counters of an import of matched records that changes nothing: records, held, accepted, changed."""
+    all_ = records.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("media_id").isNull()).alias("held"))
+    return all_.join(change_count(links, records), F.lit(True)).select("records", "held", "accepted", "changed")
+
+
 def merged(links: DataFrame, records: DataFrame) -> DataFrame:
     """Links after matched records, in their order: strictly newer ones win, ties keep what is there."""
     new = records.where("media_id is not null").select("media_id", "tag", "updated_at", "deleted", F.struct(F.lit(1).alias("late"), "seq").alias("seq"))

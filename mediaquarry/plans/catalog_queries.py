@@ -601,3 +601,96 @@ def _(spark, sf_dir):
 @_query("rename_conflicts", f"WITH p AS ({_PLAN}) SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status NOT IN ('ok', 'unchanged')) AS n_problems, bool_and(status IN ('ok', 'unchanged')) AS ok FROM p")
 def _(spark, sf_dir):
     return rename.is_applicable(_plan(spark, sf_dir))
+
+
+# -- further rules -----------------------------------------------------------------------------------
+
+
+@_query("preview_names", f"WITH {MEDIA} SELECT id, sha1(rel_path || '|256|' || ({catalog.FIRST_TIME} + 3600 * id)) AS name FROM media")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    return rows.select("id", text.cache_name(F.col("rel_path"), F.col("mtime").cast("long")).alias("name"))
+
+
+@_query("library_stats", f"WITH {MEDIA} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (size <= 0) AS unknown_sizes FROM media WHERE present")
+def _(spark, sf_dir):
+    return scan.library_stats(catalog.media(spark, sf_dir))
+
+
+@_query("selection_with_folder", f"WITH {MEDIA} SELECT id FROM media WHERE id % 50 = 0 OR (present AND type = 'photo' AND (album = 'src1' OR starts_with(album, 'src1/')))")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    return search.with_folder_photos(rows, rows.where("id % 50 = 0"), "src1")
+
+
+@_query(
+    "sync_match_strict",
+    f"""WITH {_INCOMING} SELECT i.seq, coalesce(p.id, (SELECT CASE WHEN count(*) = 1 THEN min(c.id) END FROM media c WHERE c.present AND c.size = i.size
+      AND {fold("c.filename")} = {fold("regexp_extract(i.path, '[^/]*$')")})) AS media_id
+    FROM incoming i LEFT JOIN media p ON p.present AND {fold("p.rel_path")} = {fold("i.path")} AND p.size = i.size""",
+)
+def _(spark, sf_dir):
+    return sync.matched_strictly(_incoming(spark, sf_dir), catalog.media(spark, sf_dir)).select("seq", "media_id")
+
+
+@_query("sync_strict_records", f"WITH {_INCOMING} SELECT seq, path, tag FROM incoming WHERE coalesce(size, 0) >= 0 AND length(tag) <= 5")
+def _(spark, sf_dir):
+    return sync.strict_records(_incoming(spark, sf_dir), longest=5).select("seq", "path", "tag")
+
+
+@_query(
+    "sync_import_counts",
+    f"""WITH {_INCOMING}, m AS (SELECT *, max(updated_at) OVER (PARTITION BY media_id, tag ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM matched WHERE media_id IS NOT NULL),
+    b AS (SELECT *, lag(deleted) OVER (PARTITION BY media_id, tag ORDER BY seq) AS last FROM m WHERE newest IS NULL OR updated_at > newest)
+    SELECT (SELECT count(*) FROM matched) AS records, (SELECT count(*) FROM matched WHERE media_id IS NULL) AS held, count(*) AS accepted, count(*) FILTER (coalesce(last, true) <> deleted) AS changed FROM b""",
+)
+def _(spark, sf_dir):
+    found = sync.matched(_incoming(spark, sf_dir), catalog.media(spark, sf_dir))
+    return sync.import_counts(catalog.links(spark, sf_dir).limit(0), found)
+
+
+@_query(
+    "tag_move",
+    f"""WITH {LINKS}, k AS (SELECT CASE WHEN media_id % 2 = 1 THEN media_id - 1 ELSE media_id END AS media_id, tag_key, updated_at, deleted, media_id % 2 AS moved FROM links),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id, tag_key ORDER BY updated_at DESC, moved) AS turn FROM k) SELECT media_id, tag_key, updated_at, deleted FROM r WHERE turn = 1""",
+)
+def _(spark, sf_dir):
+    """Every odd medium's tags move to the even one before it."""
+    held = catalog.links(spark, sf_dir)
+    moved = held.where("media_id % 2 = 1").select("media_id", (F.col("media_id") - 1).alias("to_id")).distinct()
+    return tags.move_tags(held, moved).select("media_id", "tag_key", "updated_at", "deleted")
+
+
+@_query("album_create", f"WITH {MEDIA}, {_FOLDERS}, w AS (SELECT DISTINCT 'Year ' || id % 5 AS y, id % 3 AS m FROM media) SELECT '{catalog.ROOT}' AS root, y AS rel_path FROM w UNION SELECT '{catalog.ROOT}', y || '/' || m FROM w")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir)
+    path = F.concat(F.lit(" Year  "), (F.col("id") % 5).cast("string"), F.lit(" \\ "), (F.col("id") % 3).cast("string"), F.lit("/"))
+    return folders.created(folders.folder_table(rows), rows.select("root", path.alias("path")))
+
+
+@_query(
+    "album_move_checks",
+    f"""WITH {MEDIA}, {_FOLDERS}, a AS (SELECT root, rel_path AS path, CASE length(rel_path) % 3 WHEN 0 THEN '' WHEN 1 THEN 'src1' ELSE 'nowhere' END AS to_parent FROM folders),
+    n AS (SELECT *, CASE WHEN to_parent = '' THEN '' ELSE to_parent || '/' END || regexp_extract(path, '[^/]*$') AS new_path FROM a)
+    SELECT path, new_path, CASE WHEN to_parent = 'nowhere' THEN 'the destination does not exist' WHEN to_parent <> '' AND (to_parent = path OR starts_with(to_parent, path || '/')) THEN 'not into itself or below'
+      WHEN new_path = path THEN NULL WHEN EXISTS (SELECT 1 FROM folders f WHERE f.rel_path = new_path) THEN 'the name is taken there' END AS problem FROM n""",
+)
+def _(spark, sf_dir):
+    known = folders.folder_table(catalog.media(spark, sf_dir))
+    parent = F.when(F.length("rel_path") % 3 == 0, "").when(F.length("rel_path") % 3 == 1, "src1").otherwise("nowhere")
+    asks = known.select("root", F.col("rel_path").alias("path"), F.col("root").alias("to_root"), parent.alias("to_parent"))
+    return folders.check_moves(known, asks).select("path", "new_path", "problem")
+
+
+@_query(
+    "relink_merge",
+    f"""WITH {MEDIA}, {LINKS}, o AS (SELECT id AS old_id, id + 1 AS new_id FROM media WHERE id % 11 = 10 AND id + 1 IN (SELECT id FROM media) AND id IN (SELECT media_id FROM links)),
+    k AS (SELECT coalesce(o.new_id, l.media_id) AS media_id, tag_key, updated_at, deleted, (o.new_id IS NOT NULL)::INT AS moved FROM links l LEFT JOIN o ON o.old_id = l.media_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id, tag_key ORDER BY updated_at DESC, moved) AS turn FROM k) SELECT media_id, tag_key, updated_at, deleted FROM r WHERE turn = 1""",
+)
+def _(spark, sf_dir):
+    """Each vanished document comes back as the one after it."""
+    rows = catalog.media(spark, sf_dir)
+    pair = F.when(F.col("id") % 11 == 10, F.col("id")).when((F.col("id") > 0) & (F.col("id") % 11 == 0), F.col("id") - 1)
+    rows = rows.withColumns({"filename": F.coalesce(F.concat(F.lit("n"), pair.cast("string")), F.concat(F.lit("other"), F.col("id").cast("string"))), "size": F.lit(1)})
+    return sync.relinked(rows, catalog.links(spark, sf_dir))[1].select("media_id", "tag_key", "updated_at", "deleted")

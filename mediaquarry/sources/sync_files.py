@@ -16,12 +16,12 @@ DOCUMENT = (
 )
 
 
-def read_documents(spark: SparkSession, folder: str, own_machine: str | None = None, format_name: str = FORMAT) -> tuple[DataFrame, DataFrame]:
+def read_documents(spark: SparkSession, folder: str, own_machine: str | None = None, format_name: str = FORMAT, prefix: str = PREFIX) -> tuple[DataFrame, DataFrame]:
     """Documents of other machines (file, doc), and what is wrong with the other files (file, problem).
 
-    A file may be too large, no JSON, of another format, of a newer version or without a machine id.
+    ``format_name`` and ``prefix`` name the format in the documents and the files. A file may be too large, no JSON, of another format, of a newer version or without a machine id.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{PREFIX}*.json").load(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.json").load(folder)
     rows = found.select(F.col("path").alias("file"), "length", F.when(F.col("length") <= MAX_BYTES, F.col("content").cast("string")).alias("text"))
     parsed = rows.withColumn("doc", F.from_json("text", DOCUMENT, {"mode": "PERMISSIVE"}))
     version = F.get_json_object("text", "$.version")
@@ -50,12 +50,12 @@ def document(media: DataFrame, links: DataFrame, moves: DataFrame, machine_id: s
     return listed.join(kept, F.lit(True)).select(F.to_json(F.struct(*head, "media", ordered.alias("moves"))).alias("value"))
 
 
-def write_document(media: DataFrame, links: DataFrame, moves: DataFrame, folder: str, machine_id: str, now: float, format_name: str = FORMAT) -> str:
+def write_document(media: DataFrame, links: DataFrame, moves: DataFrame, folder: str, machine_id: str, now: float, format_name: str = FORMAT, prefix: str = PREFIX) -> str:
     """Write the document next to the others and move it into place at once."""
     spark = media.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    part, final = path(f"{folder}/.{PREFIX}{machine_id}.part"), path(f"{folder}/{PREFIX}{machine_id}.json")
+    part, final = path(f"{folder}/.{prefix}{machine_id}.part"), path(f"{folder}/{prefix}{machine_id}.json")
     document(media, links, moves, machine_id, now, format_name).coalesce(1).write.mode("overwrite").text(part.toString())
     store = part.getFileSystem(conf)
     one = next(s.getPath() for s in store.listStatus(part) if s.getPath().getName().startswith("part-"))
