@@ -84,7 +84,8 @@ def exact_dedup(
             break
         depth = min(2 * depth, max_depth)
     g, cells = build_directory(histogram, depth, bucket_keys)
-    directory = F.array(*[F.lit(b) for b in cells])
+    # one literal, however large the directory
+    directory = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<int>")
 
     folded = (
         keyed.select("_id", "_text", "_key", "_digest", F.element_at(directory, _cell("_key", g) + 1).alias("_bucket"))
