@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaquarry.llm.common import materialise, text_of
+from mediaquarry.llm.common import materialise, release_memory, text_of
 from mediaquarry.llm.components import connected_components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -132,7 +132,7 @@ def sketch(sets: list[np.ndarray], pieces: int) -> tuple[np.ndarray, np.ndarray]
     return words.reshape(-1, pieces), np.bincount(cell, minlength=len(words)).reshape(-1, pieces)
 
 
-def sketch_keys(sets: list[np.ndarray], bands: Bands, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def sketch_keys(sets: list[np.ndarray], bands: Bands, chunk: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """The words to look at as 64-bit keys, and the index of the document of each."""
     sizes = np.array([len(s) for s in sets], np.int64)
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -183,13 +183,14 @@ def _contributions(frames: Iterator[pd.DataFrame], size: int, percent: int, owne
         docs = ids[np.array(sends, np.int64)][at] if len(at) else np.zeros(0, np.int64)
         owner = ((keys >> np.uint64(17)) % np.uint64(owners)).astype(np.int64)
         order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-        keys, docs = keys[order], docs[order]
+        owner, keys, docs = owner[order], keys[order], docs[order]
+        cuts = np.concatenate([np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), [len(owner)]]) if len(owner) else np.zeros(1, np.int64)
         turn += 1
         info = np.stack([ids, [len(s) for s in sets], rep]).astype(np.int64)
         rows = [((int(ids[0]) + turn) % owners, None, None, info.tobytes())]
-        rows += [(p, keys[a:b].tobytes(), docs[a:b].tobytes(), None) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        rows += [(int(owner[a]), keys[a:b].tobytes(), docs[a:b].tobytes(), None) for a, b in zip(cuts, cuts[1:], strict=False)]
         yield pd.DataFrame(rows, columns=["owner", "keys", "docs", "info"])
+    release_memory()
 
 
 def _shared(messages: pd.DataFrame) -> pd.DataFrame:
@@ -229,6 +230,7 @@ def _stars(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFram
             elif any(linked(len(c), len(own), len(np.intersect1d(c, own, assume_unique=True)), percent) for c in centre):
                 found.append((home, doc))
         yield pd.DataFrame(found, columns=["a", "b"])
+    release_memory()
 
 
 def cross_links(docs: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -278,9 +280,9 @@ def jaccard_components(
     shingle: int = 5,
     percent: int = 80,
     owner_bytes: int = 24_000_000,
-    piece_chars: int = 4_000_000,
+    piece_chars: int = 1_500_000,
     home_rows: int = 20_000,
-    block_shingles: int = 4_000_000,
+    block_shingles: int = 2_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -305,50 +307,70 @@ def jaccard_components(
 
     # homes: the smallest document of each word
     homes = materialise(words.groupBy("key").agg(F.min("doc").alias("home")), "word-homes")
-    pairs = materialise(words.join(homes, "key").select("home", "doc").distinct(), "home-pairs")
+    pairs = materialise(words.join(homes, "key").groupBy("home", "doc").agg(F.count(F.lit(1)).alias("shared")), "home-pairs")
     active = pairs.select("doc").distinct()
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _pieces_of(frames, piece_chars):
             sets = shingle_sets(frame["text"].tolist(), shingle)
             yield pd.DataFrame({"doc": frame["id"].array, "n": [len(s) for s in sets], "set": [s.tobytes() for s in sets]})
+        release_memory()
 
-    texts = source.join(active, source["id"] == active["doc"], "left_semi")
+    texts = source.join(_broadcast_if_small(active), source["id"] == active["doc"], "left_semi")
     sets = materialise(texts.mapInPandas(made, "doc long, n long, set binary"), "shingle-sets")
 
-    # a home with many documents is dealt to several tasks, each of which gets the home's own set
-    salts = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / home_rows).cast("int").alias("salts"))
-    members = pairs.where("home <> doc").join(salts, "home").select("home", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "doc")
-    centres = salts.select("home", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("home").alias("doc"))
-    rows = members.unionByName(centres).join(sets, "doc").select("home", "salt", "doc", "set")
-    rows = rows.repartition("home", "salt").sortWithinPartitions("home", "salt", F.col("doc") != F.col("home"))
+    # first each document with the home that it shares most words with, then with those that it isn't connected to yet
     twins = info.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    stars = materialise(rows.mapInPandas(lambda frames: _stars(frames, percent), "a long, b long"), "star-links")
-    labels = connected_components(stars.unionByName(twins))
-
-    # words whose documents aren't all connected yet
-    marked = words.join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = marked.join(open_, "key").join(homes, "key").select("home", "doc", "label").distinct().join(sets, "doc")
-    rest = materialise(rest.select("home", "doc", "label", "n", "set"), "open-words")
-    sizes = rest.groupBy("home", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
-    sizes = sizes.groupBy("home").agg(
-        F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"), F.max_by("label", F.struct("docs", "label")).alias("main")
-    )
+    others = pairs.where("home <> doc")
+    best = materialise(others.groupBy("doc").agg(F.max_by("home", F.struct("shared", -F.col("home"))).alias("home")), "best-homes")
+    links = twins.unionByName(_star_links(best, sets, percent, home_rows))
+    labels = connected_components(links)
+    named = _labelled(_labelled(others.join(best, ["home", "doc"], "left_anti"), labels, "home"), labels, "doc")
+    apart = materialise(named.where("home_label <> doc_label").select("home", "doc"), "open-homes")
+    links = links.unionByName(_star_links(apart, sets, percent, home_rows))
+    labels = connected_components(links)
+
+    # words whose documents aren't all connected yet: they meet in a group named by the label that most of them have
+    marked = _labelled(words, labels, "doc").select("key", "doc", F.col("doc_label").alias("label"))
+    counts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    met = materialise(marked.join(open_.select("key", "home"), "key").select("home", "doc", "label").distinct(), "open-words")
+    rest = sets.join(_broadcast_if_small(met), "doc").select("home", "doc", "label", "n", "set")
+    sizes = met.join(sets.select("doc", "n"), "doc").groupBy("home").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     spread = rest.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asking = spread.where("label <> main").select("home", F.col("block").alias("i"), every.alias("j"), "doc", "label", "set", F.lit(True).alias("asks"))
-    asked = spread.select("home", every.alias("i"), F.col("block").alias("j"), "doc", "label", "set", F.lit(False).alias("asks"))
+    asking = spread.where("label <> home").select("home", F.col("block").alias("i"), every.alias("j"), "doc", "label", "set", F.lit(True).alias("asks"))
     # within one block a document that asks is there already
-    asked = asked.join(sizes.select("home", "main"), "home").where("i <> j or label = main").drop("main")
-    links = asking.unionByName(asked).groupBy("home", "i", "j").applyInPandas(lambda g: _rest(g, percent), "a long, b long")
-    more = materialise(links, "open-links")
+    asked = spread.select("home", every.alias("i"), F.col("block").alias("j"), "doc", "label", "set", F.lit(False).alias("asks")).where("i <> j or label = home")
+    crossed = asking.unionByName(asked).groupBy("home", "i", "j").applyInPandas(lambda g: _rest(g, percent), "a long, b long")
+    more = materialise(crossed, "open-links")
     if not more.isEmpty():
-        labels = connected_components(stars.unionByName(twins).unionByName(more))
+        labels = connected_components(links.unionByName(more))
     own = info.join(labels, "id", "left").select("id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
     return own.unionByName(_without_id(source, shingle)).withColumnRenamed("id", id_col)
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the label of a document column; a document without links is its own."""
+    own = labels.select(F.col("id").alias(column), F.col("label").alias("_label"))
+    return rows.join(own, column, "left").withColumn(f"{column}_label", F.coalesce("_label", column)).drop("_label")
+
+
+def _broadcast_if_small(ids: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``ids``, a few numbers a row, marked for broadcast if it was counted to have no more than ``rows``; else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, home_rows: int) -> DataFrame:
+    """The linked ones of pairs (home, doc). A home with many documents is dealt to several tasks, each of which gets the home's own set."""
+    salts = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / home_rows).cast("int").alias("salts"))
+    members = pairs.join(salts, "home").select("home", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "doc")
+    centres = salts.select("home", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("home").alias("doc"))
+    rows = sets.join(_broadcast_if_small(members.unionByName(centres)), "doc").select("home", "salt", "doc", "set")
+    rows = rows.repartition("home", "salt").sortWithinPartitions("home", "salt", F.col("doc") != F.col("home"))
+    return materialise(rows.mapInPandas(lambda frames: _stars(frames, percent), "a long, b long"), "star-links")
+
+
 def _without_id(source: DataFrame, shingle: int) -> DataFrame:
     """Rows with a null id, with their number of shingles and no component."""
 
