@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaquarry.llm.common import text_of
+from mediaquarry.llm.common import release_memory, text_of
 
 #: White space as the vocabulary's normaliser sees it; str.split() also splits at the four below.
 _OTHER_SPACES = regex.compile(r"[\x1c-\x1f]")
@@ -46,7 +46,7 @@ class WordBpe:
     remembered between words; they change no result.
     """
 
-    def __init__(self, spec: str, prefix_limit: int = 300_000, cache_limit: int = 350_000):
+    def __init__(self, spec: str, prefix_limit: int = 150_000, cache_limit: int = 200_000):
         spec = json.loads(spec)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -139,7 +139,7 @@ class WordBpe:
                     until, a = ra[0], ra[2]
                 else:
                     until, b = rb[0] + 1, rb[1]
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -227,6 +227,12 @@ class WordBpe:
             return [word[:-1], word[-1]]
         return self._pieces.findall(word)
 
+    def forget(self) -> None:
+        """Drop what is remembered between words."""
+        self._clear_prefixes()
+        self._fits.clear()
+        self.words.clear()
+
     # -- texts -----------------------------------------------------------------------------------
 
     def _normalised(self, text: str) -> str:
@@ -260,19 +266,33 @@ class WordBpe:
 
 
 class _Cache(dict):
-    """Encodings of words between white space, at most ``cache_limit`` at a time."""
+    """Encodings of words between white space, at most ``cache_limit`` at a time.
+
+    They are held in two halves: when the new one is full it becomes the old one, and what is still asked
+    for moves over, so common words stay.
+    """
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
         bpe = self.bpe
+        if 2 * len(self) >= bpe.cache_limit:
+            half = dict(self)
+            self.clear()
+            self.old = half
+        known = self.old.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         ids: list[int] = []
         for piece in bpe.pieces(word):
             ids += bpe.encode_piece(piece)
-        if len(self) >= bpe.cache_limit:
-            self.clear()
         out = self[word] = (pack(f"<{len(ids)}I", *ids), " ".join([bpe.strings[i] for i in ids]))
         return out
 
@@ -309,6 +329,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "id", frame["id"].array)
             yield out
+        # workers live on after a task
+        bpe.forget()
+        release_memory()
 
     kind = dict(docs.dtypes)[id_col]
     return (

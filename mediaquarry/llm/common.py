@@ -2,49 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mediaquarry.storage import checkpoint_base, materialise, work_path
+
+__all__ = ["WORD", "checkpoint_base", "crc_fold", "materialise", "release_memory", "text_of", "work_path"]
+
 #: White space of every word rule here: space and the five controls from tab to carriage return.
 #: ``bytes.split()`` and ``bytes.lower()`` follow the same ASCII rule.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is set here only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="mediaquarry-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release_memory() -> None:
+    """Give what a finished task used back to the system: Python workers are kept for later tasks."""
+    import ctypes
+    import gc
 
+    import pyarrow as pa
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    base = checkpoint_base(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if f"{base.removeprefix('file:').lstrip('/')}/" in folder:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_of(name: str) -> Column:

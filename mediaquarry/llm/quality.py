@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaquarry.llm.common import crc_fold, text_of
+from mediaquarry.llm.common import crc_fold, release_memory, text_of
 
 FEATURES = (
     "log_words", "word_bytes", "word_bytes_spread", "short_words", "distinct_words", "top_word", "repeats",
@@ -265,6 +265,7 @@ def score_quality(
             x = np.array([features(t) for t in frame["text"]], dtype=np.float64).reshape(len(frame), len(FEATURES))
             s = model.score(x)
             yield pd.DataFrame({"id": frame["id"].array, "held_out": frame["held_out"].array, "score": s, "predicted": (s >= threshold).astype(np.int32)})
+        release_memory()
 
     kind = dict(docs.dtypes)[id_col]
     return (
@@ -277,8 +278,10 @@ def score_quality(
 def keep_quality(docs: DataFrame, model: AdditiveModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose text scores at least ``threshold``, with all their columns."""
 
-    def kept(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
-        return pd.Series(model.score(x) >= threshold)
+    def kept(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            x = np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+            yield pd.Series(model.score(x) >= threshold)
+        release_memory()
 
     return docs.where(F.pandas_udf(kept, "boolean")(text_of(text_col)))
