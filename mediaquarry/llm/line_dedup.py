@@ -8,6 +8,10 @@ t edits on both sides. A 64-bit parity of the characters, of which an edit chang
 sorts out most other pairs within the join. What is left is verified by a bit-parallel edit distance over
 a band of 2 t + 1 diagonals.
 
+The same join also runs over words instead of characters: lines within t word edits, where t grows with
+the number of words, are near lines too. A character edit is two word edits at most (where it joins or
+splits words), so lines that have that many words file no segments of characters.
+
 Equal lines are folded before the join, so a line that is everywhere is one line there.
 """
 
@@ -44,6 +48,18 @@ def _key(line: Column, length: Column, number: int, offset: int, parts: int) ->
     return F.when(at >= 0, F.xxhash64(length, F.lit(number), F.substring(line, (at + 1).cast("int"), size.cast("int"))))
 
 
+def _word_key(line: Column, count: Column, number: int, offset: int, parts: int) -> Column:
+    start, size = segment(count, number, parts)
+    at = start + offset
+    until = F.call_function("substring_index", line, F.lit(" "), (at + size).cast("int"))
+    return F.when(at >= 0, F.xxhash64(F.lit("words"), count, F.lit(number), F.call_function("substring_index", until, F.lit(" "), (-size).cast("int"))))
+
+
+def word_limit(count: Column, max_words: int, words_per_edit: int) -> Column:
+    """Word edits allowed for a pair of lines whose shorter one has ``count`` words."""
+    return F.least(F.lit(max_words), F.floor(count / words_per_edit).cast("int"))
+
+
 def parity(line: Column) -> Column:
     """64 bits, each the parity of how often the words of its class occur."""
     bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
@@ -61,7 +77,19 @@ def within_edits(pattern: Column, text: Column, max_edits: int) -> Column:
     ``plus`` and ``minus`` mark vertical steps of +1 and -1 in the last column, ``top`` is the distance on
     the top diagonal; rows past the pattern count as characters that match nothing.
     """
-    t = max_edits
+    near = F.abs(F.length(pattern) - F.length(text)) <= max_edits
+    return _within(F.split(pattern, ""), F.split(text, ""), near, max_edits, F.lit(max_edits))
+
+
+def within_word_edits(pattern: Column, text: Column, max_words: int, words_per_edit: int) -> Column:
+    """Whether two lines are within the word edits that the shorter one's number of words allows."""
+    p, q = F.split(pattern, " "), F.split(text, " ")
+    limit = word_limit(F.least(F.size(p), F.size(q)), max_words, words_per_edit)
+    return _within(p, q, F.abs(F.size(p) - F.size(q)) <= limit, max_words, limit)
+
+
+def _within(pattern: Column, text: Column, near: Column, t: int, limit: Column) -> Column:
+    """Whether two arrays are within ``limit`` <= t edits; ``near`` says that their sizes are."""
     width = 2 * t + 1
     full = (1 << width) - 1
     one = F.lit(1).cast("long")
@@ -106,9 +134,8 @@ def within_edits(pattern: Column, text: Column, max_edits: int) -> Column:
         places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(places, start, column, distance)
 
-    near = F.abs(F.length(pattern) - F.length(text)) <= t
-    letters = F.struct(F.split(pattern, "").alias("p"), F.split(text, "").alias("q"))
-    return near & F.when(near, _let(letters, lambda s: walk(s["p"], s["q"])) <= t).otherwise(False)
+    both = F.struct(pattern.alias("p"), text.alias("q"))
+    return near & F.when(near, _let(both, lambda s: walk(s["p"], s["q"])) <= limit).otherwise(False)
 
 
 def line_dedup(
@@ -116,6 +143,8 @@ def line_dedup(
     *,
     max_edits: int = 1,
     min_chars: int = 16,
+    max_words: int = 0,
+    words_per_edit: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -124,49 +153,82 @@ def line_dedup(
     Lines are what stands between line feeds. Of equal lines the first occurrence stays: the smallest id
     (null last), then the smallest line number. A line of ``min_chars`` or more is also dropped, with all
     its occurrences, if a line within ``max_edits`` character edits occurs before it; so the earliest line
-    of every group of near lines stays. Blank lines are never dropped. A null text is the empty text, one
+    of every group of near lines stays. So is a line if one within t word edits (words swapped, dropped or
+    added, between single spaces) occurs before it: t is one for every ``words_per_edit`` words of the
+    shorter of the two, ``max_words`` at most. Blank lines are never dropped. A null text is the empty text, one
     blank line. Null ids are kept; repeated rows are rows of their own, of which the later lose their
     lines; an empty table gives an empty result; other columns are not read.
     """
-    looks = probes(max_edits)
+    def looks(t: int) -> list[tuple[int, int, int]]:
+        """Lookups besides those of a line's own segments, which are filed under the same keys."""
+        return [(shorter, i, offset) for shorter, i, offset in probes(t) if shorter or offset]
+
     parts = max_edits + 1
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     lines = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     line, length = F.col("line"), F.length("line")
-    long_enough = length >= max(min_chars, parts)
+    least = max(min_chars, parts)
+    count = F.col("n_words")
+
+    def allowed(n: Column) -> Column:
+        return word_limit(n, max_words, words_per_edit)
+
+    def by_letters(n: Column) -> Column:
+        """Whether lines of n words can be within the character edits and not within the word edits."""
+        return allowed(n) < 2 * max_edits
+
+    long_enough = (length >= least) & by_letters(count - max_edits)
     filed = [F.when(long_enough, _key(line, length, i, 0, parts)).alias(f"f{i}") for i in range(parts)]
-    asked = [
-        F.when(long_enough & (length - s >= max(min_chars, parts)), _key(line, length - s, i, o, parts)).alias(f"a{k}") for k, (s, i, o) in enumerate(looks)
-    ]
+    asked = [F.when(long_enough & (length - s >= least), _key(line, length - s, i, o, parts)).alias(f"a{k}") for k, (s, i, o) in enumerate(looks(max_edits))]
+    # a line has one number of word edits, so its word segments share columns
+    for i in range(max_words + 1 if max_words else 0):
+        own = [F.when(allowed(count) == t, _word_key(line, count, i, 0, t + 1)) for t in range(max(i, 1), max_words + 1)]
+        filed.append(F.coalesce(*own).alias(f"f{len(filed)}"))
+    for t in range(1, max_words + 1):
+        for s, i, o in looks(t):
+            asked.append(F.when(allowed(count - s) == t, _word_key(line, count - s, i, o, t + 1)).alias(f"a{len(asked)}"))
+    n_filed, n_asked = len(filed), len(asked)
     blank = (F.btrim(line, F.lit(" \t\r\x0b\x0c")) == "").alias("blank")
-    occurrences = materialise(lines.select("row", "id", "no", F.xxhash64("line").alias("h"), parity(line).alias("sig"), blank, *filed, *asked), "lines")
+    named_lines = lines.select("row", "id", "no", "line", F.xxhash64("line").alias("h"), parity(line).alias("sig"), blank)
+    occurrences = materialise(named_lines.drop("line"), "lines")
+
+    # read again rather than stored: the keys of all occurrences are larger than the lines
+    keyed = named_lines.where("not blank").withColumn("n_words", F.length("line") - F.length(F.translate("line", " ", "")) + 1).select("h", "sig", *filed, *asked)
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "no", "row")).alias("first")
-    distinct = materialise(
-        occurrences.where("not blank").groupBy("h", "sig").agg(first, *[F.max(c).alias(c) for c in occurrences.columns if c[0] in "fa" and c[1:].isdigit()]),
-        "distinct-lines",
-    )
+    firsts = occurrences.where("not blank").groupBy("h", "sig").agg(first)
+    segments = keyed.groupBy("h", "sig").agg(*[F.max(c).alias(c) for c in keyed.columns if c[0] in "fa" and c[1:].isdigit()])
+    # numbers are shorter than hashes in what the join shuffles; written once, so they stay the same
+    distinct = materialise(firsts.join(segments, ["h", "sig"], "left").withColumn("num", F.monotonically_increasing_id()), "distinct-lines")
 
     def unfolded(columns: list[str], mark: str) -> DataFrame:
         keys = F.explode(F.array_distinct(F.filter(F.array(*columns), lambda k: k.isNotNull())))
-        return distinct.select(keys.alias("key"), F.col("h").alias(f"h_{mark}"), F.col("sig").alias(f"sig_{mark}"))
-
-    index, lookup = unfolded([f"f{i}" for i in range(parts)], "x"), unfolded([f"a{k}" for k in range(len(looks))], "y")
-    differs = (F.col("h_x") != F.col("h_y")) | (F.col("sig_x") != F.col("sig_y"))
-    close = F.bit_count(F.col("sig_x").bitwiseXOR(F.col("sig_y"))) <= 3 * max_edits
-    pairs = index.join(lookup, (index["key"] == lookup["key"]) & differs & close).select("h_x", "sig_x", "h_y", "sig_y").distinct()
-    pairs = materialise(pairs, "line-pairs")
-
-    wanted = pairs.select(F.col("h_x").alias("h"), F.col("sig_x").alias("sig")).union(pairs.select("h_y", "sig_y")).distinct()
-    wanted = wanted.join(distinct.select("h", "sig", "first"), ["h", "sig"])
+        return distinct.select(keys.alias("key"), F.col("num").alias(f"num_{mark}"), F.col("sig").alias(f"sig_{mark}"))
+
+    own_segments = [f"f{i}" for i in range(n_filed)]
+    index, same = unfolded(own_segments, "x"), unfolded(own_segments, "y")
+    lookup = unfolded([f"a{k}" for k in range(n_asked)], "y")
+    close = F.bit_count(F.col("sig_x").bitwiseXOR(F.col("sig_y"))) <= max(3 * max_edits, 2 * max_words)
+    pairs = index.join(same, (index["key"] == same["key"]) & (F.col("num_x") < F.col("num_y")) & close).select("num_x", "num_y")
+    if n_asked:
+        pairs = pairs.union(index.join(lookup, (index["key"] == lookup["key"]) & (F.col("num_x") != F.col("num_y")) & close).select("num_x", "num_y"))
+    pairs = materialise(pairs.distinct(), "line-pairs")
+
+    wanted = pairs.select(F.col("num_x").alias("num")).union(pairs.select("num_y")).distinct()
+    wanted = wanted.join(distinct.select("num", "h", "sig", "first"), "num")
     # the first occurrence brings the text; rows that repeat an id can bring it more than once
     texts = lines.select(F.col("id"), "no", "line", F.xxhash64("line").alias("h"))
-    wanted = wanted.select(F.col("h").alias("want"), "sig", "first", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
+    wanted = wanted.select("num", F.col("h").alias("want"), "sig", "first", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
     met = texts.join(wanted, (F.col("h") == F.col("want")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("first_no")))
-    named = materialise(met.groupBy("h", "sig", "first").agg(F.min("line").alias("line")), "pair-lines")
-    x = named.select(F.col("h").alias("h_x"), F.col("sig").alias("sig_x"), F.col("first").alias("first_x"), F.col("line").alias("line_x"))
-    y = named.select(F.col("h").alias("h_y"), F.col("sig").alias("sig_y"), F.col("first").alias("first_y"), F.col("line").alias("line_y"))
-    links = pairs.join(x, ["h_x", "sig_x"]).join(y, ["h_y", "sig_y"]).where(within_edits(F.col("line_x"), F.col("line_y"), max_edits))
+    named = materialise(met.groupBy("num", "h", "sig", "first").agg(F.min("line").alias("line")), "pair-lines")
+    x = named.select(F.col("num").alias("num_x"), F.col("h").alias("h_x"), F.col("sig").alias("sig_x"), F.col("first").alias("first_x"), F.col("line").alias("line_x"))
+    y = named.select(F.col("num").alias("num_y"), F.col("h").alias("h_y"), F.col("sig").alias("sig_y"), F.col("first").alias("first_y"), F.col("line").alias("line_y"))
+    line_x, line_y = F.col("line_x"), F.col("line_y")
+    fewer = F.least(F.size(F.split(line_x, " ")), F.size(F.split(line_y, " ")))
+    near = (F.least(F.length(line_x), F.length(line_y)) >= least) & by_letters(fewer) & within_edits(line_x, line_y, max_edits)
+    if max_words:
+        near = within_word_edits(line_x, line_y, max_words, words_per_edit) | near
+    links = pairs.join(x, "num_x").join(y, "num_y").where(near)
     x_later = F.col("first_x") > F.col("first_y")
     later = links.select(F.when(x_later, F.col("h_x")).otherwise(F.col("h_y")).alias("h"), F.when(x_later, F.col("sig_x")).otherwise(F.col("sig_y")).alias("sig"))
     later = materialise(later.distinct(), "later-lines").withColumn("later", F.lit(True))

@@ -59,7 +59,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup(_table(spark, sf_dir, "documents"), max_words=2)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,42 @@ def test_plan_cleaning_and_empty_table(docs):
     assert {r.doc_id: r.text for r in without_lines(table, verdict).collect()} == {1: "a line of some length\nsecond", 2: "other", 3: None}
     assert without_lines(table, verdict).columns == table.columns
     assert line_dedup(docs([])).count() == 0
+
+
+def test_swapped_and_dropped_words(docs):
+    """Against brute force: character edits as before, or as many word edits as the shorter line's words allow."""
+    r = random.Random(7)
+    word = ["alpha", "of", "é", "gamma", "", "delta", "x", "epsilon"]
+    base = [" ".join(r.choice(word) for _ in range(n)) for n in (2, 4, 5, 6, 9, 9, 10, 11, 12, 25)]
+
+    def changed(line):
+        ws = line.split(" ")
+        for _ in range(r.randint(0, 3)):
+            i, what = r.randrange(len(ws)), r.random()
+            if what < 0.5:
+                ws[i] = r.choice(word)
+            elif what < 0.75 and len(ws) > 1:
+                ws.pop(i)
+            else:
+                ws.insert(i, r.choice(word))
+        return mutated(r, " ".join(ws), 1)
+
+    rows = [(d, "\n".join(changed(r.choice(base)) for _ in range(r.randint(1, 8)))) for d in range(60)]
+    lines = {x: min((d, no) for d, t in rows for no, y in enumerate(t.split("\n")) if x == y) for _, t in rows for x in t.split("\n") if x.strip()}
+
+    def near(a, b):
+        p, q = a.split(" "), b.split(" ")
+        return edits(p, q) <= min(2, min(len(p), len(q)) // 5) or (min(len(a), len(b)) >= 16 and edits(a, b) <= 1)
+
+    later = {b for a in lines for b in lines if lines[a] < lines[b] and near(a, b)}
+    want = {d: [no for no, x in enumerate(t.split("\n")) if x.strip() and (x in later or lines[x] != (d, no))] for d, t in rows}
+    assert {x.doc_id: x.dropped for x in line_dedup(docs(rows), max_words=2).collect()} == want
+
+
+def test_the_query_finds_a_swapped_word(docs, spark, monkeypatch):
+    from mediaquarry.llm import queries
+
+    line = "the quick brown fox jumps over the lazy dog"
+    table = docs([(1, line), (2, line.replace("quick", "careful")), (3, line.replace("lazy ", "")), (4, "another line that has nothing in common")])
+    monkeypatch.setattr(queries, "_table", lambda *_: table)
+    assert {x.doc_id: x.n_dropped for x in queries.op5_line_dedup(spark, "").collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
