@@ -98,9 +98,10 @@ def url_filter(
 ) -> DataFrame:
     """Judge every url: id, host, path, rule, verdict, strict_hits, soft_hits.
 
-    A fitting rule decides. Else the vocabulary is looked up in host and path, lower-cased (A-Z): one
-    strict term or ``soft_limit`` distinct soft terms block. A null url, an empty one and one without
-    ``://`` have an empty host and path, no rule and the verdict allow. Null ids are kept. Repeated rows
+    A fitting rule decides; rules see host and path only. Else the vocabulary is looked up in the whole url,
+    lower-cased (A-Z), with query string and fragment: one strict term or ``soft_limit`` distinct soft terms
+    block. A null url, an empty one and one without ``://`` have an empty host and path and no rule; the
+    vocabulary decides on the last, the others have the verdict allow. Null ids are kept. Repeated rows
     give repeated rows; an empty table gives an empty result. Other columns are not read.
     """
     strict, soft = tuple(strict), tuple(soft)
@@ -115,7 +116,7 @@ def url_filter(
             for url in frame["url"]:
                 host, path = split_url(url)
                 rule = match_rule(host, path, by_host)
-                hits = count_terms(host + path.translate(_LOWER), automaton)
+                hits = count_terms((url or "").translate(_LOWER), automaton)
                 own = "block" if hits[0] or hits[1] >= soft_limit else "allow"
                 rows.append((host, path, rule and rule.name, rule.verdict if rule else own, *hits))
             out = pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "strict_hits", "soft_hits"])

@@ -44,3 +44,13 @@ def test_tables(spark):
     assert sorted(got, key=str) == sorted([(1, None, "allow"), (2, None, "allow"), (None, None, "block"), (3, "com/en/", "block"), (3, "com/en/", "block"), (4, None, "allow")], key=str)
     assert u.url_filter(table.limit(0)).count() == 0
     assert {r.verdict for r in u.url_filter(table, strict=(), soft=()).collect()} == {"allow"}
+
+
+def test_the_whole_url_is_scanned(spark):
+    urls = [
+        ("http://a.org/search?q=casino", "block", 1, 0), ("http://a.org/#PORN", "block", 1, 0), ("www.porn.com/xxx", "block", 2, 0), ("http://a.org/?free=1#bets", "block", 0, 2),
+        ("http://a.org/free?x=free", "allow", 0, 1), ("http://a.org/?q=casinos", "allow", 0, 0), ("no scheme", "allow", 0, 0), ("http://a.net/de/?q=casino", "allow", 1, 0), (None, "allow", 0, 0),
+    ]
+    table = spark.createDataFrame([(i, x[0]) for i, x in enumerate(urls)], "page_id long, url string")
+    got = sorted((r.page_id, r.verdict, r.strict_hits, r.soft_hits) for r in u.url_filter(table, rules=URL_RULES).collect())
+    assert got == [(i, *x[1:]) for i, x in enumerate(urls)]
