@@ -132,3 +132,22 @@ def test_settings(spark):
     held = settings.set_setting(empty, "roots", '["/a", "/b", "/a"]')
     assert [r.root for r in settings.roots(held).orderBy("pos").collect()] == ["/a", "/b"]
     assert settings.get_setting(held, "none", "d") == "d"
+
+
+def test_relink_query_has_unique_and_ambiguous_names(spark):
+    from mediaquarry.plans import catalog
+    from mediaquarry.plans.catalog_queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    got = {(r.old_id, r.new_id) for r in QUERIES["relink_all_media"](spark, sf_dir).collect()}
+    ids = {r.id for r in catalog.media(spark, sf_dir).select("id").collect()}
+    tagged = {r.media_id for r in catalog.links(spark, sf_dir).select("media_id").distinct().collect()}
+    blocks = {i // 11 for i in ids}
+    old, new = {}, {}
+    for i in ids:
+        b, place = divmod(i, 11)
+        name = (b - b % 10 if b % 5 == 0 else b) if place in (0, 10) else b if place == 1 and b % 3 == 1 else None
+        if name is not None and (place != 10 or i in tagged):
+            (old if place == 10 else new).setdefault((name, 2 if place != 10 and b % 7 == 3 else 1), []).append(i)
+    want = {(old[k][0], new[k][0]) for k in old if len(old[k]) == 1 and len(new.get(k, [])) == 1}
+    assert got == want and 0 < len(want) < len(blocks)
