@@ -65,8 +65,8 @@ def topk_search(
     Score: the inner product of floor(scale * x). Candidates are all rows but those with the query's own
     id; ties go to the smaller id; a query with fewer than k candidates gets all. Vectors that are null
     or hold null or non-finite components, and rows with a null id, take no part. Only vectors of the
-    query's own length are its candidates. Of a query id that occurs more than once the greatest vector
-    asks; repeated candidate rows are candidates each. An empty table gives an empty result. Queries are
+    query's own length are its candidates. Every usable row of a query id that occurs more than once
+    asks, and the id's k best are taken over all of them; repeated candidate rows are candidates each. An empty table gives an empty result. Queries are
     taken in blocks of about ``query_block``; ``bins`` bounds a histogram. Neither changes the result.
     """
     table = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
@@ -77,11 +77,11 @@ def topk_search(
             yield pa.RecordBatch.from_pydict({"n": pa.array([f[0] for f in found], pa.int32()), "norm": pa.array([f[1] for f in found], pa.float64())})
 
     norms = dict(table.select("id", "v").mapInArrow(extents, "n int, norm double").groupBy("n").agg(F.max("norm")).collect())
-    asked = table.where("q and id is not null").groupBy("id").agg(F.max("v").alias("v"))
+    asked = table.where("q and id is not null").select("id", "v")
     blocks = max(1, -(-asked.count() // query_block))
     parts = []
     for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        own = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block)
         parts.append(_block(table.select("id", "v"), own, norms, k, scale, bins))
     found = parts[0]
     for part in parts[1:]:
@@ -106,7 +106,8 @@ def _block(table: DataFrame, own: DataFrame, norms: dict[int, float], k: int, sc
     for n, (ids, rows) in queries.items():
         reach = (np.sqrt((rows * rows).sum(axis=1)) * norms[n] * (1 + 1e-9)).astype(np.int64) + 1
         state[n] = (-reach, reach + 1, np.full(len(ids), k, np.int64))
-    place = {(n, int(q)): i for n, (ids, _) in queries.items() for i, q in enumerate(ids)}
+    # queries go by their place in the block, as an id can ask with several rows
+    places = [(n, i) for n, (ids, _) in queries.items() for i in range(len(ids))]
 
     while any(((high - low) > 1).any() for low, high, _ in state.values()):
         shared = spark.sparkContext.broadcast((queries, state))
@@ -127,13 +128,13 @@ def _block(table: DataFrame, own: DataFrame, norms: dict[int, float], k: int, sc
                         sums[n] += np.bincount(cell, minlength=sums[n].size).reshape(sums[n].shape)
             for n, held in sums.items():
                 q, b = np.nonzero(held)
-                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(q), n), pa.int32()), "q": pa.array(asked[n][0][q], pa.int64()), "b": pa.array(b, pa.int32()), "c": pa.array(held[q, b], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(q), n), pa.int32()), "q": pa.array(q, pa.int64()), "b": pa.array(b, pa.int32()), "c": pa.array(held[q, b], pa.int64())})
 
         totals = table.mapInArrow(counted, "n int, q long, b int, c long").groupBy("n", "q", "b").agg(F.sum("c").alias("c"))
         down = Window.partitionBy("n", "q").orderBy(F.desc("b"))
         want = {}
         needs = spark.createDataFrame(
-            [(int(n), int(q), int(state[n][2][i])) for (n, q), i in place.items()], "n int, q long, need long"
+            [(int(n), i, int(state[n][2][i])) for n, i in places], "n int, q long, need long"
         )
         cut = (
             totals.withColumn("upto", F.sum("c").over(down))
@@ -147,9 +148,9 @@ def _block(table: DataFrame, own: DataFrame, norms: dict[int, float], k: int, sc
             low, high, need = state[n]
             width = -(-(high - low) // bins)
             new_low, new_high, new_need = low.copy(), high.copy(), need.copy()
-            for i, q in enumerate(ids):
-                if (n, int(q)) in want:
-                    b, above = want[(n, int(q))]
+            for i in range(len(ids)):
+                if (n, i) in want:
+                    b, above = want[(n, i)]
                     new_low[i] = low[i] + b * width[i]
                     new_high[i] = min(high[i], new_low[i] + width[i])
                     new_need[i] = need[i] - above

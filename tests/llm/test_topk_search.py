@@ -49,3 +49,16 @@ def test_large_components_stay_exact(spark):
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == []
+
+
+def test_every_usable_row_of_a_repeated_query_asks(spark):
+    nan = float("nan")
+    asks = [(0, [3.0, 1.0]), (0, [nan, 9.0]), (0, [1.0, 3.0]), (50, [nan, nan]), (50, [1.0, -1.0]), (100, [2.0, 2.0]), (100, [2.0, 2.0])]
+    rows = asks + [(i, [math.cos(i), math.sin(i)]) for i in range(1, 40)]
+    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if all(map(math.isfinite, v))]
+    want = []
+    for q in (0, 50, 100):
+        pairs = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for j, v in usable if j == q for i, w in usable if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(pairs[:5], 1)]
+    assert run(spark, rows) == want
+    assert run(spark, rows, bins=3, query_block=2) == want
