@@ -197,20 +197,23 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     All columns of ``docs`` are returned. A text of which a pass takes every block stays as it is; else
     its taken words are joined by spaces, in order. ``count_col``, if given, is set to the new length.
     Rows without words, and documents that the mix leaves out, are gone. Rows with equal id, source and
-    number of words share what the mix takes from any of them; other cases as in ``mix_sources``.
+    number of words have their own spans, dealt out in the order of their texts; other cases as in
+    ``mix_sources``.
     """
     settings = {"weights": (3, 1, 2), "share": 1.5, "cap": 2, "block_words": 64, "shard_slots": 8192, "chunk_rows": 20_000, "seed": 1} | settings
     placed, spans = _prepared(docs, *[settings[k] for k in ("weights", "share", "cap", "block_words", "shard_slots", "chunk_rows", "seed")], id_col, text_col, source_col)
+    # rows that look alike are told apart by their turn: by start there, by text here; left out ones count too
+    alike = Window.partitionBy("id", "source", "size").orderBy("start")
     passes = (
-        spans.where("uses > 0")
+        spans.withColumn("turn", F.dense_rank().over(alike))
+        .where("uses > 0")
         .withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
-        .groupBy("src", "start", "id", "source", "size", "pass")
+        .groupBy("src", "start", "id", "source", "size", "turn", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("offset", "words"))).alias("spans"))
-        .select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "pass", "spans", "start")
-        .dropDuplicates(["_id", "_source", "_size", "pass"])
+        .select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("turn").alias("_turn"), "spans")
     )
     whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"]) == F.col("_size")
-    passes = passes.select("_id", "_source", "_size", F.when(~whole, F.col("spans")).alias("_spans"))
+    passes = passes.select("_id", "_source", "_size", "_turn", F.when(~whole, F.col("spans")).alias("_spans"))
     # the rows travel in one column, so that their names can't clash with those made here
     keyed = docs.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
@@ -219,9 +222,10 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         text_of(text_col).alias("_text"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_own_size"),
     )
+    keyed = keyed.withColumn("_own_turn", F.row_number().over(Window.partitionBy("_own_id", "_own_source", "_own_size").orderBy("_text")))
     met = keyed.join(
         passes,
-        F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own_size") == F.col("_size")),
+        F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own_size") == F.col("_size")) & (F.col("_own_turn") == F.col("_turn")),
     )
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -69,3 +69,16 @@ def test_mixed_documents_hold_the_words_that_were_taken(docs):
         assert r.n_chars == len(r.text) and r.text.split() == [w for w in own if w in set(r.text.split())]
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
     assert words == {i: n for i, n in taken.items() if n}
+
+
+def test_rows_of_equal_id_and_size_keep_their_own_blocks(docs):
+    rows = [(None if i % 2 else 7, " ".join(f"w{i}.{j}" for j in range(40)), "ab"[i // 60]) for i in range(120)]
+    table = docs(rows)
+    taken = [r.taken for r in mixing.mix_sources(table, weights=(1, 1), share=0.5, block_words=8).collect()]
+    words = {}
+    for r in mixing.mix_documents(table, weights=(1, 1), share=0.5, block_words=8).collect():
+        own = r.text.split()
+        assert len({w.split(".")[0] for w in own}) == 1
+        words[own[0].split(".")[0]] = words.get(own[0].split(".")[0], 0) + len(own)
+    assert sorted(words.values()) == sorted(n for n in taken if n)
+    assert len(set(taken)) > 1
