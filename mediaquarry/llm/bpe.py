@@ -4,20 +4,25 @@ For every prefix of a word the last token of its encoding is unique, and a token
 that last token exactly if it is compatible with the last token of what precedes it: if the two, put
 side by side, are not merged differently. An automaton over the vocabulary, with failure links, gives
 the tokens that end at each position; the longest compatible one is stored, and following the stored
-tokens back from the end of the word gives its ids. Prefixes that words share are worked out once and kept
-in a table of bounded size.
+tokens back from the end of the word gives its ids.
+
+The words of a batch of texts are encoded once each, all of them together and place by place: the heads
+of the words are sorted, so a prefix that words share is worked out at the first of them only. Words and
+their ids stay in a table of bounded size, which lives on in a worker from task to task; beyond the bound the
+half that was used most is kept.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import sha256
-from struct import pack
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,18 @@ from mediaquarry.llm.common import release_memory, text_of
 
 #: White space as the vocabulary's normaliser sees it; str.split() also splits at the four below.
 _OTHER_SPACES = regex.compile(r"[\x1c-\x1f]")
-_SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+#: A symbol is a byte, plus this where it is the last of a word.
+_LAST = 256
+#: Tokens and states fit into so many bits of a combined key.
+_BITS = 20
+#: Longer words are encoded one by one, over arrays of their own.
+_LONG = 64
+#: Words that are encoded together.
+_TOGETHER = 1 << 16
+#: Characters of text that are encoded together.
+_CHUNK = 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -39,59 +55,83 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in a sorted table, and whether it is there."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, table[at] == keys
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of several runs, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 class WordBpe:
     """A vocabulary with merges whose words end with a marked symbol.
 
-    ``spec``: the text of the vocabulary's JSON file. ``prefix_limit`` and ``cache_limit`` bound what is
-    remembered between words; they change no result.
+    ``spec``: the text of the vocabulary's JSON file. ``cache_bytes`` bounds what is remembered between
+    words; it changes no result.
     """
 
-    def __init__(self, spec: str, prefix_limit: int = 150_000, cache_limit: int = 200_000):
+    def __init__(self, spec: str, cache_bytes: int = 96 << 20):
         spec = json.loads(spec)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
-        self.vocab: dict[str, int] = model["vocab"]
+        suffix: str = model["end_of_word_suffix"]
+        vocab: dict[str, int] = model["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
+        self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))))
         self._pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self._bytes = byte_symbols()
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank: dict[tuple[int, int], int] = {}
-        #: for each token the rank of the merge that makes it and its two parts; letters have none
-        self.made: dict[int, tuple[int, int, int]] = {}
-        for r, (a, b) in enumerate(merges):
-            left, right, whole = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.rank[left, right] = r
-            self.made[whole] = (r, left, right)
-        self._fits: dict[int, bool] = {}
-        self._build_automaton()
-        self.prefix_limit, self.cache_limit = prefix_limit, cache_limit
-        self._clear_prefixes()
-        self.words = _Cache(self)
+        parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        #: for each pair that is merged the rank of its merge
+        self.rank = {(a, b): r for r, (a, b, _) in enumerate(parts)}
+        #: for each token the rank of the merge that makes it (-1: none) and its two parts
+        size = max(self.strings) + 1
+        self.made = np.full((size, 3), -1, np.int64)
+        for r, (a, b, whole) in enumerate(parts):
+            self.made[whole] = r, a, b
+        pairs = np.array([(a << _BITS) | b for a, b, _ in parts], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._pair_ranks = pairs[order], order.astype(np.int64)
+        #: pairs whose compatibility is known, each at one slot; a later pair takes the slot over
+        self._known = np.full(1 << 20, -1, np.int64)
+        self._known_fits = np.zeros(1 << 20, bool)
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        self._build_automaton(
+            {
+                i: self._codes(token, suffix, byte_of)
+                for token, i in vocab.items()
+                if self.made[i, 0] >= 0 or len(token.removesuffix(suffix) or token) == 1
+            }
+        )
+        self.words = _Words(self, cache_bytes)
 
     # -- automaton -------------------------------------------------------------------------------
 
-    def _symbols(self, token: str) -> str:
-        """A token as one character for each symbol; the one with the end mark is moved to a plane of its own."""
-        if token.endswith(self.suffix) and token != self.suffix:
-            token = token[: -len(self.suffix)]
-            return token[:-1] + chr(0x10000 + ord(token[-1]))
-        return token
-
-    def _build_automaton(self) -> None:
-        goto: list[dict[str, int]] = [{}]
+    @staticmethod
+    def _codes(token: str, suffix: str, byte_of: dict[str, int]) -> list[int]:
+        """The symbols of a token."""
+        marked = token.endswith(suffix) and token != suffix
+        codes = [byte_of[c] for c in (token[: -len(suffix)] if marked else token)]
+        if marked:
+            codes[-1] += _LAST
+        return codes
+
+    def _build_automaton(self, tokens: dict[int, list[int]]) -> None:
+        goto: list[dict[int, int]] = [{}]
         ends: list[tuple[int, int] | None] = [None]
-        for token, i in self.vocab.items():
-            if i in self.made or len(self._symbols(token)) == 1:
-                at, symbols = 0, self._symbols(token)
-                for c in symbols:
-                    if c not in goto[at]:
-                        goto[at][c] = len(goto)
-                        goto.append({})
-                        ends.append(None)
-                    at = goto[at][c]
-                ends[at] = (len(symbols), i)
+        for i, codes in tokens.items():
+            at = 0
+            for c in codes:
+                if c not in goto[at]:
+                    goto[at][c] = len(goto)
+                    goto.append({})
+                    ends.append(None)
+                at = goto[at][c]
+            ends[at] = (len(codes), i)
         fail = [0] * len(goto)
         found: list[tuple] = [()] * len(goto)  # the tokens that end here, longest first
         waiting = list(goto[0].values())
@@ -105,106 +145,156 @@ class WordBpe:
                 fail[to] = goto[back].get(c, 0)
                 found[to] = ((ends[to],) if ends[to] else ()) + found[fail[to]]
                 waiting.append(to)
-        self._goto, self._fail, self._found = goto, fail, found
-
-    def _step(self, state: int, c: str) -> int:
-        goto = self._goto
-        while c not in goto[state]:
-            if not state:
-                return 0
-            state = self._fail[state]
-        return goto[state][c]
+        self._goto = {(at << _BITS) | c: to for at, arcs in enumerate(goto) for c, to in arcs.items()}
+        self._arcs = np.array(sorted(self._goto), np.int64)
+        self._arc_ends = np.array([self._goto[k] for k in self._arcs.tolist()], np.int64)
+        self._fail = np.array(fail, np.int64)
+        self._found = found
+        counts = np.array([len(f) for f in found], np.int64)
+        self._found_until = np.cumsum(counts)
+        self._found_from = self._found_until - counts
+        flat = np.array([t for f in found for t in f], np.int64).reshape(-1, 2)
+        self._found_sizes, self._found_tokens = flat[:, 0].copy(), flat[:, 1].copy()
+
+    def _steps(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The state after one symbol from each state: its arc, or that of the next state along the failure links."""
+        out, at = np.zeros_like(states), states
+        open_ = np.arange(len(states))
+        while len(open_):
+            arc, found = _lookup(self._arcs, (at << _BITS) | codes[open_])
+            out[open_[found]] = self._arc_ends[arc[found]]
+            on = ~found & (at > 0)  # at the root, without an arc: the root
+            open_, at = open_[on], self._fail[at[on]]
+        return out
 
     # -- compatibility ---------------------------------------------------------------------------
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens, side by side, are left alone by the merges.
+        """Whether the two tokens, side by side, are left alone by the merges."""
+        return bool(self._fit(np.array([left], np.int64), np.array([right], np.int64))[0])
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for many pairs: those known, then each other pair once."""
+        keys = (left << _BITS) | right
+        slots = ((keys * 0x9E3779B1) >> 12) & (len(self._known) - 1)
+        out = self._known_fits[slots]
+        new = np.flatnonzero(self._known[slots] != keys)
+        if len(new):
+            pairs, at = np.unique(keys[new], return_inverse=True)
+            out[new] = self._undone(pairs >> _BITS, pairs & ((1 << _BITS) - 1))[at]
+            self._known[slots[new]] = keys[new]
+            # of pairs that share a slot the last one has it; it is written with its own answer
+            self._known_fits[slots[new]] = out[new]
+        return out
 
-        Going back in time from both tokens, the later merge is undone first; at every stage the two
-        symbols that meet must not have been merged before the stage ended. Of equal merges the left one
-        came first, so the right one is undone first.
+    def _undone(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Going back in time from both tokens, the later merge is undone first; at every stage the two symbols that
+        meet must not have been merged before the stage ended. Of equal merges the left one came first, so the
+        right one is undone first.
         """
-        key = left << 20 | right
-        known = self._fits.get(key)
-        if known is None:
-            known, a, b, until = True, left, right, len(self.rank)
-            while True:
-                if self.rank.get((a, b), until) < until:
-                    known = False
-                    break
-                ra, rb = self.made.get(a, (-1, 0, 0)), self.made.get(b, (-1, 0, 0))
-                if ra[0] < 0 and rb[0] < 0:
-                    break
-                if ra[0] > rb[0]:
-                    until, a = ra[0], ra[2]
-                else:
-                    until, b = rb[0] + 1, rb[1]
-            if len(self._fits) > 300_000:
-                self._fits.clear()
-            self._fits[key] = known
-        return known
-
-    # -- prefixes --------------------------------------------------------------------------------
-
-    def _clear_prefixes(self) -> None:
-        #: prefix -> state of the automaton after it, length and id of its last token
-        self._prefixes: dict[str, tuple[int, int, int]] = {"": (0, 0, -1)}
-
-    def _learn(self, prefix: str) -> tuple[int, int, int]:
-        """The entry of a prefix, made together with those of all shorter ones that are not known yet."""
-        known = self._prefixes
-        at = len(prefix) - 1
-        while (entry := known.get(prefix[:at])) is None:
-            at -= 1
-        state = entry[0]
-        for end in range(at + 1, len(prefix) + 1):
-            state = self._step(state, prefix[end - 1])
-            for size, token in self._found[state]:
-                before = known[prefix[: end - size]][2]
-                if before < 0 or self.fits(before, token):
-                    break
-            else:
-                raise ValueError(f"a symbol that the vocabulary lacks: {prefix[end - 1]!r}")
-            entry = known[prefix[:end]] = (state, size, token)
-        return entry
-
-    def encode_symbols(self, symbols: str) -> list[int]:
-        """Ids of one word given as symbols, the last of which carries the end mark."""
-        if len(symbols) > 48:
-            return self._encode_long(symbols)
-        known, head = self._prefixes, symbols[:-1]
-        entry = known.get(head) or self._learn(head)
-        state, last = self._step(entry[0], symbols[-1]), len(symbols)
-        for size, token in self._found[state]:
-            rest = symbols[: last - size]
-            before = known[rest]
-            if before[2] < 0 or self.fits(before[2], token):
-                break
-        else:
-            raise ValueError(f"a symbol that the vocabulary lacks: {symbols[-1]!r}")
-        out = [token]
-        while rest:
-            out.append(before[2])
-            rest = rest[: -before[1]]
-            before = known[rest]
-        out.reverse()
-        if len(known) > self.prefix_limit:
-            self._clear_prefixes()
+        out = np.ones(len(a), bool)
+        open_, until = np.arange(len(a)), np.full(len(a), len(self._pairs), np.int64)
+        while len(open_):
+            at, merged = _lookup(self._pairs, (a << _BITS) | b)
+            bad = merged & (self._pair_ranks[at] < until)
+            out[open_[bad]] = False
+            ra, rb = self.made[a, 0], self.made[b, 0]
+            on = ~bad & ((ra >= 0) | (rb >= 0))
+            open_, a, b, ra, rb = open_[on], a[on], b[on], ra[on], rb[on]
+            left = ra > rb
+            a, b, until = np.where(left, self.made[a, 2], a), np.where(left, b, self.made[b, 1]), np.where(left, ra, rb + 1)
         return out
 
-    def _encode_long(self, symbols: str) -> list[int]:
-        """The same over arrays of one word's own, so that long words take room in proportion to their length."""
+    # -- words -----------------------------------------------------------------------------------
+
+    def _last_tokens(self, rows: np.ndarray, end: int | np.ndarray, states: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Size and id of the last token of prefixes that lead to ``states``.
+
+        ``rows`` and ``end`` say whose prefix it is and how long; ``before[n, row]`` is the last token of that row's
+        first n symbols, -1 for none.
+        """
+        ends = np.broadcast_to(end, rows.shape)
+        sizes, tokens = np.zeros(len(rows), np.int64), np.full(len(rows), -1, np.int64)
+        open_, at = np.arange(len(rows)), self._found_from[states]
+        while len(open_):
+            if (at >= self._found_until[states[open_]]).any():
+                raise ValueError("a symbol that the vocabulary lacks")
+            size, token = self._found_sizes[at], self._found_tokens[at]
+            last = before[ends[open_] - size, rows[open_]]
+            good = last < 0
+            inner = np.flatnonzero(~good)
+            good[inner] = self._fit(last[inner], token[inner])
+            sizes[open_[good]], tokens[open_[good]] = size[good], token[good]
+            open_, at = open_[~good], at[~good] + 1
+        return sizes, tokens
+
+    def _encode_together(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in sorted order, none longer than ``_LONG``: all ids in a row, and how many each word has."""
+        n = len(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, n)
+        widest = int(lengths.max())
+        codes = np.zeros((n, widest), np.int64)
+        codes[np.arange(widest) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        # how much of its head each word shares with the head before it
+        inside = np.arange(widest) < np.minimum(lengths[1:], lengths[:-1])[:, None] - 1
+        shared = np.zeros(n, np.int64)
+        shared[1:] = np.cumprod((codes[1:] == codes[:-1]) & inside, axis=1).sum(axis=1)
+        tokens = np.full((widest + 1, n), -1, np.int64)
+        sizes = np.zeros((widest + 1, n), np.int64)
+        states = np.zeros(n, np.int64)
+        head_states = np.zeros(n, np.int64)
+        for j in range(widest - 1):
+            new = np.flatnonzero((lengths - 1 > j) & (shared <= j))
+            if not len(new):
+                break
+            after = self._steps(states[new], codes[new, j])
+            size, token = self._last_tokens(new, j + 1, after, tokens)
+            # each prefix is followed, in the order of the words, by the words that share it
+            run = np.zeros(n, np.int64)
+            run[new] = 1
+            run = np.maximum(np.cumsum(run) - 1, 0)
+            states, sizes[j + 1], tokens[j + 1] = after[run], size[run], token[run]
+            head = lengths == j + 2
+            head_states[head] = states[head]
+        every = np.arange(n)
+        final = self._steps(head_states, codes[every, lengths - 1] + _LAST)
+        size, token = self._last_tokens(every, lengths, final, tokens)
+        found, left = [(every, token)], lengths - size
+        rows = every
+        while True:
+            on = left > 0
+            rows, left = rows[on], left[on]
+            if not len(rows):
+                break
+            found.append((rows, tokens[left, rows]))
+            left = left - sizes[left, rows]
+        counts = np.zeros(n, np.int64)
+        for own, _ in found:
+            counts[own] += 1
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]), np.uint32)
+        for back, (own, ids) in enumerate(found):
+            out[ends[own] - 1 - back] = ids
+        return out, counts
+
+    def _encode_long(self, piece: bytes) -> list[int]:
+        """One long word, over lists of its own, so that it takes room in proportion to its length."""
+        goto, fail, memo = self._goto, self._fail, {}
         state, last = 0, [(0, -1)]
-        for end, c in enumerate(symbols, 1):
-            state = self._step(state, c)
+        for end, c in enumerate([*piece[:-1], piece[-1] + _LAST], 1):
+            while (to := goto.get((state << _BITS) | c)) is None and state:
+                state = int(fail[state])
+            state = to or 0
             for size, token in self._found[state]:
-                before = last[end - size][1]
-                if before < 0 or self.fits(before, token):
+                pair = (last[end - size][1], token)
+                if pair not in memo:
+                    memo[pair] = pair[0] < 0 or self.fits(*pair)
+                if memo[pair]:
                     last.append((size, token))
                     break
             else:
-                raise ValueError(f"a symbol that the vocabulary lacks: {c!r}")
-        out, i = [], len(symbols)
+                raise ValueError("a symbol that the vocabulary lacks")
+        out, i = [], len(piece)
         while i:
             size, token = last[i]
             out.append(token)
@@ -212,12 +302,25 @@ class WordBpe:
         out.reverse()
         return out
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
-        if not (piece.isascii() and piece.isprintable()):
-            table = self._bytes
-            piece = "".join([table[b] for b in piece.encode()])
-        return self.encode_symbols(piece[:-1] + chr(0x10000 + ord(piece[-1])))
+    def encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in sorted order: all ids in a row, and how many each word has."""
+        raw = [p.encode() for p in pieces]  # bytes sort as code points do
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        short, long_ = np.flatnonzero(lengths <= _LONG), np.flatnonzero(lengths > _LONG).tolist()
+        flat, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in long_:
+            ids = self._encode_long(raw[i])
+            flat.append(np.array(ids, np.uint32))
+            counts.append(np.array([len(ids)]))
+        for first in range(0, len(short), _TOGETHER):
+            ids, own = self._encode_together([raw[i] for i in short[first : first + _TOGETHER].tolist()])
+            flat.append(ids)
+            counts.append(own)
+        held = np.concatenate(counts)
+        starts, sizes = np.empty_like(lengths), np.empty_like(lengths)
+        at = np.concatenate([np.array(long_, np.int64), short])
+        starts[at], sizes[at] = np.cumsum(held) - held, held
+        return np.concatenate(flat)[_spread(starts, sizes)], sizes
 
     def pieces(self, word: str) -> list[str]:
         """The pre-tokens of a word: letters alone need no pattern."""
@@ -227,86 +330,138 @@ class WordBpe:
             return [word[:-1], word[-1]]
         return self._pieces.findall(word)
 
-    def forget(self) -> None:
-        """Drop what is remembered between words."""
-        self._clear_prefixes()
-        self._fits.clear()
-        self.words.clear()
-
     # -- texts -----------------------------------------------------------------------------------
 
-    def _normalised(self, text: str) -> str:
+    def _split(self, text: str) -> list[str]:
+        """The words of a text between special tokens, which themselves get a space in front."""
+        if not any(s in text for s in self.specials):
+            return self._plain(text)
+        words, at = [], 0
+        for m in self._special.finditer(text):
+            words += [*self._plain(text[at : m.start()]), " " + m[0]]
+            at = m.end()
+        return words + self._plain(text[at:])
+
+    @staticmethod
+    def _plain(text: str) -> list[str]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-
-    def encoded(self, text: str) -> tuple[bytes, str]:
-        """The ids as little-endian unsigned 32-bit integers, and the text that they decode to."""
-        parts, at = [], 0
-        if self._special and "<" in text:
-            for m in self._special.finditer(text):
-                parts += self._plain(text[at : m.start()])
-                i = self.specials[m[0]]
-                parts.append((i.to_bytes(4, "little"), m[0]))
-                at = m.end()
-        parts += self._plain(text[at:])
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        text = self._normalised(text)
-        words = [w for w in _SPACES.split(text) if w] if _OTHER_SPACES.search(text) else text.split()
-        return list(map(self.words.__getitem__, words))
+        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        return [w for w in _SPACES.split(text) if w] if _OTHER_SPACES.search(text) else text.split()
+
+    def encoded(self, texts: Sequence[str]) -> Iterator[tuple[bytes, bytes]]:
+        """For each text the ids as little-endian unsigned 32-bit integers, and the text that they decode to in UTF-8."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > _CHUNK:
+                yield from self.words.encoded(held)
+                held, size = [], 0
+            held.append(self._split(text))
+            size += len(text)
+        if held:
+            yield from self.words.encoded(held)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encoded(text)[0], "<u4").tolist()
+        return np.frombuffer(next(self.encoded([text]))[0], "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The tokens' strings with a space between, as the vocabulary has no decoder of its own; unknown ids are skipped."""
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
 
-class _Cache(dict):
-    """Encodings of words between white space, at most ``cache_limit`` at a time.
+class _Index(dict):
+    """Words and their numbers; a word that is asked for and missing gets the next number."""
 
-    They are held in two halves: when the new one is full it becomes the old one, and what is still asked
-    for moves over, so common words stay.
-    """
-
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.bpe, self.old = bpe, {}
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
-    def clear(self) -> None:
-        super().clear()
-        self.old = {}
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        bpe = self.bpe
-        if 2 * len(self) >= bpe.cache_limit:
-            half = dict(self)
-            self.clear()
-            self.old = half
-        known = self.old.get(word)
-        if known is not None:
-            self[word] = known
-            return known
-        ids: list[int] = []
-        for piece in bpe.pieces(word):
-            ids += bpe.encode_piece(piece)
-        out = self[word] = (pack(f"<{len(ids)}I", *ids), " ".join([bpe.strings[i] for i in ids]))
-        return out
+class _Words:
+    """Ids and decoded strings of words between white space, of at most about ``limit`` bytes.
 
+    Special tokens, with a space in front, are words that are always there.
+    """
 
-_LOADED: dict[int, WordBpe] = {}
+    #: Bytes of an entry besides its characters.
+    _ENTRY = 200
+
+    def __init__(self, bpe: WordBpe, limit: int):
+        self.bpe, self.limit = bpe, limit
+        names = [f"{bpe.strings.get(i, '')} " for i in range(len(bpe.made))]
+        #: the tokens' strings, each with a space behind
+        self.names = pa.array(names, pa.large_binary())
+        self.name_sizes = np.array([len(n.encode()) for n in names], np.int64)
+        self.index = _Index((" " + s, k) for k, s in enumerate(bpe.specials))
+        self.ids = np.array(list(bpe.specials.values()), np.uint32)
+        self.counts = np.ones(len(self.ids), np.int64)
+        self.used = np.zeros(len(self.ids), np.int64)
+        self.decoded = self.names.take(pa.array(self.ids))
+
+    def _add(self, words: list[str]) -> None:
+        """Encode words that the table lacks."""
+        bpe = self.bpe
+        cut: list[str] = []
+        until = [0]
+        for word in words:
+            cut += bpe.pieces(word)
+            until.append(len(cut))
+        pieces = sorted(set(cut))
+        number = dict(zip(pieces, range(len(pieces)), strict=True))
+        flat, held = bpe.encode_pieces(pieces)
+        at = np.array([number[p] for p in cut], np.int64)
+        ids = flat[_spread((np.cumsum(held) - held)[at], held[at])]
+        # the ids of a word are those of its pieces
+        id_until = np.concatenate([[0], np.cumsum(held[at])])[until]
+        text_until = np.concatenate([[0], np.cumsum(self.name_sizes[ids])])[id_until]
+        text = self.names.take(pa.array(ids))
+        made = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(text_until.astype(np.int64)), text.buffers()[2]])
+        self.decoded = pa.concat_arrays([self.decoded, made])
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, np.diff(id_until)])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+
+    def encoded(self, texts: list[list[str]]) -> Iterator[tuple[bytes, bytes]]:
+        index, known = self.index, len(self.index)
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(texts)), np.int64)
+        if len(index) > known:
+            self._add(list(islice(index, known, None)))
+        held = self.counts[at]
+        ids = self.ids[_spread((np.cumsum(self.counts) - self.counts)[at], held)].astype("<u4").tobytes()
+        until = 4 * np.concatenate([[0], np.cumsum(held)])
+        text = self.decoded.take(pa.array(at))
+        ends, data = np.frombuffer(text.buffers()[1], np.int64, len(at) + 1), text.buffers()[2]
+        low = 0
+        for words in texts:
+            high = low + len(words)
+            # without the last space
+            yield ids[until[low] : until[high]], data[ends[low] : ends[high] - 1].to_pybytes() if words else b""
+            low = high
+        self.used += np.bincount(at, minlength=len(self.used))
+        if self._ENTRY * len(index) + self.decoded.nbytes > self.limit:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        """Keep the special tokens and what was used most, up to half the limit."""
+        words, starts = list(self.index), np.cumsum(self.counts) - self.counts
+        size = self._ENTRY + np.diff(np.frombuffer(self.decoded.buffers()[1], np.int64, len(words) + 1))
+        fixed = len(self.bpe.specials)
+        order = np.argsort(-self.used[fixed:], kind="stable") + fixed
+        kept = np.concatenate([np.arange(fixed), np.sort(order[np.cumsum(size[order]) <= self.limit // 2])])
+        self.ids, self.counts, self.used = self.ids[_spread(starts[kept], self.counts[kept])], self.counts[kept], self.used[kept] // 2
+        self.index = _Index((words[i], k) for k, i in enumerate(kept.tolist()))
+        self.decoded = self.decoded.take(pa.array(kept))
+
+
+_LOADED: dict[str, WordBpe] = {}
 
 
 def loaded(spec: str) -> WordBpe:
     """The encoder for a vocabulary, made once in each worker."""
-    key = hash(spec)
-    if key not in _LOADED:
+    if spec not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordBpe(spec)
-    return _LOADED[key]
+        _LOADED[spec] = WordBpe(spec)
+    return _LOADED[spec]
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,15 +477,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(shared.value)
         for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                ids, decoded = bpe.encoded(text)
-                rows.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest()))
+            rows = [(len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded).hexdigest()) for ids, decoded in bpe.encoded(frame["text"])]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "id", frame["id"].array)
             yield out
-        # workers live on after a task
-        bpe.forget()
         release_memory()
 
     kind = dict(docs.dtypes)[id_col]
@@ -347,8 +497,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def ids_of(texts: pd.Series) -> pd.Series:
-        bpe = loaded(shared.value)
-        return pd.Series([bpe.encode(t) for t in texts], dtype=object)
+        found = loaded(shared.value).encoded(texts)
+        return pd.Series([np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in found], dtype=object)
 
     return docs.select(F.col(id_col), F.pandas_udf(ids_of, "array<int>")(text_of(text_col)).alias("ids"))
 

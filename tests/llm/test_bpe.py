@@ -21,33 +21,49 @@ def library():
 @pytest.fixture(scope="module")
 def own():
     with open(vocabulary_path(), encoding="utf-8") as f:
-        return WordBpe(f.read(), prefix_limit=2000, cache_limit=500)
+        return WordBpe(f.read(), cache_bytes=200_000)
 
 
-def same(own, library, text):
-    want = library.encode(text, add_special_tokens=False).ids
-    ids, decoded = own.encoded(text)
-    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, repr(text)
-    assert decoded == library.decode(want, skip_special_tokens=False) == own.decode(want)
+def same(own, library, texts):
+    found = library.encode_batch(texts, add_special_tokens=False)
+    for text, want, (ids, decoded) in zip(texts, found, own.encoded(texts), strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want.ids, repr(text)
+        assert decoded.decode() == library.decode(want.ids, skip_special_tokens=False) == own.decode(want.ids)
 
 
 def test_random_texts(own, library):
     r = random.Random(2)
     alphabet = [chr(c) for c in [*range(0x20, 0x7F), *range(0x9, 0xE), *range(0x1C, 0x20), 0x85, 0xA0, 0x2028, 0x3000, 0x301, 0x3A3, 0x130, 0xDF, 0x1F600, 0xAC00, 0x1100, 0x1161, 0x660, 0, 0x7F, *range(0xC0, 0x250)]]
     words = ["hello", "don't", "we'll", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]
-    for _ in range(1500):
-        same(own, library, "".join(r.choice(words) if r.random() < 0.05 else r.choice(alphabet) for _ in range(r.randint(0, 30))))
+    for _ in range(30):
+        same(own, library, ["".join(r.choice(words) if r.random() < 0.05 else r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(60)])
 
 
 def test_words_of_few_letters(own, library):
     r = random.Random(3)
-    for _ in range(2000):
-        same(own, library, "".join(r.choice("aabceinnttssoorh") for _ in range(r.randint(0, 120))))
+    for _ in range(20):
+        same(own, library, ["".join(r.choice("aabceinnttssoorh") for _ in range(r.randint(0, 120))) for _ in range(150)])
 
 
 def test_long_texts(own, library):
-    for text in ("a" * 50_000, "ab" * 20_000, "word " * 20_000, "\U0001f600" * 5000, "!" * 9999):
-        same(own, library, text)
+    same(own, library, ["a" * 50_000, "", "ab" * 20_000, "word " * 20_000, "\U0001f600" * 5000, "!" * 9999])
+
+
+def test_words_of_all_lengths_round_the_bound_of_long_ones(own, library):
+    same(own, library, [" ".join(c * n for n in range(55, 75)) for c in ("a", "th", "é")])
+
+
+def test_the_table_stays_bounded_and_right(own, library):
+    r = random.Random(4)
+    for _ in range(5):
+        same(own, library, [" ".join("".join(r.choice("etaoin") for _ in range(r.randint(1, 9))) for _ in range(400)) for _ in range(5)])
+    assert len(own.words.index) == len(own.words.counts) == len(own.words.decoded) < 1500
+    same(own, library, ["<|endoftext|> a <|startoftext|>b"])
+
+
+def test_a_file_of_texts(own, library, spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    same(own, library, texts)
 
 
 def test_tables(docs, hard, library, small):
