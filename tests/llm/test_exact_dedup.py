@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from mediaquarry.llm.exact_dedup import build_directory, exact_dedup
+from mediaquarry.llm.exact_dedup import build_directory, build_index, exact_dedup
 
 
 def brute(rows):
@@ -25,13 +25,30 @@ def run(table, **options):
 def test_brute_force_and_hard_cases(docs, hard):
     rows = hard + [(i, f"text {i % 7}") for i in range(100, 160)]
     assert run(docs(rows)) == brute(rows)
-    assert run(docs(rows), bucket_keys=2, max_depth=6) == brute(rows)
+    assert run(docs(rows), bucket_bytes=200, max_depth=6) == brute(rows)
+    assert run(docs(rows), bucket_bytes=200, fold_rows=2) == brute(rows)
 
 
 def test_collisions_are_told_apart_by_their_bytes(docs):
     rows = [(i, f"text {i % 5}") for i in range(40)]
-    weak = {"key": lambda t: F.length(t).cast("long"), "digest": lambda t: F.lit("same")}
-    assert run(docs(rows), **weak) == brute(rows)
+    for fold_rows in (3, 1000):
+        assert run(docs(rows), key=lambda t: F.length(t).cast("long"), fold_rows=fold_rows) == brute(rows)
+    index, _, _ = build_index(docs(rows), key=lambda t: F.length(t).cast("long"))
+    assert {(r._id % 5, r._link) for r in index.collect()} == {(i, i + 1) for i in range(5)}
+
+
+def test_the_directory_doubles_and_each_bucket_is_one_file(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    index, many, buckets = build_index(table, bucket_bytes=4 << 20)
+    assert buckets > 4
+    files = {}
+    for r in index.select("_bucket", F.input_file_name().alias("file")).distinct().collect():
+        files.setdefault(r._bucket, set()).add(r.file)
+    assert sorted(files) == list(range(buckets)) and all(len(f) == 1 for f in files.values())
+    assert len(set.union(*files.values())) == buckets
+    ranges = index.groupBy("_bucket").agg(F.min(F.shiftrightunsigned("_key", 1)).alias("low"), F.max(F.shiftrightunsigned("_key", 1)).alias("high")).orderBy("_bucket").collect()
+    assert all(a.high < b.low for a, b in zip(ranges, ranges[1:]))
+    assert build_index(table)[2] > 1
 
 
 def test_empty_table(docs):
