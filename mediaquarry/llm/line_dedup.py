@@ -1,16 +1,19 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-If two lines are within ``max_edits`` = t edits, and the shorter one is cut into t + 1 segments, one
-segment occurs unchanged in the longer one, near its place. Every distinct line therefore files its
-segments under (length, segment number, segment), and looks up, for each length from its own down to t
-less, the substrings that could be such a segment; the places are those that leave room for no more than
-t edits on both sides. A 64-bit parity of the characters, of which an edit changes two bits at most,
-sorts out most other pairs within the join. What is left is verified by a bit-parallel edit distance over
-a band of 2 t + 1 diagonals.
-
-The same join also runs over words instead of characters: lines within t word edits, where t grows with
-the number of words, are near lines too. A character edit is two word edits at most (where it joins or
-splits words), so lines that have that many words file no segments of characters.
+If two lines are within t edits, and the shorter one is cut into t + 1 segments, one segment occurs unchanged
+in the longer one, near its place. Every distinct line therefore files its segments under (length,
+segment number, segment), and looks up, for each length from its own down to t less, the substrings that
+could be such a segment; the places are those that leave room for no more than t edits on both sides. A
+segment of a line shorter than t + 1 can be empty: then all lines of that length meet.
+
+The edits of a pair are counted in words, and t grows with the number of words of the shorter line; lines too
+short for a word edit are compared by characters.
+
+Only keys under which different lines meet go on. Lines that meet are compared within the join: a 64-bit
+parity of the words, of which an edit changes two bits at most (three, if it is one character that joins or
+splits words), sorts out most pairs, the others are verified by a bit-parallel edit distance over a
+band of 2 t + 1 diagonals. The join is a semi join: a line leaves it once, when an earlier near line is
+found, so groups of near lines are not expanded into pairs.
 
 Equal lines are folded before the join, so a line that is everywhere is one line there.
 """
@@ -19,11 +22,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.llm.common import materialise, text_of
 
+#: Most lines there can be whose verdicts are broadcast.
+_HOT = 100_000
+
 
 def segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and length of a segment: as even as can be, the longer ones last."""
@@ -48,21 +54,20 @@ def _key(line: Column, length: Column, number: int, offset: int, parts: int) ->
     return F.when(at >= 0, F.xxhash64(length, F.lit(number), F.substring(line, (at + 1).cast("int"), size.cast("int"))))
 
 
-def _word_key(line: Column, count: Column, number: int, offset: int, parts: int) -> Column:
+def _word_key(words: Column, count: Column, number: int, offset: int, parts: int) -> Column:
     start, size = segment(count, number, parts)
     at = start + offset
-    until = F.call_function("substring_index", line, F.lit(" "), (at + size).cast("int"))
-    return F.when(at >= 0, F.xxhash64(F.lit("words"), count, F.lit(number), F.call_function("substring_index", until, F.lit(" "), (-size).cast("int"))))
+    return F.when(at >= 0, F.xxhash64(F.lit(-1 - number), count, F.slice(words, (at + 1).cast("int"), size.cast("int"))))
 
 
 def word_limit(count: Column, max_words: int, words_per_edit: int) -> Column:
     """Word edits allowed for a pair of lines whose shorter one has ``count`` words."""
-    return F.least(F.lit(max_words), F.floor(count / words_per_edit).cast("int"))
+    return F.least(F.lit(max_words), F.floor(F.greatest(count, F.lit(0)) / words_per_edit).cast("int"))
 
 
-def parity(line: Column) -> Column:
-    """64 bits, each the parity of how often the words of its class occur."""
-    bits = F.transform(F.split(line, " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+def parity(words: Column) -> Column:
+    """64 bits, each the parity of how often the words of its class occur; ``words`` are hashes."""
+    bits = F.transform(words, lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
 
 
@@ -138,109 +143,118 @@ def _within(pattern: Column, text: Column, near: Column, t: int, limit: Column)
     return near & F.when(near, _let(both, lambda s: walk(s["p"], s["q"])) <= limit).otherwise(False)
 
 
+def near_lines(x: Column, y: Column, max_edits: int, max_words: int, words_per_edit: int) -> Column:
+    """Whether two lines are near; their number of words says how edits are counted."""
+    fewer = F.least(F.size(F.split(x, " ")), F.size(F.split(y, " ")))
+    by_letters = word_limit(fewer, max_words, words_per_edit) == 0
+    return F.when(by_letters, within_edits(x, y, max_edits)).otherwise(within_word_edits(x, y, max_words, words_per_edit) if max_words else F.lit(False))
+
+
 def line_dedup(
     docs: DataFrame,
     *,
     max_edits: int = 1,
-    min_chars: int = 16,
-    max_words: int = 0,
+    max_words: int = 2,
     words_per_edit: int = 5,
+    hot_lines: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Which lines of each document repeat an earlier line: id, n_lines, n_dropped, dropped (line numbers from 0).
 
     Lines are what stands between line feeds. Of equal lines the first occurrence stays: the smallest id
-    (null last), then the smallest line number. A line of ``min_chars`` or more is also dropped, with all
-    its occurrences, if a line within ``max_edits`` character edits occurs before it; so the earliest line
-    of every group of near lines stays. So is a line if one within t word edits (words swapped, dropped or
-    added, between single spaces) occurs before it: t is one for every ``words_per_edit`` words of the
-    shorter of the two, ``max_words`` at most. Blank lines are never dropped. A null text is the empty text, one
-    blank line. Null ids are kept; repeated rows are rows of their own, of which the later lose their
-    lines; an empty table gives an empty result; other columns are not read.
+    (null last), then the smallest line number. A line is also dropped, with all its occurrences, if a near
+    line occurs before it; so the earliest line of every group of near lines stays. Lines are near if they are
+    within t word edits (words swapped, dropped or added, between single spaces), where t is one for every
+    ``words_per_edit`` words of the shorter of the two, ``max_words`` at most; where that is none, if they are
+    within ``max_edits`` character edits, however short they are. Blank lines are never dropped. A null text is the
+    empty text, one blank line. Null ids are kept; repeated rows are rows of their own, of which the later
+    lose their lines; an empty table gives an empty result; other columns are not read. Lines that occur
+    ``hot_lines`` times or more find their verdict without a shuffle; this changes no result.
     """
     def looks(t: int) -> list[tuple[int, int, int]]:
         """Lookups besides those of a line's own segments, which are filed under the same keys."""
         return [(shorter, i, offset) for shorter, i, offset in probes(t) if shorter or offset]
 
-    parts = max_edits + 1
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    lines = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    line, length = F.col("line"), F.length("line")
-    least = max(min_chars, parts)
-    count = F.col("n_words")
-
-    def allowed(n: Column) -> Column:
+    def limit(n: Column) -> Column:
         return word_limit(n, max_words, words_per_edit)
 
-    def by_letters(n: Column) -> Column:
-        """Whether lines of n words can be within the character edits and not within the word edits."""
-        return allowed(n) < 2 * max_edits
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    lines = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    blank = F.btrim("line", F.lit(" \t\r\x0b\x0c")) == ""
+    # two hashes stand for a line
+    own = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"))
+    occurrences = materialise(lines.select("row", "id", "no", *own, blank.alias("blank")), "lines")
 
-    long_enough = (length >= least) & by_letters(count - max_edits)
-    filed = [F.when(long_enough, _key(line, length, i, 0, parts)).alias(f"f{i}") for i in range(parts)]
-    asked = [F.when(long_enough & (length - s >= least), _key(line, length - s, i, o, parts)).alias(f"a{k}") for k, (s, i, o) in enumerate(looks(max_edits))]
+    line, length, words, count = F.col("line"), F.length("line"), F.col("words"), F.size("words")
+    parts = max_edits + 1
+    filed = [F.when(limit(count) == 0, _key(line, length, i, 0, parts)) for i in range(parts)]
+    asked = [F.when((limit(count - max_edits) == 0) & (length > s), _key(line, length - s, i, o, parts)) for s, i, o in looks(max_edits)]
     # a line has one number of word edits, so its word segments share columns
     for i in range(max_words + 1 if max_words else 0):
-        own = [F.when(allowed(count) == t, _word_key(line, count, i, 0, t + 1)) for t in range(max(i, 1), max_words + 1)]
-        filed.append(F.coalesce(*own).alias(f"f{len(filed)}"))
+        filed.append(F.coalesce(*[F.when(limit(count) == t, _word_key(words, count, i, 0, t + 1)) for t in range(max(i, 1), max_words + 1)]))
     for t in range(1, max_words + 1):
-        for s, i, o in looks(t):
-            asked.append(F.when(allowed(count - s) == t, _word_key(line, count - s, i, o, t + 1)).alias(f"a{len(asked)}"))
-    n_filed, n_asked = len(filed), len(asked)
-    blank = (F.btrim(line, F.lit(" \t\r\x0b\x0c")) == "").alias("blank")
-    named_lines = lines.select("row", "id", "no", "line", F.xxhash64("line").alias("h"), parity(line).alias("sig"), blank)
-    occurrences = materialise(named_lines.drop("line"), "lines")
-
-    # read again rather than stored: the keys of all occurrences are larger than the lines
-    keyed = named_lines.where("not blank").withColumn("n_words", F.length("line") - F.length(F.translate("line", " ", "")) + 1).select("h", "sig", *filed, *asked)
-
+        asked += [F.when(limit(count - s) == t, _word_key(words, count - s, i, o, t + 1)) for s, i, o in looks(t)]
+    # keys are read off the lines again rather than stored: those of all occurrences are larger than the lines
+    spelled = lines.where(~blank).select("line", *own, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
+    named = [c.alias(f"f{i}") for i, c in enumerate(filed)] + [c.alias(f"a{i}") for i, c in enumerate(asked)]
+    keyed = spelled.select("h", "g", parity(words).alias("sig"), *named)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "no", "row")).alias("first")
-    firsts = occurrences.where("not blank").groupBy("h", "sig").agg(first)
-    segments = keyed.groupBy("h", "sig").agg(*[F.max(c).alias(c) for c in keyed.columns if c[0] in "fa" and c[1:].isdigit()])
-    # numbers are shorter than hashes in what the join shuffles; written once, so they stay the same
-    distinct = materialise(firsts.join(segments, ["h", "sig"], "left").withColumn("num", F.monotonically_increasing_id()), "distinct-lines")
-
-    def unfolded(columns: list[str], mark: str) -> DataFrame:
-        keys = F.explode(F.array_distinct(F.filter(F.array(*columns), lambda k: k.isNotNull())))
-        return distinct.select(keys.alias("key"), F.col("num").alias(f"num_{mark}"), F.col("sig").alias(f"sig_{mark}"))
-
-    own_segments = [f"f{i}" for i in range(n_filed)]
-    index, same = unfolded(own_segments, "x"), unfolded(own_segments, "y")
-    lookup = unfolded([f"a{k}" for k in range(n_asked)], "y")
-    close = F.bit_count(F.col("sig_x").bitwiseXOR(F.col("sig_y"))) <= max(3 * max_edits, 2 * max_words)
-    pairs = index.join(same, (index["key"] == same["key"]) & (F.col("num_x") < F.col("num_y")) & close).select("num_x", "num_y")
-    if n_asked:
-        pairs = pairs.union(index.join(lookup, (index["key"] == lookup["key"]) & (F.col("num_x") != F.col("num_y")) & close).select("num_x", "num_y"))
-    pairs = materialise(pairs.distinct(), "line-pairs")
-
-    wanted = pairs.select(F.col("num_x").alias("num")).union(pairs.select("num_y")).distinct()
-    wanted = wanted.join(distinct.select("num", "h", "sig", "first"), "num")
+    firsts = occurrences.where("not blank").groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("n"))
+    segments = keyed.groupBy("h", "g").agg(*[F.max(c).alias(c) for c in keyed.columns if c not in "hg"])
+    # numbers are shorter than hashes in what the joins shuffle; written once, so they stay the same
+    distinct = materialise(firsts.join(segments, ["h", "g"]).withColumn("num", F.monotonically_increasing_id()), "distinct-lines")
+
+    def unfolded(mark: str, n: int) -> DataFrame:
+        keys = F.array_distinct(F.filter(F.array(*[f"{mark}{i}" for i in range(n)]), lambda k: k.isNotNull()))
+        return distinct.select("num", F.explode(keys).alias("key"), F.lit(mark == "f").alias("filed"))
+
+    postings = unfolded("f", len(filed)).unionByName(unfolded("a", len(asked))) if asked else unfolded("f", len(filed))
+    same_key = Window.partitionBy("key")
+    n_filed, n_all = F.count(F.when(F.col("filed"), 1)).over(same_key), F.count(F.lit(1)).over(same_key)
+    met = postings.select("*", n_filed.alias("n_filed"), n_all.alias("n_all")).where("n_filed > 0 and n_all > 1").select("key", "num", "filed")
+    met = materialise(met, "lines-that-meet")
+
+    wanted = met.select("num").distinct().join(distinct.select("num", "h", "g", "sig", "first"), "num")
     # the first occurrence brings the text; rows that repeat an id can bring it more than once
-    texts = lines.select(F.col("id"), "no", "line", F.xxhash64("line").alias("h"))
-    wanted = wanted.select("num", F.col("h").alias("want"), "sig", "first", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
-    met = texts.join(wanted, (F.col("h") == F.col("want")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("first_no")))
-    named = materialise(met.groupBy("num", "h", "sig", "first").agg(F.min("line").alias("line")), "pair-lines")
-    x = named.select(F.col("num").alias("num_x"), F.col("h").alias("h_x"), F.col("sig").alias("sig_x"), F.col("first").alias("first_x"), F.col("line").alias("line_x"))
-    y = named.select(F.col("num").alias("num_y"), F.col("h").alias("h_y"), F.col("sig").alias("sig_y"), F.col("first").alias("first_y"), F.col("line").alias("line_y"))
-    line_x, line_y = F.col("line_x"), F.col("line_y")
-    fewer = F.least(F.size(F.split(line_x, " ")), F.size(F.split(line_y, " ")))
-    near = (F.least(F.length(line_x), F.length(line_y)) >= least) & by_letters(fewer) & within_edits(line_x, line_y, max_edits)
-    if max_words:
-        near = within_word_edits(line_x, line_y, max_words, words_per_edit) | near
-    links = pairs.join(x, "num_x").join(y, "num_y").where(near)
-    x_later = F.col("first_x") > F.col("first_y")
-    later = links.select(F.when(x_later, F.col("h_x")).otherwise(F.col("h_y")).alias("h"), F.when(x_later, F.col("sig_x")).otherwise(F.col("sig_y")).alias("sig"))
-    later = materialise(later.distinct(), "later-lines").withColumn("later", F.lit(True))
-
-    verdict = distinct.select("h", "sig", "first").join(later, ["h", "sig"], "left")
-    judged = occurrences.select("row", "id", "no", "h", "sig", "blank").join(verdict, ["h", "sig"], "left")
-    own = (F.col("first.row") == F.col("row")) & (F.col("first.no") == F.col("no"))
-    dropped = ~F.col("blank") & (F.coalesce("later", F.lit(False)) | ~F.coalesce(own, F.lit(True)))
-    gone = F.when(dropped, F.col("no"))
+    wanted = wanted.select("num", "sig", "first", F.col("h").alias("own_h"), F.col("g").alias("own_g"), F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
+    at = (F.col("h") == F.col("own_h")) & (F.col("g") == F.col("own_g")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("no") == F.col("first_no"))
+    texts = lines.where(~blank).select("id", "no", "line", *own).join(wanted, at)
+    texts = materialise(texts.groupBy("num", "sig", "first").agg(F.min("line").alias("line")), "lines-to-compare")
+    compared = materialise(met.join(texts, "num"), "line-segments")
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{c}_{mark}") for c in ("key", "num", "sig", "first", "line")])
+
+    def later(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Lines of ``rows`` that have an earlier near line among ``others`` under one of their keys."""
+        close = F.bit_count(F.col("sig_x").bitwiseXOR(F.col("sig_y"))) <= max(3 * max_edits, 2 * max_words)
+        near = near_lines(F.col("line_x"), F.col("line_y"), max_edits, max_words, words_per_edit)
+        earlier = (F.col("key_x") == F.col("key_y")) & (F.col("first_x") < F.col("first_y"))
+        return side(rows, "y").join(side(others, "x"), earlier & close & near, "left_semi").select(F.col("num_y").alias("num"))
+
+    by_filed = later(compared, compared.where("filed"))
+    by_asked = later(compared.where("filed"), compared.where("not filed"))
+    gone = materialise(by_filed.union(by_asked).distinct(), "later-lines").withColumn("later", F.lit(True))
+
+    verdict = distinct.select("num", "h", "g", "first", "n").join(gone, "num", "left").where("n > 1 or later")
+    verdict = materialise(verdict.select(F.col("h").alias("own_h"), F.col("g").alias("own_g"), "first", "n", F.coalesce("later", F.lit(False)).alias("later")), "line-verdicts")
+    total = verdict.agg(F.sum("n")).first()[0] or 0
+    # at most _HOT lines occur that often
+    hot = F.col("n") >= max(hot_lines, -(-total // _HOT))
+    same = (F.col("h") == F.col("own_h")) & (F.col("g") == F.col("own_g"))
+    judged = occurrences.where("not blank").join(F.broadcast(verdict.where(hot)), same, "left")
+    usual = judged.where("own_h is null").select("row", "id", "no", "h", "g").join(verdict.where(~hot), same, "left")
+    judged = judged.where("own_h is not null").select("row", "id", "no", "later", "first").unionByName(usual.select("row", "id", "no", "later", "first"))
+    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.no") == F.col("no"))
+    dropped = F.coalesce("later", F.lit(False)) | ~F.coalesce(is_first, F.lit(True))
+    # documents without a line to judge are brought in by their blank lines
+    marked = judged.select("row", "id", F.when(dropped, F.col("no")).alias("gone")).unionByName(
+        occurrences.where("blank").select("row", "id", F.lit(None).cast("int").alias("gone"))
+    )
     return (
-        judged.groupBy("row", "id")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.count(gone).alias("n_dropped"), F.sort_array(F.collect_list(gone)).alias("dropped"))
+        marked.groupBy("row", "id")
+        .agg(F.count(F.lit(1)).alias("n_lines"), F.count("gone").alias("n_dropped"), F.sort_array(F.collect_list("gone")).alias("dropped"))
         .drop("row")
         .withColumnRenamed("id", id_col)
     )

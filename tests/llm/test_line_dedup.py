@@ -41,13 +41,22 @@ def test_bit_parallel_distance_equals_the_table(spark):
         assert [x.near for x in got] == [edits(x.a, x.b) <= t for x in got]
 
 
-def brute(rows, t, least):
+def brute(rows, t, max_words=0, words_per_edit=5):
+    """Every pair of distinct lines compared: by words where the shorter one has enough, else by characters."""
     occurrences = sorted(((i is None, i or 0, no, k), line) for k, (i, text) in enumerate(rows) for no, line in enumerate((text or "").split("\n")))
     first = {}
     for at, line in occurrences:
         first.setdefault(line, at)
     lines = [x for x in first if x.strip(" \t\r\x0b\x0c")]
-    later = {b for a in lines for b in lines if first[a] < first[b] and min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= t and edits(a, b) <= t}
+
+    def near(a, b):
+        p, q = a.split(" "), b.split(" ")
+        limit = min(max_words, min(len(p), len(q)) // words_per_edit)
+        if limit:
+            return abs(len(p) - len(q)) <= limit and edits(p, q) <= limit
+        return abs(len(a) - len(b)) <= t and edits(a, b) <= t
+
+    later = {b for a in lines for b in lines if first[a] < first[b] and near(a, b)}
     out = []
     for k, (i, text) in enumerate(rows):
         own = (text or "").split("\n")
@@ -56,14 +65,28 @@ def brute(rows, t, least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("t", [1, 2])
-def test_brute_force(docs, t):
+def run(table, **settings):
+    return sorted((tuple(x) for x in line_dedup(table, **settings).collect()), key=str)
+
+
+@pytest.mark.parametrize("t, hot_lines", [(1, 1000), (2, 2)])
+def test_character_edits_against_brute_force(docs, t, hot_lines):
     r = random.Random(t)
     base = ["".join(r.choice("abcdé ") for _ in range(r.randint(10, 40))) for _ in range(10)]
     rows = [(d, "\n".join(mutated(r, r.choice(base), 3) if r.random() < 0.85 else r.choice(["", " ", "x"]) for _ in range(r.randint(0, 8)))) for d in range(50)]
     rows += [(60, None), (None, rows[3][1]), (5, rows[5][1]), (61, "\n".join(["q" * 5000, "q" * 4999]))]
-    got = line_dedup(docs(rows).coalesce(1), max_edits=t)
-    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, t, 16)
+    assert run(docs(rows).coalesce(1), max_edits=t, max_words=0, hot_lines=hot_lines) == brute(rows, t)
+
+
+@pytest.mark.parametrize("t", [1, 2])
+def test_lines_of_one_to_fifteen_characters(docs, t):
+    r = random.Random(10 + t)
+    rows = [(d, "\n".join("".join(r.choice("abcdefghijk ") for _ in range(r.randint(1, 15))) for _ in range(r.randint(1, 4)))) for d in range(60)]
+    rows += [(100 + n, "\n".join(["x" * n, "y" * n, "x" * (n - 1) + "z"])) for n in range(1, 6)]
+    rows += [(200, "fifteen letters"), (201, "fifteen lettexs")]
+    found = run(docs(rows).coalesce(1), max_edits=t)
+    assert found == brute(rows, t, max_words=2)
+    assert (201, 1, 1, [0]) in found
 
 
 def test_lookups_are_as_few_as_the_partition_allows():
@@ -81,7 +104,7 @@ def test_plan_cleaning_and_empty_table(docs):
 
 
 def test_swapped_and_dropped_words(docs):
-    """Against brute force: character edits as before, or as many word edits as the shorter line's words allow."""
+    """Against brute force: as many word edits as the shorter line's words allow, else character edits."""
     r = random.Random(7)
     word = ["alpha", "of", "é", "gamma", "", "delta", "x", "epsilon"]
     base = [" ".join(r.choice(word) for _ in range(n)) for n in (2, 4, 5, 6, 9, 9, 10, 11, 12, 25)]
@@ -99,15 +122,15 @@ def test_swapped_and_dropped_words(docs):
         return mutated(r, " ".join(ws), 1)
 
     rows = [(d, "\n".join(changed(r.choice(base)) for _ in range(r.randint(1, 8)))) for d in range(60)]
-    lines = {x: min((d, no) for d, t in rows for no, y in enumerate(t.split("\n")) if x == y) for _, t in rows for x in t.split("\n") if x.strip()}
+    for most in (1, 2, 3):
+        assert run(docs(rows).coalesce(1), max_words=most) == brute(rows, 1, max_words=most)
 
-    def near(a, b):
-        p, q = a.split(" "), b.split(" ")
-        return edits(p, q) <= min(2, min(len(p), len(q)) // 5) or (min(len(a), len(b)) >= 16 and edits(a, b) <= 1)
 
-    later = {b for a in lines for b in lines if lines[a] < lines[b] and near(a, b)}
-    want = {d: [no for no, x in enumerate(t.split("\n")) if x.strip() and (x in later or lines[x] != (d, no))] for d, t in rows}
-    assert {x.doc_id: x.dropped for x in line_dedup(docs(rows), max_words=2).collect()} == want
+def test_a_group_of_near_lines_is_not_expanded_into_pairs(docs):
+    """Hundreds of lines that differ in one word of the same place: each leaves the join once."""
+    base = [f"w{i}" for i in range(30)]
+    rows = [(d, " ".join([*base[:7], f"v{d}", *base[8:]])) for d in range(400)]
+    assert [x[2] for x in sorted(run(docs(rows)))] == [0] + [1] * 399
 
 
 def test_the_query_finds_a_swapped_word(docs, spark, monkeypatch):
