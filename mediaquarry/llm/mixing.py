@@ -2,8 +2,11 @@
 
 The words of each source, document after document in a fixed pseudorandom order, are one stream that is
 cut into blocks of equal length. The mix is a row of slots, split into shards; each shard draws its
-number of slots for every source from a multinomial. The slots of a source, counted over all shards, run
-through pseudorandom permutations of its blocks, a new one for each pass, so no block is used twice
+number of slots for every source from a multinomial. The draws are corrected against the total: they are those
+of multinomials whose sums over all shards are the sources' slots, so that targets are met whatever the number
+of shards. Such draws split a range of shards in two, and again, down to the single shard; on the way
+a shard also learns how many slots of each source come before it. The slots of a source, counted over all
+shards, run through pseudorandom permutations of its blocks, a new one for each pass, so no block is used twice
 before all were used once. Blocks and slots meet by block index.
 """
 
@@ -13,11 +16,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.llm.common import WORD, materialise, text_of
 
+#: Chunks whose sizes are summed together, shards that are drawn together, and most tasks that draw.
+_RUN, _GROUP, _TASKS = 4096, 8, 50_000
+#: Most sources whose table is broadcast.
+_SOURCES = 100_000
+
 
 def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
     """Share ``share`` times all sizes by weight; what a target has above ``cap`` times its size is reshared."""
@@ -37,18 +45,59 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], share: float, c
     return targets
 
 
-def draw_counts(slots: int, shares: np.ndarray, seed: Sequence[int]) -> np.ndarray:
-    """A shard's slots for each source: the whole part of each expectation, the rest by a multinomial."""
-    expected = slots * shares
-    counts = np.floor(expected).astype(np.int64)
-    rest = slots - int(counts.sum())
-    if rest > 0:
-        odds = np.maximum(expected - counts, 0)
-        odds = odds if odds.sum() > 0 else shares
-        counts += np.random.default_rng(list(seed)).multinomial(rest, odds / odds.sum())
+def whole_slots(wanted: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Whole numbers with the rounded sum of ``wanted``, the largest fractions rounded up, none above its limit."""
+    counts = np.minimum(np.floor(wanted), limits).astype(np.int64)
+    rest = int(round(wanted.sum())) - int(counts.sum())
+    order = np.argsort(counts - wanted, kind="stable")
+    up = order[counts[order] < limits[order]][: max(0, rest)]
+    counts[up] += 1
+    return counts
+
+
+def split_draw(totals: np.ndarray, left: int, seed: Sequence[int]) -> np.ndarray:
+    """How many of ``left`` slots are of each source, where the slots are all that there are of ``totals``.
+
+    A multinomial draw, given the totals: a multivariate hypergeometric one. Sums too large for
+    it are drawn from the multinomial itself, and what passes a total is dealt to the others.
+    """
+    rng = np.random.default_rng(list(seed))
+    if totals.sum() < 10**9:
+        return rng.multivariate_hypergeometric(totals, left, method="marginals").astype(np.int64)
+    counts = rng.multinomial(left, totals / totals.sum()).astype(np.int64)
+    over = np.maximum(counts - totals, 0)
+    counts -= over
+    for i in np.argsort(counts - totals, kind="stable"):  # those with most room first
+        more = min(int(over.sum()), int(totals[i] - counts[i]))
+        if not over.sum():
+            break
+        counts[i] += more
+        over = np.array([over.sum() - more])
     return counts
 
 
+def shard_draws(totals: np.ndarray, shard_slots: int, low: int, high: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each shard from ``low`` to ``high``: its number, its sources, its slots of each, and how many of each come before.
+
+    Only sources that a range of shards has slots of are carried into its halves.
+    """
+    slots = int(totals.sum())
+    own = np.flatnonzero(totals)
+    waiting = [(0, -(-slots // shard_slots), own, totals[own], np.zeros(len(own), np.int64))] if slots else []
+    while waiting:
+        begin, end, own, held, before = waiting.pop()
+        if end <= low or begin >= high:
+            continue
+        if end - begin == 1:
+            yield begin, own, held, before
+            continue
+        middle = (begin + end) // 2
+        first = split_draw(held, (middle - begin) * shard_slots, (seed, begin, end))
+        for half in ((middle, end, held - first, before + first), (begin, middle, first, before)):
+            some = half[2] > 0
+            waiting.append((half[0], half[1], own[some], half[2][some], half[3][some]))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of ``x``."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -92,19 +141,23 @@ def _plan(docs: DataFrame, share: float, weights: Sequence[float], cap: float, i
 def _placed(sizes: DataFrame, sources: DataFrame, rows: int, chunk_rows: int) -> DataFrame:
     """Rows with their source's number and the place of their first word in its stream.
 
-    The order is by (chunk, id), chunks being hashes of ids: each chunk is summed by itself, so the
-    largest source is no group of its own.
+    The order is by (chunk, id), chunks being hashes of ids. Prefix sums are taken in three steps, of rows in a
+    chunk, of chunks in a run of chunks, and of runs, so the largest source is no group of its own.
     """
     chunks = max(1, -(-rows // chunk_rows))
-    keyed = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["source_name"])).select(
+    keyed = sizes.join(sources, sizes["source"].eqNullSafe(sources["source_name"])).select(
         "id", "source", "size", "src", "source_size", "target", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)).alias("chunk")
     )
-    before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        keyed.groupBy("src", "chunk").agg(F.sum("size").alias("held")).select("src", "chunk", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    )
-    within = Window.partitionBy("src", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.join(bases, ["src", "chunk"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+
+    def before(keys: list[str], order: list[str], what: str) -> Column:
+        rows_before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(what).over(rows_before), F.lit(0))
+
+    held = keyed.groupBy("src", "chunk").agg(F.sum("size").alias("held")).withColumn("run", F.floor(F.col("chunk") / _RUN))
+    runs = held.groupBy("src", "run").agg(F.sum("held").alias("run_held")).select("src", "run", before(["src"], ["run"], "run_held").alias("run_base"))
+    bases = held.withColumn("in_run", before(["src", "run"], ["chunk"], "held")).join(runs, ["src", "run"])
+    bases = bases.select("src", "chunk", (F.col("run_base") + F.col("in_run")).alias("base"))
+    return keyed.join(bases, ["src", "chunk"]).withColumn("start", F.col("base") + before(["src", "chunk"], ["id", "size"], "size"))
 
 
 def _block_uses(spark, sources, block_words: int, shard_slots: int, cap: float, seed: int) -> DataFrame:
@@ -112,32 +165,23 @@ def _block_uses(spark, sources, block_words: int, shard_slots: int, cap: float,
     blocks = np.array([-(-size // block_words) for _, _, size, _, _ in sources], np.int64)
     # slots of a source: its target over the mean length of its blocks
     wanted = np.array([t * b / s if s else 0.0 for (_, _, s, _, t), b in zip(sources, blocks, strict=True)])
-    slots = int(round(wanted.sum()))
-    shards = -(-slots // shard_slots)
-    shares = wanted / wanted.sum() if slots else wanted
-
-    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard in frame["id"]:
-                counts = draw_counts(min(shard_slots, slots - shard * shard_slots), shares, (seed, int(shard)))
-                own = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "src": own.astype(np.int32), "n": counts[own]})
+    totals = whole_slots(wanted, np.floor(cap * blocks))
+    shards = -(-int(totals.sum()) // shard_slots)
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for src, n, first in frame[["src", "n", "first"]].itertuples(index=False, name=None):
-                slot = np.arange(first, first + n)
-                slot = slot[slot < int(cap) * blocks[src]]  # a draw above its source's limit leaves slots empty
-                turn = slot // blocks[src]
-                for pass_ in np.unique(turn):
-                    at = slot[turn == pass_] - pass_ * blocks[src]
-                    yield pd.DataFrame({"src": np.int32(src), "block": permuted(at, int(blocks[src]), (seed << 40) ^ (int(src) << 8) ^ int(pass_))})
+            for group in frame["id"].tolist():
+                for _, own, counts, first in shard_draws(totals, shard_slots, group * _GROUP, (group + 1) * _GROUP, seed):
+                    for src, n, begin in zip(own.tolist(), counts.tolist(), first.tolist(), strict=True):
+                        slot = np.arange(begin, begin + n)
+                        turn = slot // blocks[src]
+                        for pass_ in np.unique(turn).tolist():
+                            at = slot[turn == pass_] - pass_ * blocks[src]
+                            yield pd.DataFrame({"src": np.int32(src), "block": permuted(at, int(blocks[src]), (seed << 40) ^ (src << 8) ^ pass_)})
 
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = spark.range(0, shards, 1, max(1, min(shards, 4096))).mapInPandas(drawn, "shard long, src int, n long")
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    spread = counts.repartition(F.col("shard"), F.col("src"))
-    return spread.mapInPandas(mapped, "src int, block long").groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
+    groups = -(-shards // _GROUP)
+    slots = spark.range(0, groups, 1, max(1, min(groups, _TASKS))).mapInPandas(mapped, "src int, block long")
+    return slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def _spans(placed: DataFrame, uses: DataFrame, block_words: int) -> DataFrame:
@@ -158,7 +202,7 @@ def _prepared(docs, weights, share, cap, block_words, shard_slots, chunk_rows, s
     sizes, sources = _plan(docs, share, weights, cap, id_col, text_col, source_col)
     rows = sum(s[3] for s in sources)
     table = spark.createDataFrame([(i, name, size, target) for i, name, size, _, target in sources], "src int, source_name string, source_size long, target double")
-    placed = _placed(sizes, table, rows, chunk_rows)
+    placed = _placed(sizes, F.broadcast(table) if len(sources) <= _SOURCES else table, rows, chunk_rows)
     uses = _block_uses(spark, sources, block_words, shard_slots, cap, seed)
     return placed, _spans(placed, uses, block_words)
 
@@ -171,7 +215,7 @@ def mix_sources(
     cap: float = 2,
     block_words: int = 64,
     shard_slots: int = 8192,
-    chunk_rows: int = 20_000,
+    chunk_rows: int = 2_000,
     seed: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -195,12 +239,12 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The mix itself: for each pass over a document a row with the words that this pass takes.
 
     All columns of ``docs`` are returned. A text of which a pass takes every block stays as it is; else
-    its taken words are joined by spaces, in order. ``count_col``, if given, is set to the new length.
+    its taken words are joined by spaces, in order. ``count_col``, where there is one, is set to the new length.
     Rows without words, and documents that the mix leaves out, are gone. Rows with equal id, source and
     number of words have their own spans, dealt out in the order of their texts; other cases as in
     ``mix_sources``.
     """
-    settings = {"weights": (3, 1, 2), "share": 1.5, "cap": 2, "block_words": 64, "shard_slots": 8192, "chunk_rows": 20_000, "seed": 1} | settings
+    settings = {"weights": (3, 1, 2), "share": 1.5, "cap": 2, "block_words": 64, "shard_slots": 8192, "chunk_rows": 2_000, "seed": 1} | settings
     placed, spans = _prepared(docs, *[settings[k] for k in ("weights", "share", "cap", "block_words", "shard_slots", "chunk_rows", "seed")], id_col, text_col, source_col)
     # rows that look alike are told apart by their turn: by start there, by text here; left out ones count too
     alike = Window.partitionBy("id", "source", "size").orderBy("start")
@@ -241,6 +285,6 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     mixed = met.select("_row", F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(cut_text("_text", "_spans")).alias("_mixed"))
     kinds = dict(docs.dtypes)
     made = {text_col: F.col("_mixed").cast(kinds[text_col])}
-    if count_col:
+    if count_col in kinds:
         made[count_col] = F.length("_mixed").cast(kinds[count_col])
     return mixed.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
