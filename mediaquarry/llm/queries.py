@@ -13,7 +13,7 @@ from mediaquarry.llm.language_model import score_language_model
 from mediaquarry.llm.line_dedup import line_dedup
 from mediaquarry.llm.mixing import mix_sources
 from mediaquarry.llm.topk_search import topk_search
-from mediaquarry.llm.url_filter import SOFT_TERMS, STRICT_TERMS, Rule, url_filter
+from mediaquarry.llm.url_filter import LIMIT, TERMS, TERMS_SHA256, Rule, load_terms, url_filter
 from mediaquarry.llm.warc import warc_round_trip
 
 #: Host and path rules of the url query.
@@ -92,26 +92,29 @@ QUERIES = {
 }
 
 def _url_oracle() -> str:
+    """Terms are letters and digits, so those that stand alone are the parts between other characters."""
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
-
-    def hits(terms: tuple[str, ...]) -> str:
-        return " + ".join(f"regexp_matches(scanned, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t in terms)
-
-    return f"""
-        WITH rules(verdict, host, path) AS (VALUES {rules}),
-        cut AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+    terms = ", ".join(f"('{t.term}', '{t.kind}', {t.weight})" for t in load_terms(TERMS, TERMS_SHA256))
+    return rf"""
+        WITH rules(verdict, host, path) AS (VALUES {rules}), terms(term, kind, weight) AS (VALUES {terms}),
+        cut AS (SELECT row_number() OVER () AS row, page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
         parts AS (
-            SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            SELECT row, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-        scans AS (SELECT *, host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scanned FROM parts),
+        words AS (
+            SELECT row, unnest(string_split_regex(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+')) AS term FROM parts),
+        counted AS (SELECT row, term, kind, weight, count(*) AS n FROM words JOIN terms USING (term) GROUP BY ALL),
+        hits AS (
+            SELECT row, count(*) FILTER (kind = 'strict')::INT AS strict_hits, count(*) FILTER (kind = 'soft')::INT AS soft_hits,
+                   coalesce(sum(n) FILTER (kind = 'strict'), 0)::INT AS strict_count, coalesce(sum(n) FILTER (kind = 'soft'), 0)::INT AS soft_count, sum(weight)::INT AS weight
+            FROM counted GROUP BY row),
         fits AS (
-            SELECT p.page_id, p.url, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
-            FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
-            GROUP BY p.page_id, p.url),
-        judged AS (SELECT s.page_id, s.url, s.host, s.path, ({hits(STRICT_TERMS)})::INT AS strict_hits, ({hits(SOFT_TERMS)})::INT AS soft_hits FROM scans s)
-        SELECT j.page_id, j.host, j.path, f.rule,
-               coalesce(f.verdict, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
-        FROM judged j LEFT JOIN fits f ON j.page_id = f.page_id AND j.url IS NOT DISTINCT FROM f.url
+            SELECT row, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+            FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path) GROUP BY row)
+        SELECT page_id, host, path, rule, coalesce(f.verdict, CASE WHEN coalesce(weight, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(strict_count, 0) AS strict_count,
+               coalesce(soft_count, 0) AS soft_count, coalesce(weight, 0) AS weight
+        FROM parts LEFT JOIN fits f USING (row) LEFT JOIN hits USING (row)
     """
 
 
