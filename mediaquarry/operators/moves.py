@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaquarry.functions.text import LOWER, UPPER, dirname, fold_ascii, safe_path
 from mediaquarry.operators.components import connected_components
+from mediaquarry.storage import materialise
 
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -62,24 +63,76 @@ def replay(media: list[dict], moves: list[dict]) -> tuple[list[str], dict[int, t
     return outcomes, final
 
 
-def replayed(media: DataFrame, moves: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replay moves (from_path, to_path, size, moved_at, seq) in order.
+def _folder(path: str) -> Column:
+    return F.lower(dirname(F.col(path)))
 
-    Returns the outcome of each move (seq, outcome) and the media that changed (id, rel_path, replaced_by).
-    Moves that share no path, directly or through others, can't affect each other, so each connected set
-    of paths is a group of its own; a group holds the moves of the retention time alone.
-    """
+
+def _name(path: str) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def checked(moves: DataFrame, log: DataFrame) -> DataFrame:
+    """Moves with valid (a well-formed record) and known (its whole record is in the log)."""
     known = log.select(*[F.col(c).alias(f"_{c}") for c in ("from_path", "to_path", "size", "moved_at")], F.lit(True).alias("_known")).distinct()
     same = (F.col("from_path") == F.col("_from_path")) & (F.col("to_path") == F.col("_to_path")) & (F.col("size") == F.col("_size")) & (F.col("moved_at") == F.col("_moved_at"))
     valid = F.coalesce(safe_path(F.col("from_path")) & safe_path(F.col("to_path")) & F.col("size").isNotNull() & F.col("moved_at").isNotNull(), F.lit(False))
-    rows = moves.join(known, same, "left").withColumns({"known": F.coalesce("_known", F.lit(False)), "valid": valid}).select(*moves.columns, "known", "valid")
-    paths = rows.where("valid").select(F.xxhash64(fold_ascii(F.col("from_path"))).alias("a"), F.xxhash64(fold_ascii(F.col("to_path"))).alias("b"))
-    labels = connected_components(paths).select(F.col("id").alias("_path"), "label")
-    start = F.xxhash64(fold_ascii(F.coalesce("from_path", F.lit(""))))
-    grouped = rows.withColumn("_start", start).join(labels, F.col("_start") == F.col("_path"), "left").withColumn("label", F.coalesce("label", "_start"))
-    grouped = grouped.select("label", F.to_json("seq").alias("key"), "seq", "from_path", "to_path", F.col("size").cast("long").alias("size"), "known", "valid")
+    return moves.join(known, same, "left").withColumns({"known": F.coalesce("_known", F.lit(False)), "valid": valid}).select(*moves.columns, "known", "valid")
+
+
+def judged_alone(media: DataFrame, moves: DataFrame) -> DataFrame:
+    """``checked`` moves, each against the media as they are: outcome, id (the medium it moves or replaces) and replaced_by."""
+    here = media.select(fold_ascii(F.col("rel_path")).alias("_path"), F.struct("id", F.col("size").cast("long").alias("size"), "present").alias("m"))
+    x, y = here.select(F.col("_path").alias("_x"), F.col("m").alias("_source")), here.select(F.col("_path").alias("_y"), F.col("m").alias("_there"))
+    met = moves.join(x, fold_ascii(F.col("from_path")) == F.col("_x"), "left").join(y, fold_ascii(F.col("to_path")) == F.col("_y"), "left")
+    same_folder, same_name = _folder("from_path") == _folder("to_path"), _name("from_path") == _name("to_path")
+    source, there = F.coalesce("_source.present", F.lit(False)), F.coalesce("_there.present", F.lit(False))
+    replaced = F.col("_source").isNotNull() & there & (F.col("_there.size") == F.col("size"))
+    other_path = fold_ascii(F.col("from_path")) != fold_ascii(F.col("to_path"))
+    outcome = (
+        F.when(~F.col("valid"), "skipped: malformed record")
+        .when(same_folder & same_name, "unchanged")
+        .when(~same_folder & ~same_name, "skipped: move and rename in one")
+        .when(F.col("known"), "known")
+        .when(~source & replaced, "relinked")
+        .when(~source, "absent")
+        .when(~F.col("_source.size").eqNullSafe(F.col("size")), "skipped: a different file")
+        .when(other_path & F.col("_there").isNotNull(), "skipped: destination occupied")
+        .otherwise("applied")
+    )
+    return met.select(*moves.columns, outcome.alias("outcome"), F.col("_source.id").alias("id"), F.col("_there.id").alias("replaced_by"))
+
+
+def replayed(media: DataFrame, moves: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replay moves (from_path, to_path, size, moved_at, seq) in order.
+
+    Returns the outcome of each move (key: its seq as JSON, outcome) and the media that changed (id, rel_path,
+    replaced_by). Moves that share no path, directly or through others, can't affect each other. A move whose
+    paths no other move has is judged by joins; of the others each connected set of paths is a group of its
+    own that is replayed in one task, and holds the moves of the retention time alone.
+    """
+    rows = checked(moves, log).withColumn("key", F.to_json("seq"))
+    from_key, to_key = F.xxhash64(fold_ascii(F.col("from_path"))), F.xxhash64(fold_ascii(F.col("to_path")))
+    ends = F.array_distinct(F.array(from_key, to_key))
+    paths = rows.where("valid").select("key", F.explode(ends).alias("_path"))
+    shared = paths.groupBy("_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_path")
+    crowded = materialise(paths.join(shared, "_path", "left_semi").select("key").distinct(), "crowded-moves")
+    rows = rows.withColumn("size", F.col("size").cast("long"))
+
+    alone = judged_alone(media, rows.join(crowded, "key", "left_anti"))
+    changes = alone.where("outcome in ('applied', 'relinked')").select(
+        "id", F.when(F.col("outcome") == "applied", F.col("to_path")).otherwise(F.col("from_path")).alias("rel_path"),
+        F.when(F.col("outcome") == "relinked", F.col("replaced_by")).alias("replaced_by"),
+    )
+
+    together = rows.join(crowded, "key", "left_semi")
+    labels = connected_components(together.select(from_key.alias("a"), to_key.alias("b"))).select(F.col("id").alias("_path"), "label")
+    # a move from a path to itself has no link; its path is its group
+    grouped = together.withColumn("_start", from_key).join(labels, F.col("_start") == F.col("_path"), "left").withColumn("label", F.coalesce("label", "_start"))
+    grouped = grouped.select("label", "key", "seq", "from_path", "to_path", "size", "known", "valid")
     ordered = grouped.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "from_path", "to_path", "size", "known", "valid"))).alias("moves"))
-    touched = media.withColumn("_path", F.xxhash64(fold_ascii(F.col("rel_path")))).join(labels, "_path").select("label", "id", "rel_path", F.col("size").cast("long").alias("size"), "present")
+    own = media.withColumn("_own", F.xxhash64(fold_ascii(F.col("rel_path"))))
+    everywhere = labels.select("_path", "label").unionByName(grouped.select(F.xxhash64(fold_ascii(F.col("from_path"))).alias("_path"), "label")).distinct()
+    touched = own.join(everywhere, F.col("_own") == F.col("_path")).select("label", "id", "rel_path", F.col("size").cast("long").alias("size"), "present")
     gathered = touched.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("id", "rel_path", "size", "present"))).alias("media"))
     sets = ordered.join(gathered, "label", "left").select("moves", "media")
 
@@ -93,8 +146,11 @@ def replayed(media: DataFrame, moves: DataFrame, log: DataFrame) -> tuple[DataFr
                 out += [(None, None, i, path, by) for i, (path, by) in final.items()]
             yield pd.DataFrame(out, columns=["key", "outcome", "id", "rel_path", "replaced_by"]).astype({"id": "Int64", "replaced_by": "Int64"})
 
-    done = sets.mapInPandas(run, "key string, outcome string, id long, rel_path string, replaced_by long")
-    return done.where("key is not null").select("key", "outcome"), done.where("id is not null").select("id", "rel_path", "replaced_by")
+    done = materialise(sets.mapInPandas(run, "key string, outcome string, id long, rel_path string, replaced_by long"), "replayed-moves")
+    return (
+        alone.select("key", "outcome").unionByName(done.where("key is not null").select("key", "outcome")),
+        changes.unionByName(done.where("id is not null").select("id", "rel_path", "replaced_by")),
+    )
 
 
 def with_albums(media: DataFrame, changes: DataFrame) -> DataFrame:

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.functions.text import basename, fold_ascii, fold_unicode, normalize_space, safe_path
 from mediaquarry.operators.tags import LINK, accepted_records, apply, resolve
+from mediaquarry.storage import materialise
 
 MOVE_RETENTION_DAYS = 90
+_LOG = ("from_path", "to_path", "size", "moved_at")
+
+
+class Library(NamedTuple):
+    """What an import changes: media, links, held records (path, tag, updated_at, deleted) and the log of moves."""
+
+    media: DataFrame
+    links: DataFrame
+    pending: DataFrame
+    log: DataFrame
 
 
 def flat_records(documents: DataFrame) -> DataFrame:
@@ -74,6 +87,12 @@ def strict_records(records: DataFrame, longest: int = 1024) -> DataFrame:
     return records.where((F.coalesce("size", F.lit(0)) >= 0) & (F.length("tag") <= longest) & (normalize_space(F.col("tag")) != "") & finite)
 
 
+def strict_documents(documents: DataFrame, longest: int = 128) -> DataFrame:
+    """Documents that the mobile reader takes: version 1 or more, and a machine id of 1 to ``longest`` characters that is not blank."""
+    machine = F.coalesce("doc.machine_id", F.lit(""))
+    return documents.where((F.col("doc.version") >= 1) & (F.trim(machine) != "") & (F.length(machine) <= longest))
+
+
 def import_counts(links: DataFrame, records: DataFrame) -> DataFrame:
     """Counters of an import of matched records that changes nothing: records, held, accepted, changed."""
     all_ = records.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("media_id").isNull()).alias("held"))
@@ -90,8 +109,6 @@ def merged(links: DataFrame, records: DataFrame) -> DataFrame:
 
 def _ranked(records: DataFrame) -> DataFrame:
     """Records with their order within a register as a number."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy("media_id", fold_ascii(F.col("tag"))).orderBy("seq")
     return records.withColumn("seq", F.row_number().over(own).cast("long"))
 
@@ -151,6 +168,64 @@ def export(media: DataFrame, links: DataFrame) -> DataFrame:
     return nested.select("path", "size", F.transform("tags", lambda t: F.struct(t["name"].alias("name"), t["updated_at"].alias("updated_at"), t["deleted"].alias("deleted"))).alias("tags"))
 
 
+def imported(library: Library, records: DataFrame, moves: DataFrame, apply_moves: bool = True) -> tuple[Library, DataFrame]:
+    """Other machines' data merged in: all moves by time, then tag records in their order, then relinking, then attaching.
+
+    ``records`` and ``moves`` as ``flat_records`` and ``flat_moves`` return them. Returns the library afterwards and
+    one row of counters: moves_applied, moves_skipped, tags_changed, held.
+    """
+    from mediaquarry.operators.moves import replayed, with_albums
+    from mediaquarry.operators.scan import after_scan
+    from mediaquarry.operators.tags import move_tags
+
+    media, links, pending, log = library
+    outcomes = None
+    if apply_moves:
+        outcomes, changes = replayed(media, moves, log)
+        outcomes, changes = materialise(outcomes, "move-outcomes"), materialise(changes, "moved-media")
+        done = outcomes.where("outcome = 'applied'").select("key")
+        log = log.select(*_LOG).unionByName(moves.join(done, F.to_json("seq") == F.col("key"), "left_semi").select(*_LOG))
+        links = move_tags(links, changes.where("replaced_by is not null").select(F.col("id").alias("media_id"), F.col("replaced_by").alias("to_id")))
+        media = with_albums(media, changes)
+    found = materialise(matched(records, media), "matched-records")
+    counters = _counters(outcomes, change_count(links, found), held_count(pending, found))
+    links, pending = merged(links, found), held(pending, found)
+    media, links, pending = after_scan(media, links, pending)
+    return Library(media, links, pending, log), counters
+
+
+def dry_run(library: Library, records: DataFrame, moves: DataFrame, apply_moves: bool = True) -> DataFrame:
+    """The counters of an import that changes nothing: every move and record is judged against the library as it is."""
+    from mediaquarry.operators.moves import checked, judged_alone
+
+    outcomes = judged_alone(library.media, checked(moves, library.log)).select("outcome") if apply_moves else None
+    found = matched(records, library.media)
+    old = library.links.select(F.col("media_id").alias("_of"), F.col("tag_key").alias("_key"), F.col("updated_at").alias("_time"), F.col("deleted").alias("_gone"))
+    met = found.where("media_id is not null").join(old, (F.col("media_id") == F.col("_of")) & (fold_ascii(F.col("tag")) == F.col("_key")), "left")
+    newer = F.col("_time").isNull() | (F.col("updated_at") > F.col("_time"))
+    changed = met.agg(F.count_if(newer & (F.coalesce("_gone", F.lit(True)) != F.coalesce("deleted", F.lit(False)))).alias("changed"))
+    return _counters(outcomes, changed, found.agg(F.count_if(F.col("media_id").isNull()).alias("held")))
+
+
+def _counters(outcomes: DataFrame | None, changed: DataFrame, held_: DataFrame) -> DataFrame:
+    """One row: moves_applied, moves_skipped, tags_changed, held."""
+    one = changed.select(F.col("changed").alias("tags_changed")).join(held_, F.lit(True))
+    if outcomes is None:
+        return one.select(F.lit(0).cast("long").alias("moves_applied"), F.lit(0).cast("long").alias("moves_skipped"), "tags_changed", "held")
+    moved = outcomes.agg(F.count_if(F.col("outcome") == "applied").alias("moves_applied"), F.count_if(F.col("outcome").startswith("skipped")).alias("moves_skipped"))
+    return moved.join(one, F.lit(True)).select("moves_applied", "moves_skipped", "tags_changed", "held")
+
+
+def held_count(pending: DataFrame, records: DataFrame) -> DataFrame:
+    """How many unmatched records are held: those newer than all before them of their path and tag (held)."""
+    own = Window.partitionBy(fold_ascii(F.col("path")), fold_ascii(F.col("tag"))).orderBy("seq")
+    ranked = records.where("media_id is null").select("path", "tag", "updated_at", F.row_number().over(own).cast("long").alias("at"))
+    both = pending.select("path", "tag", "updated_at", F.lit(0).cast("long").alias("at")).unionByName(ranked)
+    before = Window.partitionBy(fold_ascii(F.col("path")), fold_ascii(F.col("tag"))).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    marked = both.withColumn("newest", F.max("updated_at").over(before)).where("at > 0")
+    return marked.agg(F.count_if(F.col("newest").isNull() | (F.col("updated_at") > F.col("newest"))).alias("held"))
+
+
 def retained_moves(moves: DataFrame, now: float) -> DataFrame:
     """Move records that aren't older than the retention time."""
     return moves.where(F.col("moved_at") >= now - MOVE_RETENTION_DAYS * 86400)

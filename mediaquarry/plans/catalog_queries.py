@@ -53,7 +53,7 @@ _search("search_combined", "#click -#error type:photo", f"{_LIVE.format(chr(39)
 
 @_query("search_unsorted", f"WITH {MEDIA}, {LINKS} SELECT id, rel_path FROM media m WHERE present AND album = '' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.media_id = m.id AND NOT l.deleted)")
 def _(spark, sf_dir):
-    return search.list_media(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir), unsorted=True).select("id", "rel_path")
+    return search.list_media(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir), loose=True).select("id", "rel_path")
 
 
 @_query(
@@ -543,6 +543,108 @@ def _(spark, sf_dir):
     return media.join(changes.select("id", F.col("rel_path").alias("new")), "id", "left").select("id", F.coalesce("new", "rel_path").alias("rel_path"))
 
 
+# -- imports -----------------------------------------------------------------------------------------
+
+
+def _file_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A move of every medium, of seven kinds by its id: into a folder, with another size, onto its neighbour's name, of a file
+    that is nowhere, with another name at once, malformed, and to where it is."""
+    rows = catalog.media(spark, sf_dir)
+    k, i = F.col("id") % 7, F.col("id")
+    prefix = F.when(F.col("album") == "", "").otherwise(F.concat("album", F.lit("/")))
+    beside = F.concat(prefix, F.lit("doc_"), (i + 1).cast("string"), F.when((i + 1) % 5 == 0, ".mp4").otherwise(".jpg"))
+    from_path = F.when(k == 4, F.concat(F.lit("nowhere/"), "filename")).when(k == 6, F.concat(F.lit("../"), "filename")).otherwise(F.upper("rel_path"))
+    moved = F.concat(F.lit("moved/"), F.upper("filename"))
+    to_path = F.when(k == 3, beside).when(k == 5, F.concat(F.lit("moved/x"), "filename")).when(k == 0, F.upper("rel_path")).otherwise(moved)
+    return rows.select(
+        from_path.alias("from_path"), F.when(k == 3, to_path).when(k == 4, F.concat(F.lit("moved/"), "filename")).otherwise(to_path).alias("to_path"),
+        F.when(k == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"), (NOW - i).alias("moved_at"), F.struct((NOW - i).alias("at"), i.alias("id")).alias("seq"),
+    )
+
+
+def _library(spark: SparkSession, sf_dir: str) -> sync.Library:
+    """The catalog with held records of every fourth path, some of them absent, and an empty log."""
+    rows = catalog.media(spark, sf_dir)
+    held = rows.where("id % 4 = 1").select(F.upper("rel_path").alias("path"), F.lit("From Afar").alias("tag"), F.lit(NOW).alias("updated_at"), F.lit(False).alias("deleted"))
+    log = spark.createDataFrame([], "from_path string, to_path string, size long, moved_at double")
+    return sync.Library(rows, catalog.links(spark, sf_dir), held, log)
+
+
+#: k = 3 moves a file onto its neighbour's name in its own folder: taken where the neighbour is there (it stays, as its own move fails).
+_OUTCOMES = f"""beside AS (SELECT m.*, CASE WHEN album = '' THEN '' ELSE album || '/' END || 'doc_' || (id + 1) || CASE WHEN (id + 1) % 5 = 0 THEN '.mp4' ELSE '.jpg' END AS next_path FROM media m),
+outcomes AS (
+    SELECT id, CASE id % 7 WHEN 6 THEN 'skipped: malformed record' WHEN 5 THEN 'skipped: move and rename in one' WHEN 4 THEN 'absent' WHEN 0 THEN 'unchanged'
+           ELSE CASE WHEN NOT present THEN 'absent' WHEN id % 7 = 2 THEN 'skipped: a different file' WHEN id % 7 = 3 AND EXISTS (SELECT 1 FROM media o WHERE o.rel_path = b.next_path) THEN 'skipped: destination occupied'
+                ELSE 'applied' END END AS outcome, next_path FROM beside b)"""
+
+_MOVED = f"""{MEDIA}, {_OUTCOMES},
+moved AS (SELECT m.* EXCLUDE (rel_path), CASE WHEN o.outcome = 'applied' AND m.id % 7 = 1 THEN 'moved/' || m.filename WHEN o.outcome = 'applied' THEN o.next_path ELSE rel_path END AS rel_path
+          FROM media m JOIN outcomes o USING (id))"""
+
+
+@_query("move_outcomes", f"WITH {MEDIA}, {_OUTCOMES} SELECT id, outcome FROM outcomes")
+def _(spark, sf_dir):
+    rows = _file_moves(spark, sf_dir)
+    found = moves.replayed(catalog.media(spark, sf_dir), rows, _library(spark, sf_dir).log)[0]
+    return found.select(F.get_json_object("key", "$.id").cast("long").alias("id"), "outcome")
+
+
+def _found_in(media: str) -> str:
+    """The records of ``incoming`` with the media that they belong to."""
+    return f"""found AS (
+    SELECT i.*, CASE WHEN p.id IS NOT NULL THEN CASE WHEN p.present THEN p.id END ELSE
+        (SELECT CASE WHEN count(*) = 1 THEN min(c.id) END FROM {media} c WHERE c.present AND {fold("regexp_extract(c.rel_path, '[^/]*$')")} = {fold("regexp_extract(i.path, '[^/]*$')")} AND (i.size IS NULL OR c.size = i.size)) END AS media_id
+    FROM incoming i LEFT JOIN {media} p ON {fold("p.rel_path")} = {fold("i.path")})"""
+
+
+_IMPORT = f"""{_MOVED}, {ALL_RECORDS}, {LINKS[len(ALL_RECORDS) + 2:]}, incoming AS (
+    SELECT r.seq, CASE r.seq % 5 WHEN 1 THEN 'elsewhere/' || m.filename WHEN 2 THEN 'gone/' || r.seq || '.jpg' ELSE upper(m.rel_path) END AS path,
+           CASE WHEN r.seq % 10 = 1 THEN NULL WHEN r.seq % 15 = 6 THEN m.size + 1 ELSE m.size END AS size, r.tag, r.updated_at + 1 AS updated_at, r.deleted
+    FROM records r JOIN media m ON m.id = r.media_id)"""
+
+
+@_query(
+    "sync_import",
+    f"""WITH {_IMPORT}, {_found_in("moved")},
+    held AS (SELECT upper(rel_path) AS path, 'from afar' AS tag_key, {NOW} AS updated_at, false AS deleted FROM media WHERE id % 4 = 1
+             UNION ALL SELECT path, {fold("tag")}, updated_at, deleted FROM (SELECT *, row_number() OVER (PARTITION BY {fold("path")}, {fold("tag")} ORDER BY updated_at DESC, seq) AS turn FROM found WHERE media_id IS NULL) WHERE turn = 1),
+    every AS (SELECT media_id, tag_key, updated_at, deleted, -1 AS place FROM links UNION ALL SELECT media_id, {fold("tag")}, updated_at, deleted, seq FROM found WHERE media_id IS NOT NULL
+              UNION ALL SELECT m.id, h.tag_key, h.updated_at, h.deleted, 4611686018427387904 FROM held h JOIN moved m ON m.present AND {fold("m.rel_path")} = {fold("h.path")}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id, tag_key ORDER BY updated_at DESC, place) AS turn FROM every) SELECT media_id, tag_key, updated_at, deleted FROM r WHERE turn = 1""",
+)
+def _(spark, sf_dir):
+    """All moves, then all records by the new paths, then what was held."""
+    incoming = _incoming(spark, sf_dir).withColumn("updated_at", F.col("updated_at") + 1)
+    return sync.imported(_library(spark, sf_dir), incoming, _file_moves(spark, sf_dir))[0].links.select("media_id", "tag_key", "updated_at", "deleted")
+
+
+@_query(
+    "sync_import_result",
+    f"""WITH {_IMPORT}, {_found_in("moved")},
+    every AS (SELECT media_id, tag_key, updated_at, deleted, -1 AS place FROM links UNION ALL SELECT media_id, {fold("tag")}, updated_at, deleted, seq FROM found WHERE media_id IS NOT NULL),
+    a AS (SELECT *, max(updated_at) OVER (PARTITION BY media_id, tag_key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM every),
+    b AS (SELECT *, lag(deleted) OVER (PARTITION BY media_id, tag_key ORDER BY place) AS last FROM a WHERE newest IS NULL OR updated_at > newest),
+    h AS (SELECT *, max(updated_at) OVER (PARTITION BY {fold("path")}, {fold("tag")} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM found WHERE media_id IS NULL)
+    SELECT (SELECT count(*) FROM outcomes WHERE outcome = 'applied') AS moves_applied, (SELECT count(*) FROM outcomes WHERE starts_with(outcome, 'skipped')) AS moves_skipped,
+           (SELECT count(*) FROM b WHERE place >= 0 AND coalesce(last, true) <> deleted) AS tags_changed, (SELECT count(*) FROM h WHERE newest IS NULL OR updated_at > newest) AS held""",
+)
+def _(spark, sf_dir):
+    incoming = _incoming(spark, sf_dir).withColumn("updated_at", F.col("updated_at") + 1)
+    return sync.imported(_library(spark, sf_dir), incoming, _file_moves(spark, sf_dir))[1]
+
+
+@_query(
+    "sync_dry_run",
+    f"""WITH {_IMPORT}, {_found_in("media")}
+    SELECT (SELECT count(*) FROM outcomes WHERE outcome = 'applied') AS moves_applied, (SELECT count(*) FROM outcomes WHERE starts_with(outcome, 'skipped')) AS moves_skipped,
+           (SELECT count(*) FROM found f LEFT JOIN links l ON l.media_id = f.media_id AND l.tag_key = {fold("f.tag")} WHERE f.media_id IS NOT NULL AND (l.tag_key IS NULL OR f.updated_at > l.updated_at) AND coalesce(l.deleted, true) <> f.deleted) AS tags_changed,
+           (SELECT count(*) FROM found WHERE media_id IS NULL) AS held""",
+)
+def _(spark, sf_dir):
+    incoming = _incoming(spark, sf_dir).withColumn("updated_at", F.col("updated_at") + 1)
+    return sync.dry_run(_library(spark, sf_dir), incoming, _file_moves(spark, sf_dir))
+
+
 # -- scans and renames -------------------------------------------------------------------------------
 
 
@@ -562,18 +664,18 @@ _DIFF = f"""WITH {MEDIA}, listing AS (SELECT CASE WHEN id % 8 = 1 THEN 'new/' ||
 
 @_query("scan_diff", f"{_DIFF} SELECT path_key, id, status FROM d")
 def _(spark, sf_dir):
-    return scan.scan_diff(_listing(spark, sf_dir), catalog.media(spark, sf_dir)).select("path_key", "id", "status")
+    return scan.scan_diff(_listing(spark, sf_dir), catalog.media(spark, sf_dir), [catalog.ROOT]).select("path_key", "id", "status")
 
 
 @_query("scan_diff_counts", f"{_DIFF} SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "updated", "missing", "restored")) + " FROM d")
 def _(spark, sf_dir):
-    return scan.scan_counts(scan.scan_diff(_listing(spark, sf_dir), catalog.media(spark, sf_dir)))
+    return scan.scan_counts(scan.scan_diff(_listing(spark, sf_dir), catalog.media(spark, sf_dir), [catalog.ROOT]))
 
 
 @_query("scan_refresh", f"{_DIFF} SELECT path_key, status <> 'missing' AND NOT (status = 'same' AND NOT m.present) AS present FROM (SELECT d.*, m.present FROM d LEFT JOIN media m USING (id)) m")
 def _(spark, sf_dir):
     rows = catalog.media(spark, sf_dir)
-    diff = scan.scan_diff(_listing(spark, sf_dir), rows)
+    diff = scan.scan_diff(_listing(spark, sf_dir), rows, [catalog.ROOT])
     return scan.refreshed(diff, rows, 1 << 40).select(text.fold_unicode(F.col("rel_path")).alias("path_key"), "present")
 
 
@@ -582,7 +684,60 @@ def _(spark, sf_dir):
     known = folders.folder_table(catalog.media(spark, sf_dir)).withColumn("present", F.lit(True))
     disk = known.where("rel_path not like '%/en'").select("root", F.upper("rel_path").alias("rel_path"))
     new = spark.range(1).select(F.lit(catalog.ROOT).alias("root"), F.lit("brand/new").alias("rel_path"))
-    return scan.folder_diff(disk.unionByName(new), known).select("rel_path", "status")
+    return scan.folder_diff(disk.unionByName(new), known, [catalog.ROOT]).select("rel_path", "status")
+
+
+def _two_roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even ids in one root, odd ones in another; the first's disk, with files whose paths the other root has, and the other's names."""
+    rows = catalog.media(spark, sf_dir).withColumn("root", F.when(F.col("id") % 2 == 0, "/A").otherwise("/B"))
+    k = F.col("id") % 20
+    path = F.when(k == 2, F.concat(F.lit("new/"), "filename")).otherwise(F.upper("rel_path"))
+    disk = rows.where((k != 4) & ((F.col("root") == "/A") | k.isin(3, 5)))
+    return rows, disk.select(F.lit("/A").alias("root"), path.alias("rel_path"), F.when(k == 6, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime")
+
+
+@_query(
+    "scan_two_roots",
+    f"""WITH {MEDIA}, m AS (SELECT *, CASE WHEN id % 2 = 0 THEN '/A' ELSE '/B' END AS own FROM media),
+    listing AS (SELECT CASE WHEN id % 20 = 2 THEN 'new/' || filename ELSE upper(rel_path) END AS rel_path, CASE WHEN id % 20 = 6 THEN size + 1 ELSE size END AS size, mtime
+                FROM m WHERE id % 20 <> 4 AND (own = '/A' OR id % 20 IN (3, 5))),
+    d AS (SELECT lower(coalesce(l.rel_path, m.rel_path)) AS path_key, m.id, CASE WHEN m.id IS NULL THEN 'added' WHEN l.rel_path IS NOT NULL AND NOT m.present THEN 'restored'
+          WHEN l.rel_path IS NOT NULL AND (l.size <> m.size OR l.mtime <> m.mtime) THEN 'updated' WHEN l.rel_path IS NULL AND m.present THEN 'missing' ELSE 'same' END AS status
+          FROM listing l FULL JOIN (SELECT * FROM m WHERE own = '/A') m ON lower(l.rel_path) = lower(m.rel_path))
+    SELECT path_key, id, status FROM d WHERE status <> 'added' OR path_key NOT IN (SELECT lower(rel_path) FROM media)""",
+)
+def _(spark, sf_dir):
+    rows, disk = _two_roots(spark, sf_dir)
+    return scan.scan_diff(disk, rows, ["/A"]).select("path_key", "id", "status")
+
+
+@_query("scan_two_roots_refreshed", f"WITH {MEDIA} SELECT CASE WHEN id % 2 = 0 THEN '/A' ELSE '/B' END AS root, present AND id % 20 <> 4 AND id % 20 <> 2 OR (id % 2 = 0 AND id % 20 NOT IN (2, 4)) AS present, count(*) AS n FROM media GROUP BY ALL UNION ALL SELECT '/A', true, count(*) FROM media WHERE id % 20 = 2")
+def _(spark, sf_dir):
+    rows, disk = _two_roots(spark, sf_dir)
+    found = scan.refreshed(scan.scan_diff(disk, rows, ["/A"]), rows, 1 << 40)
+    # the new files are counted by themselves, as in the SQL
+    new = F.col("id") >= 1 << 40
+    return found.groupBy("root", "present", new.alias("new")).agg(F.count(F.lit(1)).alias("n")).select("root", "present", "n")
+
+
+@_query(
+    "scan_then_attach",
+    f"""WITH {MEDIA}, {LINKS}, t AS (SELECT DISTINCT media_id FROM links),
+    k AS (SELECT *, CASE WHEN id % 11 IN (0, 10) AND id > 0 THEN 'n' || (id + 1) // 11 ELSE 'other' || id END AS name FROM media),
+    o AS (SELECT g.id AS old_id, h.id AS new_id FROM k g JOIN k h ON g.name = h.name AND NOT g.present AND h.present WHERE g.id IN (SELECT media_id FROM t)),
+    p AS (SELECT id AS media_id, 'from afar' AS tag_key, {NOW} AS updated_at, false AS deleted FROM media WHERE present AND id % 4 = 1),
+    moved AS (SELECT coalesce(o.new_id, l.media_id) AS media_id, tag_key, updated_at, deleted, (o.new_id IS NOT NULL)::INT AS late FROM links l LEFT JOIN o ON o.old_id = l.media_id
+              UNION ALL SELECT *, 2 FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id, tag_key ORDER BY updated_at DESC, late) AS turn FROM moved) SELECT media_id, tag_key, updated_at, deleted FROM r WHERE turn = 1""",
+)
+def _(spark, sf_dir):
+    """Vanished files come back as the ones after them, and held records of every fourth path, some of them absent."""
+    rows = catalog.media(spark, sf_dir)
+    place = F.col("id") % 11
+    name = F.when(place.isin(0, 10) & (F.col("id") > 0), F.concat(F.lit("N"), F.floor((F.col("id") + 1) / 11).cast("string"))).otherwise(F.concat(F.lit("other"), F.col("id").cast("string")))
+    held = rows.where("id % 4 = 1").select(F.upper("rel_path").alias("path"), F.lit("From Afar").alias("tag"), F.lit(NOW).alias("updated_at"), F.lit(False).alias("deleted"))
+    rows = rows.withColumns({"filename": name, "size": F.lit(1)})
+    return scan.after_scan(rows, catalog.links(spark, sf_dir), held)[1].select("media_id", "tag_key", "updated_at", "deleted")
 
 
 @_query("rename_numbered", f"WITH {MEDIA} SELECT id, 'trip' || CASE WHEN length((id + 9)::VARCHAR) < 3 THEN lpad((id + 9)::VARCHAR, 3, '0') ELSE (id + 9)::VARCHAR END || right(filename, 4) AS new_name FROM media")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """The shared folder of the session; it is set here only where the session names none, as in tests."""
+    """The shared folder of the session; it is made here only where the session names none and has one machine, as in tests."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mediaquarry-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
