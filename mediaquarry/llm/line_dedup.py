@@ -67,8 +67,8 @@ def word_limit(count: Column, max_words: int, words_per_edit: int) -> Column:
 
 def parity(words: Column) -> Column:
     """64 bits, each the parity of how often the words of its class occur; ``words`` are hashes."""
-    bits = F.transform(words, lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _let(value: Column, body) -> Column:
@@ -181,7 +181,8 @@ def line_dedup(
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     lines = rows.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    blank = F.btrim("line", F.lit(" \t\r\x0b\x0c")) == ""
+    # most lines are told by their first character
+    blank = (F.ascii("line") <= 32) & (F.btrim("line", F.lit(" \t\r\x0b\x0c")) == "")
     # two hashes stand for a line
     own = (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"))
     occurrences = materialise(lines.select("row", "id", "no", *own, blank.alias("blank")), "lines")
@@ -206,8 +207,8 @@ def line_dedup(
     distinct = materialise(firsts.join(segments, ["h", "g"]).withColumn("num", F.monotonically_increasing_id()), "distinct-lines")
 
     def unfolded(mark: str, n: int) -> DataFrame:
-        keys = F.array_distinct(F.filter(F.array(*[f"{mark}{i}" for i in range(n)]), lambda k: k.isNotNull()))
-        return distinct.select("num", F.explode(keys).alias("key"), F.lit(mark == "f").alias("filed"))
+        keys = distinct.select("num", F.explode(F.array(*[f"{mark}{i}" for i in range(n)])).alias("key"), F.lit(mark == "f").alias("filed"))
+        return keys.where("key is not null")
 
     postings = unfolded("f", len(filed)).unionByName(unfolded("a", len(asked))) if asked else unfolded("f", len(filed))
     same_key = Window.partitionBy("key")
