@@ -192,7 +192,8 @@ def _spans(placed: DataFrame, uses: DataFrame, block_words: int) -> DataFrame:
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     return (
         cut.select("id", "source", "size", "src", "source_size", "target", "start", "block", (begin - F.col("start")).alias("offset"), (end - begin).alias("words"))
-        .join(uses, ["src", "block"], "left")
+        # by sorting: nothing bounds the blocks, and the planner can't tell how many a few drawing rows give
+        .join(uses.hint("merge"), ["src", "block"], "left")
         .withColumn("uses", F.coalesce("uses", F.lit(0)))
     )
 
