@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.functions.text import fold_unicode, hamming
 from mediaquarry.operators.components import connected_components
+from mediaquarry.storage import table_exists
 
 DEFAULT_DISTANCE, MAX_DISTANCE = 6, 10
 
@@ -34,49 +37,101 @@ def signature_candidates(media: DataFrame) -> DataFrame:
     return media.where("present and size > 0").where(~(F.col("sig_size").eqNullSafe(F.col("size")) & F.col("sig_mtime").eqNullSafe(F.col("mtime"))))
 
 
+def indexed(media: DataFrame, measured: DataFrame) -> DataFrame:
+    """Media after similarity hashes were measured (id, phash, duration): files that couldn't be read are stamped too, so they
+    are not tried again until they change; a length that couldn't be measured stays as it was."""
+    new = measured.select("id", F.col("phash").alias("_phash"), F.col("duration").alias("_duration"), F.lit(True).alias("_tried"))
+    met = media.join(new, "id", "left")
+    made = {"phash": F.col("_phash"), "sig_size": F.col("size"), "sig_mtime": F.col("mtime"), "duration": F.coalesce("_duration", "duration")}
+    return met.select(*[F.when(F.col("_tried"), made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in media.columns])
+
+
+def index_run(candidates: DataFrame, measure: Callable[[DataFrame], DataFrame], store: str, batches: int, cancelled: Callable[[], bool] = lambda: False) -> int:
+    """Measure candidates in batches, each of which is appended to the table ``store``, until done or cancelled.
+
+    A run that was cancelled or lost goes on where it ended: what the store has is not measured again. Returns the number of
+    batches that were written.
+    """
+    spark = candidates.sparkSession
+    done = 0
+    for number in range(batches):
+        if cancelled():
+            break
+        batch = candidates.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == number)
+        if table_exists(spark, store):
+            batch = batch.join(spark.read.parquet(store).select("id"), "id", "left_anti")
+        measure(batch).write.mode("append").parquet(store)
+        done += 1
+    return done
+
+
+def exact_members(media: DataFrame, by_size: bool = False) -> DataFrame:
+    """Present media whose content another one has, a row each: sha256, size, id, n, group_id (the smallest id), first_path."""
+    keys = ["sha256", "size"] if by_size else ["sha256"]
+    rows = media.where("present and size > 0 and sha256 is not null")
+    group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("group_id"), F.min(fold_unicode(F.col("rel_path"))).alias("first_path"))
+    return rows.select("id", "sha256", "size").join(group.where("n > 1"), keys).select("sha256", "size", "id", "n", "group_id", "first_path")
+
+
 def exact_groups(media: DataFrame, by_size: bool = False) -> DataFrame:
-    """Groups of present media with equal content: sha256 (and size), n, total size, ids."""
+    """Groups of present media with equal content, the largest files first: group_id, sha256, size, n, first_path."""
     keys = ["sha256", "size"] if by_size else ["sha256"]
     rows = media.where("present and size > 0 and sha256 is not null")
-    group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return group.where("n > 1")
+    facts = [F.max("size").alias("size")] if not by_size else []
+    group = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("group_id"), F.min(fold_unicode(F.col("rel_path"))).alias("first_path"), *facts)
+    return group.where("n > 1").select("group_id", "sha256", "size", "n", "first_path").orderBy(F.desc("size"), "first_path")
+
+
+def exact_stats(media: DataFrame) -> DataFrame:
+    """files, unknown_sizes (not above 0) and hashed: files whose content must be read as another has their size."""
+    here = media.where("present")
+    sizes = here.where("size > 0").groupBy("size").count().where("count > 1")
+    one = here.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.coalesce("size", F.lit(0)) <= 0).alias("unknown_sizes"))
+    return one.join(sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("hashed")), F.lit(True)).select("files", "unknown_sizes", "hashed")
 
 
 def near_pairs(hashes: DataFrame, max_distance: int, partition: str | None = "type") -> DataFrame:
     """Pairs a < b of (id, h) rows with at most ``max_distance`` different bits: a, b, distance.
 
-    The 64 bits are cut into max_distance + 1 chunks, one of which must be equal, and each pair is
-    reported by its first equal chunk alone, so no duplicate needs removing. Rows are first folded by
-    hash: many files with one hash meet the others once.
+    The 64 bits are cut into max_distance + 2 chunks, two of which must be equal, so keys are two chunks long and
+    few unlike hashes share one. Each pair is reported by its first two equal chunks alone, so no duplicate
+    needs removing. Rows are first folded by hash: many files with one hash meet the others once.
     """
-    chunks = clamped(max_distance) + 1
-    bounds = [i * 64 // chunks for i in range(chunks + 1)]
     kind = F.col(partition) if partition else F.lit("")
     rows = hashes.where(F.col("h").isNotNull()).select("id", "h", kind.alias("kind"))
-    folded = rows.select("h", "kind").distinct()
+    met = near_hashes(rows.select("h", "kind").distinct(), max_distance)
+    both = met.unionByName(rows.select("kind", F.col("h").alias("hx"), F.col("h").alias("hy")).distinct())
+    a = rows.select(F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("kind").alias("ka"))
+    b = rows.select(F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("kind").alias("kb"))
+    ids = both.join(a, (F.col("kind") == F.col("ka")) & (F.col("hx") == F.col("ha"))).join(b, (F.col("kind") == F.col("kb")) & (F.col("hy") == F.col("hb")))
+    ids = ids.where((F.col("hx") != F.col("hy")) | (F.col("ia") < F.col("ib")))
+    return ids.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), hamming(F.col("hx"), F.col("hy")).alias("distance"))
+
+
+def near_hashes(folded: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs hx < hy of different (h, kind) rows of one kind with at most ``max_distance`` different bits: kind, hx, hy."""
+    chunks = clamped(max_distance) + 2
+    edges = [round(64 * i / chunks) for i in range(chunks + 1)]
 
     def piece(h: Column, i: int) -> Column:
-        width = bounds[i + 1] - bounds[i]
-        return h if width == 64 else F.shiftrightunsigned(h, bounds[i]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        return F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
+
+    def mask(i: int) -> int:
+        bits = ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
+        return bits - (1 << 64) if bits >> 63 else bits
 
-    cut = folded.select("h", "kind", F.posexplode(F.array(*[piece(F.col("h"), i) for i in range(chunks)])).alias("chunk", "value"))
-    x = cut.select(F.col("h").alias("hx"), F.col("kind").alias("kx"), F.col("chunk").alias("cx"), F.col("value").alias("vx"))
-    y = cut.select(F.col("h").alias("hy"), F.col("kind").alias("ky"), F.col("chunk").alias("cy"), F.col("value").alias("vy"))
+    h = F.col("h")
+    keys = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), piece(h, i).alias("v"), piece(h, j).alias("w")) for i in range(chunks) for j in range(i + 1, chunks)]
+    cut = folded.select("h", "kind", F.explode(F.array(*keys)).alias("key"))
+    x, y = (cut.select(F.col("h").alias(f"h{s}"), F.col("kind").alias(f"kind{s}"), F.col("key").alias(f"key{s}")) for s in "xy")
     apart = F.col("hx").bitwiseXOR(F.col("hy"))
+    # chunks before the second one of the key that are not the first must differ
     first = F.lit(True)
-    for i in range(chunks - 1):
-        first = first & ((F.col("cx") <= i) | (piece(apart, i) != 0))
-    met = x.join(
-        y,
-        (F.col("kx") == F.col("ky")) & (F.col("cx") == F.col("cy")) & (F.col("vx") == F.col("vy"))
-        & (F.col("hx") < F.col("hy")) & (F.bit_count(apart) <= max_distance) & first,
-    ).select("kx", "hx", "hy")
-    both = met.unionByName(folded.select(F.col("kind").alias("kx"), F.col("h").alias("hx"), F.col("h").alias("hy")))
-    a = rows.select(F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("kind").alias("ka"))
-    b = rows.select(F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("kind").alias("kb"))
-    ids = both.join(a, (F.col("kx") == F.col("ka")) & (F.col("hx") == F.col("ha"))).join(b, (F.col("kx") == F.col("kb")) & (F.col("hy") == F.col("hb")))
-    ids = ids.where((F.col("hx") != F.col("hy")) | (F.col("ia") < F.col("ib")))
-    return ids.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), hamming(F.col("hx"), F.col("hy")).alias("distance"))
+    for k in range(chunks - 1):
+        differs = apart.bitwiseAND(F.lit(mask(k)).cast("long")) != 0
+        first = first & ((F.col("keyx.j") <= k) | (F.col("keyx.i") == k) | differs)
+    near = (F.col("kindx") == F.col("kindy")) & (F.col("keyx") == F.col("keyy")) & (F.col("hx") < F.col("hy")) & (F.bit_count(apart) <= clamped(max_distance)) & first
+    return x.join(y, near).select(F.col("kindx").alias("kind"), "hx", "hy")
 
 
 def near_links(hashes: DataFrame, max_distance: int) -> DataFrame:
@@ -88,6 +143,21 @@ def near_links(hashes: DataFrame, max_distance: int) -> DataFrame:
     return pairs.select("a", "b").unionByName(stars)
 
 
+def video_links(videos: DataFrame, max_distance: int) -> DataFrame:
+    """Links enough for the groups of videos (id, h, duration) with near hashes and matching lengths: a, b.
+
+    Of the videos of one hash, or of two near ones, sorted by length, each is linked to the one before it if they match.
+    Where two further apart match, all between them match in turn, so the groups are those of all pairs.
+    """
+    rows = videos.where("h is not null and duration is not null").select("id", "h", "duration")
+    folded = rows.select("h", F.lit("").alias("kind")).distinct()
+    pairs = near_hashes(folded, max_distance).select("hx", "hy").unionByName(folded.select(F.col("h").alias("hx"), F.col("h").alias("hy")))
+    sides = pairs.select("hx", "hy", F.explode(F.array_distinct(F.array("hx", "hy"))).alias("h"))
+    order = Window.partitionBy("hx", "hy").orderBy("duration", "id")
+    met = sides.join(rows, "h").select("id", "duration", F.lag("id").over(order).alias("before"), F.lag("duration").over(order).alias("length_before"))
+    return met.where(F.col("before").isNotNull() & durations_match(F.col("duration"), F.col("length_before"))).select(F.col("before").alias("a"), F.col("id").alias("b"))
+
+
 def durations_match(a: Column, b: Column) -> Column:
     """Whether two lengths are within a second or 2 % of the longer; unknown ones are not."""
     return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(1.0), 0.02 * F.greatest(a, b)) + F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(0.0), F.lit(False))
@@ -101,47 +171,58 @@ def with_durations(pairs: DataFrame, media: DataFrame) -> DataFrame:
     return met.where((F.col("type_a") != "video") | durations_match(F.col("duration_a"), F.col("duration_b"))).select(*pairs.columns)
 
 
-def find_groups(media: DataFrame, *, similar: bool = True, max_distance: int = DEFAULT_DISTANCE, ignored: DataFrame | None = None) -> DataFrame:
-    """Groups of duplicates: group_id (smallest id), kind, n, ids, paths (by size, then path), top_size, top_path.
+def find_members(media: DataFrame, *, exact: bool = True, similar: bool = True, max_distance: int = DEFAULT_DISTANCE) -> DataFrame:
+    """Members of groups of duplicates: the media's columns, sha (the fresh content hash) and group_id (smallest id).
 
-    Equal content links files of any type; similar hashes link photos with photos and videos with videos
-    of matching length. A group is exact if all members have one fresh content hash. Groups whose
-    members, no more and no fewer, are in ``ignored`` (sig) are left out.
+    Equal content links files of any type (``exact``); similar hashes link photos with photos and videos with videos
+    of matching length (``similar``).
     """
     rows = media.where("present and size > 0").withColumns({"sha": fresh("sha256", "sha_size", "sha_mtime"), "h": fresh("phash", "sig_size", "sig_mtime")})
-    same = rows.where("sha is not null")
-    first = same.groupBy("sha").agg(F.min("id").alias("a"))
-    links = same.join(first, "sha").where("id <> a").select("a", F.col("id").alias("b"))
+    links = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if exact:
+        same = rows.where("sha is not null")
+        first = same.groupBy("sha").agg(F.min("id").alias("a"))
+        links = links.unionByName(same.join(first, "sha").where("id <> a").select("a", F.col("id").alias("b")))
     if similar:
-        photos = near_links(rows.where("type = 'photo'").select("id", "h", "type"), clamped(max_distance))
-        videos = near_pairs(rows.where("type = 'video'").select("id", "h", "type"), clamped(max_distance)).select("a", "b")
-        links = links.unionByName(photos).unionByName(with_durations(videos, rows))
-    labels = connected_components(links)
-    members = rows.join(labels, "id")
-    order = F.struct((-F.col("size")).alias("s"), fold_unicode(F.col("rel_path")).alias("p"), F.col("id").alias("i"), F.col("rel_path").alias("r"))
-    groups = members.groupBy(F.col("label").alias("group_id")).agg(
+        links = links.unionByName(near_links(rows.where("type = 'photo'").select("id", "h", "type"), clamped(max_distance)))
+        links = links.unionByName(video_links(rows.where("type = 'video'"), clamped(max_distance)))
+    return rows.join(connected_components(links).withColumnRenamed("label", "group_id"), "id")
+
+
+def members_in_order(members: DataFrame) -> DataFrame:
+    """Members with their place in the group: the largest first, then by folded path."""
+    order = Window.partitionBy("group_id").orderBy(F.desc("size"), fold_unicode(F.col("rel_path")), "id")
+    return members.select("group_id", "id", "rel_path", "size", F.row_number().over(order).alias("place"))
+
+
+def groups_of(members: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """Facts of groups: group_id, kind, n, sig, top_size, top_path (of the largest member), first_path.
+
+    A group is exact if all members have one fresh content hash. Groups whose members, no more and no fewer, are in
+    ``ignored`` (sig) are left out.
+    """
+    path = fold_unicode(F.col("rel_path"))
+    top = F.min(F.struct((-F.col("size")).alias("s"), path.alias("p")))
+    groups = members.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n"),
         ((F.count("sha") == F.count(F.lit(1))) & (F.min("sha") == F.max("sha"))).alias("exact"),
-        F.sort_array(F.collect_list("id")).alias("ids"),
-        F.sort_array(F.collect_list(order)).alias("items"),
+        signature(F.col("id")).alias("sig"),
+        top.alias("top"),
+        F.min(path).alias("first_path"),
     )
-    groups = groups.select(
-        "group_id",
-        F.when(F.col("exact"), "exact").otherwise("similar").alias("kind"),
-        "n",
-        "ids",
-        F.transform("items", lambda x: x["r"]).alias("paths"),
-        (-F.get("items", 0)["s"]).alias("top_size"),
-        F.get("items", 0)["p"].alias("top_path"),
-    )
-    if ignored is not None:
-        groups = groups.withColumn("sig", signature(F.col("ids"))).join(ignored.select("sig"), "sig", "left_anti").drop("sig")
-    return groups
+    kind = F.when(F.col("exact"), "exact").otherwise("similar")
+    facts = groups.select("group_id", kind.alias("kind"), "n", "sig", (-F.col("top.s")).alias("top_size"), F.col("top.p").alias("top_path"), "first_path")
+    return facts if ignored is None else facts.join(ignored.select("sig"), "sig", "left_anti")
+
+
+def find_groups(media: DataFrame, *, ignored: DataFrame | None = None, **options) -> DataFrame:
+    """``groups_of`` the members that ``find_members`` finds with these options."""
+    return groups_of(find_members(media, **options), ignored)
 
 
 def signature(ids: Column) -> Column:
-    """A group's name in the list of ignored groups: its sorted ids."""
-    return F.array_join(F.transform(F.array_sort(ids), lambda i: i.cast("string")), ",")
+    """A group's name in the list of ignored groups, an aggregate: the number of its members and two sums of hashes of their ids."""
+    return F.concat_ws("-", F.count(ids), F.hex(F.bit_xor(F.xxhash64(ids))), F.hex(F.bit_xor(F.xxhash64(F.lit(1), ids))))
 
 
 def group_order() -> list[Column]:
@@ -154,15 +235,35 @@ def summary(groups: DataFrame) -> DataFrame:
     return groups.groupBy("kind").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("files"), F.sum(F.col("n") - 1).alias("extra_files"))
 
 
+def by_first_path() -> list[Column]:
+    """The mobile order of groups."""
+    return [F.col("first_path").asc()]
+
+
+def keep_outcomes(media: DataFrame, choices: DataFrame) -> DataFrame:
+    """Whether each file of ``choices`` (keep_id, remove_id, kind) goes: keep_id, remove_id, kind, rel_path, outcome.
+
+    Files that the catalog doesn't have, and the kept file itself, are left out. A file stays if the kept one is missing,
+    if it is missing itself, and in exact groups if its content is no longer that of the kept one.
+    """
+    x = media.where("present").select(F.col("id").alias("keep_id"), F.col("sha256").alias("keep_sha"), F.lit(True).alias("kept"))
+    y = media.select(F.col("id").alias("remove_id"), "rel_path", F.col("sha256").alias("own_sha"), F.col("present").alias("there"))
+    met = choices.where("keep_id <> remove_id").join(y, "remove_id").join(x, "keep_id", "left")
+    outcome = (
+        F.when(F.col("kept").isNull(), "the file to keep is missing")
+        .when(~F.col("there"), "file not found")
+        .when((F.col("kind") == "exact") & ~F.col("own_sha").eqNullSafe(F.col("keep_sha")), "its content is no longer that of the kept file")
+        .otherwise("removed")
+    )
+    return met.select("keep_id", "remove_id", "kind", "rel_path", outcome.alias("outcome"))
+
+
 def kept_one(links: DataFrame, media: DataFrame, choices: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
-    """Tag changes and ids to drop when one file of each group is kept.
+    """Tag changes and ids to drop when one file of each group is kept, for those that ``keep_outcomes`` lets go.
 
-    ``choices``: keep_id, remove_id, kind. Files that are gone, and in exact groups files whose content is
-    no longer that of the kept one, stay. The kept file gets the live tags of those that go.
+    The kept file gets the live tags of those that go.
     """
-    x = media.where("present").select(F.col("id").alias("keep_id"), F.col("sha256").alias("keep_sha"))
-    y = media.where("present").select(F.col("id").alias("remove_id"), F.col("sha256").alias("own_sha"))
-    fine = choices.where("keep_id <> remove_id").join(x, "keep_id").join(y, "remove_id").where("kind <> 'exact' or own_sha = keep_sha")
+    fine = keep_outcomes(media, choices).where("outcome = 'removed'")
     live = links.where("not deleted").join(fine.select(F.col("remove_id").alias("media_id"), "keep_id"), "media_id")
     changes = live.select(F.col("keep_id").alias("media_id"), "tag_key", "tag", F.lit(float(now)).alias("updated_at"), F.lit(False).alias("deleted")).dropDuplicates(["media_id", "tag_key"])
     return changes, fine.select(F.col("remove_id").alias("id")).distinct()

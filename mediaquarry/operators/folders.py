@@ -62,9 +62,9 @@ def relocation_moves(media: DataFrame, root: str, old: str, new: str, at: float)
     )
 
 
-def relocated_folders(folders: DataFrame, root: str, old: str, new: str) -> DataFrame:
-    inside = (F.col("root") == root) & in_folder(F.col("rel_path"), old)
-    return folders.withColumn("rel_path", F.when(inside, F.concat(F.lit(new), F.substring("rel_path", len(old) + 1, 1 << 20))).otherwise(F.col("rel_path")))
+def listed(folders: DataFrame, media: DataFrame) -> DataFrame:
+    """Folders with their counts, by folded path."""
+    return folder_counts(folders, media).orderBy("root", fold_ascii(F.col("rel_path")))
 
 
 def created(folders: DataFrame, wanted: DataFrame) -> DataFrame:

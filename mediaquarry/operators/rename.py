@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.functions.text import basename, dirname, extension, filename_problem, fold_ascii, fold_unicode, join_path, zero_filled
+from mediaquarry.storage import materialise
 
 
 def numbered_names(chosen: DataFrame, base: str, start: int = 1, digits: int = 1, number: bool = True) -> DataFrame:
@@ -49,6 +50,37 @@ def rename_plan(media: DataFrame, names: DataFrame) -> DataFrame:
     return met.select("id", F.col("rel_path").alias("old_path"), "new_path", final.alias("status"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with n, their place from 1 on by folded path: places within the parts of a range partitioning, after those of the parts before."""
+    spread = rows.withColumn("_fold", fold_unicode(F.col("old_path"))).repartitionByRange("_fold", "id").withColumn("_part", F.spark_partition_id())
+    held = materialise(spread, "paths-by-range")
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    # one row a partition
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_fold", "id"))
+    return held.join(firsts, "_part").select("id", "old_path", (own + F.col("_before")).alias("n"))
+
+
+def prefix_plan(media: DataFrame, chosen: DataFrame, prefix: str) -> DataFrame:
+    """The mobile rename of ``chosen`` (id): the prefix, a number in the order of the folded paths from 1 on, and the own extension.
+
+    Returns id, old_path, new_path, status: ok, or why not (the new names collide, or another file has the name). ValueError for
+    a prefix that can't be one.
+    """
+    if not prefix or "/" in prefix or "\\" in prefix or prefix in (".", ".."):
+        raise ValueError("a prefix is a part of a file name")
+    rows = media.join(chosen.select("id").distinct(), "id", "left_semi").select("id", F.col("rel_path").alias("old_path"))
+    numbered = _numbered(rows)
+    name = F.concat(F.lit(prefix), F.col("n").cast("string"), extension(F.col("old_path")))
+    named = numbered.withColumn("new_path", join_path(dirname(F.col("old_path")), name)).withColumn("_key", fold_unicode(F.col("new_path")))
+    others = media.select(fold_unicode(F.col("rel_path")).alias("_key"), F.col("id").alias("_other"))
+    met = named.join(others, "_key", "left").withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("_key")))
+    taken = F.col("_other").isNotNull() & (F.col("_key") != fold_unicode(F.col("old_path")))
+    status = F.when(F.col("twins") > 1, "the new names collide").when(taken, "another file has the name").otherwise("ok")
+    return met.select("id", "old_path", "new_path", status.alias("status"))
+
+
 def is_applicable(plan: DataFrame) -> DataFrame:
     """n_ok, n_unchanged, n_problems and ok: a plan is applied as a whole or not at all."""
     counts = plan.agg(

@@ -189,7 +189,8 @@ def imported(library: Library, records: DataFrame, moves: DataFrame, apply_moves
         media = with_albums(media, changes)
     found = materialise(matched(records, media), "matched-records")
     counters = _counters(outcomes, change_count(links, found), held_count(pending, found))
-    links, pending = merged(links, found), held(pending, found)
+    # written in between, so that no later step works the earlier ones out again
+    links, pending = materialise(merged(links, found), "merged-links"), materialise(held(pending, found), "held-records")
     media, links, pending = after_scan(media, links, pending)
     return Library(media, links, pending, log), counters
 

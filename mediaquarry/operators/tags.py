@@ -84,12 +84,6 @@ def rename_tag(links: DataFrame, old: str, new: str, now: float) -> DataFrame:
     return apply(links, add_tags(links, held, [new], now).unionByName(delete_tag(links, old, now)))
 
 
-def rename_changes(links: DataFrame, old: str, new: str, now: float) -> DataFrame:
-    """The changed links of a rename that merges."""
-    held = links.where(~F.col("deleted") & _is(old)).select("media_id")
-    return add_tags(links, held, [new], now).unionByName(delete_tag(links, old, now))
-
-
 def tag_counts(links: DataFrame) -> DataFrame:
     """Live links of each tag, those of absent media too: tag_key, tag, n."""
     return links.where("not deleted").groupBy("tag_key").agg(F.min("tag").alias("tag"), F.count(F.lit(1)).alias("n"))

@@ -51,9 +51,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     each half of a long, so 32 sums count 64 bits.
     """
     docs = table(spark, sf_dir, "documents")
-    # a file of one row group is one task; spread the words over all of them
-    spread = docs.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    words = spread.select("doc_id", F.explode(F.split(fold_ascii(F.col("text")), r"\s+")).alias("w")).where("w <> ''")
+    # words are hashed and counted where the text is read; partial sums are all that is shuffled
+    words = docs.select("doc_id", F.explode(F.split(fold_ascii(F.col("text")), r"\s+")).alias("w")).where("w <> ''")
     h = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 16), 16, -10).cast("long")
     pair = (1 << 32) | 1
     votes = words.select("doc_id", h.alias("h")).groupBy("doc_id").agg(

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquarry.functions import text
-from mediaquarry.operators import duplicates, folders, moves, rename, scan, search, sync, tags
+from mediaquarry.operators import duplicates, folders, moves, path_tags, rename, scan, search, sync, tags
 from mediaquarry.plans import catalog
 from mediaquarry.plans.catalog import ALL_RECORDS, ANCESTORS, LINKS, MEDIA, PHASH, RECORDS, SIGNED, fold
+from mediaquarry.storage import materialise
 
 NOW = 1800000000.0
 
@@ -44,13 +45,38 @@ _search("search_require_all", "#Click #quality", f"{_LIVE.format(chr(39) + 'clic
 _search("search_or_group", "#click|VIEW", _LIVE.format("'click', 'view'"))
 _search("search_exclude", "-#click -#error", f"NOT {_LIVE.format(chr(39) + 'click' + chr(39) + ', ' + chr(39) + 'error' + chr(39))}")
 _search("search_text", "DOC_1 jp", f"contains({fold('rel_path')}, 'doc_1') AND contains({fold('rel_path')}, 'jp')")
-_search("search_wildcards", "doc_%", f"contains({fold('rel_path')}, 'doc_%')")
 _search("search_type", "type:video", "type = 'video'")
 _search("search_album_prefix", "album:SRC1", f"({fold('album')} = 'src1' OR starts_with({fold('album')}, 'src1/'))")
 _search("search_date_range", "after:2024-01-05 before:2024-01-20", "mtime >= epoch(TIMESTAMP '2024-01-05') AND mtime < epoch(TIMESTAMP '2024-01-21')")
 _search("search_combined", "#click -#error type:photo", f"{_LIVE.format(chr(39) + 'click' + chr(39))} AND NOT {_LIVE.format(chr(39) + 'error' + chr(39))} AND type = 'photo'")
 
 
+def _wild_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third path has the characters that are wildcards elsewhere."""
+    rows = catalog.media(spark, sf_dir)
+    return rows.withColumn("rel_path", F.concat("rel_path", F.when(F.col("id") % 3 == 0, "_100%").when(F.col("id") % 3 == 1, "x1000").otherwise("")))
+
+
+@_query("search_wildcards", f"WITH {MEDIA} SELECT id FROM media WHERE present AND id % 3 = 0")
+def _(spark, sf_dir):
+    return search.search(_wild_media(spark, sf_dir), catalog.links(spark, sf_dir), search.parse_query("_100%")).select("id")
+
+
+@_query("search_bound", f"WITH {MEDIA} SELECT id, rel_path FROM media WHERE present AND type = 'photo' AND (album = 'src2' OR starts_with(album, 'src2/'))")
+def _(spark, sf_dir):
+    """A typed type wins over the one chosen elsewhere, a chosen folder counts where none was typed."""
+    query = search.bind(search.parse_query("type:photo"), type="video", album="src2")
+    return search.search(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir), query).select("id", "rel_path")
+
+
+@_query("search_scope", f"WITH {MEDIA} SELECT 'folder' AS scope, id FROM media WHERE present AND album = 'src2' UNION ALL SELECT 'library', id FROM media WHERE present AND type = 'video'")
+def _(spark, sf_dir):
+    """Without a query the current folder's own media, with one the whole library's."""
+    rows, held = catalog.media(spark, sf_dir), catalog.links(spark, sf_dir)
+    here, every = (search.in_scope(rows, held, search.parse_query(line), "SRC2") for line in ("", "type:video"))
+    return here.select(F.lit("folder").alias("scope"), "id").unionByName(every.select(F.lit("library").alias("scope"), "id"))
+
+
 @_query("search_unsorted", f"WITH {MEDIA}, {LINKS} SELECT id, rel_path FROM media m WHERE present AND album = '' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.media_id = m.id AND NOT l.deleted)")
 def _(spark, sf_dir):
     return search.list_media(catalog.media(spark, sf_dir), catalog.links(spark, sf_dir), loose=True).select("id", "rel_path")
@@ -67,13 +93,21 @@ def _(spark, sf_dir):
     return search.match_tag_arrays(rows, search.parse_query("#click|view -#toxic")).select("id", "rel_path")
 
 
-@_query("list_newest", f"WITH {MEDIA} SELECT id, mtime, row_number() OVER (ORDER BY mtime DESC, id DESC) AS place FROM media WHERE present ORDER BY place LIMIT 200")
-def _(spark, sf_dir):
-    """A report of the 200 newest, as the preview shows them."""
-    top = search.ordered(catalog.media(spark, sf_dir).where("present"), "newest").limit(200)
-    ranked = top.agg(F.collect_list(F.struct((-F.col("mtime")).alias("t"), (-F.col("id")).alias("i"))).alias("x"))
-    placed = ranked.select(F.posexplode(F.sort_array("x")).alias("pos", "x"))
-    return placed.select((-F.col("x.i")).alias("id"), (-F.col("x.t")).alias("mtime"), (F.col("pos") + 1).cast("long").alias("place"))
+def _report(sort: str, order: str) -> None:
+    """A report of the first 200 in an order, as a preview shows them, with their places."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        top = search.ordered(catalog.media(spark, sf_dir).where("present"), sort).limit(200)
+        rows = top.agg(F.collect_list(F.struct("id", "mtime", "filename")).alias("x"))
+        return rows.select(F.posexplode("x").alias("pos", "x")).select("x.id", "x.mtime", "x.filename", (F.col("pos") + 1).cast("long").alias("place"))
+
+    QUERIES[f"list_{sort}"] = run
+    ORACLES[f"list_{sort}"] = f"WITH {MEDIA} SELECT id, mtime, filename, row_number() OVER (ORDER BY {order}) AS place FROM media WHERE present ORDER BY place LIMIT 200"
+
+
+_report("newest", "mtime DESC, id DESC")
+_report("oldest", "mtime, id")
+_report("name", "lower(filename), id")
 
 
 # -- tags --------------------------------------------------------------------------------------------
@@ -211,11 +245,39 @@ def _(spark, sf_dir):
     return folders.move_to_folder(rows, rows.where("type = 'video'"), catalog.ROOT, "src3")
 
 
-@_query("album_deletable", f"SELECT '{catalog.ROOT}' AS root, 'empty/in' AS rel_path")
+@_query(
+    "album_deletable",
+    f"""WITH {MEDIA}, {_FOLDERS}, own AS (SELECT * FROM media WHERE type = 'video' AND id % 4 = 0), every AS (SELECT rel_path FROM folders UNION SELECT 'empty' UNION SELECT 'empty/in')
+    SELECT '{catalog.ROOT}' AS root, rel_path FROM every e WHERE NOT EXISTS (SELECT 1 FROM own WHERE album = e.rel_path OR starts_with(album, e.rel_path || '/'))
+      AND NOT EXISTS (SELECT 1 FROM every f WHERE starts_with(f.rel_path, e.rel_path || '/'))""",
+)
 def _(spark, sf_dir):
+    """All folders of a library that has kept every fourth video only, and two new ones."""
     rows = catalog.media(spark, sf_dir)
     extra = spark.range(1).select(F.lit(catalog.ROOT).alias("root"), F.explode(F.array(F.lit("empty"), F.lit("empty/in"))).alias("rel_path"))
-    return folders.deletable(folders.folder_table(rows).unionByName(extra), rows)
+    return folders.deletable(folders.folder_table(rows).unionByName(extra), rows.where("type = 'video' and id % 4 = 0"))
+
+
+@_query("album_list", f"WITH {MEDIA}, {_FOLDERS}, n AS (SELECT f.root, f.rel_path, count(m.id) AS n_media FROM folders f LEFT JOIN media m ON m.present AND (m.album = f.rel_path OR starts_with(m.album, f.rel_path || '/')) GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY lower(rel_path)) AS place FROM n ORDER BY place LIMIT 200")
+def _(spark, sf_dir):
+    """A report of the first 200 folders by path."""
+    rows = catalog.media(spark, sf_dir)
+    top = folders.listed(folders.folder_table(rows), rows).limit(200).agg(F.collect_list(F.struct("root", "rel_path", "n_media")).alias("x"))
+    return top.select(F.posexplode("x").alias("pos", "x")).select("x.root", "x.rel_path", "x.n_media", (F.col("pos") + 1).cast("long").alias("place"))
+
+
+@_query(
+    "album_names_checked",
+    f"""WITH {MEDIA}, n AS (SELECT id, CASE id % 8 WHEN 0 THEN '' WHEN 1 THEN '.hid/x' WHEN 2 THEN 'a:b' WHEN 3 THEN 'end.' WHEN 4 THEN 'Con.x/y' WHEN 5 THEN repeat('l', 121) WHEN 6 THEN ' a  b / c' ELSE source END AS path
+        FROM media JOIN documents ON id = doc_id)
+    SELECT id, CASE id % 8 WHEN 0 THEN 'album name cannot be empty' WHEN 1 THEN 'album name cannot start with a dot' WHEN 2 THEN 'album name cannot contain reserved or control characters'
+      WHEN 3 THEN 'album name cannot end with a dot' WHEN 4 THEN 'album name cannot be a reserved name' WHEN 5 THEN 'album name is too long' END AS problem FROM n""",
+)
+def _(spark, sf_dir):
+    docs = catalog.table(spark, sf_dir, "documents")
+    names = F.array(*map(F.lit, ["", ".hid/x", "a:b", "end.", "Con.x/y", "l" * 121, " a  b / c"]))
+    path = F.coalesce(F.get(names, (F.col("doc_id") % 8).cast("int")), F.col("source"))
+    return docs.select(F.col("doc_id").alias("id"), text.album_problem(path).alias("problem"))
 
 
 @_query("album_upgrade", f"WITH {MEDIA} SELECT id, album FROM media")
@@ -223,9 +285,11 @@ def _(spark, sf_dir):
     return folders.upgraded(catalog.media(spark, sf_dir).drop("album")).select("id", "album")
 
 
-@_query("library_removed", f"WITH {MEDIA} SELECT id, false AS present FROM media")
+@_query("library_removed", f"WITH {MEDIA} SELECT id, present AND id % 2 = 1 AS present FROM media")
 def _(spark, sf_dir):
-    return folders.without_root(catalog.media(spark, sf_dir), catalog.ROOT).select("id", "present")
+    """One of two libraries is removed."""
+    rows = catalog.media(spark, sf_dir).withColumn("root", F.when(F.col("id") % 2 == 0, "/A").otherwise("/B"))
+    return folders.without_root(rows, "/A").select("id", "present")
 
 
 # -- paths -------------------------------------------------------------------------------------------
@@ -267,10 +331,23 @@ def _(spark, sf_dir):
     return catalog.table(spark, sf_dir, "documents").select("doc_id", text.human_size(F.col("n_chars") * 1000 + 7).alias("label"))
 
 
-@_query("media_kinds", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'photo' WHEN 1 THEN 'video' WHEN 2 THEN NULL WHEN 3 THEN 'photo' WHEN 4 THEN NULL ELSE 'video' END AS kind FROM documents")
+@_query(
+    "media_kinds",
+    r"""WITH n AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 9 WHEN 0 THEN '.JPG' WHEN 1 THEN '.x.mp4' WHEN 2 THEN '.txt' WHEN 3 THEN '.heic' WHEN 4 THEN '' WHEN 5 THEN '.3GP' WHEN 6 THEN '.jpg.bak' WHEN 7 THEN '/.jpg' ELSE '.mKv' END AS name FROM pages),
+    e AS (SELECT *, lower(regexp_extract(regexp_extract(name, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1)) AS ext FROM n)
+    SELECT page_id, name, CASE WHEN list_contains(['.jpg', '.jpeg', '.png', '.gif', '.webp', '.bmp', '.tif', '.tiff', '.heic', '.heif'], ext) THEN 'photo'
+      WHEN list_contains(['.mp4', '.mov', '.mkv', '.avi', '.webm', '.m4v', '.wmv', '.flv', '.mpg', '.mpeg', '.3gp'], ext) THEN 'video' END AS kind FROM e""",
+)
 def _(spark, sf_dir):
-    names = F.array(*map(F.lit, ["a.JPG", "b.x.mp4", "notes.txt", "c.heic", ".jpg", "d.3GP"]))
-    return catalog.table(spark, sf_dir, "documents").select("doc_id", text.media_type(F.get(names, (F.col("doc_id") % 6).cast("int"))).alias("kind"))
+    ends = F.array(*map(F.lit, [".JPG", ".x.mp4", ".txt", ".heic", "", ".3GP", ".jpg.bak", "/.jpg", ".mKv"]))
+    name = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.get(ends, (F.col("page_id") % 9).cast("int")))
+    return catalog.table(spark, sf_dir, "pages").select("page_id", name.alias("name")).withColumn("kind", text.media_type(F.col("name")))
+
+
+@_query("luma", "SELECT vec_id, (77 * (vec_id % 256) + 150 * (vec_id * 7 % 256) + 29 * (vec_id * 13 % 256))::BIGINT >> 8 AS grey FROM embeddings")
+def _(spark, sf_dir):
+    i = F.col("vec_id")
+    return catalog.table(spark, sf_dir, "embeddings").select("vec_id", text.luma(i % 256, i * 7 % 256, i * 13 % 256).alias("grey"))
 
 
 @_query(
@@ -309,10 +386,51 @@ def _(spark, sf_dir):
     return duplicates.exact_candidates(rows).select("id", "size")
 
 
-@_query("exact_groups", f"WITH {MEDIA} SELECT sha256, size, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM media WHERE present AND size > 0 GROUP BY sha256, size HAVING count(*) > 1")
+@_query("exact_groups", f"WITH {MEDIA} SELECT min(id) AS group_id, sha256, size, count(*) AS n, min(lower(rel_path)) AS first_path FROM media WHERE present AND size > 0 GROUP BY sha256, size HAVING count(*) > 1")
 def _(spark, sf_dir):
-    rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")
-    return duplicates.exact_groups(rows, by_size=True).select("sha256", "size", "n", duplicates.signature(F.col("ids")).alias("ids"))
+    return duplicates.exact_groups(catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id"), by_size=True)
+
+
+@_query("exact_members", f"WITH {MEDIA}, g AS (SELECT sha256, count(*) AS n, min(id) AS group_id FROM media WHERE present AND size > 0 GROUP BY sha256 HAVING count(*) > 1) SELECT id, group_id, n FROM media JOIN g USING (sha256) WHERE present AND size > 0")
+def _(spark, sf_dir):
+    return duplicates.exact_members(catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")).select("id", "group_id", "n")
+
+
+@_query(
+    "exact_group_order",
+    f"WITH {MEDIA}, g AS (SELECT min(id) AS group_id, size, count(*) AS n, min(lower(rel_path)) AS first_path FROM media WHERE present AND size > 0 GROUP BY sha256, size HAVING count(*) > 1) SELECT group_id, n, row_number() OVER (ORDER BY size DESC, first_path) AS place FROM g ORDER BY place LIMIT 100",
+)
+def _(spark, sf_dir):
+    """A report of the 100 first groups: the largest files first."""
+    groups = duplicates.exact_groups(catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id"), by_size=True)
+    return _places(groups.limit(100), "group_id", "n")
+
+
+def _places(ordered: DataFrame, *columns: str) -> DataFrame:
+    """The rows of a short report with their places from 1 on."""
+    rows = ordered.agg(F.collect_list(F.struct(*columns)).alias("x")).select(F.posexplode("x").alias("pos", "x"))
+    return rows.select(*[f"x.{c}" for c in columns], (F.col("pos") + 1).cast("long").alias("place"))
+
+
+@_query(
+    "exact_stats",
+    f"WITH {MEDIA} SELECT count(*) AS files, count(*) FILTER (size <= 0) AS unknown_sizes, count(*) FILTER (size > 0 AND size IN (SELECT size FROM media WHERE present AND size > 0 GROUP BY size HAVING count(*) > 1)) AS hashed FROM media WHERE present",
+)
+def _(spark, sf_dir):
+    return duplicates.exact_stats(catalog.media(spark, sf_dir))
+
+
+@_query(
+    "signature_index",
+    f"""WITH {MEDIA} SELECT id, CASE WHEN NOT present OR size <= 0 OR id % 17 <> 0 THEN 5 WHEN id % 4 = 0 THEN NULL ELSE id END AS phash, CASE WHEN present AND size > 0 AND id % 17 = 0 AND id % 3 = 0 THEN 1.5 ELSE duration END AS duration,
+    CASE WHEN present AND size > 0 AND id % 17 = 0 OR id % 17 <> 0 THEN size END AS sig_size FROM media""",
+)
+def _(spark, sf_dir):
+    """Stale signatures are measured again; some files can't be read, some have no length."""
+    rows = catalog.media(spark, sf_dir)
+    rows = rows.withColumns({"phash": F.lit(5).cast("long"), "sig_size": F.when(F.col("id") % 17 != 0, F.col("size")), "sig_mtime": F.col("mtime")})
+    measured = duplicates.signature_candidates(rows).select("id", F.when(F.col("id") % 4 != 0, F.col("id")).alias("phash"), F.when(F.col("id") % 3 == 0, 1.5).alias("duration"))
+    return duplicates.indexed(rows, measured).select("id", "phash", "duration", "sig_size")
 
 
 @_query("phash", f"WITH {PHASH} SELECT id, {SIGNED} AS phash FROM prints")
@@ -359,31 +477,59 @@ _GROUPS = f"""WITH RECURSIVE {_FRESH},
                max(size) AS top_size FROM labels JOIN held USING (id) GROUP BY group_id)"""
 
 
-def _groups(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return duplicates.find_groups(_with_hashes(spark, sf_dir), **options)
+def _members(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return duplicates.find_members(_with_hashes(spark, sf_dir), **options)
 
 
 @_query("dup_components", f"{_GROUPS} SELECT id, group_id FROM labels")
 def _(spark, sf_dir):
-    return _groups(spark, sf_dir).select(F.explode("ids").alias("id"), "group_id")
+    return _members(spark, sf_dir).select("id", "group_id")
 
 
-@_query("dup_group_kinds", f"{_GROUPS} SELECT group_id, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS kind, n, ids, top_size FROM groups")
+_KINDS = "SELECT g.group_id, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS kind, g.n, g.top_size, f.first_path FROM groups g JOIN (SELECT group_id, min(lower(rel_path)) AS first_path FROM labels JOIN held USING (id) GROUP BY group_id) f USING (group_id)"
+
+
+@_query("dup_group_kinds", f"{_GROUPS} {_KINDS}")
+def _(spark, sf_dir):
+    return duplicates.groups_of(_members(spark, sf_dir)).select("group_id", "kind", "n", "top_size", "first_path")
+
+
+@_query("dup_group_members", f"{_GROUPS} SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, lower(rel_path), id)::INT AS place FROM labels JOIN held USING (id)")
+def _(spark, sf_dir):
+    return duplicates.members_in_order(_members(spark, sf_dir)).select("group_id", "id", "place")
+
+
+@_query(
+    "dup_group_order",
+    f"{_GROUPS}, t AS (SELECT group_id, min(lower(rel_path)) AS top_path FROM labels JOIN held USING (id) JOIN groups USING (group_id) WHERE size = top_size GROUP BY group_id) "
+    "SELECT group_id, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS kind, row_number() OVER (ORDER BY exact DESC, top_size DESC, top_path) AS place FROM groups JOIN t USING (group_id) ORDER BY place LIMIT 100",
+)
 def _(spark, sf_dir):
-    return _groups(spark, sf_dir).select("group_id", "kind", "n", duplicates.signature(F.col("ids")).alias("ids"), "top_size")
+    """A report of the 100 first groups: exact ones first, then by the largest file."""
+    return _places(duplicates.groups_of(_members(spark, sf_dir)).orderBy(*duplicates.group_order()).limit(100), "group_id", "kind")
+
+
+_SIMILAR = _GROUPS.replace("pairs AS (SELECT a, b FROM near UNION SELECT a, b FROM same)", "pairs AS (SELECT a, b FROM near)")
+
+
+@_query("similar_only_groups", f"{_SIMILAR}, f AS (SELECT group_id, n, min(lower(rel_path)) AS first_path FROM labels JOIN held USING (id) JOIN groups USING (group_id) GROUP BY ALL) SELECT group_id, n, row_number() OVER (ORDER BY first_path) AS place FROM f ORDER BY place LIMIT 100")
+def _(spark, sf_dir):
+    """A report of the first 100 groups of similar files by path; equal contents don't link."""
+    found = duplicates.groups_of(_members(spark, sf_dir, exact=False))
+    return _places(found.orderBy(*duplicates.by_first_path()).limit(100), "group_id", "n")
 
 
 @_query("dup_ignore", f"{_GROUPS} SELECT group_id, n FROM groups WHERE n <> 2")
 def _(spark, sf_dir):
     """Groups after all pairs have been put on the list of ignored groups."""
-    rows = _with_hashes(spark, sf_dir)
-    pairs = duplicates.find_groups(rows).where("n = 2").select(duplicates.signature(F.col("ids")).alias("sig"))
-    return duplicates.find_groups(rows, ignored=pairs).select("group_id", "n")
+    members = materialise(_members(spark, sf_dir), "members")
+    pairs = duplicates.groups_of(members).where("n = 2").select("sig")
+    return duplicates.groups_of(members, ignored=pairs).select("group_id", "n")
 
 
 @_query("dup_summary", f"{_GROUPS} SELECT CASE WHEN exact THEN 'exact' ELSE 'similar' END AS kind, count(*) AS groups, sum(n)::BIGINT AS files, sum(n - 1)::BIGINT AS extra_files FROM groups GROUP BY ALL")
 def _(spark, sf_dir):
-    return duplicates.summary(_groups(spark, sf_dir))
+    return duplicates.summary(duplicates.groups_of(_members(spark, sf_dir)))
 
 
 @_query(
@@ -393,11 +539,36 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")
-    groups = duplicates.exact_groups(rows)
-    choices = groups.select(F.array_min("ids").alias("keep_id"), F.explode("ids").alias("remove_id"), F.lit("exact").alias("kind"))
+    choices = duplicates.exact_members(rows).select(F.col("group_id").alias("keep_id"), F.col("id").alias("remove_id"), F.lit("exact").alias("kind"))
     return duplicates.kept_one(catalog.links(spark, sf_dir), rows, choices, NOW)[0].select("media_id", "tag_key", "updated_at", "deleted")
 
 
+_CHOICES = f"""{MEDIA}, g AS (SELECT id, sha256, min(id) OVER (PARTITION BY sha256) AS first FROM media),
+    c AS (SELECT first AS keep_id, id AS remove_id, 'exact' AS kind FROM g UNION ALL SELECT id, id + 1, CASE WHEN id % 2 = 0 THEN 'exact' ELSE 'similar' END FROM media),
+    o AS (SELECT keep_id, remove_id, kind, CASE WHEN NOT k.present THEN 'the file to keep is missing' WHEN NOT r.present THEN 'file not found'
+            WHEN kind = 'exact' AND r.sha256 <> k.sha256 THEN 'its content is no longer that of the kept file' ELSE 'removed' END AS outcome
+          FROM c JOIN media r ON r.id = remove_id JOIN media k ON k.id = keep_id WHERE keep_id <> remove_id)"""
+
+
+@_query("dup_keep_outcomes", f"WITH {_CHOICES} SELECT keep_id, remove_id, kind, outcome FROM o")
+def _(spark, sf_dir):
+    """Equal files with absent ones among them, and each file with the one after it."""
+    rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")
+    first = rows.groupBy("sha256").agg(F.min("id").alias("keep_id"))
+    equal = rows.join(first, "sha256").select("keep_id", F.col("id").alias("remove_id"), F.lit("exact").alias("kind"))
+    beside = rows.select(F.col("id").alias("keep_id"), (F.col("id") + 1).alias("remove_id"), F.when(F.col("id") % 2 == 0, "exact").otherwise("similar").alias("kind"))
+    return duplicates.keep_outcomes(rows, equal.unionByName(beside)).select("keep_id", "remove_id", "kind", "outcome")
+
+
+@_query("dup_dropped", f"WITH {_CHOICES} SELECT DISTINCT remove_id AS id FROM o WHERE outcome = 'removed' AND kind = 'exact'")
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir).join(catalog.contents(spark, sf_dir), "id")
+    first = rows.groupBy("sha256").agg(F.min("id").alias("keep_id"))
+    equal = rows.join(first, "sha256").select("keep_id", F.col("id").alias("remove_id"), F.lit("exact").alias("kind"))
+    beside = rows.where("id % 2 = 0").select(F.col("id").alias("keep_id"), (F.col("id") + 1).alias("remove_id"), F.lit("exact").alias("kind"))
+    return duplicates.kept_one(catalog.links(spark, sf_dir), rows, equal.unionByName(beside), NOW)[1]
+
+
 # -- sync --------------------------------------------------------------------------------------------
 
 
@@ -452,20 +623,6 @@ def _(spark, sf_dir):
     return sync.attached(catalog.links(spark, sf_dir).limit(0), pending, rows)[0].select("media_id", "tag_key", "updated_at", "deleted")
 
 
-@_query(
-    "relink_unique",
-    f"""WITH {MEDIA}, {LINKS}, t AS (SELECT DISTINCT media_id FROM links), k AS (SELECT *, 'n' || (id // 11) % 40 AS name FROM media),
-    o AS (SELECT name, min(id) AS old_id FROM k JOIN t ON t.media_id = k.id WHERE NOT present GROUP BY name HAVING count(*) = 1),
-    n AS (SELECT name, min(id) AS new_id FROM k WHERE present AND id % 11 < 2 GROUP BY name HAVING count(*) = 1)
-    SELECT old_id, new_id FROM o JOIN n USING (name)""",
-)
-def _(spark, sf_dir):
-    """Vanished documents against every new one, under names that repeat each 40th."""
-    rows = catalog.media(spark, sf_dir).where("not present or id % 11 < 2")
-    rows = rows.withColumns({"filename": F.concat(F.lit("N"), (F.floor(F.col("id") / 11) % 40).cast("string")), "size": F.lit(1)})
-    return sync.relinks(rows, catalog.links(spark, sf_dir))
-
-
 @_query(
     "relink_all_media",
     f"""WITH {MEDIA}, {LINKS}, t AS (SELECT DISTINCT media_id FROM links), b AS (SELECT id, present, id // 11 AS block, id % 11 AS place FROM media),
@@ -746,35 +903,59 @@ def _(spark, sf_dir):
     return rename.numbered_names(chosen, " trip ", start=9, digits=3).select("id", "new_name")
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New names: numbers that repeat, names of other files, bad ones."""
+def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All media and some more files, and a plan of new names for all media: numbers that repeat, names of other files, bad ones."""
     rows = catalog.media(spark, sf_dir)
     i = F.col("id")
-    other = F.concat(F.lit("doc_"), (i + 1).cast("string"), F.lit(".jpg"))
+    prefix = F.when(F.col("album") == "", "").otherwise(F.concat("album", F.lit("/")))
+    extra = rows.where("id % 12 in (2, 7)").withColumns(
+        {"id": i + (1 << 40), "rel_path": F.concat(prefix, F.lit("Other_"), i.cast("string"), F.lit(".jpg")), "present": i % 24 < 12}
+    )
+    other = F.concat(F.when(i % 12 == 2, "oTHER_").otherwise("other_"), i.cast("string"), F.lit(".jpg"))
     name = (
-        F.when(i % 12 == 0, "con.jpg").when(i % 12 == 1, F.col("filename")).when(i % 12 == 2, other).when(i % 12 == 3, "a:b.jpg").otherwise(F.concat(F.lit("N"), F.floor(i / 40).cast("string"), F.lit(".jpg")))
+        F.when(i % 12 == 0, "con.jpg").when(i % 12 == 1, F.col("filename")).when((i % 12).isin(2, 7), other).when(i % 12 == 3, "a:b.jpg").otherwise(F.concat(F.lit("N"), F.floor(i / 40).cast("string"), F.lit(".jpg")))
     )
-    return rename.rename_plan(rows, rows.where("id % 3 <> 2").select("id", F.col("id").alias("pos"), name.alias("new_name")))
+    every = rows.unionByName(extra)
+    return every, rename.rename_plan(every, rows.select("id", i.alias("pos"), name.alias("new_name")))
 
 
-_PLAN = f"""WITH {MEDIA}, names AS (SELECT *, CASE id % 12 WHEN 0 THEN 'con.jpg' WHEN 1 THEN filename WHEN 3 THEN 'a:b.jpg' ELSE 'N' || id // 40 || '.jpg' END AS new_name FROM media WHERE id % 3 <> 2),
+_PLAN = f"""WITH {MEDIA}, names AS (SELECT *, CASE id % 12 WHEN 0 THEN 'con.jpg' WHEN 1 THEN filename WHEN 2 THEN 'oTHER_' || id || '.jpg' WHEN 7 THEN 'other_' || id || '.jpg' WHEN 3 THEN 'a:b.jpg' ELSE 'N' || id // 40 || '.jpg' END AS new_name FROM media),
     n AS (SELECT *, CASE WHEN album = '' THEN new_name ELSE album || '/' || new_name END AS new_path FROM names),
     s AS (SELECT *, CASE WHEN NOT present THEN 'file is missing' WHEN new_name = 'con.jpg' THEN 'name cannot be a reserved name' WHEN new_name = 'a:b.jpg' THEN 'name cannot contain reserved or control characters' WHEN new_path = rel_path THEN 'unchanged' END AS early FROM n),
-    t AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN early IS NULL THEN lower(new_path) ELSE id::VARCHAR END ORDER BY id) AS turn FROM s)
-    SELECT t.id, t.rel_path AS old_path, t.new_path, CASE WHEN early IS NOT NULL THEN early WHEN turn > 1 THEN 'two files would get the same name'
-      WHEN o.id IS NOT NULL AND o.present AND o.id NOT IN (SELECT id FROM s WHERE early IS NULL) THEN 'the name is taken'
-      WHEN o.id IS NOT NULL AND NOT o.present AND o.id NOT IN (SELECT id FROM s WHERE early IS NULL) THEN 'an older record has that name' ELSE 'ok' END AS status
-    FROM t LEFT JOIN media o ON {fold("o.rel_path")} = {fold("t.new_path")}"""
+    t AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN early IS NULL THEN lower(new_path) ELSE id::VARCHAR END ORDER BY id) AS turn FROM s),
+    p AS (SELECT id, rel_path AS old_path, new_path, CASE WHEN early IS NOT NULL THEN early WHEN turn > 1 THEN 'two files would get the same name'
+      WHEN id % 12 IN (2, 7) AND id % 24 < 12 THEN 'the name is taken' WHEN id % 12 IN (2, 7) THEN 'an older record has that name' ELSE 'ok' END AS status FROM t)"""
+
+
+@_query("rename_plan", f"{_PLAN} SELECT id, old_path, new_path, status FROM p")
+def _(spark, sf_dir):
+    return _plan(spark, sf_dir)[1]
+
+
+@_query("rename_conflicts", f"{_PLAN} SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status NOT IN ('ok', 'unchanged')) AS n_problems, bool_and(status IN ('ok', 'unchanged')) AS ok FROM p")
+def _(spark, sf_dir):
+    return rename.is_applicable(_plan(spark, sf_dir)[1])
 
 
-@_query("rename_plan", _PLAN)
+@_query("rename_applied", f"{_PLAN} SELECT id, CASE WHEN status = 'ok' THEN new_path ELSE old_path END AS rel_path, status = 'ok' AS logged FROM p")
 def _(spark, sf_dir):
-    return _plan(spark, sf_dir)
+    """The catalog after the fine part of the plan, and which of its files have a move record."""
+    every, plan = _plan(spark, sf_dir)
+    after = rename.renamed(every, plan).where(F.col("id") < 1 << 40).select("id", "rel_path")
+    logged = rename.rename_moves(every, plan, NOW).select("to_path", F.lit(True).alias("logged"))
+    return after.join(logged, F.col("rel_path") == F.col("to_path"), "left").select("id", "rel_path", F.coalesce("logged", F.lit(False)).alias("logged"))
 
 
-@_query("rename_conflicts", f"WITH p AS ({_PLAN}) SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status NOT IN ('ok', 'unchanged')) AS n_problems, bool_and(status IN ('ok', 'unchanged')) AS ok FROM p")
+@_query(
+    "rename_prefix",
+    f"""WITH {MEDIA}, c AS (SELECT id, rel_path, album, row_number() OVER (ORDER BY lower(rel_path), id) AS n FROM media WHERE type = 'video'),
+    k AS (SELECT *, CASE WHEN album = '' THEN '' ELSE album || '/' END || 'doc_' || n || '.mp4' AS new_path FROM c)
+    SELECT id, rel_path AS old_path, new_path, CASE WHEN EXISTS (SELECT 1 FROM media o WHERE lower(o.rel_path) = lower(k.new_path) AND lower(o.rel_path) <> lower(k.rel_path)) THEN 'another file has the name' ELSE 'ok' END AS status FROM k""",
+)
 def _(spark, sf_dir):
-    return rename.is_applicable(_plan(spark, sf_dir))
+    """All videos numbered behind a prefix that some files have already."""
+    rows = catalog.media(spark, sf_dir)
+    return rename.prefix_plan(rows, rows.where("type = 'video'"), "doc_")
 
 
 # -- further rules -----------------------------------------------------------------------------------
@@ -868,3 +1049,136 @@ def _(spark, sf_dir):
     pair = F.when(F.col("id") % 11 == 10, F.col("id")).when((F.col("id") > 0) & (F.col("id") % 11 == 0), F.col("id") - 1)
     rows = rows.withColumns({"filename": F.coalesce(F.concat(F.lit("n"), pair.cast("string")), F.concat(F.lit("other"), F.col("id").cast("string"))), "size": F.lit(1)})
     return sync.relinked(rows, catalog.links(spark, sf_dir))[1].select("media_id", "tag_key", "updated_at", "deleted")
+
+
+# -- tags by path ------------------------------------------------------------------------------------
+
+_PATHS = f"""{MEDIA}, {RECORDS},
+    every AS (SELECT 'lib' || machine AS library, m.rel_path AS path, r.tag AS name, r.updated_at, r.deleted, r.seq FROM records r JOIN media m ON m.id = r.media_id),
+    store AS (SELECT library, path, name, updated_at, deleted FROM (SELECT *, row_number() OVER (PARTITION BY library, path, name ORDER BY updated_at DESC, seq) AS turn FROM every) WHERE turn = 1)"""
+
+
+def _path_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machines' records by library and path: library, path, name, updated_at, deleted, seq."""
+    rows = catalog.media(spark, sf_dir).select("id", F.col("rel_path").alias("path"))
+    records = catalog.records(spark, sf_dir).join(rows, F.col("media_id") == F.col("id"))
+    return records.select(F.concat(F.lit("lib"), F.col("machine").cast("string")).alias("library"), "path", F.col("tag").alias("name"), "updated_at", "deleted", "seq")
+
+
+def _path_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.max_by(F.struct("updated_at", "deleted"), F.struct("updated_at", -F.col("seq")))
+    return _path_records(spark, sf_dir).groupBy("library", "path", "name").agg(best.alias("r")).select("library", "path", "name", "r.*")
+
+
+def _in_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.media(spark, sf_dir).withColumn("library", F.concat(F.lit("lib"), (F.col("id") % 3).cast("string")))
+
+
+@_query("path_tags_media", f"WITH {_PATHS} SELECT m.id, s.library, m.rel_path, s.name FROM media m JOIN store s ON s.library = 'lib' || m.id % 3 AND s.path = m.rel_path WHERE m.present AND NOT s.deleted")
+def _(spark, sf_dir):
+    store = _path_store(spark, sf_dir).withColumn("path", F.upper("path"))
+    return path_tags.by_media(_in_libraries(spark, sf_dir), store)
+
+
+@_query(
+    "path_tags_edited",
+    f"""WITH {_PATHS}, touched AS (SELECT s.*, NOT deleted AND (s.library = 'lib0' AND name = 'click' AND path LIKE '%.jpg' OR s.library = 'lib2' AND name = 'view' OR s.library = 'lib1' AND name = 'error') AS t FROM store s),
+    new AS (SELECT 'lib1' AS library, rel_path AS path, 'Sun' AS name FROM media WHERE type = 'video' UNION SELECT library, path, 'Seen' FROM touched WHERE t AND name = 'view')
+    SELECT library, path, name, CASE WHEN t THEN {NOW} ELSE updated_at END AS updated_at, deleted OR t AS deleted FROM touched UNION ALL SELECT library, path, name, {NOW}, false FROM new""",
+)
+def _(spark, sf_dir):
+    """A tag added to videos, one taken off photos, one renamed and one deleted, each in one library."""
+    paths = catalog.media(spark, sf_dir).select(F.col("rel_path").alias("path"), "type")
+    store = path_tags.add(_path_store(spark, sf_dir), paths.where("type = 'video'").select(F.lit("lib1").alias("library"), "path"), [" Sun "], NOW)
+    store = path_tags.remove(store, paths.where("type = 'photo'").select(F.lit("lib0").alias("library"), F.upper("path").alias("path")), "CLICK", NOW)
+    return path_tags.delete(path_tags.rename(store, "lib2", "View", "Seen", NOW), "lib1", "Error", NOW).select("library", "path", "name", "updated_at", "deleted")
+
+
+@_query(
+    "path_tags_moved",
+    f"""WITH {_PATHS}, k AS (SELECT s.library, CASE WHEN m.id % 2 = 1 THEN o.rel_path ELSE s.path END AS path, name, updated_at, deleted, m.id % 2 AS moved
+            FROM store s JOIN media m ON m.rel_path = s.path LEFT JOIN media o ON o.id = m.id - 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY library, path, name ORDER BY updated_at DESC, moved) AS turn FROM k) SELECT library, path, name, updated_at, deleted FROM r WHERE turn = 1""",
+)
+def _(spark, sf_dir):
+    """Every odd file's tags move to the path of the even one before it, in all libraries."""
+    return path_tags.moved(_path_store(spark, sf_dir), _pairs_of_paths(spark, sf_dir)).select("library", "path", "name", "updated_at", "deleted")
+
+
+def _pairs_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of every odd file to the path of the even one before it: library, from_path, to_path."""
+    rows = catalog.media(spark, sf_dir).select("id", "rel_path")
+    odd = rows.where("id % 2 = 1").select((F.col("id") - 1).alias("id"), F.upper("rel_path").alias("from_path"))
+    return odd.join(rows.withColumnRenamed("rel_path", "to_path"), "id").select(F.explode(F.array(*[F.lit(f"lib{n}") for n in range(3)])).alias("library"), "from_path", "to_path")
+
+
+@_query("path_move_records", f"WITH {MEDIA} SELECT 'lib' || m.id % 3 AS library, upper(m.rel_path) AS from_path, o.rel_path AS to_path, m.size, {NOW}::DOUBLE AS moved_at FROM media m JOIN media o ON o.id = m.id - 1 WHERE m.id % 2 = 1")
+def _(spark, sf_dir):
+    return path_tags.move_records(_in_libraries(spark, sf_dir), _pairs_of_paths(spark, sf_dir), NOW)
+
+
+_TWO_STORES = f"""{_PATHS}, one AS (SELECT * FROM store WHERE library = 'lib0'), two AS (SELECT 'lib0' AS library, path, name, updated_at, deleted FROM store WHERE library = 'lib1'),
+    latest AS (SELECT path, name, max(updated_at) AS time, arg_max(deleted, updated_at) AS gone FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL),
+    taken AS (SELECT s.path, s.name, s.updated_at, s.deleted, l.gone, m.present FROM store s JOIN media m ON m.rel_path = s.path LEFT JOIN latest l ON l.path = s.path AND l.name = s.name
+              WHERE s.library = 'lib2' AND (l.time IS NULL OR s.updated_at > l.time))"""
+
+
+def _two_stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One machine's records as the store, another's as the held ones, the third's as what comes in."""
+    store = _path_store(spark, sf_dir)
+    one, two, new = (store.where(F.col("library") == f"lib{n}").withColumn("library", F.lit("lib0")) for n in range(3))
+    return path_tags.merge(one, two, catalog.media(spark, sf_dir).withColumn("library", F.lit("lib0")), new)
+
+
+@_query(
+    "path_tags_merged",
+    f"""WITH {_TWO_STORES}, s AS (SELECT path, name, updated_at, deleted FROM taken WHERE present UNION ALL SELECT path, name, updated_at, deleted FROM one o WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.present AND t.path = o.path AND t.name = o.name)),
+    h AS (SELECT path, name, updated_at, deleted FROM taken WHERE NOT present UNION ALL SELECT path, name, updated_at, deleted FROM two o WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE NOT t.present AND t.path = o.path AND t.name = o.name))
+    SELECT 'tags' AS store, * FROM s UNION ALL SELECT 'held', * FROM h""",
+)
+def _(spark, sf_dir):
+    store, pending, _ = _two_stores(spark, sf_dir)
+    both = store.withColumn("store", F.lit("tags")).unionByName(pending.withColumn("store", F.lit("held")))
+    return both.select("store", "path", "name", "updated_at", "deleted")
+
+
+@_query("path_tags_merge_counts", f"WITH {_TWO_STORES} SELECT count(*) AS accepted, count(*) FILTER (coalesce(gone, true) <> deleted) AS changed FROM taken")
+def _(spark, sf_dir):
+    return _two_stores(spark, sf_dir)[2]
+
+
+@_query("sync_remapped", f"WITH {_PATHS} SELECT seq, CASE WHEN m.id % 2 = 1 THEN o.rel_path ELSE m.rel_path END AS path FROM every e JOIN media m ON m.rel_path = e.path LEFT JOIN media o ON o.id = m.id - 1")
+def _(spark, sf_dir):
+    """Records of files that moved before go to where they are now."""
+    done = _pairs_of_paths(spark, sf_dir).where("library = 'lib0'").select(F.lower("from_path").alias("from_path"), "to_path", F.lit(1).alias("seq"))
+    return path_tags.remapped(_path_records(spark, sf_dir).select("seq", F.lower("path").alias("path"), F.col("path").alias("own")), done).select(
+        "seq", F.when(F.lower("own") == F.col("path"), F.col("own")).otherwise(F.col("path")).alias("path")
+    )
+
+
+@_query(
+    "sync_flat_records",
+    f"""WITH {MEDIA}, {RECORDS}, r AS (SELECT r.*, m.rel_path, m.size FROM records r JOIN media m ON m.id = r.media_id)
+    SELECT seq, rel_path AS path, size, CASE WHEN seq % 7 = 3 THEN 'a b' ELSE tag END AS tag, deleted AND seq % 4 <> 1 AS deleted FROM r WHERE seq % 7 NOT IN (1, 2) AND seq % 9 <> 4""",
+)
+def _(spark, sf_dir):
+    """Documents of one record each, some with unsafe paths, blank names, no time, or no word on deletion."""
+    rows = catalog.media(spark, sf_dir).select("id", "rel_path", "size")
+    held = catalog.records(spark, sf_dir).join(rows, F.col("media_id") == F.col("id"))
+    k = F.col("seq") % 7
+    name = F.when(k == 1, " ").when(k == 3, " a  b").otherwise(F.col("tag"))
+    tag = F.struct(name.alias("name"), F.when(k != 2, F.col("updated_at")).alias("updated_at"), F.when(F.col("seq") % 4 != 1, F.col("deleted")).alias("deleted"))
+    path = F.when(F.col("seq") % 9 == 4, F.concat(F.lit("../"), "rel_path")).otherwise(F.col("rel_path"))
+    media = F.struct(path.alias("path"), "size", F.array(tag).alias("tags"))
+    docs = held.select(F.format_string("%020d", "seq").alias("file"), F.struct(F.array(media).alias("media")).alias("doc"))
+    return sync.flat_records(docs).select(F.col("seq.file").cast("long").alias("seq"), "path", "size", "tag", "deleted")
+
+
+@_query("sync_strict_documents", "SELECT conv_id, turn FROM conversations WHERE turn % 5 >= 1 AND conv_id % 4 < 2")
+def _(spark, sf_dir):
+    """Documents by version and machine id: too old ones, blank, missing and long ids."""
+    rows = catalog.table(spark, sf_dir, "conversations")
+    k = F.col("conv_id") % 4
+    machine = F.when(k == 0, "m").when(k == 1, F.lit("x" * 128)).when(k == 2, F.when(F.col("turn") % 2 == 0, " ")).otherwise(F.lit("x" * 129))
+    docs = rows.select("conv_id", "turn", F.struct((F.col("turn") % 5).cast("int").alias("version"), machine.alias("machine_id")).alias("doc"))
+    return sync.strict_documents(docs).select("conv_id", "turn")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaquarry.functions.text import basename, dirname, extension, hidden, media_type
+from mediaquarry.functions.text import basename, extension, hidden, media_type
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -25,14 +25,25 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("type is not null").select("root", "rel_path", "filename", "type", "size", "mtime")
 
 
-def folders(listed: DataFrame) -> DataFrame:
-    """The folders of a listing, with all above them."""
-    from mediaquarry.functions.text import ancestors
-
-    return listed.select("root", F.explode(ancestors(dirname(F.col("rel_path")))).alias("rel_path")).distinct()
+def folders(spark: SparkSession, root: str) -> DataFrame:
+    """The folders below ``root`` that are not hidden, empty ones too: root, rel_path. Names only are read, by the driver, as for any file source."""
+    root = root.rstrip("/")
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: list[str] = []
+    waiting = [(top, "")]
+    while waiting:
+        at, rel = waiting.pop()
+        for entry in store.listStatus(at):
+            name = entry.getPath().getName()
+            if entry.isDirectory() and not name.startswith("."):
+                path = f"{rel}/{name}" if rel else name
+                found.append(path)
+                waiting.append((entry.getPath(), path))
+    return spark.createDataFrame([(root, path) for path in sorted(found)], "root string, rel_path string")
 
 
-def contents(spark: SparkSession, root: str, block: int | None = None) -> DataFrame:
+def contents(spark: SparkSession, root: str) -> DataFrame:
     """Content hashes: rel path's URI, size, mtime and sha256 of each file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.sha2("content", 256).alias("sha256"))
@@ -48,3 +59,8 @@ def provider_listing(rows: DataFrame) -> DataFrame:
         F.col("path").alias("rel_path"), "type", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("last_modified", F.lit(0)).alias("last_modified"), extension(F.col("path")).alias("extension")
     )
     return clean.orderBy(F.desc("last_modified"), F.lower("rel_path"))
+
+
+def provider_folders(rows: DataFrame) -> DataFrame:
+    """Folders of a document provider (path), each once, by folded path."""
+    return rows.where(~hidden(F.col("path"))).select(F.col("path").alias("rel_path")).distinct().orderBy(F.lower("rel_path"))

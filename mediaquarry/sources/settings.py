@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,24 @@ def set_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
     return settings.where(F.col("key") != key).unionByName(new)
 
 
+def machine_id(settings: DataFrame) -> tuple[DataFrame, str]:
+    """This machine's id, twelve hexadecimal digits, made and stored at the first call; returns the settings with it."""
+    own = get_setting(settings, "machine_id")
+    if own:
+        return settings, own
+    own = uuid.uuid4().hex[:12]
+    return set_setting(settings, "machine_id", own), own
+
+
 def roots(settings: DataFrame) -> DataFrame:
-    """Library roots in their stored order, each once: root, pos."""
-    listed = settings.where("key = 'roots'").select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "root"))
-    return listed.groupBy("root").agg(F.min("pos").alias("pos"))
+    """Library roots in their stored order, each once, as absolute paths without '.', '..' and double slashes: root, pos.
+
+    What is no JSON list gives no roots.
+    """
+    stored = get_setting(settings, "roots", "[]")
+    try:
+        listed = json.loads(stored)
+    except ValueError:
+        listed = []
+    paths = dict.fromkeys(posixpath.abspath(posixpath.expanduser(r)) for r in listed if isinstance(r, str)) if isinstance(listed, list) else {}
+    return settings.sparkSession.createDataFrame([(r, i) for i, r in enumerate(paths)], "root string, pos int")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquarry.operators.sync import export, retained_moves
+from mediaquarry.storage import materialise
 
 FORMAT, VERSION, PREFIX, MAX_BYTES = "media-catalog-sync", 1, "sync-", 50 * 1024 * 1024
 
@@ -38,28 +41,41 @@ def read_documents(spark: SparkSession, folder: str, own_machine: str | None = N
     return good.select("file", "doc"), judged.where("problem is not null").select("file", "problem")
 
 
-def document(media: DataFrame, links: DataFrame, moves: DataFrame, machine_id: str, now: float, format_name: str = FORMAT) -> DataFrame:
-    """This machine's document as one row of JSON: present media with tags by path, and the moves of the retention time by time."""
-    rows = export(media, links)
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("path", "size", "tags"))).alias("media"))
-    kept = retained_moves(moves, now).agg(
-        F.sort_array(F.collect_list(F.struct("moved_at", F.col("from_path").alias("from"), F.col("to_path").alias("to"), "size"))).alias("moves")
-    )
-    ordered = F.transform("moves", lambda m: F.struct(m["from"].alias("from"), m["to"].alias("to"), m["size"].alias("size"), m["moved_at"].alias("at")))
-    head = [F.lit(format_name).alias("format"), F.lit(VERSION).alias("version"), F.lit(machine_id).alias("machine_id"), F.lit(float(now)).alias("exported_at")]
-    return listed.join(kept, F.lit(True)).select(F.to_json(F.struct(*head, "media", ordered.alias("moves"))).alias("value"))
+def document_rows(media: DataFrame, links: DataFrame, moves: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """What this machine's document holds, a JSON row each: present media with tags by path, and the moves of the retention time by time."""
+    rows = export(media, links).select("path", F.to_json(F.struct("path", "size", "tags")).alias("value"))
+    kept = retained_moves(moves, now)
+    record = F.struct(F.col("from_path").alias("from"), F.col("to_path").alias("to"), "size", F.col("moved_at").alias("at"))
+    return rows, kept.select("moved_at", "from_path", "to_path", F.to_json(record).alias("value"))
+
 
+def write_document(
+    media: DataFrame, links: DataFrame, moves: DataFrame, folder: str, machine_id: str, now: float, format_name: str = FORMAT, prefix: str = PREFIX, max_bytes: int = MAX_BYTES
+) -> str:
+    """Write the document next to the others: to a file of another name, which then takes the old one's place in one step.
 
-def write_document(media: DataFrame, links: DataFrame, moves: DataFrame, folder: str, machine_id: str, now: float, format_name: str = FORMAT, prefix: str = PREFIX) -> str:
-    """Write the document next to the others and move it into place at once."""
+    The rows are made in parallel and joined here once they are known to be small; ValueError if the document would be
+    larger than ``max_bytes``, which no reader takes. The old document stays until then.
+    """
     spark = media.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    part, final = path(f"{folder}/.{prefix}{machine_id}.part"), path(f"{folder}/{prefix}{machine_id}.json")
-    document(media, links, moves, machine_id, now, format_name).coalesce(1).write.mode("overwrite").text(part.toString())
-    store = part.getFileSystem(conf)
-    one = next(s.getPath() for s in store.listStatus(part) if s.getPath().getName().startswith("part-"))
-    store.delete(final, False)
-    store.rename(one, final)
-    store.delete(part, True)
+    parts = [materialise(rows.select("value"), "document-rows") for rows in document_rows(media, links, moves, now)]
+    size = sum(p.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0] for p in parts)
+    if size > max_bytes:
+        raise ValueError(f"the document has {size} bytes; readers take {max_bytes}")
+    ordered = [sorted((r["value"] for r in p.collect()), key=_place) for p in parts]
+    head = json.dumps({"format": format_name, "version": VERSION, "machine_id": machine_id, "exported_at": float(now)})[:-1]
+    text = f'{head}, "media": [{",".join(ordered[0])}], "moves": [{",".join(ordered[1])}]}}'
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    part, final = fs.Path(f"{folder}/.{prefix}{machine_id}.part"), fs.Path(f"{folder}/{prefix}{machine_id}.json")
+    out = part.getFileSystem(conf).create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    option = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    option[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf).rename(part, final, option)
     return final.toString()
+
+
+def _place(row: str) -> tuple:
+    record = json.loads(row)
+    return (record.get("at", 0.0), record.get("path") or record.get("from"), record.get("to") or "")

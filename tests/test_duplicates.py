@@ -30,8 +30,12 @@ def row(i, *, size=10, sha=None, h=None, kind="photo", present=True, duration=No
 
 
 def groups(spark, rows, **options):
-    found = duplicates.find_groups(spark.createDataFrame(rows, MEDIA), **options)
-    return sorted((tuple(r.ids), r.kind) for r in found.collect())
+    ignored = options.pop("ignored", None)
+    members = duplicates.find_members(spark.createDataFrame(rows, MEDIA), **options).cache()
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r.group_id, []).append(r.id)
+    return sorted((tuple(sorted(ids[r.group_id])), r.kind) for r in duplicates.groups_of(members, ignored).collect())
 
 
 @pytest.mark.parametrize("distance", [0, 1, 3, 6, 10])
@@ -61,6 +65,76 @@ def test_durations(spark):
     assert groups(spark, videos) == [((1, 2), "similar")]
 
 
+def test_video_groups_are_those_of_all_pairs(spark):
+    r = random.Random(11)
+    hashes = [r.getrandbits(64) for _ in range(4)]
+    videos = []
+    for i in range(90):
+        h = flip(r.choice(hashes), *r.sample(range(64), r.randint(0, 5)))
+        videos.append(row(i, h=h, kind="video", duration=None if i % 17 == 0 else r.choice([10.0, 60.0, 300.0, 1000.0]) * r.uniform(0.96, 1.04)))
+    label = list(range(len(videos)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, x in enumerate(videos):
+        for j, y in enumerate(videos[:i]):
+            fine = x[7] is not None and y[7] is not None and abs(x[7] - y[7]) <= max(1.0, 0.02 * max(x[7], y[7]))
+            if fine and bin((x[11] ^ y[11]) & (1 << 64) - 1).count("1") <= 6:
+                a, b = top(i), top(j)
+                label[max(a, b)] = min(a, b)
+    want = {}
+    for i in range(len(videos)):
+        want.setdefault(top(i), []).append(i)
+    assert [g for g, _ in groups(spark, videos)] == sorted(tuple(g) for g in want.values() if len(g) > 1)
+    one = [row(i, h=H, kind="video", duration=float(i)) for i in range(200)]
+    links = duplicates.video_links(spark.createDataFrame(one, MEDIA).withColumn("h", F.col("phash")), 6)
+    assert links.count() < 200
+
+
+def test_similar_only(spark):
+    rows = [row(1, sha="a"), row(2, sha="a"), row(3, sha="b", h=H), row(4, sha="c", h=H)]
+    assert groups(spark, rows, exact=False) == [((3, 4), "similar")]
+    assert groups(spark, rows, similar=False) == [((1, 2), "exact")]
+
+
+def test_members_and_stats_of_exact_groups(spark):
+    media = spark.createDataFrame([row(1, sha="a"), row(2, sha="a"), row(3, sha="b", size=7), row(4, sha="c", size=0), row(5, sha="a", present=False)], MEDIA)
+    assert sorted((r.id, r.group_id, r.n) for r in duplicates.exact_members(media).collect()) == [(1, 1, 2), (2, 1, 2)]
+    assert [(r.group_id, r.n, r.first_path) for r in duplicates.exact_groups(media, by_size=True).collect()] == [(1, 2, "f1.jpg")]
+    assert tuple(duplicates.exact_stats(media).first()) == (4, 1, 2)
+
+
+def test_index_keeps_lengths_and_stamps_failures(spark):
+    media = spark.createDataFrame([row(1, h=H, duration=3.0, stale=True), row(2, h=H, stale=True), row(3, h=H)], MEDIA)
+    measured = spark.createDataFrame([(1, None, None), (2, 7, 9.0)], "id long, phash long, duration double")
+    after = duplicates.indexed(media, measured)
+    assert sorted((r.id, r.phash, r.duration, r.sig_mtime) for r in after.collect()) == [(1, None, 3.0, 1.0), (2, 7, 9.0, 1.0), (3, signed(H), None, 1.0)]
+    assert duplicates.signature_candidates(after).count() == 0
+
+
+def test_an_index_run_goes_on_where_it_was_cancelled(spark, tmp_path):
+    media = spark.createDataFrame([row(i, stale=True) for i in range(40)], MEDIA)
+    store, measured, calls = f"file://{tmp_path}/index", [], []
+
+    def measure(batch):
+        measured.extend(r.id for r in batch.collect())
+        return batch.select("id", F.col("id").alias("phash"), F.lit(None).cast("double").alias("duration"))
+
+    def cancelled():
+        calls.append(1)
+        return len(calls) > 2
+
+    assert duplicates.index_run(duplicates.signature_candidates(media), measure, store, 4, cancelled) == 2
+    some = len(measured)
+    assert 0 < some < 40
+    assert duplicates.index_run(duplicates.signature_candidates(media), measure, store, 4) == 4
+    assert sorted(measured) == list(range(40))
+    assert duplicates.signature_candidates(duplicates.indexed(media, spark.read.parquet(store))).count() == 0
+
+
 def test_absent_empty_and_stale(spark):
     assert groups(spark, [row(1, sha="x"), row(2, sha="x", present=False), row(3, sha="x", size=0)]) == []
     assert groups(spark, [row(1, sha="x"), row(2, sha="x", stale=True)]) == []
@@ -68,10 +142,12 @@ def test_absent_empty_and_stale(spark):
 
 def test_kinds_order_and_ignored(spark):
     rows = [row(1, sha="a"), row(2, sha="a"), row(3, sha="b", size=99, h=H), row(4, sha="c", size=98, h=H), row(5, sha="d", size=500), row(6, sha="d", size=500)]
-    found = duplicates.find_groups(spark.createDataFrame(rows, MEDIA))
-    assert [(r.ids, r.kind) for r in found.orderBy(*duplicates.group_order()).collect()] == [([5, 6], "exact"), ([1, 2], "exact"), ([3, 4], "similar")]
-    ignored = spark.createDataFrame([("1,2",)], "sig string")
+    found = duplicates.find_groups(spark.createDataFrame(rows, MEDIA)).cache()
+    assert [(r.group_id, r.kind, r.n) for r in found.orderBy(*duplicates.group_order()).collect()] == [(5, "exact", 2), (1, "exact", 2), (3, "similar", 2)]
+    assert [r.group_id for r in found.orderBy(*duplicates.by_first_path()).collect()] == [1, 3, 5]
+    ignored = found.where("group_id = 1").select("sig")
     assert len(groups(spark, rows, ignored=ignored)) == 2
+    assert duplicates.groups_of(duplicates.find_members(spark.createDataFrame(rows, MEDIA)), ignored).where("group_id = 1").count() == 0
     assert len(groups(spark, [*rows, row(7, sha="a")], ignored=ignored)) == 3
 
 
@@ -88,6 +164,12 @@ def test_keep_one(spark):
     changes, gone = duplicates.kept_one(links, media, choices, 9.0)
     assert [(r.media_id, r.tag) for r in changes.collect()] == [(1, "A")]
     assert [r.id for r in gone.collect()] == [2]
+    more = spark.createDataFrame([(1, 2, "exact"), (1, 3, "exact"), (1, 3, "similar"), (1, 4, "exact"), (4, 1, "exact"), (9, 1, "exact"), (1, 9, "exact")], "keep_id long, remove_id long, kind string")
+    media = media.union(spark.createDataFrame([row(4, sha="x", present=False)], MEDIA))
+    assert sorted((r.keep_id, r.remove_id, r.kind, r.outcome) for r in duplicates.keep_outcomes(media, more).collect()) == [
+        (1, 2, "exact", "removed"), (1, 3, "exact", "its content is no longer that of the kept file"), (1, 3, "similar", "removed"), (1, 4, "exact", "file not found"),
+        (4, 1, "exact", "the file to keep is missing"), (9, 1, "exact", "the file to keep is missing"),
+    ]
 
 
 def test_difference_hash(spark):

@@ -25,7 +25,8 @@ def test_listing_skips_hidden_and_other_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"123")
     found = files.listing(spark, str(tmp_path))
     assert sorted((r.rel_path, r.type, r.size) for r in found.collect()) == [("a.jpg", "photo", 3), ("trips/2024/B.MP4", "video", 3)]
-    assert sorted(r.rel_path for r in files.folders(found).collect()) == ["trips", "trips/2024"]
+    (tmp_path / "empty" / "in").mkdir(parents=True)
+    assert [r.rel_path for r in files.folders(spark, str(tmp_path)).orderBy("rel_path").collect()] == ["empty", "empty/in", "trips", "trips/2024"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
     assert files.contents(spark, str(tmp_path / "a.jpg")).first().sha256 == "a665a45920422f9d417e4867efdc4fb8a04a1f3fff1fa07e998e86f7f7a27ae3"
@@ -35,6 +36,8 @@ def test_provider_listing(spark):
     rows = [("b", "image/png", 1, 5), ("A.jpg", None, None, 5), ("c.mp4", None, 2, None), ("d.txt", "text/plain", 1, 1), ("b", "image/png", 1, 5)]
     found = files.provider_listing(spark.createDataFrame(rows, "path string, mime string, size long, last_modified long"))
     assert [(r.rel_path, r.type, r.size, r.last_modified) for r in found.collect()] == [("A.jpg", "photo", 0, 5), ("b", "photo", 1, 5), ("c.mp4", "video", 2, 0)]
+    tree = spark.createDataFrame([("b",), ("A",), ("b",), (".x/y",), ("a/c",)], "path string")
+    assert [r.rel_path for r in files.provider_folders(tree).collect()] == ["A", "a/c", "b"]
 
 
 def test_rescans(spark):
@@ -42,21 +45,51 @@ def test_rescans(spark):
     empty = media(spark).limit(0)
 
     def counts(listing, known):
-        return tuple(scan.scan_counts(scan.scan_diff(listing, known)).first())
+        return tuple(scan.scan_counts(scan.scan_diff(listing, known, ["/lib"])).first())
 
     assert counts(disk, empty) == (2, 0, 0, 0)
-    first = scan.refreshed(scan.scan_diff(disk, empty), empty, 1).cache()
+    first = scan.refreshed(scan.scan_diff(disk, empty, ["/lib"]), empty, 1).cache()
     assert sorted((r.rel_path, r.album, r.type) for r in first.collect()) == [("a.jpg", "", "photo"), ("t/B.mp4", "t", "video")]
     assert counts(disk, first) == (0, 0, 0, 0)
     less = disk.where("rel_path <> 'a.jpg'")
     assert counts(less, first) == (0, 0, 1, 0)
-    second = scan.refreshed(scan.scan_diff(less, first), first, 100).cache()
+    second = scan.refreshed(scan.scan_diff(less, first, ["/lib"]), first, 100).cache()
     assert {r.rel_path: r.present for r in second.collect()} == {"a.jpg": False, "t/B.mp4": True}
     assert counts(disk, second) == (0, 0, 0, 1)
     changed = disk.withColumn("size", F.col("size") + 1)
     assert counts(changed, first) == (0, 2, 0, 0)
 
 
+def test_scans_of_one_root_leave_the_others_alone(spark):
+    kind = "root string, rel_path string, size long, mtime double"
+    both = spark.createDataFrame([("/A", "a.jpg", 1, 1.0), ("/B", "b.jpg", 1, 1.0)], kind)
+    empty = media(spark).limit(0)
+    known = scan.refreshed(scan.scan_diff(both, empty, ["/A", "/B"]), empty, 1).cache()
+    listing = spark.createDataFrame([("/A", "a.jpg", 1, 1.0), ("/A", "B.JPG", 1, 1.0), ("/A", "new.jpg", 1, 1.0)], kind)
+    diff = scan.scan_diff(listing, known, ["/A"])
+    assert sorted((r.rel_path, r.status) for r in diff.collect()) == [("a.jpg", "same"), ("new.jpg", "added")]
+    after = scan.refreshed(diff, known, 50)
+    assert sorted((r.root, r.rel_path, r.present) for r in after.collect()) == [("/A", "a.jpg", True), ("/A", "new.jpg", True), ("/B", "b.jpg", True)]
+    gone = scan.scan_diff(listing.limit(0), known, ["/A"])
+    assert [(r.rel_path, r.status) for r in gone.collect()] == [("a.jpg", "missing")]
+    twice = spark.createDataFrame([("/A", "x.jpg", 1, 1.0), ("/B", "X.jpg", 2, 1.0)], kind)
+    assert [(r.root, r.status) for r in scan.scan_diff(twice, empty, ["/B", "/A"]).collect()] == [("/B", "added")]
+    tree = spark.createDataFrame([("/A", "p", True), ("/B", "q", True)], "root string, rel_path string, present boolean")
+    disk = spark.createDataFrame([("/A", "r")], "root string, rel_path string")
+    assert sorted((r.root, r.rel_path, r.status) for r in scan.folder_diff(disk, tree, ["/A"]).collect()) == [("/A", "p", "missing"), ("/A", "r", "added")]
+
+
+def test_prefix_renames(spark):
+    rows = media(spark, (1, "b/x.jpg", True), (2, "a/y.mp4", True), (3, "a/Trip2.jpg", True), (4, "b/TRIP3.JPG", True))
+    chosen = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    got = {r.id: (r.new_path, r.status) for r in rename.prefix_plan(rows, chosen, "trip").collect()}
+    assert got == {3: ("a/trip1.jpg", "ok"), 2: ("a/trip2.mp4", "ok"), 1: ("b/trip3.jpg", "another file has the name")}
+    for bad in ("", "a/b", "a\\b", ".", ".."):
+        with pytest.raises(ValueError, match="prefix"):
+            rename.prefix_plan(rows, chosen, bad)
+    assert rename.prefix_plan(rows, chosen.limit(0), "t").count() == 0
+
+
 def test_folder_counts_use_whole_parts(spark):
     rows = media(spark, (1, "Trip/a.jpg", True), (2, "Trips/b.jpg", True), (3, "Trips/in/c.jpg", True), (4, "Trips/d.jpg", False), (5, "50%_off/e.jpg", True), (6, "50x/f.jpg", True))
     got = {r.rel_path: r.n_media for r in folders.folder_counts(folders.folder_table(rows), rows).collect()}

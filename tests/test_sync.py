@@ -109,6 +109,12 @@ def test_documents_round_trip_and_bad_files(spark, tmp_path):
     (tmp_path / "sync-future.json").write_text(json.dumps(stored | {"version": 99}))
     bad = {"name": "", "updated_at": 1.0}, {"name": "x", "updated_at": None}, {"name": " ok  then ", "updated_at": 4.0}
     (tmp_path / "sync-other.json").write_text(json.dumps(stored | {"machine_id": "other", "media": [{"path": "../up", "size": 1, "tags": [bad[2]]}, {"path": "fine.jpg", "tags": list(bad)}]}))
+    sync_files.write_document(rows, links.limit(0), log, f"file://{tmp_path}", "me", 1e9 + 6)
+    assert json.loads((tmp_path / "sync-me.json").read_text())["media"] == []
+    with pytest.raises(ValueError, match="bytes"):
+        sync_files.write_document(rows, links, log, f"file://{tmp_path}", "me", 1e9 + 7, max_bytes=50)
+    assert json.loads((tmp_path / "sync-me.json").read_text())["exported_at"] == 1e9 + 6
+    assert sorted(p.name for p in tmp_path.glob("*.json")) == ["sync-alien.json", "sync-broken.json", "sync-future.json", "sync-me.json", "sync-other.json"]
     good, problems = sync_files.read_documents(spark, f"file://{tmp_path}", "me")
     assert [(r.path, r.size, r.tag, r.deleted) for r in sync.flat_records(good).collect()] == [("fine.jpg", None, "ok then", False)]
     assert sync.flat_moves(good).count() == 1
@@ -131,6 +137,11 @@ def test_settings(spark):
     empty = spark.createDataFrame([], "key string, value string")
     held = settings.set_setting(empty, "roots", '["/a", "/b", "/a"]')
     assert [r.root for r in settings.roots(held).orderBy("pos").collect()] == ["/a", "/b"]
+    messy = settings.set_setting(empty, "roots", '["/x/../a/", "/a", "/b//c/.", 5]')
+    assert [r.root for r in settings.roots(messy).orderBy("pos").collect()] == ["/a", "/b/c"]
+    assert settings.roots(settings.set_setting(empty, "roots", "no json")).count() == settings.roots(empty).count() == 0
+    held, own = settings.machine_id(held)
+    assert len(own) == 12 and int(own, 16) >= 0 and settings.machine_id(held)[1] == own
     assert settings.get_setting(held, "none", "d") == "d"
 
 
@@ -151,3 +162,124 @@ def test_relink_query_has_unique_and_ambiguous_names(spark):
             (old if place == 10 else new).setdefault((name, 2 if place != 10 and b % 7 == 3 else 1), []).append(i)
     want = {(old[k][0], new[k][0]) for k in old if len(old[k]) == 1 and len(new.get(k, [])) == 1}
     assert got == want and 0 < len(want) < len(blocks)
+
+
+def _library(spark, rows, links=(), pending=()):
+    table = media(spark, *rows).withColumn("album", F.regexp_replace("rel_path", "/?[^/]*$", ""))
+    log = spark.createDataFrame([], "from_path string, to_path string, size long, moved_at double")
+    held = spark.createDataFrame(list(pending), "path string, tag string, updated_at double, deleted boolean")
+    return sync.Library(table, spark.createDataFrame(list(links), LINKS), held, log)
+
+
+def _file_moves(spark, *steps):
+    return spark.createDataFrame([(*s[:4], i) for i, s in enumerate(steps)], "from_path string, to_path string, size long, moved_at double, n long").withColumn("seq", F.struct("moved_at", "n")).drop("n")
+
+
+def test_import_takes_moves_then_records_then_relinks_and_attaches(spark):
+    library = _library(
+        spark, [(1, "1.jpg", 3, True), (2, "2.jpg", 6, True), (3, "old/gone.jpg", 4, False), (4, "new/gone.jpg", 4, True)], [(3, "old", "old", 1.0, False)], [("2.JPG", "Late", 2.0, False)]
+    )
+    records = spark.createDataFrame([("T/1.jpg", 3, "sun", 1.0, False, 0), ("none.jpg", 1, "x", 1.0, False, 1), ("none.jpg", 1, "X", 0.5, True, 2)], RECORDS)
+    steps = _file_moves(spark, ("T/1.jpg", "U/1.jpg", 3, 20.0), ("1.jpg", "T/1.jpg", 3, 10.0), ("2.jpg", "V/2.jpg", 7, 5.0))
+    after, counters = sync.imported(library, records, steps)
+    assert tuple(counters.first()) == (2, 1, 1, 1)
+    assert {r.id: (r.rel_path, r.album) for r in after.media.collect()} == {1: ("U/1.jpg", "U"), 2: ("2.jpg", ""), 4: ("new/gone.jpg", "new")}
+    assert sorted((r.media_id, r.tag) for r in after.links.collect()) == [(1, "sun"), (2, "Late"), (4, "old")]
+    assert [(r.path, r.tag) for r in after.pending.collect()] == [("none.jpg", "x")]
+    assert sorted(r.to_path for r in after.log.collect()) == ["T/1.jpg", "U/1.jpg"]
+    again, counters = sync.imported(after, records, steps)
+    assert tuple(counters.first())[2:] == (0, 0)
+    off, counters = sync.imported(library, records, steps, apply_moves=False)
+    assert tuple(counters.first()) == (0, 0, 1, 1)
+    assert sorted((r.media_id, r.tag) for r in off.links.collect()) == [(1, "sun"), (2, "Late"), (4, "old")]
+
+
+def test_a_dry_run_judges_everything_against_what_is_there(spark):
+    library = _library(spark, [(1, "1.jpg", 3, True), (2, "2.jpg", 6, True)], [(2, "sun", "sun", 5.0, False)])
+    records = spark.createDataFrame([("2.jpg", 6, "Sun", 6.0, True, 0), ("2.jpg", 6, "sun", 7.0, True, 1), ("2.jpg", 6, "sun", 4.0, True, 2), ("gone.jpg", 1, "x", 1.0, False, 3), ("gone.jpg", 1, "x", 1.0, False, 4)], RECORDS)
+    steps = _file_moves(spark, ("1.jpg", "T/1.jpg", 3, 1.0), ("T/1.jpg", "U/1.jpg", 3, 2.0), ("../x", "y", 1, 1.0))
+    assert tuple(sync.dry_run(library, records, steps).first()) == (1, 1, 2, 2)
+    assert tuple(sync.dry_run(library, records.limit(0), steps.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_lonely_moves_are_judged_as_in_a_replay(spark):
+    rows = [(1, "a/1.jpg", 1, True), (2, "a/2.jpg", 1, True), (3, "old/3.jpg", 4, False), (4, "new/3.jpg", 4, True), (5, "e/5.jpg", 9, False)]
+    steps = [
+        _move(0, "../x", "b"), _move(1, "a/1.jpg", "b/1.jpg"), _move(2, "a/2.jpg", "c/3.jpg"), _move(3, "old/3.jpg", "new/3.jpg", size=4), _move(4, "e/5.jpg", "f/5.jpg", size=9), _move(5, None, "q"),
+    ]
+    outcomes, final = _replay(spark, rows, steps)
+    assert outcomes == ["skipped: malformed record", "applied", "skipped: move and rename in one", "relinked", "absent", "skipped: malformed record"]
+    assert final == {1: ("b/1.jpg", None), 3: ("old/3.jpg", 4)}
+
+
+def test_random_moves_agree_with_one_replay_of_all(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, f"d{i % 3}/{i}.jpg", 1 + i % 2, i % 5 != 0) for i in range(30)]
+    steps = []
+    for n in range(80):
+        i = r.randrange(30)
+        steps.append(_move(n, f"d{r.randrange(3)}/{i}.jpg", f"d{r.randrange(4)}/{i if r.random() < 0.8 else r.randrange(30)}.jpg", size=1 + r.randrange(2), at=float(r.randrange(40))))
+    ordered = sorted(steps, key=lambda s: (s[3], s[4]))
+    kept = [{"id": i, "rel_path": p, "size": s, "present": here} for i, p, s, here in rows]
+    want, final = moves.replay(kept, [{"from_path": s[0], "to_path": s[1], "size": s[2], "known": False, "valid": True} for s in ordered])
+    by_number = {s[4]: o for s, o in zip(ordered, want, strict=True)}
+    outcomes, changes = _replay(spark, rows, steps)
+    assert outcomes == [by_number[n] for n in range(len(steps))] and changes == final
+
+
+def test_mobile_documents(spark):
+    rows = [(1, "m"), (0, "m"), (2, " "), (1, None), (1, "x" * 129), (1, "x" * 128)]
+    docs = spark.createDataFrame([((v, m),) for v, m in rows], "doc struct<version: int, machine_id: string>")
+    assert [len(r.doc.machine_id) for r in sync.strict_documents(docs).collect()] == [1, 128]
+
+
+def test_tags_by_path(spark):
+    from mediaquarry.operators import path_tags
+
+    kind = "library string, path string, name string, updated_at double, deleted boolean"
+    store = spark.createDataFrame([("L", "a.jpg", "Sun", 1.0, False), ("L", "b.jpg", "sun", 2.0, True), ("M", "a.jpg", "sun", 1.0, False)], kind)
+
+    def state(table):
+        return sorted((r.library, r.path, r.name, r.updated_at, r.deleted) for r in table.collect())
+
+    at = spark.createDataFrame([("L", "A.jpg"), ("L", "b.jpg")], "library string, path string")
+    assert state(path_tags.remove(store, at, " SUN", 9.0)) == [("L", "a.jpg", "Sun", 9.0, True), ("L", "b.jpg", "sun", 2.0, True), ("M", "a.jpg", "sun", 1.0, False)]
+    assert state(path_tags.add(store, at, ["SUN", "sun", " "], 9.0)) == [("L", "A.jpg", "SUN", 9.0, False), ("L", "b.jpg", "SUN", 9.0, False), ("M", "a.jpg", "sun", 1.0, False)]
+    assert state(path_tags.rename(store, "L", "sun", "SuN", 9.0))[0] == ("L", "a.jpg", "SuN", 1.0, False)
+    assert state(path_tags.rename(store, "L", "sun", "moon", 9.0)) == [
+        ("L", "a.jpg", "Sun", 9.0, True), ("L", "a.jpg", "moon", 9.0, False), ("L", "b.jpg", "sun", 2.0, True), ("M", "a.jpg", "sun", 1.0, False),
+    ]
+    with pytest.raises(ValueError):
+        path_tags.rename(store, "L", "sun", " ", 9.0)
+    way = spark.createDataFrame([("L", "A.JPG", "b.jpg"), ("M", "a.jpg", "A.jpg")], "library string, from_path string, to_path string")
+    assert state(path_tags.moved(store, way)) == [("L", "b.jpg", "sun", 2.0, True), ("M", "a.jpg", "sun", 1.0, False)]
+    files = spark.createDataFrame([(1, "L", "a.jpg", 5, True), (2, "L", "b.jpg", 6, False)], "id long, library string, rel_path string, size long, present boolean")
+    assert [tuple(r) for r in path_tags.move_records(files, way, 3.0).collect()] == [("L", "A.JPG", "b.jpg", 5, 3.0)]
+    assert [(r.id, r.name) for r in path_tags.by_media(files, store).collect()] == [(1, "Sun")]
+    held = spark.createDataFrame([("L", "a.jpg", "sun", 3.0, True)], kind)
+    new = spark.createDataFrame([("L", "a.jpg", "sun", 3.0, False), ("L", "b.jpg", "new", 1.0, False), ("L", "b.jpg", "sun", 5.0, True), ("L", "a.jpg", "x", 1.0, True)], kind)
+    kept, pending, counters = path_tags.merge(store, held, files, new)
+    assert tuple(counters.first()) == (3, 1)
+    assert ("L", "a.jpg", "x", 1.0, True) in state(kept) and len(state(kept)) == 4
+    assert state(pending) == [("L", "a.jpg", "sun", 3.0, True), ("L", "b.jpg", "new", 1.0, False), ("L", "b.jpg", "sun", 5.0, True)]
+
+
+def test_a_stream_of_moves_without_repeats(spark, tmp_path):
+    from mediaquarry.streaming.upsert import retained
+
+    (tmp_path / "in").mkdir()
+    rows = [{"from_path": "a", "to_path": "b", "size": 1, "moved_at": "2024-05-01T00:00:00Z"}, {"from_path": "a", "to_path": "b", "size": 1, "moved_at": "2024-05-01T00:00:00Z"}]
+    rows.append(rows[0] | {"moved_at": "2024-05-02T00:00:00Z"})
+    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    stream = spark.readStream.schema("from_path string, to_path string, size long, moved_at timestamp").json(f"file://{tmp_path}/in")
+    out, state = f"file://{tmp_path}/out", f"file://{tmp_path}/state"
+
+    def run():
+        retained(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    (tmp_path / "in" / "2.json").write_text("\n".join(map(json.dumps, [rows[0], rows[0] | {"size": 2}])))
+    run()
+    assert sorted((r.moved_at.day, r.size) for r in spark.read.parquet(out).collect()) == [(1, 1), (1, 2), (2, 1)]
