@@ -42,10 +42,12 @@ def quantised(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[np.ndarray,
 
 
 def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Integer inner products, rows by queries, as int64."""
+    """Integer inner products, rows by queries, as int64; OverflowError where they might not fit."""
     top = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * max(1, rows.shape[1])
     if top < EXACT:
         return (rows @ queries.T).astype(np.int64)
+    if top >= 2.0**63:
+        raise OverflowError("components are too large for scores of 64 bits")
     return rows.astype(np.int64) @ queries.astype(np.int64).T
 
 

@@ -93,13 +93,19 @@ def record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + CRLF + CRLF + block + CRLF + CRLF
 
 
+def _is_number(text: str | None) -> bool:
+    return bool(text) and len(text) < 19 and text.isascii() and text.removeprefix("-").isdigit()
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields, by lower-cased name, and block."""
     head, found, rest = data.partition(CRLF + CRLF)
     lines = head.split(CRLF)
     if not found or not lines[0].startswith(b"WARC/"):
         raise BrokenRecord("not a WARC record")
-    fields = {k.decode().strip().lower(): v.decode().strip() for k, _, v in (line.partition(b":") for line in lines[1:])}
+    fields = {k.decode(errors="replace").strip().lower(): v.decode(errors="replace").strip() for k, _, v in (line.partition(b":") for line in lines[1:])}
+    if not _is_number(fields.get("content-length")):
+        raise BrokenRecord("a record has no length")
     size = int(fields["content-length"])
     if len(rest) < size:
         raise BrokenRecord("a block is cut off")
@@ -110,7 +116,10 @@ def members(data: bytes) -> Iterator[bytes]:
     """The gzip members of an archive, each one record."""
     while data:
         one = zlib.decompressobj(31)
-        out = one.decompress(data) + one.flush()
+        try:
+            out = one.decompress(data) + one.flush()
+        except zlib.error as why:
+            raise BrokenRecord("not an archive of gzip members") from why
         if not one.eof:
             raise BrokenRecord("an archive is cut off")
         yield out
@@ -226,7 +235,9 @@ def read_archives(spark: SparkSession, files: DataFrame, *, folder: str | None =
 
     ``files``: a table with the paths of the archives in ``path``, all below ``folder`` (by default the
     folder of the first). Revisits have no payload of their own. A record whose segments or chunks don't
-    fit together gets the reason as ``error`` and no payload. ``payload`` is null unless ``with_payload``.
+    fit together gets the reason as ``error`` and no payload; so does one that can't be read at all, in a row
+    without page_id and record_type. Where an archive is cut off or is none, one such row stands for the rest
+    of it, and the records before it are read. ``payload`` is null unless ``with_payload``.
     """
     first = files.select("path").limit(1).collect()
     if not first and folder is None:
@@ -235,33 +246,21 @@ def read_archives(spark: SparkSession, files: DataFrame, *, folder: str | None =
     name = F.substring_index("path", "/", -1)
     # only files that were committed: strays of lost tasks are in the folder, too
     archives = spark.read.format("binaryFile").load(folder).select(name.alias("name"), "content")
-    archives = archives.join(files.select(name.alias("name")), "name", "left_semi").select("content")
+    archives = archives.join(files.select(name.alias("name")), "name", "left_semi")
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for content in frame["content"]:
-                for data in members(content):
-                    fields, block = parse_record(data)
-                    kind = fields["warc-type"]
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-                    page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-                    row = {
-                        "origin": fields.get("warc-segment-origin-id") or fields["warc-record-id"],
-                        "page_id": page and int(page),
-                        "record_type": None if kind == "continuation" else kind,
-                        "refers_to": refers and int(refers),
-                        "declared_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                        "number": number and int(number),
-                        "total": total and int(total),
-                    }
-                    if number:
-                        row["data"] = block
-                    elif kind == "response":
-                        row |= _payload_row(lambda block=block: block, with_payload)
-                    rows.append(row)
+            for archive, content in zip(frame["name"], frame["content"], strict=True):
+                number = 0
+                try:
+                    for number, data in enumerate(members(content), 1):
+                        try:
+                            rows += _record_rows(data, with_payload)
+                        except BrokenRecord as why:
+                            rows.append({"origin": f"{archive}#{number}", "error": str(why)})
+                except BrokenRecord as why:
+                    rows.append({"origin": f"{archive}#{number + 1}", "error": str(why)})
             yield _frame(rows, _PARSED)
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,6 +284,36 @@ _PAGE = "page_id long, record_type string, refers_to long, declared_digest strin
 _PARSED = f"origin string, {_PAGE}, number int, total long, data binary"
 
 
+def _record_rows(data: bytes, with_payload: bool) -> list[dict]:
+    """A record as a row, or none if it is of a kind that holds no page."""
+    fields, block = parse_record(data)
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit", "continuation"):
+        return []
+    names = ("x-page-id", "x-refers-to-page-id", "warc-segment-number", "warc-segment-total-length")
+    found = [fields.get(n) or None for n in names]
+    if any(n is not None and not _is_number(n) for n in found):
+        raise BrokenRecord("a number in a record's head is none")
+    origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id")
+    if not origin:
+        raise BrokenRecord("a record has no id")
+    page, refers, number, total = (n and int(n) for n in found)
+    row = {
+        "origin": origin,
+        "page_id": page,
+        "record_type": None if kind == "continuation" else kind,
+        "refers_to": refers,
+        "declared_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+        "number": number,
+        "total": total,
+    }
+    if number:
+        row["data"] = block
+    elif kind == "response":
+        row |= _payload_row(lambda: block, with_payload)
+    return [row]
+
+
 def _payload_row(block, with_payload: bool) -> dict:
     try:
         payload = http_payload(block())

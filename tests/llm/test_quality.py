@@ -60,3 +60,49 @@ def test_hard_cases_and_empty_tables(spark, docs, hard):
     assert quality.score_quality(docs([]), model).count() == 0
     untrained = quality.train(table, labels.limit(0))
     assert {r.score for r in quality.score_quality(table, untrained).collect()} == {0.5}
+
+
+def plain_features(text):
+    """The features by loops over characters and words."""
+    import math
+    import re
+
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[ \t-\r]+", data) if w]
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, held = len(words), sum(len(w) for w in words)
+    mean = held / n
+    kinds = {}
+    for w in words:
+        kinds[w] = kinds.get(w, 0) + 1
+    lines = [x for x in data.split(b"\n") if x.strip()]
+
+    def share(characters, whole):
+        return sum(data.count(bytes([c])) for c in characters) / whole
+
+    return [
+        math.log(1 + n), mean, math.sqrt(sum((len(w) - mean) ** 2 for w in words) / n), sum(len(w) <= 3 for w in words) / n, len(kinds) / n**0.9, max(kinds.values()) / n,
+        sum(words[i] == words[i - 1] for i in range(1, n)) / n, sum(len(w) == 1 and not w.isalnum() for w in words) / n, share(b"#$%&*+/<=>@[\\]^_`{|}~", held), share(b"!?", held),
+        share(b".", n), share(b",", n), share(b"0123456789", held), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", held), sum(c >= 128 for c in data) / held,
+        n / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum(b"A" <= w[1:2] <= b"Z" for w in words) / n,
+    ]
+
+
+def test_every_score_by_brute_force(spark, small, hard):
+    """All texts of a table: features by loops, bins by counting edges, scores by adding table entries one by one."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(small, labels)
+    assert model.tables and model.pairs
+    texts = {r.doc_id: r.text for r in small.collect()}
+    got = {r.doc_id: r for r in quality.score_quality(small, model).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        x = plain_features(text)
+        assert quality.features(text) == pytest.approx(x, rel=1e-12, abs=1e-12)
+        bins = [sum(v >= e for e in edges) for v, edges in zip(quality.features(text), model.edges, strict=True)]
+        total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[bins[f]][bins[g]] for (f, g), t in zip(model.pairs, model.pair_tables, strict=True))
+        score = 1 / (1 + np.exp(-total))
+        assert got[i].score == pytest.approx(score) and got[i].predicted == int(got[i].score >= 0.3)
+    for _, text in hard:
+        assert quality.features(text) == pytest.approx(plain_features(text), rel=1e-9)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediaquarry.llm.topk_search import topk_search
+from mediaquarry.llm.topk_search import scores, topk_search
 
 KIND = "vec_id long, embedding array<float>, label int"
 
@@ -62,3 +62,9 @@ def test_every_usable_row_of_a_repeated_query_asks(spark):
         want += [(q, r, i, -s) for r, (s, i) in enumerate(pairs[:5], 1)]
     assert run(spark, rows) == want
     assert run(spark, rows, bins=3, query_block=2) == want
+
+
+def test_scores_that_do_not_fit_are_an_error():
+    with pytest.raises(OverflowError):
+        scores(np.array([[1e18, 1.0]]), np.array([[100.0, 1.0]]))
+    assert scores(np.array([[1e9, 1.0]]), np.array([[2e9, 1.0]])).tolist() == [[2 * 10**18 + 1]]

@@ -86,3 +86,34 @@ def test_broken_archives_are_reported(spark):
     with pytest.raises(warc.BrokenRecord):
         list(warc.members(packed(b"abc")[:-4]))
     assert list(warc.members(packed(b"a") + packed(b"b"))) == [b"a", b"b"]
+
+
+def test_foreign_and_cut_off_archives_are_rows_with_an_error(spark, tmp_path):
+    import gzip
+
+    def packed(*records):
+        return b"".join(gzip.compress(r) for r in records)
+
+    shared = {"WARC-Record-ID": "<a>", "X-Page-Id": 1}
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    whole = packed(warc.record("response", shared, http + b"one"), warc.record("response", shared | {"WARC-Record-ID": "<b>", "X-Page-Id": 2}, http + b"two"))
+    archives = {
+        "whole": whole, "cut": whole[:-9], "text": b"no archive at all", "empty": b"", "odd": packed(b"GET / HTTP/1.1\r\n\r\n"),
+        "number": packed(warc.record("response", {"WARC-Record-ID": "<c>", "X-Page-Id": "x"}, b"")), "length": packed(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n"),
+        "nameless": packed(warc.record("response", {"X-Page-Id": 3}, b"")), "bytes": packed(b"WARC/1.1\r\nWARC-Type: \xff\r\nContent-Length: 0\r\n\r\n"),
+        "missing": packed(warc.record("continuation", {"WARC-Record-ID": "<d>", "WARC-Segment-Origin-ID": "<e>", "WARC-Segment-Number": 2, "WARC-Segment-Total-Length": 9}, b"x")),
+    }
+    want = {
+        "whole": [(1, None, 3), (2, None, 3)], "cut": [(None, "an archive is cut off", None), (1, None, 3)], "text": [(None, "not an archive of gzip members", None)], "empty": [],
+        "odd": [(None, "not a WARC record", None)], "number": [(None, "a number in a record's head is none", None)], "length": [(None, "a record has no length", None)],
+        "nameless": [(None, "a record has no id", None)], "bytes": [],
+    }
+    for name, data in archives.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.warc.gz").write_bytes(data)
+        files = spark.createDataFrame([(f"file://{tmp_path}/{name}/{name}.warc.gz",)], "path string")
+        got = sorted(((r.page_id, r.error, r.payload_bytes) for r in warc.read_archives(spark, files).collect()), key=str)
+        if name == "missing":
+            assert len(got) == 1 and got[0][1] and got[0][2] is None
+        else:
+            assert got == sorted(want[name], key=str), name
