@@ -20,19 +20,30 @@ from mediaquarry.llm.queries import vocabulary_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labelled ones, scores 0.3 or more."""
+    """Documents that the quality classifier, trained on the labelled ones, scores 0.3 or more.
+
+    A null text is the empty text, which is scored like others; null and repeated ids are judged row by row; without
+    labels every document scores 0.5 and stays; an empty table gives an empty one.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts that with the largest id; rows that repeat it are one. A text whose ids are all null stays once."""
+    """Of documents with equal texts that with the largest id; rows that repeat it are one. A text whose ids are all null stays once.
+
+    A null text is the empty text; an empty table gives an empty one.
+    """
     verdicts = exact_dedup(docs).where("kept or keep_id is null").select("doc_id", "text_sha256").distinct()
     return _kept(docs, verdicts)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, by five-word shingles at a similarity of 0.8, that with the smallest id. Rows with a null id stay."""
+    """Of documents that are linked, by five-word shingles at a similarity of 0.8, that with the smallest id. Rows with a null id stay.
+
+    Documents without words are linked with nothing and stay; rows that repeat an id stay or go together; an empty
+    table gives an empty one.
+    """
     found = jaccard_components(docs, shingle=5, percent=80)
     kept = found.where("component_id = doc_id or component_id is null").select(F.col("doc_id").alias("_want")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
@@ -40,12 +51,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each pass over a document, with the words that the pass takes."""
+    """The mix of the sources: a row for each pass over a document, with the words that the pass takes.
+
+    Documents without words, null texts among them, have nothing to take and go; a null source is a source; rows that
+    repeat an id, null ones too, have their own words taken; an empty table gives an empty one.
+    """
     return mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's token ids and of the text that they decode to."""
+    """Digests of each text's token ids and of the text that they decode to: one row for each row.
+
+    A null text is the empty text, which has no tokens; null and repeated ids are kept; an empty table gives an empty one.
+    """
     return bpe_round_trip(docs, vocabulary_path())
 
 
