@@ -8,8 +8,8 @@ tokens back from the end of the word gives its ids.
 
 The words of a batch of texts are encoded once each, all of them together and place by place: the heads
 of the words are sorted, so a prefix that words share is worked out at the first of them only. Words and
-their ids stay in a table of bounded size, which lives on in a worker from task to task; beyond the bound the
-half that was used most is kept.
+their ids stay in a table of bounded size until the task ends; beyond the bound the half that was used most is
+kept. The automaton lives on in a worker as a few arrays.
 """
 
 from __future__ import annotations
@@ -86,8 +86,6 @@ class WordBpe:
         self._pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         parts = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
-        #: for each pair that is merged the rank of its merge
-        self.rank = {(a, b): r for r, (a, b, _) in enumerate(parts)}
         #: for each token the rank of the merge that makes it (-1: none) and its two parts
         size = max(self.strings) + 1
         self.made = np.full((size, 3), -1, np.int64)
@@ -145,11 +143,10 @@ class WordBpe:
                 fail[to] = goto[back].get(c, 0)
                 found[to] = ((ends[to],) if ends[to] else ()) + found[fail[to]]
                 waiting.append(to)
-        self._goto = {(at << _BITS) | c: to for at, arcs in enumerate(goto) for c, to in arcs.items()}
-        self._arcs = np.array(sorted(self._goto), np.int64)
-        self._arc_ends = np.array([self._goto[k] for k in self._arcs.tolist()], np.int64)
+        # arrays from here on: workers that live on hold little
+        arcs = sorted(((at << _BITS) | c, to) for at, own in enumerate(goto) for c, to in own.items())
+        self._arcs, self._arc_ends = (np.array(column, np.int64) for column in zip(*arcs, strict=True))
         self._fail = np.array(fail, np.int64)
-        self._found = found
         counts = np.array([len(f) for f in found], np.int64)
         self._found_until = np.cumsum(counts)
         self._found_from = self._found_until - counts
@@ -279,17 +276,19 @@ class WordBpe:
 
     def _encode_long(self, piece: bytes) -> list[int]:
         """One long word, over lists of its own, so that it takes room in proportion to its length."""
-        goto, fail, memo = self._goto, self._fail, {}
+        steps: dict[tuple[int, int], int] = {}
+        fits: dict[tuple[int, int], bool] = {}
         state, last = 0, [(0, -1)]
         for end, c in enumerate([*piece[:-1], piece[-1] + _LAST], 1):
-            while (to := goto.get((state << _BITS) | c)) is None and state:
-                state = int(fail[state])
-            state = to or 0
-            for size, token in self._found[state]:
+            if (state, c) not in steps:
+                steps[state, c] = int(self._steps(np.array([state], np.int64), np.array([c], np.int64))[0])
+            state = steps[state, c]
+            own = slice(self._found_from[state], self._found_until[state])
+            for size, token in zip(self._found_sizes[own].tolist(), self._found_tokens[own].tolist(), strict=True):
                 pair = (last[end - size][1], token)
-                if pair not in memo:
-                    memo[pair] = pair[0] < 0 or self.fits(*pair)
-                if memo[pair]:
+                if pair not in fits:
+                    fits[pair] = pair[0] < 0 or self.fits(*pair)
+                if fits[pair]:
                     last.append((size, token))
                     break
             else:
@@ -362,6 +361,10 @@ class WordBpe:
         if held:
             yield from self.words.encoded(held)
 
+    def forget(self) -> None:
+        """Drop the words."""
+        self.words = _Words(self, self.words.limit)
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encoded([text]))[0], "<u4").tolist()
 
@@ -481,6 +484,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "id", frame["id"].array)
             yield out
+        # workers live on after a task, next to those of other operators
+        bpe.forget()
         release_memory()
 
     kind = dict(docs.dtypes)[id_col]
