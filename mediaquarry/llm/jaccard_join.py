@@ -301,7 +301,9 @@ def jaccard_components(
     owners = max(1, -(-held // owner_bytes))
     out = "owner int, keys binary, docs binary, info binary"
     sent = source.where("id is not null").mapInPandas(lambda frames: _contributions(frames, shingle, percent, owners, piece_chars), out)
-    found = materialise(sent.groupBy("owner").applyInPandas(_shared, "kind int, a long, b long, c long"), "sketch-words")
+    # one owner a task: several of them in one would add up
+    owned = sent.repartitionById(owners, F.col("owner"))
+    found = materialise(owned.groupBy("owner").applyInPandas(_shared, "kind int, a long, b long, c long"), "sketch-words")
     info = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("rep"))
     words = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"))
 
