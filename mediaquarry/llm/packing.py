@@ -21,6 +21,8 @@ from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,17 +32,29 @@ from mediaquarry.llm.common import materialise, release_memory, text_of
 
 # -- tokens ----------------------------------------------------------------------------------------
 
-#: A space between characters that surely are no white space: no token of the byte vocabulary reaches across.
+#: White space, and what might be taken for it.
 _SPACES = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
+_MORE_SPACES = "\u180e\u200b\ufeff"
+#: A space between characters that surely are no white space: no token of the byte vocabulary reaches across.
 _CUT = regex.compile(f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
-_UNSURE = regex.compile(rf"(?:\A|[{_SPACES}]) | (?:\Z|[{_SPACES}])")
-_LAST = regex.compile(rf"[{_SPACES}]\Z")
 #: The first character that the quick encoder isn't asked about.
 _LATIN = "\u0180"
 #: Longer units are left to the library.
 _LONG = 200
 #: Characters of text that are encoded together.
 _CHUNK = 4_000_000
+#: What a unit's edges are: unsure at its beginning, at its end.
+_BEGINS, _ENDS = 1, 2
+
+
+def _spaced(c: str) -> bool:
+    return c.isspace() or c in _MORE_SPACES
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of several runs, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 class _Index(dict):
@@ -52,21 +66,21 @@ class _Index(dict):
 
 
 class ByteBpe:
-    """Token ids of whole texts, as the tokenizers library gives them, with an end token behind each text.
+    """Token ids of whole texts, as the tokenizers library gives them.
 
     Texts are cut at spaces no token reaches across, and each different unit is encoded once: Latin ones by
     ``quick``, a faster encoder of the same vocabulary where there is one, all others by the library. Units are joined for that; the tokens'
-    byte lengths tell where each ends. ``limit`` bounds the bytes of what is remembered; it changes no result.
+    byte lengths tell where each ends. A text with spaces of which that isn't sure is cut with more care. ``limit`` bounds the bytes of
+    what is remembered; it changes no result.
     """
 
     #: Bytes of an entry besides its ids.
     _ENTRY = 160
 
-    def __init__(self, library, end: int, quick: Callable[[str], Sequence[int]] | None = None, limit: int = 128 << 20):
+    def __init__(self, library, quick: Callable[[str], Sequence[int]] | None = None, limit: int = 128 << 20):
         library.no_truncation()
         library.no_padding()
-        self.library, self.end, self.limit = library, end, limit
-        self.quick = quick
+        self.library, self.quick, self.limit = library, quick, limit
         specials = library.get_added_tokens_decoder()
         self.specials = [t.content for t in specials.values()]
         vocabulary = library.get_vocab(with_added_tokens=True)
@@ -74,99 +88,117 @@ class ByteBpe:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token.encode()) if i in specials else len(token)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index = _Index({None: 0})
-        self.ids = np.array([self.end], np.uint32)
-        self.counts, self.used, self.bytes = np.ones(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _units(self, text: str) -> list[str | None]:
-        """The units of a text; each but the first stands for a space and itself, the first has a space in front."""
-        if any(s in text for s in self.specials):
-            units = [text]
-        else:
-            units = _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
-        units[0] = " " + units[0]
-        units.append(None)
+        self.index = _Index()
+        self.ids = np.empty(0, np.uint32)
+        #: of each unit: its ids, how often it was met, its characters, its edges
+        self.counts, self.used, self.chars, self.edges = (np.empty(0, np.int64) for _ in range(4))
+
+    # A unit within a text stands for a space and itself; the first of a text has a space in front, as no other can.
+
+    def _careful(self, text: str) -> list[str]:
+        units = [text] if any(s in text for s in self.specials) else _CUT.split(text)
+        units[0] = f" {units[0]}"
         return units
 
-    def _encoded(self, units: list[str], quick: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units in a row, and how many each has. Units that begin without a space are encoded by themselves."""
-        if not units:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
+    def _joined(self, units: list[str], quick: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in a row, and how many each has."""
         text = "".join(units)
         ids = np.array(self.quick(text) if quick else self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
-        until = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
-        return ids, np.diff(until, prepend=0)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) if text.isascii() else np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1, prepend=0)
 
     def _add(self, units: list[str]) -> None:
         """Encode units that are new. Those within a text can be joined, as a space begins each and none ends them; others are encoded alone."""
         kinds: list[list[int]] = [[], [], []]
+        edges = np.zeros(len(units), np.int64)
         for i, unit in enumerate(units):
-            alone = not unit or unit[0] == " " or len(unit) > _LONG or _LAST.search(unit)
-            kinds[2 if alone else 0 if self.quick and (unit.isascii() or max(unit) < _LATIN) else 1].append(i)
-        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(units)
+            own = unit[1:] if unit[:1] == " " else unit
+            if not own or _spaced(own[0]) or _spaced(own[-1]):
+                edges[i] = (_BEGINS if not own or _spaced(own[0]) else 0) | (_ENDS if not own or _spaced(own[-1]) else 0)
+                kinds[2].append(i)
+            elif unit is not own or len(own) > _LONG:
+                kinds[2].append(i)
+            else:
+                kinds[0 if self.quick and (own.isascii() or max(own) < _LATIN) else 1].append(i)
+        flat, counts = [], np.zeros(len(units), np.int64)
         for kind in (0, 1):
-            ids, counts = self._encoded([f" {units[i]}" for i in kinds[kind]], kind == 0)
-            for i, own in zip(kinds[kind], np.split(ids, np.cumsum(counts)[:-1]), strict=True) if kinds[kind] else ():
-                found[i] = own
+            if kinds[kind]:
+                ids, counts[kinds[kind]] = self._joined([f" {units[i]}" for i in kinds[kind]], kind == 0)
+                flat.append(ids)
         alone = [units[i][1:] if units[i][:1] == " " else f" {units[i]}" for i in kinds[2]]
-        for i, own in zip(kinds[2], self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[i] = np.array(own.ids, np.uint32)
-        self.ids = np.concatenate([self.ids, *found])
-        self.counts = np.concatenate([self.counts, np.fromiter(map(len, found), np.int64, len(found))])
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
+        counts[kinds[2]] = [len(x) for x in found]
+        order = np.array([*kinds[0], *kinds[1], *kinds[2]], np.int64)
+        starts = np.zeros(len(units), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        self.ids = np.concatenate([self.ids, np.concatenate([*flat, *found, np.empty(0, np.uint32)])[_spread(starts, counts)]])
+        self.counts, self.edges = np.concatenate([self.counts, counts]), np.concatenate([self.edges, edges])
         self.used = np.concatenate([self.used, np.zeros(len(units), np.int64)])
-        self.bytes = np.concatenate([self.bytes, np.fromiter(map(len, units), np.int64, len(units))])
-
-    def encoded(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        """For each text its ids and the end token."""
-        held, size = [], 0
-        for text in texts:
-            if held and size + len(text) > _CHUNK:
-                yield from self._together(held)
-                held, size = [], 0
-            held.append(self._units(text))
-            size += len(text)
-        if held:
-            yield from self._together(held)
-
-    def _together(self, texts: list[list]) -> Iterator[np.ndarray]:
+        self.chars = np.concatenate([self.chars, np.fromiter(map(len, units), np.int64, len(units))])
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
         known = len(self.index)
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64)
+        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         if len(self.index) > known:
             self._add(list(islice(self.index, known, None)))
-        held = self.counts[at]
-        ends = np.cumsum(held)
-        starts = (np.cumsum(self.counts) - self.counts)[at]
-        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(starts - (ends - held), held)]
+        return at
+
+    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, none of which is null."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         low = 0
-        for last in ends[np.cumsum([len(t) for t in texts]) - 1].tolist():
-            yield ids[low:last]
-            low = last
+        while low < len(texts):
+            done = int(sizes[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(sizes, done + _CHUNK, side="right")))
+            yield from self._together(texts.slice(low, high - low))
+            low = high
+
+    def _together(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds, units = bounds - bounds[0], cut.flatten()
+        first = np.zeros(len(units), bool)
+        first[bounds[:-1]] = True
+        inner = units.filter(pa.array(~first)).dictionary_encode()
+        at = np.empty(len(units), np.int64)
+        at[first] = self._numbers([f" {u}" for u in units.filter(pa.array(first)).to_pylist()])
+        at[~first] = self._numbers(inner.dictionary.to_pylist())[inner.indices.to_numpy()]
+        edges = self.edges[at]
+        unsure = np.zeros(len(units), bool)
+        unsure[1:] = ((edges[1:] & _BEGINS) | (edges[:-1] & _ENDS)) > 0
+        careful = np.logical_or.reduceat(unsure & ~first, bounds[:-1])
+        for s in self.specials:
+            careful |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if careful.any():
+            runs = [at[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for i in np.flatnonzero(careful).tolist():
+                runs[i] = self._numbers(self._careful(texts[i].as_py()))
+            at, bounds = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+        ids = self.ids[_spread((np.cumsum(self.counts) - self.counts)[at], self.counts[at])]
+        ends = np.concatenate([[0], np.cumsum(self.counts[at])])[bounds]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield ids[a:b]
         self.used += np.bincount(at, minlength=len(self.used))
-        if self._ENTRY * len(self.index) + self.ids.nbytes + int(self.bytes.sum()) > self.limit:
+        if self._ENTRY * len(self.index) + self.ids.nbytes + int(self.chars.sum()) > self.limit:
             self._shrink()
 
     def _shrink(self) -> None:
         """Keep what was used most, up to half the limit."""
-        size = self._ENTRY + 4 * self.counts + self.bytes
-        order = np.argsort(-self.used[1:], kind="stable") + 1
-        kept = np.concatenate([[0], np.sort(order[np.cumsum(size[order]) <= self.limit // 2])])
+        size = self._ENTRY + 4 * self.counts + self.chars
+        order = np.argsort(-self.used, kind="stable")
+        kept = np.sort(order[np.cumsum(size[order]) <= self.limit // 2])
         units, starts = list(self.index), np.cumsum(self.counts) - self.counts
-        ends = np.cumsum(self.counts[kept])
-        self.ids = self.ids[np.arange(int(ends[-1])) + np.repeat(starts[kept] - (ends - self.counts[kept]), self.counts[kept])]
-        self.counts, self.used, self.bytes = self.counts[kept], self.used[kept] // 2, self.bytes[kept]
+        self.ids = self.ids[_spread(starts[kept], self.counts[kept])]
+        self.counts, self.used, self.chars, self.edges = self.counts[kept], self.used[kept] // 2, self.chars[kept], self.edges[kept]
         self.index = _Index((units[i], k) for k, i in enumerate(kept.tolist()))
 
 
 _LOADED: dict[tuple, ByteBpe] = {}
 
 
-def byte_bpe(vocabulary: str, ranks: bytes | None, pattern: str | None, end: int) -> ByteBpe:
+def byte_bpe(vocabulary: str, ranks: bytes | None = None, pattern: str | None = None) -> ByteBpe:
     """The encoder of a vocabulary (the text of its file), made once in each worker."""
-    key = (hash(vocabulary), hash(ranks), end)
+    key = (hash(vocabulary), hash(ranks))
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
@@ -180,7 +212,7 @@ def byte_bpe(vocabulary: str, ranks: bytes | None, pattern: str | None, end: int
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
             quick = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         _LOADED.clear()
-        _LOADED[key] = ByteBpe(Tokenizer.from_str(vocabulary), end, quick)
+        _LOADED[key] = ByteBpe(Tokenizer.from_str(vocabulary), quick)
     return _LOADED[key]
 
 
@@ -392,25 +424,26 @@ def pack_documents(
     shared = spark.sparkContext.broadcast((spec, table))
     kind = dict(docs.dtypes)[id_col]
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = byte_bpe(*shared.value, pattern, end)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, last = byte_bpe(*shared.value, pattern), np.array([end], "<u4").tobytes()
         task, seen, windows = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
-        for frame in frames:
-            out = []
-            for ids in bpe.encoded(frame["text"]):
-                raw = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
-                whole, length = divmod(len(ids), window)
-                crcs = [zlib.crc32(raw[4 * window * k : 4 * window * (k + 1)]) for k in range(whole)]
-                out.append((len(ids), length, int(seen[length]), windows, crcs, bytes(raw[4 * window * whole :])))
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for ids in bpe.encoded(batch.column("text")):
+                raw = ids.astype("<u4", copy=False).tobytes() + last
+                whole, length = divmod(len(raw) // 4, window)
+                view = memoryview(raw)
+                crcs = [zlib.crc32(view[4 * window * k : 4 * window * (k + 1)]) for k in range(whole)]
+                for column, value in zip(out, (len(raw) // 4, length, int(seen[length]), windows, crcs, raw[4 * window * whole :]), strict=True):
+                    column.append(value)
                 seen[length] += 1
                 windows += whole
-            made = pd.DataFrame(out, columns=["_tokens", "_length", "_local", "_before", "_crcs", "_rest"])
-            made.insert(0, "_task", task)
-            made.insert(0, "_id", frame["id"].array)
-            yield made
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            columns = [batch.column("_id"), pa.array([task] * batch.num_rows, pa.int64()), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_task", "_tokens", "_length", "_local", "_before", "_crcs", "_rest"])
         release_memory()
 
-    cuts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(cut, f"_id {kind}, {_RESTS}")
+    cuts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).mapInArrow(cut, f"_id {kind}, {_RESTS}")
     cuts = materialise(cuts, "packing-rests")
 
     # a task's rests of a length, and its whole windows under the length 0, which no rest of tokens has
