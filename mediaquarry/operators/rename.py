@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.functions.text import basename, dirname, extension, filename_problem, fold_ascii, fold_unicode, join_path, zero_filled
+from mediaquarry.operators.pointers import followed
 from mediaquarry.storage import materialise
 
 
@@ -15,6 +16,13 @@ def numbered_names(chosen: DataFrame, base: str, start: int = 1, digits: int = 1
     return chosen.withColumn("new_name", F.concat(F.lit(base.strip()), text, extension(F.col("filename"))))
 
 
+def numbered_plan(media: DataFrame, chosen: DataFrame, base: str, start: int = 1, digits: int = 1, number: bool = True) -> DataFrame:
+    """``rename_plan`` of numbered names for (id, pos). Several files without numbers are refused as a whole, before any other check."""
+    rows = chosen.join(media.select("id", basename(F.col("rel_path")).alias("filename")), "id")
+    plan = rename_plan(media, numbered_names(rows, base, start, digits, number).select("id", "pos", "new_name"))
+    return plan if number or rows.limit(2).count() < 2 else plan.withColumn("status", F.lit("several files need numbers so that their names differ"))
+
+
 def rename_plan(media: DataFrame, names: DataFrame) -> DataFrame:
     """Judge renames (id, pos, new_name): id, old_path, new_path, status.
 
@@ -100,3 +108,45 @@ def rename_moves(media: DataFrame, plan: DataFrame, at: float) -> DataFrame:
     """The move records of an applied plan."""
     done = plan.where("status = 'ok'").join(media.select("id", "size"), "id")
     return done.select(F.col("old_path").alias("from_path"), F.col("new_path").alias("to_path"), "size", F.lit(float(at)).alias("moved_at"))
+
+
+def rename_schedule(plan: DataFrame, aside: str = ".rename-") -> DataFrame:
+    """The steps of an applicable plan in an order in which no step meets a name that is still in use.
+
+    step_group, turn, id, kind, from_path, to_path: groups don't touch each other; within one, steps follow by turn. A file
+    whose new name is free is a group by itself (single). Where a new name is another file's old one, that file goes
+    first: the files of a chain go one after the other from its end (chain). Files in a circle (cycle) begin with one, that
+    with the smallest id, that steps aside to a temporary name, ``aside`` and its id, in its folder, and ends with its step to the new one. Groups
+    go by the id of their first file. A change of case alone meets its own old name, which is no other file's.
+    """
+    rows = plan.where("status = 'ok'").select("id", "old_path", "new_path")
+    rows = materialise(rows.withColumns({"_old": fold_unicode(F.col("old_path")), "_new": fold_unicode(F.col("new_path"))}), "renames")
+    owner = rows.select(F.col("_old").alias("_new"), F.col("id").alias("next"))
+    links = rows.join(owner, "_new", "left").select("id", F.when(F.col("next") != F.col("id"), F.col("next")).alias("next"))
+    links = materialise(links, "rename-links")
+    ways = materialise(followed(links), "rename-ways")
+    # a circle is cut where its smallest id begins
+    circles = ways.where("end is null").select("id", "low")
+    cut = links.join(circles, "id").select("id", F.when(F.col("id") != F.col("low"), F.col("next")).alias("next"))
+    rounds = followed(cut).select("id", F.col("end").alias("step_group"), F.col("steps").alias("turn"), F.lit("cycle").alias("kind"))
+    lines = ways.where("end is not null").select("id", F.col("end").alias("step_group"), F.col("steps").alias("turn"), F.lit(None).cast("string").alias("kind"))
+    # a line's end is its first file; it is a chain if another follows
+    longer = lines.where("turn > 0").select("step_group").distinct().withColumn("_longer", F.lit(True))
+    lines = lines.join(longer, "step_group", "left").withColumn("kind", F.when(F.col("_longer"), "chain").otherwise("single")).drop("_longer")
+    steps = lines.unionByName(rounds).join(rows, "id")
+    temporary = join_path(dirname(F.col("old_path")), F.concat(F.lit(aside), F.col("id").cast("string"), extension(F.col("old_path"))))
+    heads = (F.col("kind") == "cycle") & (F.col("turn") == 0)
+    columns = ("step_group", "turn", "id", "kind", F.col("old_path").alias("from_path"))
+    straight = steps.select(*columns, F.when(heads, temporary).otherwise(F.col("new_path")).alias("to_path"))
+    lasts = rounds.groupBy("step_group").agg((F.max("turn") + 1).alias("last"))
+    back = steps.where(heads).join(lasts, "step_group").select("step_group", F.col("last").alias("turn"), "id", "kind", temporary.alias("from_path"), F.col("new_path").alias("to_path"))
+    return straight.unionByName(back)
+
+
+def rolled_back(schedule: DataFrame, failed: DataFrame) -> DataFrame:
+    """The steps that undo what was done of groups with a failed step (step_group, turn): the steps before it, backwards.
+
+    step_group, turn from 0 on, id, from_path, to_path. The failed step itself changed nothing; other groups stay as they are.
+    """
+    done = schedule.join(failed.groupBy("step_group").agg(F.min("turn").alias("_failed")), "step_group").where(F.col("turn") < F.col("_failed"))
+    return done.select("step_group", (F.col("_failed") - 1 - F.col("turn")).alias("turn"), "id", F.col("to_path").alias("from_path"), F.col("from_path").alias("to_path"))

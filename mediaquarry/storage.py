@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -49,3 +50,49 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written whole at a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file aside and then put it in the place of the old one in one step: a reader sees the old file or the new one, whole."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    final = fs.Path(path)
+    part = fs.Path(final.getParent(), f".{final.getName()}.{uuid.uuid4().hex[:12]}")
+    out = part.getFileSystem(conf).create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    option = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    option[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf).rename(part, final, option)
+
+
+class Manifest:
+    """The state of a table that changes in batches: a small JSON file that names the folders of the current version.
+
+    A batch first writes new folders, then the manifest, in one step; what a lost attempt has written is never named. The
+    manifest has the last batch of each source, so a batch that is replayed is known. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, start: dict):
+        self.spark, self.path, self.start = spark, path.rstrip("/"), start
+
+    @property
+    def file(self) -> str:
+        return f"{self.path}/manifest.json"
+
+    def read(self) -> dict:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.file)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return {"version": 0, "batches": {}} | self.start
+        return json.loads(self.spark.read.text(self.file, wholetext=True).first()[0])
+
+    def folder(self, name: str) -> str:
+        """A new folder for a batch's rows."""
+        return f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+
+    @staticmethod
+    def done(state: dict, batch: int, source: str) -> bool:
+        return batch <= state["batches"].get(source, -1)
+
+    def commit(self, state: dict, batch: int, source: str) -> None:
+        new = state | {"version": state["version"] + 1, "batches": state["batches"] | {source: batch}}
+        replace_file(self.spark, self.file, json.dumps(new))

@@ -212,23 +212,6 @@ def test_lonely_moves_are_judged_as_in_a_replay(spark):
     assert final == {1: ("b/1.jpg", None), 3: ("old/3.jpg", 4)}
 
 
-def test_random_moves_agree_with_one_replay_of_all(spark):
-    import random
-
-    r = random.Random(6)
-    rows = [(i, f"d{i % 3}/{i}.jpg", 1 + i % 2, i % 5 != 0) for i in range(30)]
-    steps = []
-    for n in range(80):
-        i = r.randrange(30)
-        steps.append(_move(n, f"d{r.randrange(3)}/{i}.jpg", f"d{r.randrange(4)}/{i if r.random() < 0.8 else r.randrange(30)}.jpg", size=1 + r.randrange(2), at=float(r.randrange(40))))
-    ordered = sorted(steps, key=lambda s: (s[3], s[4]))
-    kept = [{"id": i, "rel_path": p, "size": s, "present": here} for i, p, s, here in rows]
-    want, final = moves.replay(kept, [{"from_path": s[0], "to_path": s[1], "size": s[2], "known": False, "valid": True} for s in ordered])
-    by_number = {s[4]: o for s, o in zip(ordered, want, strict=True)}
-    outcomes, changes = _replay(spark, rows, steps)
-    assert outcomes == [by_number[n] for n in range(len(steps))] and changes == final
-
-
 def test_mobile_documents(spark):
     rows = [(1, "m"), (0, "m"), (2, " "), (1, None), (1, "x" * 129), (1, "x" * 128)]
     docs = spark.createDataFrame([((v, m),) for v, m in rows], "doc struct<version: int, machine_id: string>")
