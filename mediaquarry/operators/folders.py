@@ -149,6 +149,24 @@ def root_problem(roots: list[str], new: str) -> str | None:
     return None
 
 
+def root_overlaps(roots: DataFrame) -> DataFrame:
+    """Library roots that lie in others, for any number of roots (root): inside, holder (the nearest root that holds it), holders (how many do).
+
+    Each root meets the folders above it by equality, so no root is compared with all others; a root that holds very many is
+    one row on its side of the join. Roots are compared with A-Z and all other letters folded, without slashes at their
+    ends; roots that fold alike are one, spelled as the smallest. The roots '/' and '' hold all others.
+    """
+    clean = F.regexp_replace(F.col("root"), "/+$", "")
+    folded = roots.select(clean.alias("root"), fold_unicode(clean).alias("key")).groupBy("key").agg(F.min("root").alias("root"))
+    parts = F.split("key", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("at")))
+    asked = folded.where(F.size(parts) > 1).select(F.col("root").alias("inside"), F.explode(above).alias("up"))
+    if_empty = folded.where((F.size(parts) == 1) & (F.col("key") != "")).select(F.col("root").alias("inside"), F.struct(F.lit(0).alias("depth"), F.lit("").alias("at")).alias("up"))
+    held = folded.select(F.col("root").alias("holder"), F.col("key").alias("_key"))
+    met = asked.unionByName(if_empty).join(held, F.col("up.at") == F.col("_key"))
+    return met.groupBy("inside").agg(F.max_by("holder", "up.depth").alias("holder"), F.count(F.lit(1)).alias("holders"))
+
+
 def without_root(media: DataFrame, root: str) -> DataFrame:
     """Media after a library was removed: its rows are hidden, not deleted."""
     return media.withColumn("present", F.col("present") & (F.col("root") != root))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquarry.operators.sync import export, retained_moves
-from mediaquarry.storage import materialise
+from mediaquarry.storage import materialise, replace_file
 
 FORMAT, VERSION, PREFIX, MAX_BYTES = "media-catalog-sync", 1, "sync-", 50 * 1024 * 1024
 
@@ -19,14 +19,15 @@ DOCUMENT = (
 )
 
 
-def read_documents(spark: SparkSession, folder: str, own_machine: str | None = None, format_name: str = FORMAT, prefix: str = PREFIX) -> tuple[DataFrame, DataFrame]:
-    """Documents of other machines (file, doc), and what is wrong with the other files (file, problem).
+def judged_documents(files: DataFrame, format_name: str = FORMAT) -> DataFrame:
+    """Files of the binary source (path, length, content) as documents: file, doc and problem, null if it is fine.
 
-    ``format_name`` and ``prefix`` name the format in the documents and the files. A file may be too large, no JSON, of another format, of a newer version or without a machine id.
+    The contents of files that are too large are not asked for: the source reads a file only where its length is allowed.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.json").load(folder)
-    rows = found.select(F.col("path").alias("file"), "length", F.when(F.col("length") <= MAX_BYTES, F.col("content").cast("string")).alias("text"))
-    parsed = rows.withColumn("doc", F.from_json("text", DOCUMENT, {"mode": "PERMISSIVE"}))
+    small = F.col("length") <= MAX_BYTES
+    rows = files.where(small).select(F.col("path").alias("file"), "length", F.col("content").cast("string").alias("text"))
+    large = files.where(~small).select(F.col("path").alias("file"), "length", F.lit(None).cast("string").alias("text"))
+    parsed = rows.unionByName(large).withColumn("doc", F.from_json("text", DOCUMENT, {"mode": "PERMISSIVE"}))
     version = F.get_json_object("text", "$.version")
     problem = (
         F.when(F.col("length") > MAX_BYTES, "file is too large")
@@ -34,7 +35,16 @@ def read_documents(spark: SparkSession, folder: str, own_machine: str | None = N
         .when(~F.coalesce(version.rlike("^[0-9]+$"), F.lit(False)) | (F.expr("try_cast(get_json_object(text, '$.version') as int)") > VERSION), "written by a newer version")
         .when(F.col("doc.machine_id").isNull(), "missing machine id")
     )
-    judged = parsed.withColumn("problem", problem)
+    return parsed.select("file", "doc", problem.alias("problem"))
+
+
+def read_documents(spark: SparkSession, folder: str, own_machine: str | None = None, format_name: str = FORMAT, prefix: str = PREFIX) -> tuple[DataFrame, DataFrame]:
+    """Documents of other machines (file, doc), and what is wrong with the other files (file, problem).
+
+    ``format_name`` and ``prefix`` name the format in the documents and the files. A file may be too large, no JSON, of another format, of a newer version or without a machine id.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.json").load(folder)
+    judged = judged_documents(found, format_name)
     good = judged.where("problem is null")
     if own_machine is not None:
         good = good.where(F.col("doc.machine_id") != own_machine)
@@ -65,15 +75,9 @@ def write_document(
     ordered = [sorted((r["value"] for r in p.collect()), key=_place) for p in parts]
     head = json.dumps({"format": format_name, "version": VERSION, "machine_id": machine_id, "exported_at": float(now)})[:-1]
     text = f'{head}, "media": [{",".join(ordered[0])}], "moves": [{",".join(ordered[1])}]}}'
-    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    part, final = fs.Path(f"{folder}/.{prefix}{machine_id}.part"), fs.Path(f"{folder}/{prefix}{machine_id}.json")
-    out = part.getFileSystem(conf).create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    option = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
-    option[0] = fs.Options.Rename.OVERWRITE
-    fs.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf).rename(part, final, option)
-    return final.toString()
+    final = f"{folder}/{prefix}{machine_id}.json"
+    replace_file(spark, final, text)
+    return final
 
 
 def _place(row: str) -> tuple:
