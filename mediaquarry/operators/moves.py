@@ -135,8 +135,9 @@ def replayed(media: DataFrame, moves: DataFrame, log: DataFrame) -> tuple[DataFr
     shared = paths.groupBy("_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_path")
     crowded = materialise(paths.join(shared, "_path", "left_semi").select("key").distinct(), "crowded-moves")
 
-    alone = judged_alone(media, rows.join(crowded, "key", "left_anti"))
-    judged = alone.unionByName(judged_together(media, rows.join(crowded, "key", "left_semi")))
+    judged = judged_alone(media, rows.join(crowded, "key", "left_anti"))
+    if not crowded.isEmpty():
+        judged = judged.unionByName(judged_together(media, rows.join(crowded, "key", "left_semi")))
     judged = materialise(judged.select("key", "seq", "outcome", "id", "from_path", "to_path", "replaced_by"), "replayed-moves")
     moved = F.col("outcome") == "applied"
     last = F.struct(F.when(moved, F.col("to_path")).otherwise(F.col("from_path")).alias("rel_path"), F.when(~moved, F.col("replaced_by")).alias("replaced_by"))

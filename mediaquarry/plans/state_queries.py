@@ -177,7 +177,7 @@ _QUIET = 300
 @_query(
     "export_sessions",
     f"""WITH e AS (SELECT event_id % 3 AS machine, ts AS t FROM events),
-    g AS (SELECT *, CASE WHEN t < lag(t) OVER (PARTITION BY machine ORDER BY t) + INTERVAL {_QUIET} SECOND THEN 0 ELSE 1 END AS starts FROM e),
+    g AS (SELECT *, CASE WHEN t <= lag(t) OVER (PARTITION BY machine ORDER BY t) + INTERVAL {_QUIET} SECOND THEN 0 ELSE 1 END AS starts FROM e),
     s AS (SELECT *, sum(starts) OVER (PARTITION BY machine ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM g)
     SELECT machine, min(t) AS first_edit, max(t) AS last_edit, count(*) AS edits, max(t) + INTERVAL {_QUIET} SECOND AS export_at FROM s GROUP BY machine, run""",
 )

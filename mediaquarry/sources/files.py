@@ -11,13 +11,14 @@ from mediaquarry.functions.text import basename, extension, hidden, media_type
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Media below ``root``: root, rel_path, filename, type, size, mtime. Hidden files and folders are passed over.
 
-    Only names and sizes are read: the contents column of the file source is pruned.
+    Only names and sizes are read: the contents column of the file source is pruned. The driver lists, and the source passes
+    empty files over; ``in_tasks.listing_in_tasks`` does neither.
     """
     root = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
     # the source returns URIs; what follows the root's own path is the relative one
-    at = F.locate(root.split(":", 1)[-1] + "/", F.col("path"))
-    rel = F.substring(F.col("path"), at + len(root.split(":", 1)[-1]) + 1, F.lit(1 << 20))
+    own = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() + "/"
+    rel = F.substring(F.col("path"), F.locate(own, F.col("path")) + len(own), F.lit(1 << 20))
     rows = found.select(
         F.lit(root).alias("root"), rel.alias("rel_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime")
     )

@@ -29,6 +29,16 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
+def digest(store, at: str, block: int = BLOCK) -> tuple[str, int]:
+    """SHA-256 and size of one file, of which one block is held at a time."""
+    found, size = sha256(), 0
+    with store.open_input_stream(at, buffer_size=0) as file:
+        while data := file.read(block):
+            found.update(data)
+            size += len(data)
+    return found.hexdigest(), size
+
+
 def content_hashes(candidates: DataFrame, path_col: str = "path", block: int = BLOCK) -> DataFrame:
     """SHA-256 of the files that ``candidates`` name, and of no others: adds sha256, bytes and error.
 
@@ -42,14 +52,8 @@ def content_hashes(candidates: DataFrame, path_col: str = "path", block: int = B
         for frame in frames:
             out = []
             for path in frame["_path"]:
-                digest, size = sha256(), 0
                 try:
-                    store, at = opened(path)
-                    with store.open_input_stream(at, buffer_size=0) as file:
-                        while data := file.read(block):
-                            digest.update(data)
-                            size += len(data)
-                    out.append((path, digest.hexdigest(), size, None))
+                    out.append((path, *digest(*opened(path), block), None))
                 except OSError as e:
                     out.append((path, None, None, str(e)[:500] or type(e).__name__))
             yield pd.DataFrame(out, columns=["_path", "sha256", "bytes", "error"]).astype({"bytes": "Int64"})

@@ -11,8 +11,8 @@ QUIET = "5 seconds"
 def export_sessions(edits: DataFrame, quiet: str = QUIET, keys: tuple[str, ...] = ("machine",), watermark: str | None = None) -> DataFrame:
     """One row for each run of edits (``keys``, at) without a pause of ``quiet``: keys, first_edit, last_edit, edits, export_at.
 
-    Every edit restarts the wait, so an export falls ``quiet`` after a run's last edit; an edit at just that time belongs to
-    the next run. On a stream give ``watermark``, how late edits may come: a run's row is emitted once the watermark has
+    Every edit restarts the wait, so an export falls ``quiet`` after a run's last edit; an edit at just that time still belongs to
+    the run. On a stream give ``watermark``, how late edits may come: a run's row is emitted once the watermark has
     passed its export. Edits without a time are passed over. Runs are merged within each task before rows meet by key.
     """
     rows = edits.where("at is not null").select(*keys, "at", F.col("at").alias("_at"))
