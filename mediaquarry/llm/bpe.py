@@ -10,13 +10,20 @@ The words of a batch of texts are encoded once each, all of them together and pl
 of the words are sorted, so a prefix that words share is worked out at the first of them only. Words and
 their ids stay in a table of bounded size until the task ends; beyond the bound the half that was used most is
 kept. The automaton lives on in a worker as a few arrays.
+
+Letters, digits, case and composition are those of Python's Unicode tables. Where these and the library's may not agree,
+as for code points that only one of them has, texts and words are normalised and cut by the library's own normaliser and
+pattern, before they are encoded here. Which code points these are is found by asking the library for every one.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, islice
 
@@ -24,7 +31,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquarry.llm.common import release_memory, text_of
@@ -45,6 +53,32 @@ _TOGETHER = 1 << 16
 _CHUNK = 4_000_000
 
 
+@lru_cache(maxsize=2)
+def odd_points(spec: str) -> str:
+    """A pattern for the code points that Python's Unicode tables lack or that the library normalises otherwise, alone or next to other marks."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(spec).normalizer
+    kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+    odd = {chr(c) for c, kind in enumerate(kinds) if kind == "Cn"}
+    points = [chr(c) for c, kind in enumerate(kinds) if kind not in ("Cn", "Co", "Cs")]
+    # a letter keeps what is before apart from what comes after; marks of the lowest and the highest class show the class between
+    for probe in ("{}", "a\u0345{}", "a{}\u0334"):
+        for i in range(0, len(points), 4096):
+            asked = [probe.format(c) for c in points[i : i + 4096]]
+            own = [WordBpe.normalised(x) for x in asked]
+            if library.normalize_str("x".join(asked)) != "x".join(own):
+                odd |= {c for c, x, y in zip(points[i : i + 4096], asked, own, strict=True) if library.normalize_str(x) != y}
+    codes = sorted(map(ord, odd))
+    first = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    last = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "[" + "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in zip(first, last, strict=True)) + "]"
+
+
+#: Code points below the first that Python's tables lack; those that other tables know less about are above it, too.
+_MAYBE_ODD = re.compile("[\u0378-\U0010ffff]")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next free one from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -71,11 +105,12 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class WordBpe:
     """A vocabulary with merges whose words end with a marked symbol.
 
-    ``spec``: the text of the vocabulary's JSON file. ``cache_bytes`` bounds what is remembered between
-    words; it changes no result.
+    ``spec``: the text of the vocabulary's JSON file, ``odd`` the pattern of ``odd_points``. ``cache_bytes`` bounds what is
+    remembered between words; it changes no result.
     """
 
-    def __init__(self, spec: str, cache_bytes: int = 96 << 20):
+    def __init__(self, spec: str, odd: str | None = None, cache_bytes: int = 96 << 20):
+        self._text, self._library, self._odd = spec, None, re.compile(odd or odd_points(spec))
         spec = json.loads(spec)
         model = spec["model"]
         suffix: str = model["end_of_word_suffix"]
@@ -321,8 +356,23 @@ class WordBpe:
         starts[at], sizes[at] = np.cumsum(held) - held, held
         return np.concatenate(flat)[_spread(starts, sizes)], sizes
 
+    def _is_odd(self, text: str) -> bool:
+        """Whether a text has code points on which Python's tables and the library's may not agree."""
+        return _MAYBE_ODD.search(text) is not None and self._odd.search(text) is not None
+
+    @property
+    def library(self):
+        """The library's reading of the same file, of which the normaliser and the pre-tokens are asked."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._text)
+        return self._library
+
     def pieces(self, word: str) -> list[str]:
         """The pre-tokens of a word: letters alone need no pattern."""
+        if self._is_odd(word):
+            return [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
         if word.isalpha():
             return [word]
         if word[-1] in ",.;:!?" and word[:-1].isalpha():
@@ -342,10 +392,17 @@ class WordBpe:
         return words + self._plain(text[at:])
 
     @staticmethod
-    def _plain(text: str) -> list[str]:
+    def normalised(text: str) -> str:
+        """Composed and in lower case, character by character where a final sigma might depend on its place."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        return "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
+
+    def _plain(self, text: str) -> list[str]:
+        if self._is_odd(text):
+            text = self.library.normalizer.normalize_str(text)
+        else:
+            text = self.normalised(text)
         return [w for w in _SPACES.split(text) if w] if _OTHER_SPACES.search(text) else text.split()
 
     def encoded(self, texts: Sequence[str]) -> Iterator[tuple[bytes, bytes]]:
@@ -459,14 +516,20 @@ class _Words:
 _LOADED: dict[str, WordBpe] = {}
 
 
-def loaded(spec: str) -> WordBpe:
+def loaded(spec: str, odd: str) -> WordBpe:
     """The encoder for a vocabulary, made once in each worker."""
     if spec not in _LOADED:
         _LOADED.clear()
-        _LOADED[spec] = WordBpe(spec)
+        _LOADED[spec] = WordBpe(spec, odd)
     return _LOADED[spec]
 
 
+def _shared(spark: SparkSession, vocabulary: str) -> Broadcast[tuple[str, str]]:
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = f.read()
+    return spark.sparkContext.broadcast((spec, odd_points(spec)))
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode it again: id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -474,11 +537,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     text, which has no tokens. Strings of special tokens in a text become those tokens. Null ids are
     kept; one row out per row in; an empty table gives an empty result; other columns are not read.
     """
-    with open(vocabulary, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(docs.sparkSession, vocabulary)
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(shared.value)
+        bpe = loaded(*shared.value)
         for frame in frames:
             rows = [(len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded).hexdigest()) for ids, decoded in bpe.encoded(frame["text"])]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -498,11 +560,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
 
 def bpe_encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids themselves: id and ids, an array of int. Nulls and the rest as in ``bpe_round_trip``."""
-    with open(vocabulary, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(docs.sparkSession, vocabulary)
 
     def ids_of(texts: pd.Series) -> pd.Series:
-        found = loaded(shared.value).encoded(texts)
+        found = loaded(*shared.value).encoded(texts)
         return pd.Series([np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in found], dtype=object)
 
     return docs.select(F.col(id_col), F.pandas_udf(ids_of, "array<int>")(text_of(text_col)).alias("ids"))
@@ -510,11 +571,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Texts of id arrays: id and text. A null array gives null, an empty one the empty text."""
-    with open(vocabulary, encoding="utf-8") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(encoded.sparkSession, vocabulary)
 
     def text(ids: pd.Series) -> pd.Series:
-        bpe = loaded(shared.value)
+        bpe = loaded(*shared.value)
         return pd.Series([None if x is None else bpe.decode(list(x)) for x in ids], dtype=object)
 
     return encoded.select(F.col(id_col), F.pandas_udf(text, "string")(F.col(ids_col)).alias("text"))

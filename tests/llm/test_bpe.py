@@ -39,6 +39,21 @@ def test_random_texts(own, library):
         same(own, library, ["".join(r.choice(words) if r.random() < 0.05 else r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(60)])
 
 
+def test_every_code_point_alone_and_between_others(own, library):
+    # every one of the planes that have characters, every sixteenth of the others
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33480 or 0xE0000 <= c < 0xE0200 or c % 16 == 0)]
+    for plane in range(0, len(points), 1 << 16):
+        own_plane = points[plane : plane + (1 << 16)]
+        same(own, library, ["".join(f"a{c}b {c} 1{c}2 !{c}A{c}\u0307 " for c in own_plane[i : i + 64]) for i in range(0, len(own_plane), 64)])
+
+
+def test_mixtures_of_any_code_points(own, library):
+    r = random.Random(9)
+    known = [chr(c) for c in range(0x3000)]
+    for _ in range(20):
+        same(own, library, ["".join(chr(c) if not 0xD800 <= (c := r.choice([r.randrange(0x3000), r.randrange(0x20000), r.randrange(0x110000)])) < 0xE000 else r.choice(known) for _ in range(r.randint(0, 40))) for _ in range(60)])
+
+
 def test_words_of_few_letters(own, library):
     r = random.Random(3)
     for _ in range(20):
