@@ -138,6 +138,11 @@ def human_size(size: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB")) -
     return F.when(size < 1024, F.format_string("%d " + units[0], size.cast("long"))).otherwise(out)
 
 
+def shown_time(seconds: Column) -> Column:
+    """A time in seconds since 1970 as a day and minute in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+
+
 def parse_names(text: Column) -> Column:
     """Comma-separated names: normalised, without empty ones; of names that fold alike the first stays."""
     names = F.filter(F.transform(F.split(text, ","), normalize_space), lambda n: n != "")

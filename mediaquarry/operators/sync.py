@@ -174,6 +174,11 @@ def imported(library: Library, records: DataFrame, moves: DataFrame, apply_moves
     ``records`` and ``moves`` as ``flat_records`` and ``flat_moves`` return them. Returns the library afterwards and
     one row of counters: moves_applied, moves_skipped, tags_changed, held.
     """
+    return imported_with_outcomes(library, records, moves, apply_moves)[:2]
+
+
+def imported_with_outcomes(library: Library, records: DataFrame, moves: DataFrame, apply_moves: bool = True) -> tuple[Library, DataFrame, DataFrame]:
+    """``imported``, and the outcome of each move (key, outcome)."""
     from mediaquarry.operators.moves import replayed, with_albums
     from mediaquarry.operators.scan import after_scan
     from mediaquarry.operators.tags import move_tags
@@ -192,7 +197,21 @@ def imported(library: Library, records: DataFrame, moves: DataFrame, apply_moves
     # written in between, so that no later step works the earlier ones out again
     links, pending = materialise(merged(links, found), "merged-links"), materialise(held(pending, found), "held-records")
     media, links, pending = after_scan(media, links, pending)
-    return Library(media, links, pending, log), counters
+    if outcomes is None:
+        outcomes = moves.select(F.to_json("seq").alias("key"), F.lit("not asked for").alias("outcome"))
+    return Library(media, links, pending, log), counters, outcomes
+
+
+def skipped_moves(moves: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The moves that an import passed over: from_path, to_path, reason."""
+    skipped = outcomes.where(F.col("outcome").startswith("skipped: ")).select("key", F.substring("outcome", len("skipped: ") + 1, 1 << 10).alias("reason"))
+    return moves.withColumn("key", F.to_json("seq")).join(skipped, "key").select("from_path", "to_path", "reason")
+
+
+def skip_reasons(outcomes: DataFrame) -> DataFrame:
+    """How many moves were passed over for each reason: reason, n."""
+    skipped = outcomes.where(F.col("outcome").startswith("skipped: "))
+    return skipped.groupBy(F.substring("outcome", len("skipped: ") + 1, 1 << 10).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def dry_run(library: Library, records: DataFrame, moves: DataFrame, apply_moves: bool = True) -> DataFrame:

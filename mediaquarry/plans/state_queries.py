@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaquarry.operators import folders, moves, near_index, provider, rename, sync
-from mediaquarry.plans import catalog
+from mediaquarry.functions import text
+from mediaquarry.operators import duplicates, folders, moves, near_index, provider, rename, sync
+from mediaquarry.operators.pointers import placed
+from mediaquarry.plans import catalog, catalog_queries
 from mediaquarry.plans.catalog import MEDIA, PHASH, RECORDS, fold
 from mediaquarry.sources import sync_files
 from mediaquarry.storage import materialise, work_path
@@ -315,3 +317,39 @@ def _(spark, sf_dir):
     log = steps.where("seq.id % 3 <> 2").select("from_path", "to_path", "size", (F.col("moved_at") + F.col("seq.id") % 3).alias("moved_at"))
     found = moves.replayed(rows, steps, log)[0]
     return found.select(F.get_json_object("key", "$.id").cast("long").alias("id"), "outcome")
+
+
+@_query("sync_skip_reasons", f"WITH {catalog_queries.MEDIA}, {catalog_queries._OUTCOMES} SELECT substr(outcome, 10) AS reason, count(*) AS n FROM outcomes WHERE starts_with(outcome, 'skipped') GROUP BY ALL")
+def _(spark, sf_dir):
+    rows = catalog_queries._file_moves(spark, sf_dir)
+    return sync.skip_reasons(moves.replayed(catalog.media(spark, sf_dir), rows, catalog_queries._library(spark, sf_dir).log)[0])
+
+
+@_query("sync_replay_order", "SELECT conv_id, turn, row_number() OVER (ORDER BY turn % 3, conv_id % 10, conv_id, turn) - 1 AS place FROM conversations")
+def _(spark, sf_dir):
+    """The moves of all documents, a conversation each: by time, of one time by file name, then by their places in the file."""
+    rows = catalog.table(spark, sf_dir, "conversations")
+    move = F.struct(F.col("text").alias("from"), F.col("turn").cast("string").alias("to"), F.col("conv_id").alias("size"), (F.col("turn") % 3).cast("double").alias("at"))
+    own = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", move.alias("m")))), lambda x: x["m"]).alias("moves"))
+    docs = own.select(F.format_string("sync-%d-%020d.json", F.col("conv_id") % 10, "conv_id").alias("file"), F.struct("moves").alias("doc"))
+    return placed(sync.flat_moves(docs), ["seq"], "moves-in-order").select(F.col("size").alias("conv_id"), F.col("to_path").cast("long").alias("turn"), F.col("_pos").alias("place"))
+
+
+# -- videos and times --------------------------------------------------------------------------------
+
+
+@_query(
+    "video_pairs",
+    f"""WITH {MEDIA}, {PHASH}, x AS (SELECT m.id, m.duration, p.h FROM media m JOIN prints p USING (id) WHERE present AND h IS NOT NULL AND type = 'video')
+    SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM x a JOIN x b ON a.id < b.id
+    WHERE bit_count(xor(a.h, b.h)) <= 10 AND abs(a.duration - b.duration) <= greatest(1.0, 0.02 * greatest(a.duration, b.duration))""",
+)
+def _(spark, sf_dir):
+    rows = catalog.media(spark, sf_dir).where("present and type = 'video'")
+    return duplicates.video_pairs(rows.join(catalog.fingerprints(spark, sf_dir), "id").select("id", F.col("phash").alias("h"), "duration"), 10)
+
+
+@_query("times_shown", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events")
+def _(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "events")
+    return rows.select("event_id", text.shown_time(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("shown"))

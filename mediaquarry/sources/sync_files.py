@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +61,14 @@ def document_rows(media: DataFrame, links: DataFrame, moves: DataFrame, now: flo
 
 
 def write_document(
-    media: DataFrame, links: DataFrame, moves: DataFrame, folder: str, machine_id: str, now: float, format_name: str = FORMAT, prefix: str = PREFIX, max_bytes: int = MAX_BYTES
+    media: DataFrame, links: DataFrame, moves: DataFrame, folder: str, machine_id: str, now: float, format_name: str = FORMAT, prefix: str = PREFIX, max_bytes: int = MAX_BYTES,
+    replace: Callable[[SparkSession, str, str], None] = replace_file,
 ) -> str:
     """Write the document next to the others: to a file of another name, which then takes the old one's place in one step.
 
     The rows are made in parallel and joined here once they are known to be small; ValueError if the document would be
-    larger than ``max_bytes``, which no reader takes. The old document stays until then.
+    larger than ``max_bytes``, which no reader takes. The old document stays until then. ``replace`` puts the text in place;
+    stores without a rename that overwrites need ``replace_keeping_old``.
     """
     spark = media.sparkSession
     parts = [materialise(rows.select("value"), "document-rows") for rows in document_rows(media, links, moves, now)]
@@ -76,7 +79,7 @@ def write_document(
     head = json.dumps({"format": format_name, "version": VERSION, "machine_id": machine_id, "exported_at": float(now)})[:-1]
     text = f'{head}, "media": [{",".join(ordered[0])}], "moves": [{",".join(ordered[1])}]}}'
     final = f"{folder}/{prefix}{machine_id}.json"
-    replace_file(spark, final, text)
+    replace(spark, final, text)
     return final
 
 

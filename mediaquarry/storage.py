@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,51 @@ def replace_file(spark: SparkSession, path: str, text: str) -> None:
     fs.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf).rename(part, final, option)
 
 
+def replace_keeping_old(spark: SparkSession, path: str, text: str, rename: Callable | None = None) -> None:
+    """Like ``replace_file`` for a store that can't rename onto a file: the old file steps aside first, and back if the new one can't take its place.
+
+    A reader may find no file for a moment, never a part of one. After a failure the old file is there again and nothing else is left; if
+    the process is lost in between, ``restore_old`` puts it back. ``rename(from, to)`` says whether it worked.
+    """
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    final = fs.Path(path)
+    store = final.getFileSystem(conf)
+    rename = rename or store.rename
+    token = uuid.uuid4().hex[:12]
+    part, old = (fs.Path(final.getParent(), f".{final.getName()}.{token}.{kind}") for kind in ("tmp", "bak"))
+    kept = False
+    try:
+        out = store.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if store.exists(final):
+            if not rename(final, old):
+                raise OSError(f"{path} can't be put aside")
+            kept = True
+        if not rename(part, final):
+            raise OSError(f"the new {path} can't be put in its place")
+    except BaseException:
+        if kept and not store.exists(final):
+            store.rename(old, final)
+        store.delete(part, False)
+        raise
+    if kept:
+        store.delete(old, False)
+
+
+def restore_old(spark: SparkSession, path: str) -> bool:
+    """Put back a file that ``replace_keeping_old`` had put aside when its process was lost; whether there was one. The newest counts; what is left over goes."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    final = fs.Path(path)
+    store = final.getFileSystem(conf)
+    found = store.globStatus(fs.Path(final.getParent(), f".{final.getName()}.*.bak")) or []
+    left = sorted(found, key=lambda s: s.getModificationTime())
+    back = bool(left) and not store.exists(final) and store.rename(left.pop().getPath(), final)
+    for status in [*left, *(store.globStatus(fs.Path(final.getParent(), f".{final.getName()}.*.tmp")) or [])]:
+        store.delete(status.getPath(), False)
+    return back
+
+
 class Manifest:
     """The state of a table that changes in batches: a small JSON file that names the folders of the current version.
 

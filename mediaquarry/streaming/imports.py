@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaquarry.operators.sync import Library, flat_moves, flat_records, imported
+from mediaquarry.operators.sync import Library, flat_moves, flat_records, imported_with_outcomes, skipped_moves, summary_line
 from mediaquarry.sources.sync_files import FORMAT, PREFIX, judged_documents
 from mediaquarry.storage import Manifest, materialise
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 _LEDGER = "file string, length long, modified timestamp, batch long, documents long"
 _QUARANTINE = "file string, problem string, batch long"
+_SKIPPED = "from_path string, to_path string, reason string, batch long"
 _COUNTERS = "batch long, files long, problems long, moves_applied long, moves_skipped long, tags_changed long, held long"
 
 
@@ -25,7 +26,7 @@ class ImportStore:
 
     def __init__(self, spark: SparkSession, path: str, own_machine: str | None = None, format_name: str = FORMAT):
         self.spark, self.own_machine, self.format_name = spark, own_machine, format_name
-        self.manifest = Manifest(spark, path, {"library": None, "ledger": [], "quarantine": [], "counters": []})
+        self.manifest = Manifest(spark, path, {"library": None, "ledger": [], "quarantine": [], "counters": [], "skipped": []})
 
     def begin(self, library: Library) -> None:
         state = self.manifest.read()
@@ -57,6 +58,14 @@ class ImportStore:
         """One row for each batch: files read, problems, moves applied and skipped, tags changed, records held."""
         return self._table("counters", _COUNTERS)
 
+    def skipped(self) -> DataFrame:
+        """The moves that were passed over: from_path, to_path, reason, batch."""
+        return self._table("skipped", _SKIPPED)
+
+    def summaries(self) -> DataFrame:
+        """The counters of each batch as a line of text: batch, line."""
+        return self.counters().select("batch", summary_line(F.col("tags_changed"), F.col("moves_applied"), F.col("held"), F.col("moves_skipped"), F.col("problems")).alias("line"))
+
     def take(self, files: DataFrame, batch_id: int) -> bool:
         """Import a batch of files (path, modificationTime, length, content); whether it was new. The own machine's document is passed over."""
         state = self.manifest.read()
@@ -69,14 +78,15 @@ class ImportStore:
             good = good.where(F.col("doc.machine_id") != self.own_machine)
         library = Library(**{name: self.spark.read.parquet(at) for name, at in state["library"].items()})
         records, moves = (materialise(flat(good.select("file", "doc")), "import-rows") for flat in (flat_records, flat_moves))
-        after, counters = imported(library, records, moves)
+        after, counters, outcomes = imported_with_outcomes(library, records, moves)
+        skipped = skipped_moves(moves, outcomes).withColumn("batch", F.lit(batch_id).cast("long"))
         new = {"library": self._written(after)}
         facts = files.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
         done = good.select("file", F.lit(1).cast("long").alias("documents"))
         ledger = facts.join(done, "file", "left").select("file", "length", "modified", F.lit(batch_id).cast("long").alias("batch"), F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
         read = judged.agg(F.count(F.lit(1)).alias("files"), F.count("problem").alias("problems"))
         row = read.join(counters, F.lit(True)).select(F.lit(batch_id).cast("long").alias("batch"), "files", "problems", "moves_applied", "moves_skipped", "tags_changed", "held")
-        for name, table in (("ledger", ledger), ("quarantine", judged.where("problem is not null").select("file", "problem", "batch")), ("counters", row)):
+        for name, table in (("ledger", ledger), ("quarantine", judged.where("problem is not null").select("file", "problem", "batch")), ("counters", row), ("skipped", skipped)):
             table.write.parquet(at := self.manifest.folder(name))
             new[name] = [*state[name], at]
         self.manifest.commit(state | new, batch_id, "")

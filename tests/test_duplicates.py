@@ -200,3 +200,19 @@ def test_components_of_a_long_path_and_of_random_links(spark):
     got = {x.id: x.label for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: root(i) for i in {x for p in links if p[0] != p[1] for x in p}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_of_videos_meet_by_length(spark):
+    import random
+
+    r = random.Random(5)
+    hashes = [r.getrandbits(63) for _ in range(6)]
+    rows = [(i, r.choice(hashes) ^ (1 << r.randrange(60) if i % 3 else 0), r.choice([r.uniform(0, 60), 50 + r.uniform(-1.1, 1.1), r.uniform(0, 4000), 10.0 * r.randrange(8), 49.0 + r.randrange(4)])) for i in range(260)]
+    rows += [(300, hashes[0], None), (301, None, 5.0), (302, hashes[1], 0.0)]
+
+    def match(a, b):
+        return a is not None and b is not None and abs(a - b) <= max(1.0, 0.02 * max(a, b))
+
+    want = {(a[0], b[0], (a[1] ^ b[1]).bit_count()) for a in rows for b in rows if a[0] < b[0] and None not in (a[1], b[1]) and (a[1] ^ b[1]).bit_count() <= 3 and match(a[2], b[2])}
+    found = duplicates.video_pairs(spark.createDataFrame(rows, "id long, h long, duration double"), 3).collect()
+    assert len(found) == len(want) > 50 and {tuple(x) for x in found} == want

@@ -14,7 +14,7 @@ from mediaquarry.operators.duplicates import near_links
 from mediaquarry.operators.near_index import HashIndex
 from mediaquarry.operators.tags import resolve
 from mediaquarry.sources import files, in_tasks, sync_files
-from mediaquarry.storage import replace_file
+from mediaquarry.storage import replace_file, replace_keeping_old, restore_old
 from mediaquarry.streaming import exports
 from mediaquarry.streaming.imports import ImportStore, import_stream
 from mediaquarry.streaming.upsert import SCHEMA, LinkTable
@@ -77,6 +77,30 @@ def test_a_file_is_replaced_in_one_step(spark, tmp_path):
     assert [f for f in os.listdir(tmp_path) if not f.endswith(".crc")] == ["x.json"]
 
 
+def test_a_file_is_kept_until_the_new_one_is_in_its_place(spark, tmp_path):
+    path = f"file://{tmp_path}/x.json"
+    for text in ("one", "two"):
+        replace_keeping_old(spark, path, text)
+        assert (tmp_path / "x.json").read_text() == text
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for fails in (1, 2):  # the old file can't step aside; the new one can't take its place
+        calls = []
+
+        def rename(a, b, calls=calls, fails=fails):
+            calls.append(a)
+            return len(calls) != fails and store.rename(a, b)
+
+        with pytest.raises(OSError, match="x.json"):
+            replace_keeping_old(spark, path, "three", rename)
+        assert (tmp_path / "x.json").read_text() == "two"
+    assert [f for f in os.listdir(tmp_path) if not f.endswith(".crc")] == ["x.json"]
+    assert not restore_old(spark, path)
+    (tmp_path / "x.json").rename(tmp_path / ".x.json.abc.bak")  # the process was lost in between
+    (tmp_path / ".x.json.abc.tmp").write_text("three")
+    assert restore_old(spark, path) and (tmp_path / "x.json").read_text() == "two"
+    assert [f for f in os.listdir(tmp_path) if not f.endswith(".crc")] == ["x.json"]
+
+
 # -- hashes ------------------------------------------------------------------------------------------
 
 
@@ -148,7 +172,7 @@ def test_documents_are_imported_once_across_restarts(spark, tmp_path):
     def run():
         import_stream(store, f"file://{inbox}", f"file://{tmp_path}/state").awaitTermination()
 
-    (inbox / "sync-a.json").write_text(document("a", [("1.jpg", 3, "sun", 9.0, True), ("T/3.mp4", 7, "sea", 1.0, False), ("gone.jpg", 1, "x", 1.0, False)], [("3.mp4", "T/3.mp4", 7, 5.0)]))
+    (inbox / "sync-a.json").write_text(document("a", [("1.jpg", 3, "sun", 9.0, True), ("T/3.mp4", 7, "sea", 1.0, False), ("gone.jpg", 1, "x", 1.0, False)], [("3.mp4", "T/3.mp4", 7, 5.0), ("1.jpg", "T/x.jpg", 3, 6.0)]))
     (inbox / "sync-bad.json").write_text("{")
     (inbox / "sync-me.json").write_text(document("me", [("2.jpg", 6, "mine", 1.0, False)]))
     (inbox / "other.json").write_text("not asked for")
@@ -158,7 +182,9 @@ def test_documents_are_imported_once_across_restarts(spark, tmp_path):
     assert [r[-1] for r in first["media"] if r[0] == 3] == ["T/3.mp4"] and len(first["log"]) == 1 and len(first["pending"]) == 1
     assert [(os.path.basename(r.file), r.problem) for r in store.quarantine().collect()] == [("sync-bad.json", "not a sync file")]
     assert sorted((os.path.basename(r.file), r.documents) for r in store.ledger().collect()) == [("sync-a.json", 1), ("sync-bad.json", 0), ("sync-me.json", 0)]
-    assert shown(store.counters()) == [(0, 3, 1, 1, 0, 2, 1)]
+    assert shown(store.counters()) == [(0, 3, 1, 1, 1, 2, 1)]
+    assert shown(store.skipped()) == [("1.jpg", "T/x.jpg", "move and rename in one", 0)]
+    assert shown(store.summaries()) == [(0, "2 tag change(s), 1 file move(s), 1 record(s) for files not on this machine, 1 move(s) skipped, 1 file problem(s)")]
 
     # a new process: nothing is read twice; a new file is a new batch
     store = ImportStore(spark, f"file://{tmp_path}/library", own_machine="me")
