@@ -230,38 +230,38 @@ def write_archives(
     return materialise(with_revisits(pages, **columns).mapInPandas(written, "path string, records long, bytes long"), "warc-files")
 
 
-def read_archives(spark: SparkSession, files: DataFrame, *, folder: str | None = None, with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, files: DataFrame, *, with_payload: bool = False) -> DataFrame:
     """Read archives back: page_id, record_type, refers_to, declared_digest, payload_bytes, payload_digest, payload, error.
 
-    ``files``: a table with the paths of the archives in ``path``, all below ``folder`` (by default the
-    folder of the first). Revisits have no payload of their own. A record whose segments or chunks don't
+    ``files``: a table with the URIs of the archives in ``path``, each of which counts once; no folder is listed, and tasks open the files
+    that they are dealt. Revisits have no payload of their own. A record whose segments or chunks don't
     fit together gets the reason as ``error`` and no payload; so does one that can't be read at all, in a row
-    without page_id and record_type. Where an archive is cut off or is none, one such row stands for the rest
+    without page_id and record_type. Where an archive is cut off, is none or isn't there, one such row stands for the rest
     of it, and the records before it are read. ``payload`` is null unless ``with_payload``.
     """
-    first = files.select("path").limit(1).collect()
-    if not first and folder is None:
-        return spark.createDataFrame([], _PAGE)
-    folder = folder or first[0][0].rsplit("/", 1)[0]
-    name = F.substring_index("path", "/", -1)
-    # only files that were committed: strays of lost tasks are in the folder, too
-    archives = spark.read.format("binaryFile").load(folder).select(name.alias("name"), "content")
-    archives = archives.join(files.select(name.alias("name")), "name", "left_semi")
+    # the paths are dealt out, not the contents; files that no table names, of lost tasks, aren't met
+    paths = files.select("path").distinct()
+    archives = paths.repartition(max(1, min(100_000, -(-paths.count() // _FILES))), F.xxhash64("path"))
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for frame in frames:
-            rows = []
-            for archive, content in zip(frame["name"], frame["content"], strict=True):
-                number = 0
+            for path in frame["path"]:
+                rows, number = [], 0
+                archive = path.rsplit("/", 1)[-1]
                 try:
+                    store, at = fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(at, compression=None) as file:
+                        content = file.read()
                     for number, data in enumerate(members(content), 1):
                         try:
                             rows += _record_rows(data, with_payload)
                         except BrokenRecord as why:
                             rows.append({"origin": f"{archive}#{number}", "error": str(why)})
-                except BrokenRecord as why:
+                except (BrokenRecord, FileNotFoundError) as why:
                     rows.append({"origin": f"{archive}#{number + 1}", "error": str(why)})
-            yield _frame(rows, _PARSED)
+                yield _frame(rows, _PARSED)
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -280,6 +280,8 @@ def read_archives(spark: SparkSession, files: DataFrame, *, folder: str | None =
     return pages.drop("origin").mapInPandas(joined, _PAGE)
 
 
+#: Archives that a task opens, one after the other.
+_FILES = 4
 _PAGE = "page_id long, record_type string, refers_to long, declared_digest string, payload_bytes long, payload_digest string, payload binary, error string"
 _PARSED = f"origin string, {_PAGE}, number int, total long, data binary"
 
