@@ -353,3 +353,61 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "events")
     return rows.select("event_id", text.shown_time(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("shown"))
+
+
+# -- an import over all that is stored ---------------------------------------------------------------
+
+_LOGGED = catalog_queries._OUTCOMES.replace("WHEN 4 THEN 'absent' WHEN 0 THEN 'unchanged'\n           ELSE CASE", "WHEN 0 THEN 'unchanged'\n           ELSE CASE WHEN id % 3 = 0 THEN 'known' WHEN id % 7 = 4 THEN 'absent'")
+_IMPORT = catalog_queries._IMPORT.replace(catalog_queries._OUTCOMES, _LOGGED).replace(
+    "r.updated_at + 1 AS updated_at, r.deleted", "r.updated_at + (r.seq % 4 = 0)::INT AS updated_at, r.deleted <> (r.seq % 2 = 1) AS deleted"
+)
+
+
+@_query(
+    "sync_import_stored",
+    f"""WITH {_IMPORT}, {catalog_queries._found_in("moved")},
+    before AS (SELECT upper(rel_path) AS path, 'From Afar' AS tag, {catalog_queries.NOW} AS updated_at, false AS deleted FROM media WHERE id % 4 = 1
+               UNION ALL SELECT path, upper(tag), updated_at, NOT deleted FROM incoming WHERE seq % 10 = 2),
+    waiting AS (SELECT path, tag, updated_at, deleted, -1 AS place FROM before UNION ALL SELECT path, tag, updated_at, deleted, seq FROM found WHERE media_id IS NULL),
+    held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {fold("path")}, {fold("tag")} ORDER BY updated_at DESC, place) AS turn FROM waiting) WHERE turn = 1),
+    met AS (SELECT h.*, m.id FROM held h LEFT JOIN moved m ON m.present AND {fold("m.rel_path")} = {fold("h.path")}),
+    every AS (SELECT media_id, tag_key, updated_at, deleted, -1 AS place FROM links UNION ALL SELECT media_id, {fold("tag")}, updated_at, deleted, seq FROM found WHERE media_id IS NOT NULL
+              UNION ALL SELECT id, {fold("tag")}, updated_at, deleted, 4611686018427387904 FROM met WHERE id IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id, tag_key ORDER BY updated_at DESC, place) AS turn FROM every)
+    SELECT 'links' AS store, media_id::VARCHAR AS key, tag_key AS tag, updated_at, deleted FROM r WHERE turn = 1
+    UNION ALL SELECT 'held', path, tag, updated_at, deleted FROM met WHERE id IS NULL
+    UNION ALL SELECT 'moves', outcome, NULL, NULL, NULL FROM outcomes WHERE outcome IN ('known', 'applied')""",
+)
+def _(spark, sf_dir):
+    """Links, held records and a log are there: a third of the moves is in the log, records are as new as links or held records and say the opposite."""
+    rows, steps = catalog.media(spark, sf_dir), catalog_queries._file_moves(spark, sf_dir)
+    incoming = catalog_queries._incoming(spark, sf_dir).withColumns(
+        {"updated_at": F.col("updated_at") + F.when(F.col("seq") % 4 == 0, 1).otherwise(0), "deleted": F.col("deleted") != (F.col("seq") % 2 == 1)}
+    )
+    held = rows.where("id % 4 = 1").select(F.upper("rel_path").alias("path"), F.lit("From Afar").alias("tag"), F.lit(catalog_queries.NOW).alias("updated_at"), F.lit(False).alias("deleted"))
+    held = held.unionByName(incoming.where("seq % 10 = 2").select("path", F.upper("tag").alias("tag"), "updated_at", (~F.col("deleted")).alias("deleted")))
+    log = steps.where("seq.id % 3 = 0").select("from_path", "to_path", "size", "moved_at")
+    after, _, outcomes = sync.imported_with_outcomes(sync.Library(rows, catalog.links(spark, sf_dir), held, log), incoming, steps)
+    links = after.links.select(F.lit("links").alias("store"), F.col("media_id").cast("string").alias("key"), F.col("tag_key").alias("tag"), "updated_at", "deleted")
+    left = after.pending.select(F.lit("held").alias("store"), F.col("path").alias("key"), "tag", "updated_at", "deleted")
+    judged = outcomes.where("outcome in ('known', 'applied')").select(F.lit("moves").alias("store"), F.col("outcome").alias("key"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("double").alias("updated_at"), F.lit(None).cast("boolean").alias("deleted"))
+    return links.unionByName(left).unionByName(judged)
+
+
+@_query(
+    "sync_attach_stored",
+    f"""WITH {MEDIA}, {_STORED}, held AS (SELECT upper(m.rel_path) AS path, m.id, m.present, r.tag, r.updated_at + CASE r.media_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.0 END AS updated_at, NOT r.deleted AS deleted
+              FROM stored r JOIN media m ON m.id = r.media_id WHERE r.media_id % 2 = 0),
+    every AS (SELECT media_id, tag, updated_at, deleted, 0 AS late FROM stored UNION ALL SELECT id, tag, updated_at, deleted, 1 FROM held WHERE present),
+    r AS (SELECT *, row_number() OVER (PARTITION BY media_id, tag ORDER BY updated_at DESC, late) AS turn FROM every)
+    SELECT 'links' AS store, media_id::VARCHAR AS key, tag, updated_at, deleted FROM r WHERE turn = 1 UNION ALL SELECT 'held', path, tag, updated_at, deleted FROM held WHERE NOT present""",
+)
+def _(spark, sf_dir):
+    """Held records that are newer, older and as new as the links that are there, all of which say the opposite."""
+    rows, stored = catalog.media(spark, sf_dir), _stored_links(spark, sf_dir)
+    shift = F.when(F.col("media_id") % 3 == 0, 1.0).when(F.col("media_id") % 3 == 1, -1.0).otherwise(0.0)
+    own = rows.select(F.col("id").alias("media_id"), F.upper("rel_path").alias("path"))
+    held = stored.where("media_id % 2 = 0").join(own, "media_id").select("path", F.col("tag_key").alias("tag"), (F.col("updated_at") + shift).alias("updated_at"), (~F.col("deleted")).alias("deleted"))
+    links, left = sync.attached(stored, held, rows)
+    shown = links.select(F.lit("links").alias("store"), F.col("media_id").cast("string").alias("key"), F.col("tag_key").alias("tag"), "updated_at", "deleted")
+    return shown.unionByName(left.select(F.lit("held").alias("store"), F.col("path").alias("key"), "tag", "updated_at", "deleted"))
