@@ -124,7 +124,10 @@ def by_media(media: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def remapped(records: DataFrame, done: DataFrame) -> DataFrame:
-    """Records (path, ...) with the paths to which files were moved before: ``done`` has from_path and to_path, the last move counts."""
+    """Records (path, ...) with the paths to which files were moved before: ``done`` has from_path and to_path, the last move counts.
+
+    Paths are compared letter by letter, without folding, unlike elsewhere: the map of moves is one of paths as they are spelled.
+    """
     way = done.groupBy(F.col("from_path").alias("_from")).agg(F.max_by("to_path", "seq").alias("_to"))
     met = records.join(way, F.col("path") == F.col("_from"), "left")
     return met.withColumn("path", F.coalesce("_to", "path")).select(*records.columns)
