@@ -7,10 +7,9 @@ and V of them different,
     P(w | b)   = (c(b w) + m2 * P(w)) / (c(b) + m2)
     P(w | a b) = (c(a b w) + m3 * P(w | b)) / (c(a b) + m3)
 
-where pairs (a, b) are contexts if both are among the ``context_words`` commonest words (or a is the start of the
-text). As an automaton: the root, every word seen in training, the start, and every seen pair that is a
-context are states; a seen n-gram is an arc from the state of all but its last word to the state of its
-longest suffix that has one. Where a state has no arc for a word, its failure arc leads to its own longest
+where the start of a text is a word before its first. As an automaton: the root, every word seen in training, the
+start, and every seen pair that doesn't end a text are states; a seen n-gram is an arc from the state of all but its
+last word to the state of its longest suffix that has one. Where a state has no arc for a word, its failure arc leads to its own longest
 suffix, at the weight m / (c + m); the root has an arc for every word. m2 and m3 are fitted to the training
 texts: the weight that failure arcs get in all is to be the share of n-grams seen once (Good and Turing).
 
@@ -25,7 +24,6 @@ block sends one entry, so a common one brings its owner as many entries as there
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -43,8 +41,10 @@ START = np.uint64(1 << 63)
 GRID = 2.0 ** np.arange(0, 25)
 #: So many texts or more are walked side by side; a text alone is walked in spans of so many tokens.
 _SIDE_BY_SIDE, _WALK = 12, 1 << 16
-#: Kinds of n-grams besides words: pairs that are contexts, other pairs, and triples.
-_KINDS = ("context", "pair", "triple")
+#: Kinds of n-grams besides words: pairs that are contexts, pairs that end a text, and triples. Owners know them by the numbers of their words.
+_KINDS = {"context": ("first", "last"), "pair": ("first", "last"), "triple": ("first", "middle", "last")}
+
+_PARTS = [f"{kind}_{part}" for kind, places in _KINDS.items() for part in (*places, "counts")]
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -66,11 +66,12 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
-def _packed_sorted(values: np.ndarray) -> bytes:
+def _packed_steps(values: np.ndarray) -> bytes:
+    """Integers as their differences, modulo 2 to the 64th."""
     return _packed(np.diff(values, prepend=np.uint64(0)))
 
 
-def _unpacked_sorted(data: bytes) -> np.ndarray:
+def _unpacked_steps(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data), dtype=np.uint64)
 
 
@@ -88,6 +89,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mixed(keys: Sequence[np.ndarray]) -> np.ndarray:
+    """One hash of several numbers."""
+    out = np.zeros(len(keys[0]), np.uint64)
+    for key in keys:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + _mix(key + np.uint64(0x632BE59BD9B4E019)))
+    return out
+
+
+def _by_owner(owner: np.ndarray, owners: int) -> np.ndarray:
+    """The order by owner, otherwise as it was."""
+    return np.argsort(owner.astype(np.uint16) if owners <= 1 << 16 else owner, kind="stable")
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and where each value is among them."""
+    at, found = pd.factorize(values)
+    order = np.argsort(found)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return found[order], place[at]
+
+
 def _owner(hashes: np.ndarray, owners: int) -> np.ndarray:
     """The owner of each hash: a range of its upper 32 bits."""
     return (((hashes >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
@@ -119,34 +142,31 @@ class Block:
         """Training counts of the words."""
         return np.bincount(self.ids[self.trained], minlength=len(self.words))
 
-    def find_ngrams(self, top: dict[bytes, int]) -> None:
+    def find_ngrams(self) -> None:
         """Number the block's pairs and triples.
 
         ``pairs`` are (before, word) in one integer, ``at_pair`` the pair at each place, ``context`` whether
-        a pair is one; ``triples`` are (pair before, word) and ``at_triple`` the triple at each place, -1
-        where the two words before are no context. ``rank`` has the ranks of common words, -1 for others.
+        a pair is one, that is no end; ``triples`` are (pair before, word) and ``at_triple`` the triple at each
+        place, -1 at the first of a text.
         """
         base, ids = self.base, self.ids
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[self.starts] = base - 1
-        self.pairs, self.at_pair = np.unique(before * base + ids, return_inverse=True)
-        self.rank = np.array([top.get(w, -1) for w in self.words] + [len(top)], np.int64)
-        self.rank[0] = -1
-        first, second = self.pairs // base, self.pairs % base
-        self.context = (self.rank[first] >= 0) & (self.rank[second] >= 0)
+        self.pairs, self.at_pair = _numbered(before * base + ids)
+        self.context = self.pairs % base != 0
         inner = np.ones(len(ids), bool)
         inner[self.starts] = False
-        inner[1:] &= self.context[self.at_pair[:-1]]
         places = np.flatnonzero(inner)
-        self.triples, sample, at = np.unique(self.at_pair[places - 1] * base + ids[places], return_index=True, return_inverse=True)
+        self.triples, at = _numbered(self.at_pair[places - 1] * base + ids[places])
         #: for each triple the pair that ends it
-        self.triple_ends = self.at_pair[places[sample]]
+        self.triple_ends = np.empty(len(self.triples), np.int64)
+        self.triple_ends[at] = self.at_pair[places]
         self.at_triple = np.full(len(ids), -1, np.int64)
         self.at_triple[places] = at
 
     def questions(self, numbers: np.ndarray, known: np.ndarray, owners: int) -> dict[str, tuple]:
-        """For each kind what is sent: which n-grams, in the order of (owner, key), their owners, and both halves of their keys.
+        """For each kind what is sent: which n-grams, by owner and then as they are numbered, their owners, and the numbers of their words.
 
         An n-gram with a word that training never saw is not sent.
         """
@@ -154,19 +174,18 @@ class Block:
         first, second = self.pairs // self.base, self.pairs % self.base
         usual = seen[first] & seen[second]
         before, last = self.triples // self.base, self.triples % self.base
-        common = int(self.rank[-1]) + 1
         out = {}
         for kind in _KINDS:
             if kind == "triple":
                 which = np.flatnonzero(usual[before] & seen[last])
-                high = (self.rank[first[before[which]]] * common + self.rank[second[before[which]]]).astype(np.uint64)
-                low = number[last[which]]
+                words = first[before[which]], second[before[which]], last[which]
             else:
                 which = np.flatnonzero(usual & (self.context == (kind == "context")))
-                high, low = number[first[which]], number[second[which]]
-            owner = _owner(_mix(high * np.uint64(0x9E3779B97F4A7C15) + _mix(low + np.uint64(0x632BE59BD9B4E019))), owners)
-            order = np.lexsort((low, high, owner))
-            out[kind] = which[order], owner[order], high[order], low[order]
+                words = first[which], second[which]
+            keys = [number[w] for w in words]
+            owner = _owner(_mixed(keys), owners)
+            order = _by_owner(owner, owners)
+            out[kind] = which[order], owner[order], *(k[order] for k in keys)
         return out
 
 
@@ -218,7 +237,7 @@ def _word_messages(frames: Iterator[pd.DataFrame], owners: int) -> Iterator[pd.D
         for row in frame.itertuples(index=False):
             block = Block.of(row)
             counts, owner = block.counts(), _word_owners(block.words, owners)
-            order = np.argsort(owner, kind="stable")
+            order = _by_owner(owner, owners)
             out = []
             for p, own in _runs(owner[order]):
                 which = order[own]
@@ -237,9 +256,9 @@ def _parted(values: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def _own_words(messages: pd.DataFrame, common: int) -> pd.DataFrame:
+def _own_words(messages: pd.DataFrame) -> pd.DataFrame:
     """An owner's words: for each message totals and numbers, in the message's order; in the first row the owner's
-    tokens, different tokens, commonest words, and the weight of its words' failure arcs for every m of the grid."""
+    tokens, different tokens, and the weight of its words' failure arcs for every m of the grid."""
     index: dict[bytes, int] = {}
     at, sizes = [], []
     for data in messages["words"]:
@@ -252,16 +271,11 @@ def _own_words(messages: pd.DataFrame, common: int) -> pd.DataFrame:
     out = pd.DataFrame({"block": messages["block"].to_numpy(), "owner": messages["owner"].to_numpy()})
     out["totals"] = [_packed(x) for x in _parted(sums[place], sizes)]
     out["numbers"] = [_packed(x.astype(np.uint64) + first) for x in _parted(place, sizes)]
-    words, ends = list(index), index.get(b"", -1)
+    ends = index.get(b"", -1)
     inner = np.delete(sums, ends) if ends >= 0 else sums
-    cut = max(1, int(np.partition(inner, -common)[-common])) if len(inner) > common else 1
-    above = [(int(sums[i]), words[i]) for i in np.flatnonzero(sums > cut).tolist() if i != ends]
-    ties = (words[i] for i in np.flatnonzero(sums == cut).tolist() if i != ends)
-    top = above + [(cut, w) for w in nsmallest(common - len(above), ties)]
     rest = [None] * (len(out) - 1)
     out["tokens"] = [int(sums.sum()), *rest]
     out["distinct"] = [int((sums > 0).sum()), *rest]
-    out["top"] = [top, *rest]
     out["mass"] = [_mass(inner).tolist(), *rest]
     return out
 
@@ -277,13 +291,14 @@ def _own_ngrams(messages: pd.DataFrame) -> pd.DataFrame:
     once, and the weight of its contexts' failure arcs for every m of the grid."""
     out = pd.DataFrame({"block": messages["block"].to_numpy(), "owner": messages["owner"].to_numpy()})
     once, mass = {}, [0.0] * len(GRID)
-    for kind in _KINDS:
-        high = [_unpacked_sorted(x) for x in messages[f"{kind}_high"]]
-        sizes = [len(x) for x in high]
-        a, _ = pd.factorize(np.concatenate(high))
-        b, lows = pd.factorize(np.concatenate([_unpacked(x) for x in messages[f"{kind}_low"]]))
-        at, keys = pd.factorize(a * max(1, len(lows)) + b)
-        sums = np.bincount(at, np.concatenate([_unpacked(x) for x in messages[f"{kind}_counts"]]), len(keys)).astype(np.int64)
+    for kind, places in _KINDS.items():
+        counts = [_unpacked(x) for x in messages[f"{kind}_counts"]]
+        sizes = [len(x) for x in counts]
+        at = np.zeros(sum(sizes), np.int64)
+        for place in places:
+            words, different = pd.factorize(np.concatenate([_unpacked_steps(x) for x in messages[f"{kind}_{place}"]]))
+            at, keys = pd.factorize(at * max(1, len(different)) + words)
+        sums = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
         out[f"{kind}_totals"] = [_packed(x) for x in _parted(sums[at], sizes)]
         once[kind] = int((sums == 1).sum())
         if kind == "context":
@@ -295,27 +310,26 @@ def _own_ngrams(messages: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _ngram_messages(block_id: int, block: Block, words: tuple[np.ndarray, np.ndarray], top: dict[bytes, int], owners: int) -> pd.DataFrame:
+def _ngram_messages(block_id: int, block: Block, words: tuple[np.ndarray, np.ndarray], owners: int) -> pd.DataFrame:
     """A block's pairs and triples with their training counts, to each owner that has any of them."""
     totals, numbers = words
-    block.find_ngrams(top)
+    block.find_ngrams()
     inner = block.trained & (block.at_triple >= 0)
     pairs = np.bincount(block.at_pair[block.trained], minlength=len(block.pairs))
     counts = {"pair": pairs, "context": pairs, "triple": np.bincount(block.at_triple[inner], minlength=len(block.triples))}
     sent: dict[int, dict[str, bytes]] = {}
-    for kind, (which, owner, high, low) in block.questions(numbers, totals > 0, owners).items():
+    for kind, (which, owner, *keys) in block.questions(numbers, totals > 0, owners).items():
         for p, own in _runs(owner):
-            parts = {f"{kind}_high": _packed_sorted(high[own]), f"{kind}_low": _packed(low[own]), f"{kind}_counts": _packed(counts[kind][which[own]])}
-            sent.setdefault(p, {}).update(parts)
+            parts = {f"{kind}_{place}": _packed_steps(k[own]) for place, k in zip(_KINDS[kind], keys, strict=True)}
+            sent.setdefault(p, {}).update(parts, **{f"{kind}_counts": _packed(counts[kind][which[own]])})
     none = _packed(np.empty(0, np.uint64))
-    names = [f"{kind}_{part}" for kind in _KINDS for part in ("high", "low", "counts")]
-    return pd.DataFrame([(block_id, p, *(own.get(n, none) for n in names)) for p, own in sent.items()], columns=["block", "owner", *names])
+    return pd.DataFrame([(block_id, p, *(own.get(n, none) for n in _PARTS)) for p, own in sent.items()], columns=["block", "owner", *_PARTS])
 
 
 def _word_answers(answers: pd.DataFrame, block: Block, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Totals and numbers of the block's words."""
     owner = _word_owners(block.words, owners)
-    order = np.argsort(owner, kind="stable")
+    order = _by_owner(owner, owners)
     got = answers.sort_values("owner")
     totals, numbers = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint64)
     totals[order] = np.concatenate([_unpacked(x) for x in got["totals"]])
@@ -328,7 +342,7 @@ def _ngram_answers(answers: pd.DataFrame, block: Block, words: tuple[np.ndarray,
     totals, numbers = words
     pairs, triples = np.zeros(len(block.pairs), np.int64), np.zeros(len(block.triples), np.int64)
     got = answers.sort_values("owner")
-    for kind, (which, _, _, _) in block.questions(numbers, totals > 0, owners).items():
+    for kind, (which, *_) in block.questions(numbers, totals > 0, owners).items():
         found = np.concatenate([np.empty(0, np.int64), *(_unpacked(x).astype(np.int64) for x in got[f"{kind}_totals"])])
         (triples if kind == "triple" else pairs)[which] = found
     return pairs, triples
@@ -441,7 +455,6 @@ def score_language_model(
     docs: DataFrame,
     *,
     held_out_fold: int = 1,
-    context_words: int = 1024,
     block_tokens: int = 700_000,
     owner_keys: int = 1_500_000,
     smoothing: tuple[float, float] | None = None,
@@ -454,8 +467,7 @@ def score_language_model(
     lower-cased, and one end. A null text is the empty text, whose only token is its end. Null ids are
     kept and fall into the fold of the empty text's crc32. Repeated rows train and are scored each; an
     empty table gives an empty result; without training texts every token is unknown. Other columns are
-    not read. ``context_words`` is the model's own parameter, see above; ties are broken by spelling.
-    ``smoothing`` replaces the fitted (m2, m3). ``block_tokens`` and ``owner_keys`` bound what a task holds
+    not read. ``smoothing`` replaces the fitted (m2, m3). ``block_tokens`` and ``owner_keys`` bound what a task holds
     and change no result beyond the order of sums.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (crc_fold(F.col(id_col)) != held_out_fold).alias("train"), text_of(text_col).alias("text"))
@@ -477,26 +489,21 @@ def score_language_model(
     def words_asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _word_messages(frames, word_owners)
 
-    def own_words(messages: pd.DataFrame) -> pd.DataFrame:
-        return _own_words(messages, context_words)
-
     asked = blocks.mapInPandas(words_asked, "block long, owner int, words binary, counts binary")
-    reply = "block long, owner int, totals binary, numbers binary, tokens long, distinct long, top array<struct<n: long, word: binary>>, mass array<double>"
-    word_answers = materialise(asked.repartitionById(word_owners, F.col("owner")).groupBy("owner").applyInPandas(own_words, reply), "lm-words")
+    reply = "block long, owner int, totals binary, numbers binary, tokens long, distinct long, mass array<double>"
+    word_answers = materialise(asked.repartitionById(word_owners, F.col("owner")).groupBy("owner").applyInPandas(_own_words, reply), "lm-words")
     tokens, distinct, mass2 = _sums(word_answers, ["tokens", "distinct"])
-    common = word_answers.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(context_words).collect()
-    top = {bytes(r["word"]): k for k, r in enumerate(common)}
 
     def ngrams_asked(_key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         found = []
         for row in own.itertuples(index=False):
             block = Block.of(row)
-            found.append(_ngram_messages(row.block, block, _word_answers(got, block, word_owners), top, ngram_owners))
+            found.append(_ngram_messages(row.block, block, _word_answers(got, block, word_owners), ngram_owners))
         return pd.concat(found)
 
     own_blocks = blocks.select("block", "flags", "lengths", "words", "tokens")
     own_answers = word_answers.select("block", "owner", "totals", "numbers")
-    parts = ", ".join(f"{kind}_{part} binary" for kind in _KINDS for part in ("high", "low", "counts"))
+    parts = ", ".join(f"{part} binary" for part in _PARTS)
     asked = own_blocks.groupBy("block").cogroup(own_answers.groupBy("block")).applyInPandas(ngrams_asked, f"block long, owner int, {parts}")
     totals = ", ".join(f"{kind}_totals binary" for kind in _KINDS)
     reply = f"block long, owner int, {totals}, once_pairs long, once_triples long, mass array<double>"
@@ -509,7 +516,7 @@ def score_language_model(
         found = []
         for row in own.itertuples(index=False):
             block = Block.of(row)
-            block.find_ngrams(top)
+            block.find_ngrams()
             words = _word_answers(got[got["totals"].notna()], block, word_owners)
             pairs, triples = _ngram_answers(got[got["totals"].isna()], block, words, ngram_owners)
             model = Automaton(block, words[0], pairs, triples, texts, tokens, distinct, m2, m3)

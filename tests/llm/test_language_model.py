@@ -14,14 +14,12 @@ END = b""
 class Formula:
     """The probabilities by their definition, over whole counts; a context starts with None at the start of a text."""
 
-    def __init__(self, texts, context_words, m2, m3):
+    def __init__(self, texts, m2, m3):
         self.m2, self.m3, self.texts = m2, m3, len(texts)
         self.c1 = Counter(w for t in texts for w in t)
         self.c2 = Counter(p for t in texts for p in zip([None, *t], t, strict=False))
         self.c3 = Counter(p for t in texts for p in zip([None, *t], t, t[1:], strict=False))
         self.n, self.v = sum(self.c1.values()), len(self.c1)
-        inner = sorted((w for w in self.c1 if w != END), key=lambda w: (-self.c1[w], w))
-        self.common = {None, *inner[:context_words]}
 
     def p1(self, w):
         return (self.c1[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
@@ -31,17 +29,16 @@ class Formula:
         return (self.c2[b, w] + self.m2 * self.p1(w)) / (c + self.m2)
 
     def p3(self, w, a, b):
-        c = self.c2[a, b] if {a, b} <= self.common else 0
-        return ((self.c3[a, b, w] if c else 0) + self.m3 * self.p2(w, b)) / (c + self.m3)
+        return (self.c3[a, b, w] + self.m3 * self.p2(w, b)) / (self.c2[a, b] + self.m3)
 
     def score(self, t):
         return sum(math.log10(self.p2(w, None) if i == 0 else self.p3(w, t[i - 2] if i > 1 else None, t[i - 1])) for i, w in enumerate(t))
 
 
-def brute(rows, context_words, m2, m3):
+def brute(rows, m2, m3):
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
     texts = [[*tokens_of(t), END] for _, t in rows]
-    f = Formula([t for t, h in zip(texts, held, strict=True) if not h], context_words, m2, m3)
+    f = Formula([t for t, h in zip(texts, held, strict=True) if not h], m2, m3)
     return sorted(
         [
             (i, h, len(t), sum(f.c1[w] > 0 for w in t), f.n, round(sum(math.log10(f.p1(w)) for w in t), 6), round(f.score(t), 6))
@@ -61,20 +58,20 @@ def random_rows(n):
     return [(i, " ".join(f"W{min(r.randint(0, 16), r.randint(0, 16))}" for _ in range(i % 13))) for i in range(50, 50 + n)]
 
 
-@pytest.mark.parametrize("block_tokens, owner_keys, context_words", [(40, 50, 6), (1_000_000, 1_500_000, 6), (60, 100, 1024), (60, 100, 1)])
-def test_equals_the_formula_over_everything(docs, hard, block_tokens, owner_keys, context_words):
+@pytest.mark.parametrize("block_tokens, owner_keys", [(40, 50), (1_000_000, 1_500_000), (60, 100), (60, 3)])
+def test_equals_the_formula_over_everything(docs, hard, block_tokens, owner_keys):
     rows = hard[:-3] + hard[-1:] + random_rows(90)
-    found = got(docs(rows), smoothing=(3.0, 1.5), block_tokens=block_tokens, owner_keys=owner_keys, context_words=context_words)
-    assert found == brute(rows, context_words, 3.0, 1.5)
+    found = got(docs(rows), smoothing=(3.0, 1.5), block_tokens=block_tokens, owner_keys=owner_keys)
+    assert found == brute(rows, 3.0, 1.5)
 
 
-def automaton(texts, every, context_words, m2, m3):
+def automaton(texts, every, m2, m3):
     """The automaton over one block that holds the texts of ``every``, and the formula, both with the counts of ``texts``."""
-    f = Formula(texts, context_words, m2, m3)
+    f = Formula(texts, m2, m3)
     words = list(dict.fromkeys([END, *(w for t in every for w in t)]))
     number = {w: i for i, w in enumerate(words)}
     block = Block(words, np.array([number[w] for t in every for w in t]), np.array([len(t) for t in every]), np.ones(len(every), bool))
-    block.find_ngrams({w: k for k, w in enumerate(sorted((w for w in f.common if w), key=lambda w: (-f.c1[w], w)))})
+    block.find_ngrams()
     spelled = [*words, None]
     pairs = [(spelled[k // block.base], spelled[k % block.base]) for k in block.pairs.tolist()]
     triples = [(*pairs[k // block.base], spelled[k % block.base]) for k in block.triples.tolist()]
@@ -89,7 +86,7 @@ def test_probabilities_after_any_state_sum_to_one():
     words = [b"a", b"b", b"c", b"unseen"]
     heads = [[], *([a] for a in words), *([a, b] for a in words for b in words)]
     every = [[*h, w] for h in heads for w in [*words, END]]
-    model, _ = automaton(TEXTS, [*every, *heads[1:]], 2, 1.5, 0.7)
+    model, _ = automaton(TEXTS, [*every, *heads[1:]], 1.5, 0.7)
     found = dict(zip(map(tuple, [*every, *heads[1:]]), model.scores(), strict=True)) | {(): 0.0}
     for head in heads:
         assert sum(10 ** found[*head, w] for w in [*words, END]) == pytest.approx(10 ** found[tuple(head)])
@@ -98,7 +95,7 @@ def test_probabilities_after_any_state_sum_to_one():
 def test_walks_side_by_side_and_alone_agree_with_the_formula():
     r = random.Random(8)
     every = TEXTS + [[r.choice([b"a", b"b", b"c", b"d", b"e"]) for _ in range(r.randint(0, 40))] + [END] for _ in range(40)]
-    model, f = automaton(every[:30], every, 3, 2.0, 0.5)
+    model, f = automaton(every[:30], every, 2.0, 0.5)
     ends = np.cumsum(model.block.lengths).tolist()
     assert model.scores() == pytest.approx([f.score(t) for t in every])
     assert [model.walk(e - len(t), e, model.start, 0.0) for t, e in zip(every, ends, strict=True)] == pytest.approx([f.score(t) for t in every])
@@ -131,4 +128,4 @@ def test_context_helps_on_held_out_texts(spark):
     found = score_language_model(docs).where("held_out").toPandas()
     tokens = found.n_tokens.sum()
     assert found.base_score.sum() / tokens < -4.0
-    assert found.score.sum() / tokens > -3.75
+    assert found.score.sum() / tokens > -3.5
