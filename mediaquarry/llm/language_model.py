@@ -67,12 +67,14 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _packed_steps(values: np.ndarray) -> bytes:
-    """Integers as their differences, modulo 2 to the 64th."""
-    return _packed(np.diff(values, prepend=np.uint64(0)))
+    """Integers as their differences, modulo 2 to the 64th, with the sign in the lowest bit."""
+    steps = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    return _packed((steps << 1) ^ (steps >> 63))
 
 
 def _unpacked_steps(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data), dtype=np.uint64)
+    steps = _unpacked(data).astype(np.int64)
+    return np.cumsum(((steps >> 1) & np.int64((1 << 63) - 1)) ^ -(steps & 1), dtype=np.int64).view(np.uint64)
 
 
 def _spelled(words: Sequence[bytes]) -> bytes:
@@ -256,7 +258,7 @@ def _parted(values: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def _own_words(messages: pd.DataFrame) -> pd.DataFrame:
+def _own_words(messages: pd.DataFrame, owners: int) -> pd.DataFrame:
     """An owner's words: for each message totals and numbers, in the message's order; in the first row the owner's
     tokens, different tokens, and the weight of its words' failure arcs for every m of the grid."""
     index: dict[bytes, int] = {}
@@ -267,10 +269,12 @@ def _own_words(messages: pd.DataFrame) -> pd.DataFrame:
         sizes.append(len(words))
     place = np.concatenate(at)
     sums = np.bincount(place, np.concatenate([_unpacked(x) for x in messages["counts"]]), len(index)).astype(np.int64)
-    first = np.uint64(int(messages["owner"].iloc[0]) << 32)
+    # common words get small numbers, which compress
+    number = np.empty(len(sums), np.uint64)
+    number[np.argsort(-sums, kind="stable")] = np.arange(len(sums), dtype=np.uint64) * np.uint64(owners) + np.uint64(messages["owner"].iloc[0])
     out = pd.DataFrame({"block": messages["block"].to_numpy(), "owner": messages["owner"].to_numpy()})
     out["totals"] = [_packed(x) for x in _parted(sums[place], sizes)]
-    out["numbers"] = [_packed(x.astype(np.uint64) + first) for x in _parted(place, sizes)]
+    out["numbers"] = [_packed(x) for x in _parted(number[place], sizes)]
     ends = index.get(b"", -1)
     inner = np.delete(sums, ends) if ends >= 0 else sums
     rest = [None] * (len(out) - 1)
@@ -296,7 +300,8 @@ def _own_ngrams(messages: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(x) for x in counts]
         at = np.zeros(sum(sizes), np.int64)
         for place in places:
-            words, different = pd.factorize(np.concatenate([_unpacked_steps(x) for x in messages[f"{kind}_{place}"]]))
+            read = _unpacked_steps if place == "first" else _unpacked
+            words, different = pd.factorize(np.concatenate([read(x) for x in messages[f"{kind}_{place}"]]))
             at, keys = pd.factorize(at * max(1, len(different)) + words)
         sums = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
         out[f"{kind}_totals"] = [_packed(x) for x in _parted(sums[at], sizes)]
@@ -320,7 +325,8 @@ def _ngram_messages(block_id: int, block: Block, words: tuple[np.ndarray, np.nda
     sent: dict[int, dict[str, bytes]] = {}
     for kind, (which, owner, *keys) in block.questions(numbers, totals > 0, owners).items():
         for p, own in _runs(owner):
-            parts = {f"{kind}_{place}": _packed_steps(k[own]) for place, k in zip(_KINDS[kind], keys, strict=True)}
+            # n-grams with the same first word stand together
+            parts = {f"{kind}_{place}": (_packed_steps if place == "first" else _packed)(k[own]) for place, k in zip(_KINDS[kind], keys, strict=True)}
             sent.setdefault(p, {}).update(parts, **{f"{kind}_counts": _packed(counts[kind][which[own]])})
     none = _packed(np.empty(0, np.uint64))
     return pd.DataFrame([(block_id, p, *(own.get(n, none) for n in _PARTS)) for p, own in sent.items()], columns=["block", "owner", *_PARTS])
@@ -489,9 +495,12 @@ def score_language_model(
     def words_asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _word_messages(frames, word_owners)
 
+    def own_words(messages: pd.DataFrame) -> pd.DataFrame:
+        return _own_words(messages, word_owners)
+
     asked = blocks.mapInPandas(words_asked, "block long, owner int, words binary, counts binary")
     reply = "block long, owner int, totals binary, numbers binary, tokens long, distinct long, mass array<double>"
-    word_answers = materialise(asked.repartitionById(word_owners, F.col("owner")).groupBy("owner").applyInPandas(_own_words, reply), "lm-words")
+    word_answers = materialise(asked.repartitionById(word_owners, F.col("owner")).groupBy("owner").applyInPandas(own_words, reply), "lm-words")
     tokens, distinct, mass2 = _sums(word_answers, ["tokens", "distinct"])
 
     def ngrams_asked(_key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
