@@ -56,14 +56,23 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers as planes of bytes, which are mostly equal and compress well."""
-    planes = np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    """Integers as planes of bytes, each compressed by itself: how many, which planes aren't zero, their lengths, the planes."""
+    planes = np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    compressor = zstandard.ZstdCompressor(level=1, write_checksum=False)
+    used = [k for k in range(8) if planes[k].any()]
+    frames = [compressor.compress(planes[k].tobytes()) for k in used]
+    head = np.array([len(values), sum(1 << k for k in used), *map(len, frames)], "<u4")
+    return head.tobytes() + b"".join(frames)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+    size, mask = np.frombuffer(data, "<u4", 2).tolist()
+    used = [k for k in range(8) if mask >> k & 1]
+    at, planes = 8 + 4 * len(used), np.zeros((8, size), np.uint8)
+    for k, length in zip(used, np.frombuffer(data, "<u4", len(used), 8).tolist(), strict=True):
+        planes[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + length]), np.uint8)
+        at += length
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
 def _packed_steps(values: np.ndarray) -> bytes:
@@ -144,6 +153,13 @@ class Block:
         """Training counts of the words."""
         return np.bincount(self.ids[self.trained], minlength=len(self.words))
 
+    def by_number(self, totals: np.ndarray, numbers: np.ndarray) -> tuple[Block, tuple[np.ndarray, np.ndarray]]:
+        """The block with its words in the order of their ``numbers``, the end first, and both arrays in that order."""
+        order = np.concatenate([[0], 1 + np.argsort(numbers[1:], kind="stable")])
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return Block([self.words[i] for i in order.tolist()], place[self.ids], self.lengths, self.train), (totals[order], numbers[order])
+
     def find_ngrams(self) -> None:
         """Number the block's pairs and triples.
 
@@ -507,7 +523,8 @@ def score_language_model(
         found = []
         for row in own.itertuples(index=False):
             block = Block.of(row)
-            found.append(_ngram_messages(row.block, block, _word_answers(got, block, word_owners), ngram_owners))
+            block, words = block.by_number(*_word_answers(got, block, word_owners))
+            found.append(_ngram_messages(row.block, block, words, ngram_owners))
         return pd.concat(found)
 
     own_blocks = blocks.select("block", "flags", "lengths", "words", "tokens")
@@ -525,8 +542,8 @@ def score_language_model(
         found = []
         for row in own.itertuples(index=False):
             block = Block.of(row)
+            block, words = block.by_number(*_word_answers(got[got["totals"].notna()], block, word_owners))
             block.find_ngrams()
-            words = _word_answers(got[got["totals"].notna()], block, word_owners)
             pairs, triples = _ngram_answers(got[got["totals"].isna()], block, words, ngram_owners)
             model = Automaton(block, words[0], pairs, triples, texts, tokens, distinct, m2, m3)
             ids = pd.array(np.asarray(row.ids, np.int64), dtype="Int64")
