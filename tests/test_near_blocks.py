@@ -49,3 +49,16 @@ def test_runs_of_copies_are_cut(monkeypatch, spark, small_blocks):
     rows = [(i, 5 if i % 3 else 4, "photo", 1.0) for i in range(150)]
     found = sorted(map(tuple, duplicates.near_pairs(spark.createDataFrame(rows, SCHEMA), 6).collect()))
     assert found == brute(rows, 6, lambda a, b: True)
+
+
+@pytest.mark.parametrize("distance", [6, 10])
+def test_pairs_of_videos_over_several_blocks(spark, small_blocks, distance):
+    rows = [(i, h, "video", d) for i, h, _, d in some_rows()]
+    found = duplicates.video_pairs(spark.createDataFrame(rows, SCHEMA), distance)
+    assert sorted(map(tuple, found.collect())) == brute(rows, distance, lambda a, b: match(a[3], b[3]))
+
+
+def test_pairs_of_videos_are_not_joined(spark):
+    """Pairs were joined with the videos twice; now they leave the comparison as they are."""
+    plan = duplicates.video_pairs(spark.createDataFrame(some_rows(), SCHEMA), 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
