@@ -62,3 +62,18 @@ def test_pairs_of_videos_are_not_joined(spark):
     """Pairs were joined with the videos twice; now they leave the comparison as they are."""
     plan = duplicates.video_pairs(spark.createDataFrame(some_rows(), SCHEMA), 6)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("MapInArrow")
+
+
+def test_links_over_several_blocks_are_few_and_enough(spark, small_blocks):
+    """Of near hashes all pairs were links; there are no more than rows, for each block that a row meets, however dense."""
+    r = random.Random(8)
+    dense = [(i, sum(1 << b for b in r.sample(range(63), r.randrange(4))), r.choice(["photo", "video"]), r.choice([5.0, 5.5, 30.0, 100.0])) for i in range(300)]
+    for rows in (some_rows(), dense):
+        table = spark.createDataFrame(rows, SCHEMA)
+        photos = duplicates.near_links(table, 6)
+        want = connected_components(duplicates.near_pairs(table, 6).select("a", "b"))
+        assert sorted(map(tuple, connected_components(photos).collect())) == sorted(map(tuple, want.collect()))
+        videos = duplicates.video_links(table, 6)
+        want = connected_components(duplicates.video_pairs(table, 6).select("a", "b"))
+        assert sorted(map(tuple, connected_components(videos).collect())) == sorted(map(tuple, want.collect()))
+    assert photos.count() < 2 * len(dense)
