@@ -1,6 +1,6 @@
 """A stored index of similarity hashes: batches of new files are added, and only what is new is compared.
 
-Chunk keys, as in ``duplicates.near_hashes``, are stored in parts by key. A batch's hashes that the index lacks are cut into keys, which
+Chunk keys, of which near hashes share one at least, are stored in parts by key. A batch's hashes that the index lacks are cut into keys, which
 are compared with each other and with the stored parts of the same keys. Files hang on a hash's first file, and groups are
 kept as redirects: a label, the smallest id of a group, leads to a smaller one once new links join two groups. Nothing that
 was stored is written again.
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquarry.operators.components import connected_components
-from mediaquarry.operators.duplicates import DEFAULT_DISTANCE, chunk_keys, met_by_keys
+from mediaquarry.operators.duplicates import DEFAULT_DISTANCE, chunk_keys, clamped
+from mediaquarry.operators.near_blocks import links_by_keys
 from mediaquarry.operators.pointers import followed
 from mediaquarry.storage import Manifest, materialise
 
@@ -52,11 +53,12 @@ class HashIndex:
 
         key = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")
         cut = materialise(chunk_keys(fresh.select("kind", "h"), distance).select("*", key), "index-keys")
-        x = cut.select(F.col("h").alias("hx"), F.col("kind").alias("kindx"), F.col("key").alias("keyx"), F.col("part").alias("_part"))
-        y = self._stored(state, "keys", _KEYS).unionByName(cut).select(F.col("h").alias("hy"), F.col("kind").alias("kindy"), F.col("key").alias("keyy"), "part")
         # parts that no new key falls into are not read
-        used = [r["_part"] for r in x.select("_part").distinct().collect()]
-        pairs = met_by_keys(x.drop("_part"), y.where(F.col("part").isin(used)).drop("part") if used else y.where("false").drop("part"), distance)
+        used = [r["part"] for r in cut.select("part").distinct().collect()]
+        stored = self._stored(state, "keys", _KEYS)
+        stored = stored.where(F.col("part").isin(used)) if used else stored.where("false")
+        keyed = cut.select("kind", "h", "key", F.lit(True).alias("fresh")).unionByName(stored.select("kind", "h", "key", F.lit(False).alias("fresh")))
+        pairs = links_by_keys(keyed, clamped(distance))
         every = hashes.unionByName(fresh)
         a, b = (every.select(F.col("kind"), F.col("h").alias(f"h{s}"), F.col("rep").alias(n)) for s, n in (("x", "a"), ("y", "b")))
         links = pairs.join(a, ["kind", "hx"]).join(b, ["kind", "hy"]).select("a", "b")

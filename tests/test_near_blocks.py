@@ -77,3 +77,17 @@ def test_links_over_several_blocks_are_few_and_enough(spark, small_blocks):
         want = connected_components(duplicates.video_pairs(table, 6).select("a", "b"))
         assert sorted(map(tuple, connected_components(videos).collect())) == sorted(map(tuple, want.collect()))
     assert photos.count() < 2 * len(dense)
+
+
+def test_an_index_links_files_and_not_pairs(spark, tmp_path):
+    """An index took all near pairs of a key as links: of hashes that are all near, the square of their number."""
+    r = random.Random(9)
+    hashes = sorted({sum(1 << b for b in r.sample(range(63), r.randrange(4))) for _ in range(150)})
+    keyed = duplicates.chunk_keys(spark.createDataFrame([(h, "photo") for h in hashes], "h long, kind string"), 6).withColumn("fresh", F.col("h") % 2 == 0)
+    links = [(x.hx, x.hy) for x in near_blocks.links_by_keys(keyed, 6).collect()]
+    parts = {h: h for h in hashes}
+    for a, b in links:
+        old, new = parts[b], parts[a]
+        parts = {h: new if p == old else p for h, p in parts.items()}
+    assert len(set(parts.values())) == 1 and len(links) < 28 * len(hashes)
+    assert sum((a ^ b).bit_count() <= 6 for a in hashes for b in hashes if a < b) > 2 * len(links)
