@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaquarry.functions.text import basename, fold_ascii, fold_unicode, normalize_space, safe_path
-from mediaquarry.operators.tags import LINK, accepted_records, apply, resolve
+from mediaquarry.operators.tags import accepted_records, apply
 from mediaquarry.storage import materialise
 
 MOVE_RETENTION_DAYS = 90
@@ -49,6 +49,11 @@ def flat_moves(documents: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(records: DataFrame) -> DataFrame:
+    """Records with their folded path and file name as columns: a sort would fold a key that is an expression in each comparison."""
+    return records.withColumns({"_own_path": fold_ascii(F.col("path")), "_own_name": fold_ascii(basename(F.col("path")))})
+
+
 def matched(records: DataFrame, media: DataFrame) -> DataFrame:
     """Records with media_id, null where they must be held.
 
@@ -62,9 +67,8 @@ def matched(records: DataFrame, media: DataFrame) -> DataFrame:
     sized = named.groupBy("_name", F.col("size").cast("long").alias("_size")).agg(F.min("id").alias("_only"), F.count(F.lit(1)).alias("_n"))
     loose = named.groupBy("_name").agg(F.min("id").alias("_only"), F.count(F.lit(1)).alias("_n")).select("_name", F.lit(None).cast("long").alias("_size"), "_only", "_n")
     unique = sized.unionByName(loose).where("_n = 1").select("_name", "_size", "_only")
-    met = records.join(paths, fold_ascii(F.col("path")) == F.col("_path"), "left").join(
-        unique, (fold_ascii(basename(F.col("path"))) == F.col("_name")) & F.col("size").eqNullSafe(F.col("_size")), "left"
-    )
+    keyed = _keyed(records)
+    met = keyed.join(paths, F.col("_own_path") == F.col("_path"), "left").join(unique, (F.col("_own_name") == F.col("_name")) & F.col("size").eqNullSafe(F.col("_size")), "left")
     found = F.when(F.col("_at").isNotNull(), F.when(F.col("_there"), F.col("_at"))).otherwise(F.col("_only"))
     return met.withColumn("media_id", found).select(*records.columns, "media_id")
 
@@ -74,8 +78,8 @@ def matched_strictly(records: DataFrame, media: DataFrame) -> DataFrame:
     here = media.where("present")
     paths = here.select(fold_ascii(F.col("rel_path")).alias("_path"), F.col("size").alias("_psize"), F.col("id").alias("_at"))
     named = here.groupBy(fold_ascii(basename(F.col("rel_path"))).alias("_name"), F.col("size").alias("_nsize")).agg(F.min("id").alias("_only"), F.count(F.lit(1)).alias("_n"))
-    met = records.join(paths, (fold_ascii(F.col("path")) == F.col("_path")) & (F.col("size") == F.col("_psize")), "left").join(
-        named.where("_n = 1"), (fold_ascii(basename(F.col("path"))) == F.col("_name")) & (F.col("size") == F.col("_nsize")), "left"
+    met = _keyed(records).join(paths, (F.col("_own_path") == F.col("_path")) & (F.col("size") == F.col("_psize")), "left").join(
+        named.where("_n = 1"), (F.col("_own_name") == F.col("_name")) & (F.col("size") == F.col("_nsize")), "left"
     )
     return met.withColumn("media_id", F.coalesce("_at", "_only")).select(*records.columns, "media_id")
 
@@ -101,24 +105,58 @@ def import_counts(links: DataFrame, records: DataFrame) -> DataFrame:
 
 def merged(links: DataFrame, records: DataFrame) -> DataFrame:
     """Links after matched records, in their order: strictly newer ones win, ties keep what is there."""
-    new = records.where("media_id is not null").select("media_id", "tag", "updated_at", "deleted", F.struct(F.lit(1).alias("late"), "seq").alias("seq"))
-    ranked = _ranked(new)
-    old = links.select("media_id", "tag", "updated_at", "deleted", F.lit(-1).cast("long").alias("seq"))
-    return resolve(old.unionByName(ranked)).select(*LINK)
+    return _spelled(_registers(_stored(links), records))
+
+
+def _stored(links: DataFrame) -> DataFrame:
+    """Links as they come before all records: media_id, tag, updated_at, deleted, late."""
+    return links.select("media_id", "tag", "updated_at", "deleted", F.lit(0).alias("late"))
+
 
+def _rekeyed(links: DataFrame, moved: DataFrame) -> DataFrame:
+    """``_stored`` links, those of media in ``moved`` (media_id, to_id) under their new id, after what is there: as ``move_tags`` has them."""
+    to = moved.select(F.col("media_id").alias("_from"), F.col("to_id").alias("_to"))
+    went = F.col("_from").isNotNull()
+    met = links.join(to, F.col("media_id") == F.col("_from"), "left")
+    return met.select(F.when(went, F.col("_to")).otherwise(F.col("media_id")).alias("media_id"), "tag", "updated_at", "deleted", went.cast("int").alias("late"))
 
-def _ranked(records: DataFrame) -> DataFrame:
-    """Records with their order within a register as a number."""
-    own = Window.partitionBy("media_id", fold_ascii(F.col("tag"))).orderBy("seq")
-    return records.withColumn("seq", F.row_number().over(own).cast("long"))
+
+#: What is late as a record of another machine; what was here before is 0 or 1.
+_NEW = 2
+
+
+def _registers(stored: DataFrame, records: DataFrame) -> DataFrame:
+    """Each register after matched records, in their order, on top of ``_stored`` links: one row, from one sort of all rows.
+
+    media_id, tag_key, link (its updated_at and deleted), first (late, seq and tag of its first row), and how many records
+    were accepted and changed what is visible.
+    """
+    seq = records.schema["seq"].dataType
+    new = records.where("media_id is not null").select("media_id", "tag", "updated_at", "deleted", F.lit(_NEW).alias("late"), "seq")
+    marked = accepted_records(stored.withColumn("seq", F.lit(None).cast(seq)).unionByName(new), ("late", "seq"))
+    place = F.row_number().over(Window.partitionBy("media_id", "tag_key").orderBy("late", "seq"))
+    late = F.col("late") == _NEW
+    return marked.withColumn("place", place).groupBy("media_id", "tag_key").agg(
+        F.max_by(F.struct("updated_at", "deleted"), F.struct("updated_at", -F.col("place"))).alias("link"),
+        F.min(F.struct("late", "seq", "tag")).alias("first"), F.count_if(late & F.col("accepted")).alias("accepted"), F.count_if(late & F.col("changed")).alias("changed"),
+    )
+
+
+def _spelled(registers: DataFrame, name: str | None = None) -> DataFrame:
+    """The links of ``_registers``, a tag spelled as where it was first; with ``name`` the spellings are written."""
+    spelled = registers.groupBy("tag_key").agg(F.min("first").alias("f")).select("tag_key", "f.tag")
+    spelled = materialise(spelled, name) if name else spelled
+    return registers.join(spelled, "tag_key").select("media_id", "tag_key", "tag", "link.updated_at", "link.deleted")
+
+
+def _summed(registers: DataFrame) -> DataFrame:
+    """How many records of ``_registers`` were accepted and changed what is visible: changed, accepted."""
+    return registers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("changed", "accepted")])
 
 
 def change_count(links: DataFrame, records: DataFrame) -> DataFrame:
     """How many records change what is visible: changed, accepted."""
-    old = links.select("media_id", "tag", "updated_at", "deleted", F.lit(-1).cast("long").alias("seq"))
-    new = _ranked(records.where("media_id is not null").select("media_id", "tag", "updated_at", "deleted", "seq"))
-    marked = accepted_records(old.unionByName(new)).where("seq >= 0")
-    return marked.agg(F.count_if(F.col("changed")).alias("changed"), F.count_if(F.col("accepted")).alias("accepted"))
+    return _summed(_registers(_stored(links), records))
 
 
 def held(pending: DataFrame, records: DataFrame) -> DataFrame:
@@ -130,12 +168,24 @@ def held(pending: DataFrame, records: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(newest.alias("r")).select("r.*")
 
 
+def _held_registers(pending: DataFrame, records: DataFrame) -> DataFrame:
+    """Pending records after unmatched ones, in their order: record (the newest of its path and tag) and how many of the new ones were held."""
+    kept = ("path", "tag", "updated_at", "deleted")
+    new = records.where("media_id is null").select(*kept, F.lit(1).alias("late"), "seq")
+    both = pending.select(*kept, F.lit(0).alias("late"), F.lit(None).cast(records.schema["seq"].dataType).alias("seq")).unionByName(new)
+    own = Window.partitionBy("_p", "_t").orderBy("late", "seq")
+    newest = F.max("updated_at").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    held_ = (F.col("late") == 1) & (F.col("newest").isNull() | (F.col("updated_at") > F.col("newest")))
+    marked = both.withColumns({"_p": fold_ascii(F.col("path")), "_t": fold_ascii(F.col("tag"))}).withColumns({"newest": newest, "place": F.row_number().over(own)})
+    return marked.groupBy("_p", "_t").agg(F.max_by(F.struct(*kept), F.struct("updated_at", -F.col("place"))).alias("record"), F.count_if(held_).alias("held"))
+
+
 def attached(links: DataFrame, pending: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and pending records after held ones whose file is here now have been merged."""
     paths = media.where("present").select(fold_ascii(F.col("rel_path")).alias("_path"), F.col("id").alias("media_id"))
-    key = fold_ascii(F.col("path"))
-    here = pending.join(paths, key == F.col("_path")).select("media_id", fold_ascii(F.col("tag")).alias("tag_key"), "tag", "updated_at", "deleted")
-    return apply(links, here), pending.join(paths, key == F.col("_path"), "left_anti")
+    own = pending.withColumn("_own", fold_ascii(F.col("path")))
+    here = own.join(paths, F.col("_own") == F.col("_path")).select("media_id", fold_ascii(F.col("tag")).alias("tag_key"), "tag", "updated_at", "deleted")
+    return apply(links, here), own.join(paths, F.col("_own") == F.col("_path"), "left_anti").drop("_own")
 
 
 def relinks(media: DataFrame, links: DataFrame) -> DataFrame:
@@ -181,21 +231,21 @@ def imported_with_outcomes(library: Library, records: DataFrame, moves: DataFram
     """``imported``, and the outcome of each move (key, outcome)."""
     from mediaquarry.operators.moves import replayed, with_albums
     from mediaquarry.operators.scan import after_scan
-    from mediaquarry.operators.tags import move_tags
 
     media, links, pending, log = library
-    outcomes = None
+    outcomes, stored = None, _stored(links)
     if apply_moves:
         outcomes, changes = replayed(media, moves, log)
         outcomes, changes = materialise(outcomes, "move-outcomes"), materialise(changes, "moved-media")
         done = outcomes.where("outcome = 'applied'").select("key")
-        log = log.select(*_LOG).unionByName(moves.join(done, F.to_json("seq") == F.col("key"), "left_semi").select(*_LOG))
-        links = move_tags(links, changes.where("replaced_by is not null").select(F.col("id").alias("media_id"), F.col("replaced_by").alias("to_id")))
+        log = log.select(*_LOG).unionByName(moves.withColumn("key", F.to_json("seq")).join(done, "key", "left_semi").select(*_LOG))
+        stored = _rekeyed(links, changes.where("replaced_by is not null").select(F.col("id").alias("media_id"), F.col("replaced_by").alias("to_id")))
         media = with_albums(media, changes)
     found = materialise(matched(records, media), "matched-records")
-    counters = _counters(outcomes, change_count(links, found), held_count(pending, found))
-    # written in between, so that no later step works the earlier ones out again
-    links, pending = materialise(merged(links, found), "merged-links"), materialise(held(pending, found), "held-records")
+    # written in between, so that no later step works the earlier ones out again; links and held records are worked out once, with their counters
+    registers, waiting = materialise(_registers(stored, found), "merged-links"), materialise(_held_registers(pending, found), "held-records")
+    counters = _counters(outcomes, _summed(registers), waiting.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held")))
+    links, pending = _spelled(registers, "spelled-tags"), waiting.select("record.*")
     media, links, pending = after_scan(media, links, pending)
     if outcomes is None:
         outcomes = moves.select(F.to_json("seq").alias("key"), F.lit("not asked for").alias("outcome"))
@@ -221,7 +271,8 @@ def dry_run(library: Library, records: DataFrame, moves: DataFrame, apply_moves:
     outcomes = judged_alone(library.media, checked(moves, library.log)).select("outcome") if apply_moves else None
     found = matched(records, library.media)
     old = library.links.select(F.col("media_id").alias("_of"), F.col("tag_key").alias("_key"), F.col("updated_at").alias("_time"), F.col("deleted").alias("_gone"))
-    met = found.where("media_id is not null").join(old, (F.col("media_id") == F.col("_of")) & (fold_ascii(F.col("tag")) == F.col("_key")), "left")
+    keyed = found.where("media_id is not null").withColumn("_own", fold_ascii(F.col("tag")))
+    met = keyed.join(old, (F.col("media_id") == F.col("_of")) & (F.col("_own") == F.col("_key")), "left")
     newer = F.col("_time").isNull() | (F.col("updated_at") > F.col("_time"))
     changed = met.agg(F.count_if(newer & (F.coalesce("_gone", F.lit(True)) != F.coalesce("deleted", F.lit(False)))).alias("changed"))
     return _counters(outcomes, changed, found.agg(F.count_if(F.col("media_id").isNull()).alias("held")))
@@ -236,16 +287,6 @@ def _counters(outcomes: DataFrame | None, changed: DataFrame, held_: DataFrame)
     return moved.join(one, F.lit(True)).select("moves_applied", "moves_skipped", "tags_changed", "held")
 
 
-def held_count(pending: DataFrame, records: DataFrame) -> DataFrame:
-    """How many unmatched records are held: those newer than all before them of their path and tag (held)."""
-    own = Window.partitionBy(fold_ascii(F.col("path")), fold_ascii(F.col("tag"))).orderBy("seq")
-    ranked = records.where("media_id is null").select("path", "tag", "updated_at", F.row_number().over(own).cast("long").alias("at"))
-    both = pending.select("path", "tag", "updated_at", F.lit(0).cast("long").alias("at")).unionByName(ranked)
-    before = Window.partitionBy(fold_ascii(F.col("path")), fold_ascii(F.col("tag"))).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    marked = both.withColumn("newest", F.max("updated_at").over(before)).where("at > 0")
-    return marked.agg(F.count_if(F.col("newest").isNull() | (F.col("updated_at") > F.col("newest"))).alias("held"))
-
-
 def retained_moves(moves: DataFrame, now: float) -> DataFrame:
     """Move records that aren't older than the retention time."""
     return moves.where(F.col("moved_at") >= now - MOVE_RETENTION_DAYS * 86400)

@@ -194,6 +194,45 @@ def test_import_takes_moves_then_records_then_relinks_and_attaches(spark):
     assert sorted((r.media_id, r.tag) for r in off.links.collect()) == [(1, "sun"), (2, "Late"), (4, "old")]
 
 
+def test_an_import_works_the_links_out_once(spark):
+    library = _library(spark, [(i, f"{i}.jpg", 3, True) for i in range(20)])
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(link):
+        rows.add(1)
+        return link
+
+    links = spark.createDataFrame(spark.sparkContext.parallelize([(i, "a", "A", 5.0, False) for i in range(20)], 2).map(seen), LINKS)
+    records = spark.createDataFrame([(f"{i}.jpg", 3, "a", 4.0 + i % 3, True, i) for i in range(20)], RECORDS)
+    after, counters = sync.imported(library._replace(links=links), records, _file_moves(spark, ("1.jpg", "T/1.jpg", 3, 1.0)))
+    assert tuple(counters.first()) == (1, 0, 6, 0) and after.links.where("deleted").count() == 6
+    assert rows.value == 20
+
+
+def test_folded_keys_of_joins_are_columns(spark):
+    library = _library(spark, [(1, "1.jpg", 3, True)], [(1, "a", "A", 5.0, False)], [("2.jpg", "Late", 2.0, False)])
+    records, steps = spark.createDataFrame([("1.jpg", 3, "a", 1.0, False, 0)], RECORDS), _file_moves(spark, ("1.jpg", "T/1.jpg", 3, 1.0))
+    alone = moves.judged_alone(library.media, moves.checked(steps, library.log))
+    tables = sync.matched(records, library.media), sync.matched_strictly(records, library.media), *sync.attached(library.links, library.pending, library.media), sync.dry_run(library, records, steps), alone
+    for table in tables:
+        plan = spark._jvm.PythonSQLUtils.explainString(table._jdf.queryExecution(), "simple").splitlines()
+        joins = [line for line in plan if "SortMergeJoin" in line or " Sort [" in line]
+        assert joins and not [line for line in joins if "translate(" in line]
+
+
+def test_an_import_onto_links_that_a_move_brings_along(spark):
+    library = _library(
+        spark, [(3, "old/gone.jpg", 4, False), (4, "new/gone.jpg", 4, True)], [(3, "a", "A", 5.0, False), (4, "a", "a", 5.0, True), (3, "b", "b", 2.0, False), (3, "c", "c", 2.0, False)], [("none.jpg", "Y", 2.0, True)]
+    )
+    tagged = [("new/gone.jpg", 4, "B", 3.0, True, 2), ("new/gone.jpg", 4, "a", 5.0, False, 1), ("new/gone.jpg", 4, "c", 9.0, False, 3)]
+    waiting = [("none.jpg", 1, "x", 1.0, True, 5), ("None.jpg", 1, "X", 1.0, False, 4), ("none.jpg", 1, "y", 2.0, False, 6)]
+    after, counters = sync.imported(library, spark.createDataFrame(tagged + waiting, RECORDS), _file_moves(spark, ("old/gone.jpg", "new/gone.jpg", 4, 1.0)))
+    assert tuple(counters.first()) == (0, 0, 1, 1)
+    assert sorted(map(tuple, after.links.collect())) == [(4, "a", "a", 5.0, True), (4, "b", "b", 3.0, True), (4, "c", "c", 9.0, False)]
+    # of records as new as each other the first stays, and what was held before them
+    assert sorted(map(tuple, after.pending.collect())) == [("None.jpg", "X", 1.0, False), ("none.jpg", "Y", 2.0, True)]
+
+
 def test_a_dry_run_judges_everything_against_what_is_there(spark):
     library = _library(spark, [(1, "1.jpg", 3, True), (2, "2.jpg", 6, True)], [(2, "sun", "sun", 5.0, False)])
     records = spark.createDataFrame([("2.jpg", 6, "Sun", 6.0, True, 0), ("2.jpg", 6, "sun", 7.0, True, 1), ("2.jpg", 6, "sun", 4.0, True, 2), ("gone.jpg", 1, "x", 1.0, False, 3), ("gone.jpg", 1, "x", 1.0, False, 4)], RECORDS)
