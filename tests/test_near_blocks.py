@@ -51,6 +51,16 @@ def test_runs_of_copies_are_cut(monkeypatch, spark, small_blocks):
     assert found == brute(rows, 6, lambda a, b: True)
 
 
+def test_pairs_come_in_runs(spark, small_blocks):
+    """Pairs came in the order of hashes, with a and b in turns: each column of a written result took its full room."""
+    r = random.Random(8)
+    rows = [(i, sum(1 << b for b in r.sample(range(63), r.randrange(4))), "photo", 1.0) for i in r.sample(range(3000), 300)]
+    found = [tuple(x) for x in duplicates.near_pairs(spark.createDataFrame(rows, SCHEMA), 10).collect()]
+    assert sorted(found) == brute(rows, 10, lambda a, b: True)
+    for columns, most in ((slice(0, 1), len(found) / 20), (slice(0, 3, 2), len(found) / 4)):
+        assert 1 + sum(x[columns] != y[columns] for x, y in zip(found, found[1:])) < most
+
+
 @pytest.mark.parametrize("distance", [6, 10])
 def test_pairs_of_videos_over_several_blocks(spark, small_blocks, distance):
     rows = [(i, h, "video", d) for i, h, _, d in some_rows()]
